@@ -1,6 +1,9 @@
 """Imports every query module so that the table is full."""
 
-from chainloom.plans import transcript_queries  # noqa: F401
+from chainloom.plans import (  # noqa: F401
+    transcript_queries,
+    turn_queries,
+)
 from chainloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

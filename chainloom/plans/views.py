@@ -89,6 +89,44 @@ SELECT conv, line,  uuid,
 FROM (SELECT conv, CAST(row_number() OVER (PARTITION BY conv ORDER BY pos, type DESC, uuid) - 1 AS BIGINT) AS line, uuid,
     CASE WHEN type = 'tool_result' THEN 'tool_result' WHEN pos % (4 + 2*(conv % 30)) = 1 THEN 'user' ELSE 'assistant' END AS type,
     coalesce(result_text, args) AS text FROM f3_blocks) t
+""",
+    "f3_args": """
+SELECT conv, n, event_id, k, turn_id, 2*n-1 AS pos, call_uuid AS uuid,
+  CASE k % 9 WHEN 0 THEN 'Read' WHEN 1 THEN 'Bash' WHEN 2 THEN 'Grep' WHEN 3 THEN 'Glob' WHEN 4 THEN 'Agent'
+    WHEN 5 THEN 'Edit' WHEN 6 THEN 'TaskList' WHEN 7 THEN 'Write' ELSE 'Read' END AS tool,
+  CASE k % 9 WHEN 0 THEN '{"file_path":"'||path||'","offset":'||CAST(k AS STRING)||',"limit":50}'
+    WHEN 1 THEN '{"command":"make t'||CAST(k AS STRING)||chr(92)||'nsecond line","description":"run '||CAST(k AS STRING)||'"}'
+    WHEN 2 THEN '{"pattern":"p'||CAST(k AS STRING)||'","path":"/repo"}'
+    WHEN 3 THEN '{"pattern":"*.py"}'
+    WHEN 4 THEN '{"subagent_type":"explore","description":"'||repeat('look around ', CAST(k % 10 AS INT))||'"}'
+    WHEN 5 THEN '{"file_path":"'||path||'","old_string":"a","new_string":"b"}'
+    WHEN 6 THEN '{"a":'||CAST(k AS STRING)||',"b":"'||repeat('xy', CAST(k % 40 AS INT))||'","c":true,"d":"z"}'
+    WHEN 7 THEN '{}' ELSE '{"file_path":"'||path||'"}' END AS args,
+  path
+FROM f3_calls_src
+""",
+    "f10_rows": """
+SELECT conv, event_id, n, k, sub, CAST(row_number() OVER (PARTITION BY conv ORDER BY n, sub) - 1 AS BIGINT) AS line,
+  CASE sub WHEN 0 THEN 'p' WHEN 1 THEN 'c' ELSE 'r' END||CAST(event_id AS STRING) AS uuid,
+  CASE sub WHEN 1 THEN 'assistant' ELSE 'user' END AS role,
+  CASE WHEN sub = 0 THEN 'prompt '||repeat('please ', CAST(k AS INT))||'end' END AS text
+FROM (SELECT conv, event_id, n, k, 0 AS sub FROM f3_args WHERE (n + conv) % 10 = 3
+  UNION ALL SELECT conv, event_id, n, k, 1 FROM f3_args UNION ALL SELECT conv, event_id, n, k, 2 FROM f3_args) t
+""",
+    "f10_blocks": """
+SELECT r.conv, r.line, r.uuid, 0 AS block_idx, 'text' AS type, CAST(NULL AS STRING) AS tool, CAST(NULL AS STRING) AS args,
+  'note '||CAST(r.k AS STRING)||chr(10)||repeat('more ', CAST(r.k AS INT)) AS text, CAST(NULL AS STRING) AS result_text, FALSE AS is_error
+FROM f10_rows r WHERE r.sub = 1 AND r.k % 3 = 0
+UNION ALL
+SELECT r.conv, r.line, r.uuid, 1, 'tool_use', a.tool, a.args, CAST(NULL AS STRING), CAST(NULL AS STRING), FALSE
+FROM f10_rows r JOIN f3_args a ON a.conv = r.conv AND a.n = r.n WHERE r.sub = 1 AND r.k % 3 <> 1
+UNION ALL
+SELECT r.conv, r.line, r.uuid, 0, 'tool_result', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING),
+  CASE WHEN r.k % 5 = 0 THEN '  '||chr(10) WHEN r.k % 4 = 0 THEN chr(10)||' out '||CAST(r.k AS STRING)||chr(10)||'rest' ELSE repeat('ok ', CAST(r.k AS INT)) END, r.k % 7 = 0
+FROM f10_rows r WHERE r.sub = 2
+UNION ALL
+SELECT r.conv, r.line, r.uuid, 1, 'tool_result', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), 'second '||CAST(r.event_id AS STRING), r.k % 2 = 0
+FROM f10_rows r WHERE r.sub = 2 AND r.k % 6 < 2
 """,
     "f1_spoken": """
 SELECT conv, line, uuid, parent_uuid, type, ts,
