@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chainloom.functions.text import json_quote, one_decimal_kb, trim_blank, whole_kb
+from chainloom.functions.text import json_quote, let, one_decimal_kb, trim_blank, whole_kb
 from chainloom.functions.tools import FILE_TOOLS, _set, json_arg
 
 REFETCH_MIN = 600
@@ -48,32 +48,38 @@ def _sections(text: Column) -> Column:
     return F.filter(parts, lambda s: F.length(s) > 0)
 
 
+def _head(section: Column) -> Column:
+    return let(
+        trim_blank(F.substring_index(section, "\n", 1)),
+        lambda h: F.when(F.length(h) > SECTION_CHARS, F.concat(F.left(h, F.lit(SECTION_CHARS)), F.lit("..."))).otherwise(h),
+    )
+
+
 def section_summary(text: Column) -> Column:
     """First line of each of the first eight blank-line-separated sections."""
-    parts = _sections(F.coalesce(text, F.lit("")))
-    heads = F.transform(
-        F.slice(parts, 1, SECTIONS),
-        lambda s: (lambda h: F.when(F.length(h) > SECTION_CHARS, F.concat(F.left(h, F.lit(SECTION_CHARS)), F.lit("..."))).otherwise(h))(
-            trim_blank(F.substring_index(s, "\n", 1))
-        ),
-    )
-    more = F.size(parts) - SECTIONS
-    rest = F.when(more > 0, F.array(F.concat(F.lit("... ["), more.cast("string"), F.lit(" more sections]")))).otherwise(
-        F.array().cast("array<string>")
-    )
-    return F.array_join(F.concat(heads, rest), "\n  ")
+
+    def summary(parts: Column) -> Column:
+        more = F.size(parts) - SECTIONS
+        rest = F.when(more > 0, F.array(F.concat(F.lit("... ["), more.cast("string"), F.lit(" more sections]")))).otherwise(
+            F.array().cast("array<string>")
+        )
+        return F.array_join(F.concat(F.transform(F.slice(parts, 1, SECTIONS), _head), rest), "\n  ")
+
+    return let(_sections(F.coalesce(text, F.lit(""))), summary)
 
 
 def last_paragraph(text: Column) -> Column:
     """Last paragraph; else the last two sentences; else the last 500 characters."""
-    whole = trim_blank(F.coalesce(text, F.lit("")))
-    parts = _sections(whole)
-    sentences = F.filter(F.split(whole, r"(?<=[.!?])\s+"), lambda s: F.length(s) > 0)
-    return (
-        F.when(F.size(parts) >= 2, F.element_at(parts, -1))
-        .when(F.size(sentences) >= 2, F.array_join(F.slice(sentences, -2, 2), " "))
-        .otherwise(F.right(whole, F.lit(500)))
-    )
+
+    def tail(whole: Column) -> Column:
+        sentences = F.filter(F.split(whole, r"(?<=[.!?])\s+"), lambda s: F.length(s) > 0)
+        ending = let(
+            sentences,
+            lambda s: F.when(F.size(s) >= 2, F.array_join(F.slice(s, -2, 2), " ")).otherwise(F.right(whole, F.lit(500))),
+        )
+        return let(_sections(whole), lambda p: F.when(F.size(p) >= 2, F.element_at(p, -1)).otherwise(ending))
+
+    return let(trim_blank(F.coalesce(text, F.lit(""))), tail)
 
 
 def refetch_marker(tool: Column, args: Column, chars: Column, lines: Column, sections: Column, model: Column, turn: Column) -> Column:

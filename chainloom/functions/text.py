@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The blanks of the transcript format beyond the ASCII ones.
+# What counts as blank in the transcript format, for patterns and for trimming.
 BLANK = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+BLANK_CHARS = (
+    " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, inside one expression."""
+    return F.transform(F.array(value), body)[0]
 
 
 def trim_blank(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, f"^{BLANK}+", ""), f"{BLANK}+$", "")
+    return F.btrim(c, F.lit(BLANK_CHARS))
 
 
 def is_blank(c: Column) -> Column:

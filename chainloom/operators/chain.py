@@ -128,7 +128,7 @@ def walk_chain(messages: DataFrame, starts: DataFrame | None = None, chunk: int
         ends = _pick_leaf(tails.filter(F.col("n_kids").isNull()), "run", "n")
     else:
         ends = tails.filter(F.coalesce(F.col("is_start"), F.lit(False))).select("conv", "run", "n")
-    reach = materialise(ends.select("conv", "run", (F.col("n") - 1).alias("far")), "chain-reach")
+    reach = ends.select("conv", "run", (F.col("n") - 1).alias("far"))
 
     # Childless runs other than the start cannot be ancestors; dropping them first also
     # removes the hot side of a parent with very many leaf children.
@@ -141,14 +141,16 @@ def walk_chain(messages: DataFrame, starts: DataFrame | None = None, chunk: int
         ),
         "chain-jump",
     )
-    found = reach.count()
-    while True:
+    # ``jump`` leads 1, 2, 4, … runs up.  It runs dry above the roots; on a cycle it never does,
+    # so the rounds also end once they cover more runs than there are.
+    links, reached = jump.count(), 1
+    while links and jump.take(1):
         further = reach.join(jump, ["conv", "run"]).select("conv", F.col("to").alias("run"), (F.col("far") + F.col("step")).alias("far"))
-        wider = materialise(reach.unionByName(further).groupBy("conv", "run").agg(F.min("far").alias("far")), "chain-reach")
-        now = wider.count()
-        if now == found:
+        reach = reach.unionByName(further).groupBy("conv", "run").agg(F.min("far").alias("far"))
+        reached *= 2
+        if reached > links + 1:
             break
-        reach, found = wider, now
+        reach = materialise(reach, "chain-reach")
         nxt = jump.select("conv", F.col("run").alias("to"), F.col("to").alias("to2"), F.col("step").alias("step2"))
         jump = materialise(
             jump.join(nxt, ["conv", "to"]).select("conv", "run", F.col("to2").alias("to"), (F.col("step") + F.col("step2")).alias("step")),

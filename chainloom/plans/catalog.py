@@ -1,6 +1,7 @@
 """Imports every query module so that the table is full."""
 
 from chainloom.plans import (  # noqa: F401
+    archive_queries,
     condense_queries,
     prune_queries,
     transcript_queries,

@@ -169,8 +169,8 @@ def label(spark, sf):
 
 
 def _action_input(spark, sf):
-    rows = view(spark, sf, "f10_rows").withColumn("real_user", F.col("sub") == 0)
-    return rows, view(spark, sf, "f10_blocks")
+    blocks = sql(spark, sf, "SELECT * FROM f10_blocks", staged=("f3_args", "f10_rows"))
+    return spark.table("f10_rows").withColumn("real_user", F.col("sub") == 0), blocks
 
 
 _ACTIONS = f"""

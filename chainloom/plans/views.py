@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chainloom.operators.storage import materialise
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -167,11 +169,11 @@ FROM f2_up u JOIN f2_messages m ON m.conv = u.conv AND m.uuid = u.uuid
 }
 
 
-def _needs(sql: str) -> list[str]:
+def _needs(sql: str, staged: tuple[str, ...] = ()) -> list[str]:
     """Views a text refers to, dependencies first."""
     every = {**VIEWS, **ORACLE_VIEWS}
     order: list[str] = []
-    seen: set[str] = set()
+    seen: set[str] = set(staged)
 
     def visit(text: str) -> None:
         for name, body in every.items():
@@ -184,10 +186,13 @@ def _needs(sql: str) -> list[str]:
     return order
 
 
-def with_views(sql: str) -> str:
-    """Prefix a query with the views it uses; a leading WITH of the query is merged."""
+def with_views(sql: str, staged: tuple[str, ...] = ()) -> str:
+    """Prefix a query with the views it uses; a leading WITH of the query is merged.
+
+    ``staged`` names views that exist as tables already.
+    """
     every = {**VIEWS, **ORACLE_VIEWS}
-    needed = _needs(sql)
+    needed = _needs(sql, staged)
     parts = [f"{n} AS ({every[n].strip()})" for n in needed]
     body = sql.strip()
     lead = re.match(r"(?is)with\s+(recursive\s+)?", body)
@@ -206,9 +211,19 @@ def load_tables(spark: SparkSession, sf_dir: str, sql: str) -> None:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
-def query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run SQL text over the driver's tables and the named views."""
-    text = with_views(sql)
+def query(spark: SparkSession, sf_dir: str, sql: str, staged: tuple[str, ...] = ()) -> DataFrame:
+    """Run SQL text over the driver's tables and the named views.
+
+    ``staged`` views are written once and read back, so a text that uses one several times
+    does not compute it several times.
+    """
+    for i, name in enumerate(staged):
+        materialise(_over(spark, sf_dir, VIEWS[name], staged[:i]), name).createOrReplaceTempView(name)
+    return _over(spark, sf_dir, sql, staged)
+
+
+def _over(spark: SparkSession, sf_dir: str, sql: str, staged: tuple[str, ...]) -> DataFrame:
+    text = with_views(sql, staged)
     load_tables(spark, sf_dir, text)
     return spark.sql(text)
 
