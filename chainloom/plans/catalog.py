@@ -4,6 +4,7 @@ from chainloom.plans import (  # noqa: F401
     archive_queries,
     condense_queries,
     prune_queries,
+    symbol_queries,
     transcript_queries,
     turn_queries,
 )

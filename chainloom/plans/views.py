@@ -129,6 +129,59 @@ FROM f10_rows r WHERE r.sub = 2
 UNION ALL
 SELECT r.conv, r.line, r.uuid, 1, 'tool_result', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), 'second '||CAST(r.event_id AS STRING), r.k % 2 = 0
 FROM f10_rows r WHERE r.sub = 2 AND r.k % 6 < 2
+""",
+    "f6_names": """
+SELECT p_partkey AS ord, replace(p_name,' ','_')||'_'||CAST(p_partkey % 400 AS STRING) AS nm, upper(replace(p_name,' ','_')) AS upnm, p_size,
+  '/src/'||lower(replace(p_brand,'#','_')) AS stem, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS BIGINT) AS line
+FROM part
+""",
+    "f6_js_lines": """
+SELECT 'app' AS project, stem||CASE WHEN p_size % 2 = 0 THEN '.ts' ELSE '.js' END AS path, CASE WHEN p_size % 2 = 0 THEN 'typescript' ELSE 'javascript' END AS lang, ord, line,
+  CASE ord % 20
+    WHEN 0 THEN 'export async function '||nm||'(a, b) {'
+    WHEN 1 THEN 'const '||nm||' = async (a) => {'
+    WHEN 2 THEN '  var '||nm||' = function(a) {'
+    WHEN 3 THEN 'export default class '||nm||' extends Base {'
+    WHEN 4 THEN 'export interface '||nm||' {'
+    WHEN 5 THEN 'type '||nm||' = string;'
+    WHEN 6 THEN 'let '||nm||' = 3;'
+    WHEN 7 THEN '  async '||nm||'(a) {'
+    WHEN 8 THEN '  constructor(a) {'
+    WHEN 9 THEN '  if (a) {'
+    WHEN 10 THEN 'export { '||nm||', other_'||nm||' as b };'
+    WHEN 11 THEN 'export default '||nm||';'
+    WHEN 12 THEN 'module.exports.'||nm||' = 1;'
+    WHEN 13 THEN 'module.exports = { '||nm||', x_'||nm||': 2 };'
+    WHEN 14 THEN 'router.get("/items/'||nm||'", h);'
+    WHEN 15 THEN 'app.post("/'||upnm||'", h);'
+    WHEN 16 THEN 'app.use("/api/'||nm||'", h);'
+    WHEN 17 THEN 'exports.'||nm||' = router.get("/never", h);'
+    WHEN 18 THEN 'export const '||nm||' = 5;'
+    ELSE '// nothing here' END AS text, nm, upnm
+FROM f6_names
+""",
+    "f6_go_lines": """
+SELECT 'app' AS project, stem||'.go' AS path, 'go' AS lang, ord, line, nm,
+  CASE ord % 6 WHEN 0 THEN 'func '||nm||'(a int) {' WHEN 1 THEN 'func (r *Repo) '||nm||'() error {' WHEN 2 THEN 'type '||nm||' struct {'
+    WHEN 3 THEN 'var '||nm||' = 3' WHEN 4 THEN 'type '||nm||' interface {' ELSE '  func '||nm||'(' END AS text
+FROM f6_names
+""",
+    "f6_rust_lines": """
+SELECT 'app' AS project, stem||'.rs' AS path, 'rust' AS lang, ord, line, nm,
+  CASE ord % 7 WHEN 0 THEN 'pub async fn '||nm||'(a: u8) {' WHEN 1 THEN 'fn '||nm||'() {' WHEN 2 THEN 'pub struct '||nm||' {'
+    WHEN 3 THEN 'enum '||nm||' {' WHEN 4 THEN 'trait '||nm||' {' WHEN 5 THEN 'pub static '||nm||': u8 = 1;' ELSE 'impl '||nm||' {' END AS text
+FROM f6_names
+""",
+    "f6_files": """
+SELECT 'p'||CAST(ord % 7 AS STRING) AS project, 'src/m'||CAST(ord AS STRING)||'.js' AS path, ord,
+  'import { used'||CAST(ord % 50 AS STRING)||' as z, helperB } from '||chr(39)||'./m'||CAST(ord + 7 AS STRING)||chr(39)||';'||chr(10)
+  ||'import Widget'||CAST(ord % 9 AS STRING)||' from "../lib/gone'||CAST(ord % 4 AS STRING)||'";'||chr(10)
+  ||'const { pick'||CAST(ord % 5 AS STRING)||': q } = require("./m'||CAST(ord AS STRING)||'");'||chr(10)
+  ||'/* skipCall(1) '||chr(10)||' more */ // lineCall(2)'||chr(10)
+  ||'function localFn(paramFn, b) { localFn(1); paramFn(2); obj.method(3); }'||chr(10)
+  ||'callMe'||CAST(ord % 30 AS STRING)||'("inString(4)", b); if (x) { new Thing(5); } ab(6); some_snake(7);'||chr(10)
+  ||'fetch("/api/items/'||CAST(ord AS STRING)||'"); fetch("/api/deep"); fetch("/api/opaque/x'||CAST(ord AS STRING)||'"); fetch("/api/none/'||CAST(ord AS STRING)||'/");' AS content
+FROM f6_names
 """,
     "f1_spoken": """
 SELECT conv, line, uuid, parent_uuid, type, ts,
