@@ -3,6 +3,7 @@
 from chainloom.plans import (  # noqa: F401
     archive_queries,
     condense_queries,
+    note_queries,
     prune_queries,
     symbol_queries,
     transcript_queries,
