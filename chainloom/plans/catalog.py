@@ -1,4 +1,4 @@
-"""Imports every query module so that the table is full."""
+"""Imports every query module so that the table is full; job queries reuse the others, so they come last."""
 
 from chainloom.plans import (  # noqa: F401
     archive_queries,
@@ -9,6 +9,7 @@ from chainloom.plans import (  # noqa: F401
     transcript_queries,
     turn_queries,
 )
+from chainloom.plans import job_queries  # noqa: F401, I001
 from chainloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -13,13 +13,15 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None) -> Callable[[QueryFn], QueryFn]:
+def query(name: str, oracle: str | None = None, *, expanded: bool = False) -> Callable[[QueryFn], QueryFn]:
+    """Register a query; ``expanded`` marks oracle text that already carries its views."""
+
     def add(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if oracle is not None:
-            ORACLES[name] = with_views(oracle)
+            ORACLES[name] = oracle if expanded else with_views(oracle)
         return fn
 
     return add

@@ -248,3 +248,12 @@ def bad_routes(spark, sf):
 def check_code(spark, sf):
     files = code_files(spark, sf)
     return cc.check_code(files, sql(spark, sf, _KNOWN), sql(spark, sf, _API), files)
+
+
+# One project per source file, for jobs that work project by project.
+def project_lines(spark, sf):
+    return view(spark, sf, "f4_code_lines").withColumns({"project": F.regexp_replace("path", "^.*/", ""), "lang": F.lit("python")})
+
+
+FULL_REINDEX = f"""SELECT regexp_replace(path,'^.*/','') AS project, category, name, arg_min(path, ord) AS file, arg_min(line, ord) AS line, count(*) AS usages FROM ({_PY}) p
+ WHERE path IN (SELECT path FROM f4_code_lines WHERE ord%3=0) GROUP BY 1,2,3"""
