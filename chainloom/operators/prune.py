@@ -15,6 +15,7 @@ from chainloom.functions.text import tokens
 from chainloom.operators.chain import ROOT_TYPES, next_valid_root, walk_chain
 from chainloom.operators.rewrite import append_messages, rewrite
 from chainloom.operators.scan import attach, scan
+from chainloom.operators.storage import materialise
 from chainloom.operators.turns import SEGMENT_SIZE, summarize_segments
 
 DEFAULT_MARKER = "## SESSION HANDOFF"
@@ -44,7 +45,8 @@ def _cut(messages: DataFrame, rows: DataFrame, cuts: DataFrame) -> tuple[DataFra
     roots = next_valid_root(rows, cuts.filter(F.col("cut").isNotNull())).select(
         "conv", "root_pos", F.col("uuid").alias("root_uuid"), F.col("type").alias("root_type")
     )
-    plan = cuts.join(roots, "conv", "left")
+    # One narrow row per conversation, used by the report and by the rewrite: written once.
+    plan = materialise(cuts.join(roots, "conv", "left"), "cut-plan")
     freed = (
         _with_spans(rows, plan.select("conv", "cut", "n"))
         .groupBy("conv")
@@ -60,7 +62,7 @@ def _cut(messages: DataFrame, rows: DataFrame, cuts: DataFrame) -> tuple[DataFra
         F.col("root_type"),
         (F.col("root_pos") - 1).cast("bigint").alias("orphaned_after"),
     )
-    new_roots = roots.select("conv", F.col("root_uuid").alias("uuid"), F.lit(None).cast("string").alias("parent_uuid"))
+    new_roots = plan.filter("root_uuid IS NOT NULL").select("conv", F.col("root_uuid").alias("uuid"), F.lit(None).cast("string").alias("parent_uuid"))
     return rewrite(messages, replace=new_roots)[0], report
 
 
@@ -130,6 +132,7 @@ def sandwich_prune(
         .when(F.col("recent_pos") <= keep_first + 1, "nothing_between")
         .otherwise("pruned"),
     )
+    plan = materialise(plan, "sandwich-plan")
     go = plan.filter("verdict = 'pruned'")
     inside = attach(
         rows.select("conv", "pos", "line", "uuid", "ts", tokens(F.col("text")).alias("tok")),
@@ -229,7 +232,7 @@ def prune_to_handoff(
     else:
         anchors = anchors.withColumn("anchor", F.col("primary"))
     lengths = _lengths(rows)
-    plan = lengths.join(counted, "conv", "left").join(anchors, "conv", "left")
+    plan = materialise(lengths.join(counted, "conv", "left").join(anchors, "conv", "left"), "handoff-plan")
     freed = (
         _with_spans(rows, plan.filter("anchor IS NOT NULL").select("conv", "n", F.col("anchor.pos").alias("anchor_pos")))
         .groupBy("conv")
@@ -239,7 +242,7 @@ def prune_to_handoff(
     begins = at + F.when(F.substr("text", at, F.lit(1)) == "\n", 1).otherwise(0)
     snippets = (
         rows.select("conv", "pos", "text")
-        .join(counted.select("conv", F.col("oldest_pos").alias("pos")), ["conv", "pos"])
+        .join(plan.filter("oldest_pos IS NOT NULL").select("conv", F.col("oldest_pos").alias("pos")), ["conv", "pos"])
         .withColumn("rest", F.substr("text", begins))
         .select(
             "conv",
@@ -302,6 +305,7 @@ def restore_compaction(messages: DataFrame, rows: DataFrame) -> tuple[DataFrame,
         .when(F.col("next_uuid").isNull(), "nothing_after")
         .otherwise("restored"),
     )
+    plan = materialise(plan, "restore-plan")
     go = plan.filter("verdict = 'restored'")
     old = walk_chain(messages, go.select("conv", F.col("link").alias("uuid")))
     back = (
