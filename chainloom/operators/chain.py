@@ -128,13 +128,13 @@ def walk_chain(messages: DataFrame, starts: DataFrame | None = None, chunk: int
         ends = _pick_leaf(tails.filter(F.col("n_kids").isNull()), "run", "n")
     else:
         ends = tails.filter(F.coalesce(F.col("is_start"), F.lit(False))).select("conv", "run", "n")
-    reach = ends.select("conv", "run", (F.col("n") - 1).alias("far"))
+    reach = materialise(ends.select("conv", "run", (F.col("n") - 1).alias("far")), "chain-reach")
 
     # Childless runs other than the start cannot be ancestors; dropping them first also
     # removes the hot side of a parent with very many leaf children.
     inner = tails.filter(F.col("n_kids").isNotNull())
     heads = rows.filter(F.col("head") & F.col("up").isNotNull()).select("conv", "run", F.col("up").alias("uuid"))
-    able = heads.join(inner.select("conv", "run").unionByName(reach.select("conv", "run")).distinct(), ["conv", "run"], "left_semi")
+    able = heads.join(inner.select("conv", "run").unionByName(reach.select("conv", "run")), ["conv", "run"], "left_semi")
     jump = materialise(
         able.join(inner.select("conv", "uuid", F.col("run").alias("to"), F.col("n").alias("step")), ["conv", "uuid"]).select(
             "conv", "run", "to", "step"

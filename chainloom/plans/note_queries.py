@@ -9,7 +9,7 @@ from chainloom.plans.registry import query
 from chainloom.plans.views import query as sql
 from chainloom.plans.views import view
 
-_ONE = "substr(replace(content, chr(10), ' '), 1, 40)"
+_ONE = "replace(content, chr(10), ' ')"
 _DOCS = f"""SELECT tier, 'n'||CAST(note_id AS STRING) AS ref, '# title'||chr(10)||'- early'||chr(10)||'## '||note_type||chr(10)||'- '||{_ONE}||chr(10)||'plain'||chr(10)||'- second (2026-01-0'||CAST(note_id%9+1 AS STRING)||')'
   ||chr(10)||'## Other'||chr(10)||'- third'||CASE WHEN note_id%3=0 THEN chr(10)||'## '||note_type||chr(10)||'- again' ELSE '' END AS content, note_id, note_type FROM f7_notes"""
 
@@ -29,7 +29,7 @@ def parse_notes(spark, sf):
 _HEADER = "CASE note_type WHEN 'caution' THEN 'Cautions' WHEN 'edge_case' THEN CASE WHEN tier='section' THEN 'Edge cases' ELSE 'Edge Cases' END WHEN 'decision' THEN 'Decisions' WHEN 'lesson' THEN 'Lessons' WHEN 'pattern' THEN 'Patterns' ELSE 'Plans' END"
 _NOTES = f"""SELECT tier, ref, header, header_ord, seq, entry, CAST(NULL AS DATE) AS date FROM (SELECT tier, ref, {_HEADER} AS header, CASE note_type WHEN 'lesson' THEN 3 WHEN 'pattern' THEN 10 WHEN 'caution' THEN 20 WHEN 'edge_case' THEN 30 WHEN 'decision' THEN 40 ELSE 50 END AS header_ord,
   CAST(row_number() OVER (PARTITION BY tier, ref, note_type ORDER BY note_id) AS BIGINT) AS seq, 'old '||CAST(note_id AS STRING) AS entry FROM f7_notes WHERE note_id%2=0) x"""
-_NEW = "SELECT tier, ref, CASE WHEN note_id%11=0 THEN 'rumour' ELSE note_type END AS note_type, CASE WHEN note_id%13=0 THEN '  ' ELSE 'new '||CAST(note_id AS STRING) END AS text, note_id AS ord FROM f7_notes WHERE note_id%5=1"
+_NEW = "SELECT tier, ref, CASE WHEN note_id%11=0 THEN 'rumour' ELSE note_type END AS note_type, CASE WHEN note_id%13=0 THEN '  ' ELSE 'new '||CAST(note_id AS STRING) END AS text, note_id AS ord FROM f7_notes WHERE note_id%2=1"
 
 
 @query(
@@ -63,7 +63,7 @@ def global_notes(spark, sf):
 
 
 _ASK = """SELECT note_id AS id, CASE WHEN note_id%17=0 THEN 'plan' ELSE tier END AS tier, CASE WHEN note_id%19=0 THEN 'nowhere' ELSE ref END AS ref, CASE note_id%4 WHEN 0 THEN 'OLD '||CAST(note_id%90 AS STRING) WHEN 1 THEN '' WHEN 2 THEN 'no such' ELSE 'old' END AS search,
-  CASE WHEN note_id%7=0 THEN ' ' ELSE ' seen '||CAST(note_id AS STRING)||' ' END AS comment FROM f7_notes WHERE note_id%3=0"""
+  CASE WHEN note_id%7=0 THEN ' ' ELSE ' seen '||CAST(note_id AS STRING)||' ' END AS comment FROM f7_notes"""
 _PLACED = f"""o AS ({_NOTES}), a AS (SELECT * FROM ({_ASK}) q WHERE comment<>' '),
  h AS (SELECT a.id, o.header, o.seq, row_number() OVER (PARTITION BY a.id ORDER BY o.header_ord, o.seq) AS rn FROM a JOIN o ON o.tier=a.tier AND o.ref=a.ref AND search<>'' AND contains(lower(o.entry), lower(a.search))),
  p AS (SELECT a.id, a.tier, a.ref, h.header, h.seq, '  > _2026-05-01_: '||trim(comment) AS annotation FROM a JOIN h ON h.id=a.id AND rn=1
@@ -149,10 +149,10 @@ def overview_keywords(spark, sf):
 
 _OLD_PLANS = "SELECT DISTINCT 'plan-'||ref AS name, 'paused' AS status, array('base') AS sections, array('f.md') AS files FROM f7_notes WHERE note_id%2=0"
 _CHANGES = """SELECT CASE WHEN note_id%3=0 THEN 'Plan '||ref ELSE 'plan_'||keyword||CAST(note_id%4 AS STRING) END AS name, CASE WHEN note_id%5=0 THEN 'done' WHEN note_id%5=1 THEN '' END AS status,
-  CASE WHEN note_id%4=0 THEN array(note_type, tier) END AS sections, CASE WHEN note_id%7=0 THEN array('g'||CAST(note_id AS STRING)) END AS files, note_id AS ord FROM f7_notes WHERE note_id%2=1 OR note_id%4=0"""
+  CASE WHEN note_id%4=0 THEN array(note_type, tier) END AS sections, CASE WHEN note_id%7=0 THEN array('g'||CAST(note_id AS STRING)) END AS files, note_id AS ord FROM f7_notes"""
 _UPSERT = """o AS (SELECT DISTINCT 'plan-'||ref AS name, 'paused' AS status, 'base' AS sections, 'f.md' AS files FROM f7_notes WHERE note_id%2=0),
  ch AS (SELECT lower(regexp_replace(CASE WHEN note_id%3=0 THEN 'Plan '||ref ELSE 'plan_'||keyword||note_id%4 END,'[^a-zA-Z0-9-]','-','g')) AS name, CASE WHEN note_id%5=0 THEN 'done' END AS status, CASE WHEN note_id%4=0 THEN note_type||','||tier END AS sections,
-   CASE WHEN note_id%7=0 THEN 'g'||note_id END AS files, note_id, note_type, tier FROM f7_notes WHERE note_id%2=1 OR note_id%4=0),
+   CASE WHEN note_id%7=0 THEN 'g'||note_id END AS files, note_id, note_type, tier FROM f7_notes),
  l AS (SELECT name, arg_max(status, note_id) FILTER (status IS NOT NULL) AS status, arg_max(sections, note_id) FILTER (sections IS NOT NULL) AS sections, arg_max(files, note_id) FILTER (files IS NOT NULL) AS files FROM ch GROUP BY name)"""
 
 

@@ -331,7 +331,7 @@ def turn_skeleton(spark, sf):
     return rv.turn_skeletons(rv.compact_entries(rows, blocks, "turn"))
 
 
-_WORDS = "SELECT CAST(doc_id % 7 AS BIGINT) AS conv, doc_id AS pos, 'user' AS type, substr(text, 1, CAST(doc_id % 40 AS INT)) AS text FROM documents"
+_WORDS = "SELECT CAST(doc_id % 7 AS BIGINT) AS conv, doc_id AS pos, 'user' AS type, CASE doc_id % 9 WHEN 0 THEN '  ' WHEN 1 THEN ' ok ' ELSE text END AS text FROM documents"
 
 
 @query(

@@ -64,7 +64,7 @@ SELECT DISTINCT CASE p_partkey % 3
     WHEN 0 THEN replace(p_name,' ','_')||'_'||CAST(p_size AS STRING)
     WHEN 1 THEN replace(p_name,' ','_')||'x'
     ELSE 'zzqq_'||CAST(p_partkey % 50 AS STRING) END AS name
-FROM part WHERE p_partkey < 300
+FROM part
 """,
     "f7_notes": """
 SELECT doc_id AS note_id,
@@ -186,9 +186,9 @@ FROM f6_names
     "f1_spoken": """
 SELECT conv, line, uuid, parent_uuid, type, ts,
   CASE WHEN type <> 'user' THEN text
-       WHEN (conv + line*3) % 4 = 0 THEN 'Fix it: '||substr(text, 1, 60)
+       WHEN (conv + line*3) % 4 = 0 THEN 'Fix it: '||text
        WHEN (conv + line*3) % 4 = 1 THEN 'so yes, '||text
-       WHEN (conv + line*3) % 4 = 2 THEN 'remove '||substr(text, 1, 300)
+       WHEN (conv + line*3) % 4 = 2 THEN 'remove '||text
        ELSE text END AS text
 FROM f1_messages
 """,
