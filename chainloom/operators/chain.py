@@ -168,7 +168,7 @@ def walk_chain(messages: DataFrame, starts: DataFrame | None = None, chunk: int
 
 def chain_messages(messages: DataFrame, chain: DataFrame) -> DataFrame:
     """Chain rows with their message columns."""
-    return messages.join(chain.select("conv", "line", "pos"), ["conv", "line"])
+    return messages.drop("pos").join(chain.select("conv", "line", "pos"), ["conv", "line"])
 
 
 def orphans(messages: DataFrame, chain: DataFrame) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainloom.functions.text import line_count, trim_blank
 from chainloom.operators.scan import take_first
+from chainloom.operators.storage import materialise
 
 # Folders that hold no source, and the languages by file ending.  Hidden names
 # are skipped by a rule of their own.
@@ -59,19 +64,57 @@ def select_files(listing: DataFrame, ignored: DataFrame | None = None, max_files
     return take_first(rows, ["project"], [F.asc("file_ord")], max_files)
 
 
+def list_projects(spark: SparkSession, root: str) -> DataFrame:
+    """(project, path, size, modified, uri) of all files below every folder of ``root``.
+
+    The file reader of Spark passes over names that begin with '.' or '_', and packages are full
+    of those, so the folders are listed in tasks, one project each.
+    """
+    fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+    projects = [e.base_name for e in fs.get_file_info(pafs.FileSelector(base)) if e.type == pafs.FileType.Directory]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, top = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+        for batch in batches:
+            for project in batch["project"]:
+                start = f"{top.rstrip('/')}/{project}"
+                found = [e for e in files.get_file_info(pafs.FileSelector(start, recursive=True)) if e.type == pafs.FileType.File]
+                yield pd.DataFrame(
+                    {
+                        "project": project,
+                        "path": [e.path[len(start) + 1 :] for e in found],
+                        "size": [e.size for e in found],
+                        "modified": [int(e.mtime.timestamp()) for e in found],
+                        "uri": [e.path for e in found],
+                    }
+                )
+
+    folders = spark.createDataFrame([(p,) for p in projects], "project string")
+    listing = folders.repartition(max(1, len(projects)), "project").mapInPandas(
+        walk, "project string, path string, size bigint, modified bigint, uri string"
+    )
+    return listing.withColumn("modified", F.to_date(F.timestamp_seconds("modified")))
+
+
+def read_files(listing: DataFrame, root: str, column: str = "content") -> DataFrame:
+    """Add the text of each listed file; files are read in tasks, spread by path."""
+    schema = f"{', '.join(f'{n} {t}' for n, t in listing.dtypes)}, {column} string"
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files = pafs.FileSystem.from_uri(root)[0] if "://" in root else pafs.LocalFileSystem()
+        for batch in batches:
+            texts = []
+            for uri in batch["uri"]:
+                with files.open_input_stream(uri) as f:
+                    texts.append(f.read().decode("utf-8", errors="replace"))
+            yield batch.assign(**{column: texts})
+
+    return listing.repartition("project", "path").mapInPandas(read, schema)
+
+
 def scan_project(spark: SparkSession, root: str, max_files: int | None = MAX_FILES) -> DataFrame:
     """(project, path, lang, lines, size, modified, content, file_ord) of every project folder below ``root``."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    rel = F.substr("path", F.instr("path", base) + F.length(base))
-    named = found.withColumn("rel", rel).select(
-        F.substring_index("rel", "/", 1).alias("project"),
-        F.expr("substr(rel, instr(rel, '/') + 1)").alias("path"),
-        F.col("length").alias("size"),
-        F.to_date("modificationTime").alias("modified"),
-        F.col("content").alias("bytes"),
-    )
-    ignores = named.filter("path = '.gitignore'").select("project", F.decode("bytes", "UTF-8").alias("content"))
-    kept = select_files(named, ignored_dirs(ignores), max_files)
-    text = F.decode("bytes", "UTF-8")
-    return kept.withColumn("content", text).withColumn("lines", line_count(F.col("content"))).drop("bytes")
+    listing = materialise(list_projects(spark, root), "listing")
+    ignores = read_files(listing.filter("path = '.gitignore'"), root)
+    kept = read_files(select_files(listing, ignored_dirs(ignores), max_files), root)
+    return kept.drop("uri").withColumn("lines", line_count(F.col("content")))
