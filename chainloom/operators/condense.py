@@ -112,7 +112,7 @@ def result_body(blocks: DataFrame) -> Column:
 def image_form(text: Column) -> Column:
     """'uri' for a data URI, 'raw' for text that is nearly all base64 characters, else null."""
     sample = F.left(text, F.lit(4096))
-    odd = F.length(F.regexp_replace(sample, "[A-Za-z0-9+/=]", ""))
+    odd = F.length(F.regexp_replace(sample, "[A-Za-z0-9+/=]+", ""))
     return F.when(
         F.length(text) >= IMAGE_MIN,
         F.when(F.startswith(text, F.lit("data:image/")), "uri").when(odd / F.length(sample) < 0.05, "raw"),

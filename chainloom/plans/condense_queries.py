@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from chainloom.functions import markers as mk
 from chainloom.functions.text import json_quote, tokens
 from chainloom.operators import condense as cd
+from chainloom.operators.storage import materialise
 from chainloom.plans.registry import query
 from chainloom.plans.views import query as sql
 from chainloom.plans.views import view
@@ -93,6 +94,23 @@ def block_tokens(spark, sf):
     return rows.groupBy("conv", "type").agg(F.count(F.lit(1)).alias("blocks"), F.sum(tokens(F.col("t"))).alias("tokens"))
 
 
+@query(
+    "markers",
+    f"""SELECT conv, event_id, '[image elided: ~'||CAST(floor(chars*9/1024.0+0.5) AS BIGINT)||' KB base64, was Read of '||path||']' AS image,
+      '[stale read elided: '||{"(CAST(floor(floor(chars/1024.0*10+0.5)/10) AS BIGINT)||'.'||CAST(floor(chars/1024.0*10+0.5) AS BIGINT)%10)"}||' KB, '||path||', older; superseded by uuid '||left(call_uuid||'-0123456789',8)||']' AS stale,
+      '[thinking elided ~'||{"(CAST(floor(floor(chars/1024.0*10+0.5)/10) AS BIGINT)||'.'||CAST(floor(chars/1024.0*10+0.5) AS BIGINT)%10)"}||' KB; '||CASE WHEN event_id%2=0 THEN 'turn outcome: ' ELSE 'heuristic last-paragraph kept: ' END||tool||']' AS thinking FROM f3_calls_src""",
+)
+def markers(spark, sf):
+    k = view(spark, sf, "f3_calls_src")
+    return k.select(
+        "conv",
+        "event_id",
+        mk.image_marker(F.col("chars") * 9, F.col("path")).alias("image"),
+        mk.stale_read_marker(F.col("chars"), F.col("path"), F.concat("call_uuid", F.lit("-0123456789")), "older").alias("stale"),
+        mk.thinking_marker(F.col("chars"), F.col("event_id") % 2 == 0, F.col("tool"), "verbose").alias("thinking"),
+    )
+
+
 @query("section_summary", """
 WITH d AS (SELECT doc_id, CASE WHEN doc_id%2=0 THEN replace(text, '. ', chr(10)||' '||chr(10)) ELSE text END AS t FROM documents),
  s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(t, '\\n\\s*\\n', chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x)>0) AS p FROM d)
@@ -128,7 +146,8 @@ _BLOCKS = "SELECT *, max(turn_id) OVER (PARTITION BY conv) AS total_turns FROM f
 
 
 def call_blocks(spark, sf):
-    return sql(spark, sf, _BLOCKS)
+    """The block table as it would be stored: derived once, then read by every branch."""
+    return materialise(sql(spark, sf, _BLOCKS), "blocks")
 
 
 def calls(spark, sf):

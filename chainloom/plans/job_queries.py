@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyarrow import fs as pafs
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +22,8 @@ from chainloom.plans.registry import ORACLES, query
 from chainloom.plans.turn_queries import linear
 from chainloom.plans.views import query as sql
 from chainloom.plans.views import view
+from chainloom.sources import notes as nf
+from chainloom.sources import projects as pj
 from chainloom.sources import transcripts as tr
 from chainloom.streaming import jobs
 
@@ -50,6 +53,44 @@ def read_transcript_keys(spark, sf):
     return tr.read_transcript_keys(spark, _written(spark, sf)).drop("bad_ts")
 
 
+# ---- files on disk --------------------------------------------------------------------------
+
+
+def _write_files(df, root):
+    """Write ``df(path, content)`` as files below ``root``, in tasks; a repeated task writes the same file."""
+
+    def put(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                target = f"{root}/{path}"
+                disk.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with disk.open_output_stream(target) as f:
+                    f.write(content.encode())
+            yield batch[["path"]]
+
+    disk, root = pafs.FileSystem.from_uri(root)
+    df.select("path", "content").mapInPandas(put, "path string").write.format("noop").mode("overwrite").save()
+    return root
+
+
+@query("scan_project", "SELECT project, path, 'javascript' AS lang, 8 AS lines, strlen(content) AS size FROM f6_files UNION ALL SELECT project, 'pkg/__init__.py', 'python', 1, strlen(project) FROM (SELECT DISTINCT project FROM f6_files) p")
+def scan_project(spark, sf):
+    files = view(spark, sf, "f6_files")
+    hidden = files.select("project").distinct().select(F.concat("project", F.lit("/pkg/__init__.py")).alias("path"), F.col("project").alias("content"))
+    skipped = files.select(F.concat("project", F.lit("/node_modules/"), "path").alias("path"), "content")
+    root = _write_files(files.select(F.concat_ws("/", "project", "path").alias("path"), "content").unionByName(hidden).unionByName(skipped), folder(spark, "projects"))
+    return pj.scan_project(spark, root, max_files=None).select("project", "path", "lang", "lines", "size")
+
+
+@query("scan_notes", "SELECT CASE WHEN tier='sidecar' THEN 'sidecar' ELSE 'section' END AS tier, CASE WHEN tier='sidecar' THEN 'src/n'||note_id||'.py.note' ELSE tier||'/n'||note_id||'.md' END AS ref, content FROM f7_notes")
+def scan_notes(spark, sf):
+    notes = view(spark, sf, "f7_notes")
+    name = F.concat(F.lit("n"), F.col("note_id").cast("string"))
+    path = F.when(F.col("tier") == "sidecar", F.concat(F.lit("code/src/"), name, F.lit(".py.note"))).otherwise(F.concat(F.lit("docs/"), "tier", F.lit("/"), name, F.lit(".md")))
+    root = _write_files(notes.select(path.alias("path"), "content"), folder(spark, "notes"))
+    return nf.scan_notes(spark, {"section": (f"{root}/docs", "*.md"), "sidecar": (f"{root}/code", "*.note")}).drop("modified")
+
+
 # ---- caller-supplied functions --------------------------------------------------------------
 
 
