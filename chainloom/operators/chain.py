@@ -57,14 +57,16 @@ def _pick_leaf(candidates: DataFrame, *carry: str) -> DataFrame:
 
 
 def _order_keys(df: DataFrame) -> tuple[Column, Column]:
-    best = F.when(~_bad(df), F.struct(_when(df).alias("t"), (-F.col("line")).alias("l")))
-    first = F.struct(F.col("line").alias("line"), _bad(df).alias("bad"))
+    """Ordering structs of leaf rows that carry the time ``t`` and the flag ``bad``."""
+    best = F.when(~F.col("bad"), F.struct(F.col("t").alias("t"), (-F.col("line")).alias("l")))
+    first = F.struct(F.col("line").alias("line"), F.col("bad").alias("bad"))
     return best, first
 
 
 def active_leaf(messages: DataFrame) -> DataFrame:
     """(conv, uuid) of the leaf each conversation resumes from."""
     ends = leaves(messages)
+    ends = ends.select("conv", "uuid", "line", _when(ends).alias("t"), _bad(ends).alias("bad"))
     best, first = _order_keys(ends)
     return _pick_leaf(ends.select("conv", "uuid", best.alias("best"), first.alias("first")), "uuid")
 
@@ -77,39 +79,33 @@ def walk_chain(messages: DataFrame, starts: DataFrame | None = None, chunk: int
     runs on the path are then found by doubling the ancestor distance, in log2(runs on the
     path) rounds over the contracted table.  A missing parent or a revisit ends the walk.
     """
-    known = messages.filter(F.col("uuid").isNotNull())
-    best, first = _order_keys(known)
-    nodes = (
-        known.select("conv", "uuid", "line", "parent_uuid", best.alias("best"), first.alias("first"))
-        .groupBy("conv", "uuid")
-        .agg(
-            F.max("line").alias("line"),
-            F.max_by("parent_uuid", "line").alias("parent_uuid"),
-            F.max("best").alias("best"),
-            F.min("first").alias("first"),
+    known = messages.filter(F.col("uuid").isNotNull()).select(
+        "conv", "uuid", "line", "parent_uuid", _when(messages).alias("t"), _bad(messages).alias("bad")
+    )
+    # One hash aggregation gives the last line of every id and how often it is a parent.
+    none, no = F.lit(None).cast("bigint"), F.lit(False)
+    refs = known.select("conv", "uuid", F.col("line").alias("last_line"), F.lit(0).cast("bigint").alias("n_kids"), no.alias("is_start")).unionByName(
+        messages.filter(F.col("parent_uuid").isNotNull()).select(
+            "conv", F.col("parent_uuid").alias("uuid"), none.alias("last_line"), F.lit(1).cast("bigint").alias("n_kids"), no.alias("is_start")
         )
     )
-    kids = _parents(messages)
     if starts is not None:
-        marked = starts.select("conv", "uuid").distinct().withColumns(
-            {"n_kids": F.lit(2).cast("bigint"), "is_start": F.lit(True)}
+        # A given start counts as called from elsewhere, so that its run ends with it.
+        refs = refs.unionByName(
+            starts.select("conv", "uuid").distinct().select("conv", "uuid", none.alias("last_line"), F.lit(2).cast("bigint").alias("n_kids"), F.lit(True).alias("is_start"))
         )
-        kids = (
-            kids.withColumn("is_start", F.lit(False))
-            .unionByName(marked)
-            .groupBy("conv", "uuid")
-            .agg(F.sum("n_kids").alias("n_kids"), F.max("is_start").alias("is_start"))
-        )
-    w = W.partitionBy("conv", "chunk").orderBy("line")
+    refs = refs.groupBy("conv", "uuid").agg(
+        F.max("last_line").alias("last_line"), F.sum("n_kids").alias("n_kids"), F.max("is_start").alias("is_start")
+    )
+    # Of several rows with one id the last is the one that is walked; the others only count as leaves.
+    w = W.partitionBy("conv", "chunk", "last").orderBy("line")
     numbered = (
-        nodes.join(kids, ["conv", "uuid"], "left")
-        .withColumn("chunk", chunk_of("line", chunk))
+        known.join(refs, ["conv", "uuid"])
+        .withColumns({"last": F.col("line") == F.col("last_line"), "chunk": chunk_of("line", chunk)})
         .withColumns({"prev_uuid": F.lag("uuid").over(w), "prev_kids": F.lag("n_kids").over(w), "rn": F.row_number().over(w)})
         .withColumn(
             "head",
-            F.col("prev_uuid").isNull()
-            | ~F.col("parent_uuid").eqNullSafe(F.col("prev_uuid"))
-            | (F.coalesce(F.col("prev_kids"), F.lit(0)) > 1),
+            F.col("prev_uuid").isNull() | ~F.col("parent_uuid").eqNullSafe(F.col("prev_uuid")) | (F.col("prev_kids") > 1),
         )
         .withColumns(
             {
@@ -119,21 +115,31 @@ def walk_chain(messages: DataFrame, starts: DataFrame | None = None, chunk: int
             }
         )
     )
-    kept = ["conv", "uuid", "line", "run", "off", "head", "tail", "n_kids"]
-    kept += ["is_start"] if starts is not None else ["best", "first"]
-    rows = materialise(numbered.select(*kept, F.when(F.col("head"), F.col("parent_uuid")).alias("up")), "chain-rows")
+    rows = materialise(
+        numbered.select(
+            "conv", "uuid", "line", "run", "off", "head", "tail", "last", "n_kids", "is_start", "t", "bad",
+            F.when(F.col("head"), F.col("parent_uuid")).alias("up"),
+        ),
+        "chain-rows",
+    )
 
-    tails = rows.filter("tail").withColumn("n", F.col("off").cast("bigint") + 1)
+    tails = rows.filter(F.col("last") & F.col("tail")).withColumn("n", F.col("off").cast("bigint") + 1)
     if starts is None:
-        ends = _pick_leaf(tails.filter(F.col("n_kids").isNull()), "run", "n")
+        free = rows.filter(F.col("n_kids") == 0)
+        best, first = _order_keys(free)
+        picked = materialise(
+            _pick_leaf(free.withColumns({"best": best, "first": first}), "uuid", "run", "off", "last"), "chain-leaf"
+        )
+        other = picked.filter(~F.col("last")).select("conv", "uuid").join(tails.select("conv", "uuid", "run", "off"), ["conv", "uuid"])
+        ends = picked.filter("last").select("conv", "run", "off").unionByName(other.select("conv", "run", "off"))
+        reach = ends.select("conv", "run", F.col("off").cast("bigint").alias("far"))
     else:
-        ends = tails.filter(F.coalesce(F.col("is_start"), F.lit(False))).select("conv", "run", "n")
-    reach = materialise(ends.select("conv", "run", (F.col("n") - 1).alias("far")), "chain-reach")
+        reach = materialise(tails.filter("is_start").select("conv", "run", F.col("off").cast("bigint").alias("far")), "chain-reach")
 
     # Childless runs other than the start cannot be ancestors; dropping them first also
     # removes the hot side of a parent with very many leaf children.
-    inner = tails.filter(F.col("n_kids").isNotNull())
-    heads = rows.filter(F.col("head") & F.col("up").isNotNull()).select("conv", "run", F.col("up").alias("uuid"))
+    inner = tails.filter(F.col("n_kids") > 0)
+    heads = rows.filter(F.col("last") & F.col("head") & F.col("up").isNotNull()).select("conv", "run", F.col("up").alias("uuid"))
     able = heads.join(inner.select("conv", "run").unionByName(reach.select("conv", "run")), ["conv", "run"], "left_semi")
     jump = materialise(
         able.join(inner.select("conv", "uuid", F.col("run").alias("to"), F.col("n").alias("step")), ["conv", "uuid"]).select(
@@ -158,7 +164,7 @@ def walk_chain(messages: DataFrame, starts: DataFrame | None = None, chunk: int
         )
     totals = reach.groupBy("conv").agg(F.max("far").alias("deepest"))
     placed = attach(reach, totals, ["conv"], "run", chunk=chunk)
-    return rows.join(placed, ["conv", "run"]).select(
+    return rows.filter("last").join(placed, ["conv", "run"]).select(
         "conv",
         (F.col("deepest") + 1 - F.col("far") + F.col("off")).cast("bigint").alias("pos"),
         "uuid",
