@@ -43,8 +43,8 @@ COPIES = 1000
 def walk_many(spark: SparkSession, sf: str):
     """The chain walk over every branched conversation a thousand times."""
     m = view(spark, sf, "f2_messages").drop("text")
-    copies = spark.range(COPIES).select(F.col("id").alias("copy"))
-    many = m.join(F.broadcast(copies)).withColumn("conv", F.col("conv") * COPIES + F.col("copy")).drop("copy")
+    many = m.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    many = many.withColumn("conv", F.col("conv") * COPIES + F.col("copy")).drop("copy").repartition("conv")
     return walk_chain(many)
 
 

@@ -1,4 +1,7 @@
-"""Texts that stand in for condensed blocks."""
+"""Texts that stand in for condensed blocks.
+
+Fixed values: the wording of the markers, since later runs and readers recognise it.
+"""
 
 from __future__ import annotations
 

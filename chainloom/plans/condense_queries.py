@@ -343,7 +343,7 @@ def upsert_state(spark, sf):
 
 _PLANS = """SELECT conv, 'plan'||CAST(conv AS STRING)||'-'||CAST(v AS STRING) AS plan_id, CASE WHEN v=1 THEN 'v1' ELSE 'v2-two-pass' END AS schema_version, (v*conv)%7 AS mtime,
   CAST(conv AS STRING)||'-'||CAST(mx - CASE WHEN v=3 THEN 1 ELSE 0 END AS STRING) AS last_uuid, mx + CASE WHEN v=2 AND conv%2=0 THEN 2 ELSE 1 END AS chain_length
-  FROM (SELECT conv, max(line) AS mx FROM f1_messages GROUP BY conv) m CROSS JOIN (SELECT {v} AS v) w"""
+  FROM (SELECT conv, mx, {v} AS v FROM (SELECT conv, max(line) AS mx FROM f1_messages GROUP BY conv) m) w"""
 
 
 @query(

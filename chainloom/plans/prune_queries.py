@@ -15,9 +15,9 @@ from chainloom.plans.views import view
 _FILES = """
 SELECT conv, 'proj'||CAST((conv + v) % 3 AS STRING) AS project, 'proj'||CAST((conv + v) % 3 AS STRING)||'/'||CAST(conv AS STRING)||'-'||CAST(v AS STRING) AS path,
   conv*7 % 11 + (v*v) % 7 AS mtime, v
-FROM (SELECT DISTINCT conv_id AS conv FROM conversations) c CROSS JOIN (SELECT explode(sequence(0, 4)) AS v) w
+FROM (SELECT conv, explode(sequence(0, 4)) AS v FROM (SELECT DISTINCT conv_id AS conv FROM conversations) c) w
 """
-_FILES_D = _FILES.replace("(SELECT explode(sequence(0, 4)) AS v)", "(SELECT unnest([0,1,2,3,4]) AS v)")
+_FILES_D = _FILES.replace("explode(sequence(0, 4))", "unnest([0,1,2,3,4])")
 
 
 @query(
@@ -56,7 +56,7 @@ def lookup_lines(spark, sf):
 
 def _rewrite(spark, sf):
     m = view(spark, sf, "f1_messages")
-    drop = m.filter("(conv+line)%4=0").select("conv", "uuid").unionByName(m.limit(1).select("conv", F.lit("no such id").alias("uuid")))
+    drop = m.filter("(conv+line)%4=0").select("conv", "uuid").unionByName(m.select("conv", F.concat("uuid", F.lit("?")).alias("uuid")))
     repl = m.filter("(conv+line)%2=0").select("conv", "uuid", F.lit(None).cast("string").alias("parent_uuid"), F.concat(F.lit("new "), "text").alias("text"))
     ends = m.groupBy("conv").agg(F.max("line").alias("l"))
     add = ends.select("conv", (F.col("l") + 1).alias("line"), F.concat(F.col("conv").cast("string"), F.lit("-new")).alias("uuid"), F.lit("system").alias("type"), F.lit("added").alias("text"))
@@ -91,7 +91,7 @@ def append_messages(spark, sf):
     return rw.append_messages(m, rows).select("conv", "line", "uuid", "type")
 
 
-_SNAPS = "SELECT conv, line, uuid, text||' v'||CAST(v AS STRING) AS text, conv*10 + (v*3)%5 AS saved_at FROM f1_messages CROSS JOIN (SELECT {v} AS v) w WHERE conv % 4 <> 3"
+_SNAPS = "SELECT conv, line, uuid, text||' v'||CAST(v AS STRING) AS text, conv*10 + (v*3)%5 AS saved_at FROM (SELECT *, {v} AS v FROM f1_messages) w WHERE conv % 4 <> 3"
 _SNAPS_S, _SNAPS_D = _SNAPS.format(v="explode(sequence(0, 4))"), _SNAPS.format(v="unnest([0,1,2,3,4])")
 
 
