@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainloom.llm import mixing, packing
+from chainloom.llm import mixing, omh, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,8 @@ def op5(spark, sf):
 def op7(spark, sf):
     mixed = mixing.mix(_table(spark, sf, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query("op8_order_minhash")
+def op8(spark, sf):
+    return omh.near_classes(_table(spark, sf, "documents")).select("doc_id", "class_id")
