@@ -40,3 +40,28 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, Iterable]]
 def bounded_sample(ids: DataFrame, by: Column, limit: int) -> DataFrame:
     """The ``limit`` rows with the smallest hash: the same rows on every run and for any partitioning."""
     return ids.orderBy(by, *[F.col(f"`{c}`") for c in ids.columns]).limit(limit)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, train: Column, per_class: int) -> DataFrame:
+    """(doc_id, text, label, weight) of a bounded training sample, at most ``per_class`` documents of each label.
+
+    The sample holds the smallest hashes of doc_id among the labelled rows for which ``train`` holds, so it is the same on
+    every run.  ``weight`` is how many labelled rows of its class a row stands for.  At most 2 * per_class ids are broadcast.
+    """
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & train)
+    known = known.groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
+    chosen = [
+        bounded_sample(known.filter(F.col("label") == v), F.xxhash64("doc_id"), per_class).withColumn(
+            "weight", F.lit(sizes.get(v, 0) / max(1, min(per_class, sizes.get(v, 0))))
+        )
+        for v in (0, 1)
+    ]
+    ids = F.broadcast(chosen[0].unionByName(chosen[1]))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text("text").alias("text"))
+    return texts.join(ids, "doc_id").select("doc_id", "text", "label", "weight")
+
+
+def training_row(doc_id: Column, modulus: int, remainder: int) -> Column:
+    """Whether crc32 of the id as text has that remainder."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainloom.llm import mixing, omh, packing
+from chainloom.llm import mixing, omh, packing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,15 @@ def op7(spark, sf):
 @_query("op8_order_minhash")
 def op8(spark, sf):
     return omh.near_classes(_table(spark, sf, "documents")).select("doc_id", "class_id")
+
+
+@_query("op1_pairwise_quality")
+def op1(spark, sf):
+    docs = _table(spark, sf, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf, "labels")))
+
+
+@_query("op9_fair_toxicity")
+def op9(spark, sf):
+    docs = _table(spark, sf, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf, "labels")))
