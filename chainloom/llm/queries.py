@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainloom.llm import mixing, omh, packing, quality, toxicity
+from chainloom.llm import covertree, hilbert, mixing, omh, packing, pii, quality, secrets, toxicity
+from chainloom.llm.common import span_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +53,24 @@ def op1(spark, sf):
 def op9(spark, sf):
     docs = _table(spark, sf, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf, "labels")))
+
+
+@_query("op2_secret_scan")
+def op2(spark, sf):
+    return span_digest(secrets.scan(_table(spark, sf, "documents")), secrets.BASE_KINDS)
+
+
+@_query("op4_personal_data")
+def op4(spark, sf):
+    docs = _table(spark, sf, "documents")
+    return span_digest(pii.scan(docs, pii.fit(docs)), pii.KINDS)
+
+
+@_query("op3_cover_tree_topk", covertree.ORACLE)
+def op3(spark, sf):
+    return covertree.top_products(_table(spark, sf, "embeddings"))
+
+
+@_query("op6_hilbert_neighbours")
+def op6(spark, sf):
+    return hilbert.nearest(_table(spark, sf, "embeddings"))
