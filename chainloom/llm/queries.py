@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainloom.llm import covertree, hilbert, mixing, omh, packing, pii, quality, secrets, toxicity
+from chainloom.llm import covertree, hilbert, mixing, omh, packing, pii, quality, secretscan, toxicity, wrapper
 from chainloom.llm.common import span_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,7 +57,7 @@ def op9(spark, sf):
 
 @_query("op2_secret_scan")
 def op2(spark, sf):
-    return span_digest(secrets.scan(_table(spark, sf, "documents")), secrets.BASE_KINDS)
+    return span_digest(secretscan.scan(_table(spark, sf, "documents")), secretscan.BASE_KINDS)
 
 
 @_query("op4_personal_data")
@@ -74,3 +74,8 @@ def op3(spark, sf):
 @_query("op6_hilbert_neighbours")
 def op6(spark, sf):
     return hilbert.nearest(_table(spark, sf, "embeddings"))
+
+
+@_query("op10_wrapper_text")
+def op10(spark, sf):
+    return wrapper.main_text(_table(spark, sf, "pages"))
