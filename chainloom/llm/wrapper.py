@@ -39,6 +39,7 @@ HOSTS_AT_ONCE = 2000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
+    r"|<[!?/A-Za-z][^>]*\Z"
     r"|<(?P<close>/)?(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:\"[^\"<]*\"|'[^'<]*'|[^>])*)>",
     re.S,
 )
