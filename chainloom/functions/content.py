@@ -26,7 +26,10 @@ BLOCK_SCHEMA = (
 
 
 def edit_json(text: Column, fields: Mapping[str, Column]) -> Column:
-    """JSON object text with top-level fields set to JSON texts; the other fields keep order and value."""
+    """JSON object text with top-level fields set to JSON texts; the other fields keep order and value.
+
+    A field whose new text is null stays as it is.
+    """
     shown = F.from_json(text, "map<string,string>")
     typed = F.from_json(text, "map<string,variant>")
 
@@ -35,7 +38,7 @@ def edit_json(text: Column, fields: Mapping[str, Column]) -> Column:
         quoted = F.schema_of_variant(typed[key]) == "STRING"
         kept = F.when(value.isNull(), F.lit("null")).when(quoted, json_quote(value)).otherwise(value)
         for name, new in fields.items():
-            kept = F.when(key == name, new).otherwise(kept)
+            kept = F.when((key == name) & new.isNotNull(), new).otherwise(kept)
         return F.concat(json_quote(key), F.lit(":"), kept)
 
     pairs = F.transform(F.map_entries(shown), pair)
@@ -46,6 +49,23 @@ def edit_json(text: Column, fields: Mapping[str, Column]) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.concat(pairs, added), ","), F.lit("}"))
 
 
+def quoted(value: Column) -> Column:
+    """JSON text of a string column, ``null`` for null."""
+    return F.coalesce(json_quote(value), F.lit("null"))
+
+
+def json_time(value: Column, kind: str) -> Column:
+    """JSON text of a timestamp, or of epoch seconds."""
+    stamp = value if kind.startswith("timestamp") else F.timestamp_seconds(value)
+    return quoted(F.date_format(F.to_utc_timestamp(stamp, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+
+
+def json_object(fields: Mapping[str, Column]) -> Column:
+    """JSON object of JSON texts in order; fields whose text is null are left out."""
+    pairs = [F.concat(F.lit(f'"{name}":'), value) for name, value in fields.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}"))
+
+
 def content_elements(raw: Column) -> Column:
     """Array elements of message.content as texts; null when the content is not an array."""
     return F.from_json(raw, ARRAY_SCHEMA)["message"]["content"]

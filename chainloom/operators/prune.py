@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainloom.functions import content as ct
 from chainloom.functions.text import tokens
 from chainloom.operators.chain import ROOT_TYPES, next_valid_root, walk_chain
 from chainloom.operators.rewrite import append_messages, rewrite
@@ -114,9 +115,14 @@ def sandwich_prune(
     bridge: bool = True,
     remove_middle: bool = True,
     bridge_message: str | None = None,
+    backup_file: Column | None = None,
+    backup_folder: str | None = None,
     now: Column | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(messages, backup, report): keep the ends of each chain and take the middle out."""
+    """(messages, backup, report): keep the ends of each chain and take the middle out.
+
+    ``backup_file`` (of conv) and ``backup_folder`` say where the caller stores the backup; the bridge names both.
+    """
     if keep_first < 1 or keep_recent < 1:
         raise ValueError("keep_first and keep_recent must each be at least 1")
     sizes = _lengths(rows)
@@ -153,12 +159,26 @@ def sandwich_prune(
     text = F.lit(bridge_message) if bridge_message else F.concat(
         F.lit("[Pruned segment: "), F.col("middle_count").cast("string"), F.lit(" messages, "),
         F.coalesce(F.col("middle_from").cast("string"), F.lit("?")), F.lit(" → "),
-        F.coalesce(F.col("middle_to").cast("string"), F.lit("?")), F.lit(".]"),
+        F.coalesce(F.col("middle_to").cast("string"), F.lit("?")),
+        *([F.lit(". Backup file: "), backup_file, F.lit(f". Located at: {backup_folder} (path may have moved).]")] if backup_file is not None else [F.lit(".]")]),
     )
     added = None
     if bridge:
         ends = messages.groupBy("conv").agg(F.max("line").alias("last_line"), F.max("ts").alias("last_ts"))
-        added = linked.join(ends, "conv").select(
+        copied = [c for c in ("cwd", "session_id", "git_branch", "version") if c in messages.columns]
+        early_row = messages.select("conv", F.col("uuid").alias("early_uuid"), *copied)
+        kind = messages.schema["ts"].dataType.simpleString()
+        span = ct.json_object(
+            {
+                "firstChainIdx": F.lit(str(keep_first + 1)), "lastChainIdx": (F.col("recent_pos") - 1).cast("string"), "count": F.col("middle_count").cast("string"),
+                "firstTimestamp": ct.json_time(F.col("middle_from"), kind), "lastTimestamp": ct.json_time(F.col("middle_to"), kind),
+            }
+        )
+        marks = {"_sandwichPruneBridge": F.lit("true"), "_orphanedRange": span}
+        if backup_file is not None:
+            marks |= {"_backupFile": ct.quoted(backup_file), "_backupPath": ct.quoted(F.concat(F.lit(f"{backup_folder}/"), backup_file))}
+        fields = F.create_map(*[x for k, v in marks.items() for x in (F.lit(k), v)])
+        added = linked.join(ends, "conv").join(early_row, ["conv", "early_uuid"]).select(
             "conv",
             (F.col("last_line") + 1).alias("line"),
             F.col("bridge_uuid").alias("uuid"),
@@ -166,6 +186,8 @@ def sandwich_prune(
             F.lit("system").alias("type"),
             (now if now is not None else F.col("last_ts")).alias("ts"),
             text.alias("text"),
+            *copied,
+            *([fields.alias("fields")] if "raw" in messages.columns else []),
         )
     drop = inside.select("conv", "uuid") if remove_middle else None
     out, _ = rewrite(messages, drop=drop, replace=relink, append=added)
@@ -350,11 +372,12 @@ def inject_root(messages: DataFrame, rows: DataFrame, content: str, now: Column
     )
     snapshot = base.select(
         "conv", (F.col("last_line") + 1).alias("line"), F.lit(None).cast("string").alias("uuid"),
-        F.lit("file-history-snapshot").alias("type"), F.col("root_uuid").alias("message_id"),
+        F.lit("file-history-snapshot").alias("type"), F.col("root_uuid").alias("message_id"), "ts",
     )
+    more = F.create_map(F.lit("todos"), F.lit("[]"), F.lit("permissionMode"), F.lit('"default"'))
     root = base.select(
         "conv", (F.col("last_line") + 2).alias("line"), F.col("root_uuid").alias("uuid"), F.lit("user").alias("type"),
-        F.lit(content).alias("text"), "ts", *copied,
+        F.lit(content).alias("text"), "ts", *copied, more.alias("fields"),
     )
     added = snapshot.unionByName(root, allowMissingColumns=True)
     return append_messages(messages, added), base.select("conv", F.col("root_uuid").alias("uuid"))

@@ -1,14 +1,17 @@
 """Rewriting transcripts as tables: drop, replace, append, snapshots, restore, run log.
 
 Rows are matched by ``(conv, uuid)``, which is unique on the change side; rows without uuid
-(unreadable or snapshot lines) always stay.
+(unreadable or snapshot lines) always stay.  Messages that carry their JSON line in ``raw`` get
+it rewritten along with the columns, every other field as it was, and added rows get a line of
+their own, so that what is written is what the tables say.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainloom.functions import content as ct
 from chainloom.operators.scan import attach, scan, take_first
 
 KEEP_SNAPSHOTS = 3
@@ -48,6 +51,8 @@ def rewrite(
         F.count_if(replaced & ~dropped).alias("replaced"),
     )
     overwritten = {c: F.when(replaced, F.col(f"__new_{c}")).otherwise(F.col(c) if c in messages.columns else F.lit(None)) for c in new}
+    if "raw" in messages.columns and "raw" not in new:
+        overwritten["raw"] = F.when(replaced & F.col("raw").isNotNull(), changed_line(new, messages.columns)).otherwise(F.col("raw"))
     out = flagged.filter(~dropped).withColumns(overwritten).drop("__drop", "__new", *[f"__new_{c}" for c in new])
     out = out.select(*messages.columns, *[c for c in new if c not in messages.columns])
     if append is None:
@@ -57,8 +62,69 @@ def rewrite(
     return append_messages(out, append), stats
 
 
+def changed_line(new: list[str], old: list[str]) -> Column:
+    """The line of a replaced row: its parent, its message if the text changed, and the marks of a distilled row."""
+    fields: dict[str, Column] = {}
+    if "parent_uuid" in new:
+        fields["parentUuid"] = ct.quoted(F.col("__new_parent_uuid"))
+    distilled = F.coalesce(F.col("__new_archive_distilled"), F.lit(False)) if "archive_distilled" in new else F.lit(False)
+    if "text" in new:
+        text = ct.quoted(F.coalesce("__new_text", F.lit("")))
+        listed = F.concat(F.lit('[{"type":"text","text":'), text, F.lit("}]"))
+        as_list = F.col("__new_shape").eqNullSafe("array") if "shape" in new else F.lit(False)
+        body = F.when(as_list, listed).otherwise(text)
+        message = F.get_json_object("raw", "$.message")
+        kind = F.coalesce(F.get_json_object("raw", "$.message.role"), F.get_json_object("raw", "$.type"), F.lit("user"))
+        role = F.when(kind.isin("assistant", "system"), kind).otherwise(F.lit("user"))
+        short = ct.json_object({"role": ct.quoted(role), "content": body})  # nothing else of the message remains
+        kept = F.when(message.isNull(), short).otherwise(ct.edit_json(message, {"content": body}))
+        moved = ~F.col("__new_text").eqNullSafe(F.col("text")) if "text" in old else F.lit(True)
+        fields["message"] = F.when(distilled, short).when(moved, kept)
+    if "archive_distilled" in new:
+        fields["_archiveDistilled"] = F.when(distilled, F.lit("true"))
+        at = F.col("__new_archived_at") if "archived_at" in new else F.current_timestamp()
+        fields["_archiveDistilledAt"] = F.when(distilled, ct.json_time(at, "timestamp"))
+    return ct.edit_json(F.col("raw"), fields) if fields else F.col("raw")
+
+
+# What every added line carries, in the format's order.
+_ADDED = {"isSidechain": "false", "userType": '"external"'}
+
+
+def new_line(rows: DataFrame) -> Column:
+    """The JSON line of an added row, from the columns it has.  ``fields`` holds further JSON texts by name."""
+    has = set(rows.columns)
+
+    def text(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), ct.json_quote(F.col(c))) if c in has else F.lit(None).cast("string")
+
+    time = ct.json_time(F.col("ts"), rows.schema["ts"].dataType.simpleString()) if "ts" in has else F.lit("null")
+    kind, body = F.coalesce(F.col("type"), F.lit("user")), F.coalesce(text("text"), F.lit('""'))
+    message = ct.json_object({"role": ct.quoted(kind), "content": body})
+    line = ct.json_object(
+        {
+            "parentUuid": F.coalesce(text("parent_uuid"), F.lit("null")),
+            **{k: F.lit(v) for k, v in _ADDED.items()},
+            "cwd": text("cwd"), "sessionId": text("session_id"), "version": text("version"), "gitBranch": text("git_branch"),
+            "type": ct.quoted(kind), "message": message, "content": F.when(kind == "system", body),
+            "uuid": text("uuid"), "timestamp": time,
+        }
+    )
+    inner = ct.json_object({"messageId": text("message_id"), "trackedFileBackups": F.lit("{}"), "timestamp": time})
+    snapshot = ct.json_object(
+        {"type": ct.quoted(kind), "messageId": text("message_id"), "snapshot": inner, "isSnapshotUpdate": F.lit("false")}
+    )
+    line = F.when(kind == "file-history-snapshot", snapshot).otherwise(line)
+    if "fields" not in has:
+        return line
+    more = F.array_join(F.transform(F.map_entries("fields"), lambda e: F.concat(ct.json_quote(e["key"]), F.lit(":"), e["value"])), ",")
+    return F.when(F.length(more) > 0, F.concat(F.left(line, F.length(line) - 1), F.lit(","), more, F.lit("}"))).otherwise(line)
+
+
 def append_messages(messages: DataFrame, rows: DataFrame) -> DataFrame:
-    return messages.unionByName(rows, allowMissingColumns=True)
+    if "raw" in messages.columns and "raw" not in rows.columns:
+        rows = rows.withColumn("raw", new_line(rows))
+    return messages.unionByName(rows.drop("fields"), allowMissingColumns=True)
 
 
 def latest_version(files: DataFrame, project: str | None = None) -> DataFrame:

@@ -47,6 +47,7 @@ EXPORT_LIST = r"^\s*export\s*\{([^}]*)\}"
 EXPORT_DEFAULT = rf"^\s*export\s+default\s+(?!(?:async|function|class|abstract)\b){ID}\s*;?\s*$"
 EXPORT_MEMBER = r"^(?:module\.)?exports\.(\w+)\s*="
 EXPORT_BULK = r"^module\.exports\s*=\s*\{([^}]+)\}"
+# The patterns of routes, titles and scripts.
 ROUTE = r"(?:router|app)\.(get|post|put|delete|patch)\s*\(\s*['\"`]([^'\"`]+)['\"`]"
 MOUNT = r"app\.use\s*\(\s*['\"`](/api[^'\"`]*)['\"`]"
 

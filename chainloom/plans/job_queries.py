@@ -11,12 +11,19 @@ from pyarrow import fs as pafs
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chainloom.functions import content as ct
+from chainloom.operators import archive as ar
+from chainloom.operators import chain as ch
 from chainloom.operators import condense as cd
 from chainloom.operators import model as md
+from chainloom.operators import prune as pr
 from chainloom.operators import reveal as rv
+from chainloom.operators import rewrite as rw
 from chainloom.operators import symbols as sy
 from chainloom.operators.storage import checkpoint_root, materialise
+from chainloom.plans import archive_queries as aq
 from chainloom.plans import condense_queries as cq
+from chainloom.plans import prune_queries as pq
 from chainloom.plans import symbol_queries as sq
 from chainloom.plans.registry import ORACLES, query
 from chainloom.plans.turn_queries import linear
@@ -53,6 +60,102 @@ def read_transcript_keys(spark, sf):
     return tr.read_transcript_keys(spark, _written(spark, sf)).drop("bad_ts")
 
 
+# ---- changed transcripts: written, read again and compared --------------------------------------
+
+
+def _stored(spark, sf, name="f2_messages", bad="conv % 3 = 0"):
+    """Messages of a view after one trip through JSONL, with fields the engine does not know and unreadable lines."""
+    m = view(spark, sf, name)
+    message = ct.json_object({"role": ct.quoted(F.col("type")), "content": ct.quoted(F.col("text")), "model": F.lit('"m 1"')})
+    raw = ct.json_object(
+        {
+            "uuid": ct.quoted(F.col("uuid")), "parentUuid": ct.quoted(F.col("parent_uuid")), "type": ct.quoted(F.col("type")), "x": F.lit('{"n":1.50,"l":[]}'),
+            "timestamp": ct.json_time(F.col("ts"), "bigint"), "message": message, "isSidechain": F.lit("false"),
+        }
+    )
+    lines = m.select("conv", "line", raw.alias("raw"))
+    ends = m.filter(bad).groupBy("conv").agg((F.max("line") + 1).alias("line"))
+    return _trip(spark, lines.unionByName(ends.withColumn("raw", F.lit('{"uuid":"broken'))))
+
+
+def _trip(spark, messages):
+    path = folder(spark, "transcripts")
+    tr.write_transcripts(messages, path)
+    return tr.read_transcripts(spark, path)
+
+
+def _walked(spark, messages, *more):
+    """The chain of rewritten messages after a trip through files, with the number of unreadable lines."""
+    again = _trip(spark, messages)
+    bad = again.groupBy("conv").agg(F.count_if("is_corrupt").alias("bad"))
+    rows = ch.chain_messages(again, ch.walk_chain(again))
+    return rows.join(bad, "conv").select("conv", "pos", "uuid", "text", "bad", *more)
+
+
+def _chained(spark, sf):
+    m = materialise(_stored(spark, sf), "stored")
+    return m, ch.chain_messages(m, ch.walk_chain(m))
+
+
+_BAD = "CASE WHEN c.conv % 3 = 0 THEN 1 ELSE 0 END AS bad"
+
+
+@query("written_prune", f"WITH {pq._PERCENT} SELECT CAST(c.conv AS VARCHAR) AS conv, c.pos - coalesce(p.root_pos, 1) + 1 AS pos, c.uuid, c.text, {_BAD} FROM c JOIN p ON p.conv = c.conv WHERE c.pos >= coalesce(p.root_pos, 1)")
+def written_prune(spark, sf):
+    return _walked(spark, pr.prune_oldest_percent(*_chained(spark, sf), 40)[0])
+
+
+@query(
+    "written_sandwich",
+    f"""WITH {pq._SANDWICH}, u AS (SELECT c.conv, CASE WHEN verdict='pruned' AND c.pos >= recent THEN c.pos - s.k + 1 ELSE c.pos END AS pos, c.uuid, c.text, CAST(NULL AS VARCHAR) AS backup
+          FROM c JOIN p ON p.conv=c.conv LEFT JOIN s ON s.conv=c.conv WHERE c.uuid NOT IN (SELECT uuid FROM mid)
+        UNION ALL SELECT g.conv, 2, bid, '[Pruned segment: '||s.k||' messages, '||make_timestamp(s.a*1000000)||' → '||make_timestamp(s.b*1000000)||'. Backup file: b'||g.conv||'.jsonl. Located at: /kept (path may have moved).]', '/kept/b'||g.conv||'.jsonl' FROM g JOIN s ON s.conv=g.conv)
+        SELECT CAST(c.conv AS VARCHAR) AS conv, pos, uuid, text, {_BAD}, backup FROM u c""",
+)
+def written_sandwich(spark, sf):
+    m, rows = _chained(spark, sf)
+    name = F.concat(F.lit("b"), F.col("conv"), F.lit(".jsonl"))
+    out = pr.sandwich_prune(m, rows, 1, 2, backup_file=name, backup_folder="/kept")[0]
+    return _walked(spark, out, F.get_json_object("raw", "$._backupPath").alias("backup"))
+
+
+@query(
+    "written_inject",
+    f"""WITH {pq._ROOT.replace("max(line) AS l", "max(line) + CASE WHEN conv%3=0 THEN 1 ELSE 0 END AS l")} SELECT CAST(c.conv AS VARCHAR) AS conv, 1 AS pos, id AS uuid, 'carry on' AS text, {_BAD}, 'main' AS git_branch, '2.1.50' AS version, ''||conv AS session_id FROM n c""",
+)
+def written_inject(spark, sf):
+    return _walked(spark, pr.inject_root(*_chained(spark, sf), "carry on", F.lit("2030-01-01").cast("timestamp"))[0], "git_branch", "version", "session_id")
+
+
+@query(
+    "written_plan",
+    f"""WITH {aq._APPLY} SELECT CAST(l.conv AS VARCHAR) AS conv, l.line, l.uuid, CASE WHEN w.code IS NULL AND pg AND coalesce(act,'')<>'drop' THEN np ELSE l.parent_uuid END AS parent_uuid,
+          CASE WHEN w.code IS NULL AND act='distill' THEN nt ELSE text END AS text, CASE WHEN w.code IS NULL AND act='distill' THEN 'true' END AS distilled, '1.5' AS n FROM l LEFT JOIN w ON w.conv=l.conv""",
+)
+def written_plan(spark, sf):
+    m = materialise(_stored(spark, sf, "f1_messages", "false"), "stored")
+    as_text = F.col("conv").cast("string")
+    rows, entries, tools = (t.withColumn("conv", as_text) for t in (aq.turned(spark, sf), aq.entries(spark, sf)[0], sql(spark, sf, aq._TOOLS)))
+    again = _trip(spark, ar.apply_plan(m, rows, entries, tools)[0])
+    return again.select("conv", "line", "uuid", "parent_uuid", "text", F.get_json_object("raw", "$._archiveDistilled").alias("distilled"), F.get_json_object("raw", "$.x.n").alias("n"))
+
+
+@query(
+    "written_condense",
+    f"""SELECT CAST(conv AS VARCHAR) AS conv, line, uuid, CASE {cq._KIND} WHEN 5 THEN 'gone '||uuid WHEN 3 THEN 'thought'||chr(10)||'{{"z":1.5,"command":"ls"}}' ELSE {cq._TEXT} END AS text,
+          CASE {cq._KIND} WHEN 5 THEN 'reads' WHEN 3 THEN 'thinking' END AS source FROM f1_messages""",
+)
+def written_condense(spark, sf):
+    m = materialise(_trip(spark, cq.raw_lines(spark, sf)), "stored")
+    kind = (F.col("conv").cast("long") + F.col("line")) % 6
+    change = m.filter(kind.isin(3, 5)).select(
+        "conv", "uuid", F.lit(0).alias("block_idx"), F.when(kind == 5, "reads").otherwise("thinking").alias("mode"),
+        F.when(kind == 5, F.concat(F.lit("gone "), "uuid")).otherwise(F.lit("thought")).alias("new_value"),
+    )
+    again = _trip(spark, rw.rewrite(m, replace=cd.apply_to_raw(m, change))[0])
+    return again.select("conv", "line", "uuid", "text", F.get_json_object("raw", "$._condenseSource").alias("source"))
+
+
 # ---- files on disk --------------------------------------------------------------------------
 
 

@@ -167,6 +167,16 @@ def prune_before_message(spark, sf):
     return pr.prune_before_message(*_pair(spark, sf), 4)[1]
 
 
+@query("prune_before_message_rows", f"WITH {_NUMBER} {_OUT}")
+def prune_before_message_rows(spark, sf):
+    return _slim(pr.prune_before_message(*_pair(spark, sf), 4)[0])
+
+
+@query("prune_after_phrase_rows", f"WITH {_PHRASE} {_OUT}")
+def prune_after_phrase_rows(spark, sf):
+    return _slim(pr.prune_after_phrase(*_pair(spark, sf), "The ON")[0])
+
+
 @query("prune_after_phrase", f"WITH {_PHRASE} {_REPORT.format(why='phrase_not_found')}")
 def prune_after_phrase(spark, sf):
     return pr.prune_after_phrase(*_pair(spark, sf), "The ON")[1]

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 
 from chainloom.functions import content as ct
 from chainloom.functions.text import BLANK
+from chainloom.operators.rewrite import latest_version
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, project: str | None = None) -> DataFrame:
     """(conv, line, raw, path, mtime): every non-blank line with its ordinal in the conversation.
 
     ``conv`` is the file name, or the ``conv=`` folder name when the transcript was written in
-    parts.  Files are split as usual; the ordinal is the place inside the split plus the rows of
-    the splits before it, so no file has to fit into one task.
+    parts.  Of several copies of a conversation one is read: the one in the folder ``project``,
+    else the newest.  Files are split as usual; the ordinal is the place inside the split plus the
+    rows of the splits before it, so no file has to fit into one task.
     """
     at = "_metadata.file_path"
     folder = F.regexp_extract(at, r"/conv=([^/]+)/[^/]*$", 1)
@@ -32,6 +34,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         )
     )
     split = ["conv", "path", "start"]
+    # A copy is a file, or a folder of part files; the choice needs one row for each file.
+    whole = F.coalesce(F.nullif(F.regexp_extract("path", r"^(.*/conv=[^/]+)/[^/]*$", 1), F.lit("")), F.col("path"))
+    copies = lines.groupBy("conv", whole.alias("path")).agg(F.max("mtime").alias("mtime"))
+    copies = copies.withColumn("project", F.element_at(F.split("path", "/"), -2))
+    chosen = latest_version(copies, project).select(F.col("conv").alias("_conv"), F.col("path").alias("_whole"))
+    lines = lines.join(chosen, (F.col("conv") == F.col("_conv")) & (whole == F.col("_whole"))).drop("_conv", "_whole")
     before = W.partitionBy("conv").orderBy("path", "start").rowsBetween(W.unboundedPreceding, -1)
     offsets = lines.groupBy(*split).agg(F.count(F.lit(1)).alias("n")).select(*split, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     here = F.row_number().over(W.partitionBy(*split).orderBy("seq"))
@@ -78,13 +86,13 @@ def normalise(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    return normalise(read_lines(spark, path))
+def read_transcripts(spark: SparkSession, path: str, project: str | None = None) -> DataFrame:
+    return normalise(read_lines(spark, path, project))
 
 
-def read_transcript_keys(spark: SparkSession, path: str) -> DataFrame:
+def read_transcript_keys(spark: SparkSession, path: str, project: str | None = None) -> DataFrame:
     """Only the tree columns, one streaming pass per line; snapshot lines without uuid are skipped."""
-    lines = read_lines(spark, path)
+    lines = read_lines(spark, path, project)
     keys = lines.select(
         "conv", "line", F.json_tuple("raw", "uuid", "parentUuid", "type", "timestamp").alias("uuid", "parent_uuid", "type", "timestamp")
     )
@@ -101,13 +109,13 @@ def explode_blocks(messages: DataFrame) -> DataFrame:
 
 
 def write_transcripts(messages: DataFrame, path: str) -> None:
-    """``raw`` lines in order, one folder per conversation.
+    """``raw`` lines in order, one folder per conversation; a row without its line stops the job.
 
     Rows are range-partitioned on (conv, line): a very long conversation becomes several
     ordered part files instead of one task.
     """
     (
-        messages.select("conv", "line", F.col("raw").alias("value"))
+        messages.select("conv", "line", F.coalesce("raw", F.raise_error(F.lit("a message has no line text in raw"))).alias("value"))
         .repartitionByRange("conv", "line")
         .sortWithinPartitions("conv", "line")
         .select("value", "conv")
