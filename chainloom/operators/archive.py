@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.functions.text import json_quote
@@ -145,16 +145,36 @@ def plan_guards(links: DataFrame, entries: DataFrame, blocks: DataFrame | None =
     return roots.unionByName(distilled.join(tools, ["conv", "uuid"]).select("conv", "uuid", F.concat(F.lit("distills_"), "kind").alias("code")))
 
 
+def _entry_text() -> Column:
+    pairs = [("action", "action"), ("distillation", "distillation"), ("reason", "reason"), ("uuid", "uuid")]
+    fields = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f'"{k}":'), json_quote(F.col(c)))) for k, c in pairs]
+    return F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+
+
+def canonical_checksum(plans: DataFrame, entries: DataFrame) -> DataFrame:
+    """(plan_id, checksum) of the plan as one JSON text with sorted keys: what stored plans carry.
+
+    ``plans`` also has ``path``.  The text of a plan is one value; ``plan_checksum`` has no such limit.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("ord", _entry_text().alias("text"))))
+    body = entries.groupBy("plan_id").agg(F.array_join(F.transform(listed, lambda e: e["text"]), ",").alias("body"))
+    fields = (
+        ("entries", F.concat(F.lit("["), F.coalesce("body", F.lit("")), F.lit("]"))),
+        ("jsonlBytes", F.col("bytes").cast("string")),
+        ("jsonlMessages", F.col("chain_length").cast("string")),
+        *((k, json_quote(F.col(c))) for k, c in (("jsonlPath", "path"), ("lastMessageUuid", "last_uuid"), ("planId", "plan_id"))),
+    )
+    text = F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), F.coalesce(v, F.lit("null"))) for k, v in fields])
+    return plans.join(body, "plan_id", "left").select("plan_id", F.sha2(F.concat(F.lit("{"), text, F.lit("}")), 256).alias("checksum"))
+
+
 def plan_checksum(plans: DataFrame, entries: DataFrame) -> DataFrame:
     """(plan_id, checksum) over the core fields in key order.
 
     Entries (with their ordinal ``ord``) are hashed in blocks and the block digests hashed
     again, so a plan of any length never becomes one string.
     """
-    pairs = [("action", "action"), ("distillation", "distillation"), ("reason", "reason"), ("uuid", "uuid")]
-    fields = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f'"{k}":'), json_quote(F.col(c)))) for k, c in pairs]
-    one = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
-    piece = entries.select("plan_id", "ord", F.floor(F.col("ord") / DIGEST_ROWS).alias("block"), one.alias("one"))
+    piece = entries.select("plan_id", "ord", F.floor(F.col("ord") / DIGEST_ROWS).alias("block"), _entry_text().alias("one"))
 
     def digest(order: str, value: str):
         rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))

@@ -109,9 +109,12 @@ def result_body(blocks: DataFrame) -> Column:
     return F.coalesce(*parts, F.lit(""))
 
 
-def image_form(text: Column) -> Column:
-    """'uri' for a data URI, 'raw' for text that is nearly all base64 characters, else null."""
-    sample = F.left(text, F.lit(4096))
+def image_form(text: Column, sample_chars: int | None = None) -> Column:
+    """'uri' for a data URI, 'raw' for text that is nearly all base64 characters, else null.
+
+    All of the text is looked at, or its first ``sample_chars`` characters.
+    """
+    sample = text if sample_chars is None else F.left(text, F.lit(sample_chars))
     odd = F.length(F.regexp_replace(sample, "[A-Za-z0-9+/=]+", ""))
     return F.when(
         F.length(text) >= IMAGE_MIN,

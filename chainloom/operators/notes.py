@@ -19,7 +19,7 @@ HEADERS = {
     "caution": "Cautions", "edge_case": "Edge Cases", "decision": "Decisions", "lesson": "Lessons", "pattern": "Patterns", "plan": "Plans",
 }
 SNIPPET_BEFORE, SNIPPET_AFTER = 50, 100
-LISTED_SIDECARS, OVERVIEW_SIDECARS = 30, 20
+GRAM = 4
 DOC = ["tier", "ref"]
 
 
@@ -92,6 +92,49 @@ def global_notes(new: DataFrame, date: str) -> DataFrame:
     return docs.groupBy(*DOC).agg(F.max_by("content", "ord").alias("content"))
 
 
+def _first_entries(notes: DataFrame, needles: DataFrame) -> DataFrame:
+    """(tier, ref, needle, at): the first entry of the document that contains each search text.
+
+    Texts of GRAM letters and more are looked up by their last GRAM letters, so an entry meets only the texts that end in
+    letters it has; there are few shorter texts, and each is compared with the entries of its document.
+    """
+    lowered = notes.select(*DOC, "header", "header_ord", "seq", F.lower("entry").alias("low"))
+    places = F.sequence(F.lit(1), F.greatest(F.length("low") - GRAM + 1, F.lit(1)))
+    grams = lowered.withColumn("gram", F.explode(F.array_distinct(F.transform(places, lambda i: F.substr("low", i, F.lit(GRAM))))))
+    long = needles.filter(F.length("needle") >= GRAM).withColumn("gram", F.right("needle", F.lit(GRAM)))
+    found = grams.join(long, [*DOC, "gram"]).drop("gram")
+    short = attach(lowered, needles.filter(F.length("needle") < GRAM), DOC, "seq")
+    found = found.unionByName(short).filter(F.contains("low", F.col("needle")))
+    return found.groupBy(*DOC, "needle").agg(F.min(F.struct("header_ord", "seq", "header")).alias("at"))
+
+
+def render_notes(notes: DataFrame, titles: DataFrame | None = None, annotations: DataFrame | None = None) -> DataFrame:
+    """(tier, ref, content): the documents as markdown that ``parse_notes`` reads again.
+
+    ``titles(tier, ref, title)`` names the documents; ``annotations`` are rows of ``annotate_notes``: each comment follows
+    its entry, those without a place end the document.
+    """
+    line = notes.select(*DOC, "header", "header_ord", "seq", F.lit(0).alias("turn"), F.concat(F.lit("- "), "entry").alias("text"))
+    if annotations is not None:
+        at = notes.select(*DOC, "header", "seq", "header_ord")
+        under = annotations.join(at, [*DOC, "header", "seq"]).select(*DOC, "header", "header_ord", "seq", F.col("id").alias("turn"), F.col("annotation").alias("text"))
+        line = line.unionByName(under.withColumn("turn", F.col("turn") + 1))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "turn", "text"))), lambda r: r["text"]), "\n")
+    parts = line.groupBy(*DOC, "header", "header_ord").agg(body.alias("body"))
+    parts = parts.withColumn("part", F.concat(F.lit("\n## "), "header", F.lit("\n"), "body", F.lit("\n")))
+    ordered = F.array_sort(F.collect_list(F.struct("header_ord", "header", "part")))
+    docs = parts.groupBy(*DOC).agg(F.array_join(F.transform(ordered, lambda p: p["part"]), "").alias("parts"))
+    if titles is not None:
+        docs = docs.join(titles.select(*DOC, "title"), DOC, "left")
+    name = F.coalesce(F.col("title"), F.col("ref")) if titles is not None else F.col("ref")
+    content = F.concat(F.lit("# "), name, F.lit("\n"), "parts")
+    if annotations is not None:
+        loose = annotations.filter("header IS NULL").groupBy(*DOC).agg(F.array_sort(F.collect_list("annotation")).alias("loose"))
+        docs = docs.join(loose, DOC, "left")
+        content = F.concat(content, F.coalesce(F.concat(F.array_join("loose", "\n"), F.lit("\n")), F.lit("")))
+    return docs.select(*DOC, content.alias("content"))
+
+
 def annotate_notes(notes: DataFrame, annotations: DataFrame, date: str) -> tuple[DataFrame, DataFrame]:
     """(placed, unmatched) for ``annotations(id, tier, ref, search, comment)``.
 
@@ -101,13 +144,9 @@ def annotate_notes(notes: DataFrame, annotations: DataFrame, date: str) -> tuple
     comment = F.concat(F.lit(f"  > _{date}_: "), trim_blank(F.col("comment")))
     asked = annotations.filter(~is_blank(F.coalesce("comment", F.lit("")))).withColumn("annotation", comment)
     searching = asked.filter(F.length("search") > 0)
-    hits = (
-        attach(notes.select(*DOC, "header", "header_ord", "seq", "entry"), searching.select("id", *DOC, F.lower("search").alias("needle")), DOC, "header_ord")
-        .filter(F.contains(F.lower("entry"), F.col("needle")))
-        .groupBy("id")
-        .agg(F.min(F.struct("header_ord", "seq", "header")).alias("at"))
-    )
-    joined = searching.join(hits, "id", "left")
+    searching = searching.withColumn("needle", F.lower("search"))
+    hits = _first_entries(notes, searching.select(*DOC, "needle").distinct())
+    joined = searching.join(hits, [*DOC, "needle"], "left")
     placed = joined.filter("at IS NOT NULL").select("id", *DOC, F.col("at.header").alias("header"), F.col("at.seq").alias("seq"), "annotation")
     known = notes.select(*DOC).distinct()
     tail = asked.filter(F.coalesce(F.length("search"), F.lit(0)) == 0)
@@ -154,8 +193,8 @@ def search_notes(docs: DataFrame, index: DataFrame, keywords: Sequence[str]) ->
     return found.unionByName(listed)
 
 
-def list_notes(docs: DataFrame, plans: DataFrame, only: str | None = None, sidecars: int = LISTED_SIDECARS) -> DataFrame:
-    """(tier, name, size_kb, modified, status, total): listing per tier; sidecars show their first rows."""
+def list_notes(docs: DataFrame, plans: DataFrame, only: str | None = None, sidecars: int | None = None) -> DataFrame:
+    """(tier, name, size_kb, modified, status, total): listing per tier; of the sidecars the first ``sidecars``, if given."""
     rows = docs if only is None else docs.filter(F.startswith("tier", F.lit(only)))
     sized = rows.select("tier", "ref", F.octet_length("content").alias("bytes"), "modified")
     first = take_first(sized.filter("tier = 'sidecar'"), ["tier"], [F.asc("ref")], sidecars)
@@ -174,7 +213,7 @@ def list_notes(docs: DataFrame, plans: DataFrame, only: str | None = None, sidec
     )
 
 
-def notes_overview(docs: DataFrame, section_files: DataFrame, section_plans: DataFrame, plans: DataFrame, index: DataFrame, sidecars: int = OVERVIEW_SIDECARS) -> dict[str, DataFrame]:
+def notes_overview(docs: DataFrame, section_files: DataFrame, section_plans: DataFrame, plans: DataFrame, index: DataFrame, sidecars: int | None = None) -> dict[str, DataFrame]:
     """Tables of an overview: sections, plans, keywords, sidecars."""
     files = section_files.distinct().groupBy("section").agg(F.count(F.lit(1)).alias("files"))
     linked = section_plans.select("section", "plan").distinct().groupBy("section").agg(F.count(F.lit(1)).alias("plans"))

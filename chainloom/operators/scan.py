@@ -127,8 +127,10 @@ def attach(
     return big.join(spread, [*keys, _C], how).drop(_C)
 
 
-def take_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "__rn") -> DataFrame:
-    """First ``n`` rows per key; Spark trims each map partition to ``n`` before the shuffle."""
+def take_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | None, rank: str = "__rn") -> DataFrame:
+    """First ``n`` rows per key, all for None; Spark trims each map partition to ``n`` before the shuffle."""
+    if n is None and rank == "__rn":
+        return df
     ranked = df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    kept = ranked.filter(F.col(rank) <= n)
+    kept = ranked if n is None else ranked.filter(F.col(rank) <= n)
     return kept.drop(rank) if rank == "__rn" else kept

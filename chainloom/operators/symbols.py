@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainloom.operators.storage import materialise
 from chainloom.functions.text import line_count, trim_blank
 
 # Registry categories in their order of precedence.
@@ -250,13 +251,13 @@ def _probe_keys(queries: DataFrame) -> DataFrame:
     return keyed.filter("place >= 0").distinct()
 
 
-def _index_keys(names: DataFrame, longest: int) -> DataFrame:
-    """Every piece of one to ``longest`` characters of a registry name; short names also the empty piece.
+def _index_keys(names: DataFrame, shortest: Column, longest: Column) -> DataFrame:
+    """Every piece of ``shortest`` to ``longest`` characters of a registry name; short names also the empty piece.
 
-    A probe piece has at most ceil(n / (k + 1)) characters, which four always cover.
+    A probe piece has floor(n / (k + 1)) characters or one more.
     """
     n = F.length("lowered")
-    sized = names.withColumn("len", n).withColumn("size", F.explode(F.sequence(F.lit(0), F.least(n, F.lit(longest)))))
+    sized = names.withColumn("len", n).withColumn("size", F.explode(F.sequence(shortest, F.least(n, longest).cast("int"))))
     sized = sized.filter((F.col("size") > 0) | (F.col("len") <= 4))
     last = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("len") - F.col("size"))
     placed = sized.withColumn("place", F.explode(F.sequence(F.lit(0), last)))
@@ -267,22 +268,28 @@ def fuzzy_symbols(names: DataFrame, registry: DataFrame) -> tuple[DataFrame, Dat
     """(suggestions, unknown): the nearest registry name of every name that is not known.
 
     Allowed distance max(2, 30 % of the length), letters compared in lower case; ties go to the
-    earliest registry name.  Candidates share a piece of the name at nearly the same place, so
-    neither a cross join nor all names of one length are compared.
+    earliest registry name.  Candidates share a piece of the name at nearly the same place: half of
+    the name for one edit, and shorter pieces only for names without a candidate at one edit.
     """
     listed = _by_name(registry)
     asked = names.select("project", "name").distinct().join(listed.select("project", "name"), ["project", "name"], "left_anti")
     queries = asked.withColumn("lowered", F.lower("name"))
     probes = queries.select("project", "lowered").distinct().withColumn("k", _tolerance(F.length("lowered")))
     targets = listed.groupBy("project", F.lower("name").alias("lowered")).agg(F.min(F.struct("place", "name", "hit")).alias("best"))
-    index = _index_keys(targets.select("project", "lowered", F.col("best.place").alias("order")), 4)
+    names = targets.select("project", "lowered", F.col("best.place").alias("order"))
+
+    def nearest(wanted: DataFrame, index: DataFrame) -> DataFrame:
+        pairs = _probe_keys(wanted).join(index, ["project", "len", "place", "piece"]).select("project", "lowered", "k", "near", "order").distinct()
+        close = pairs.withColumn("distance", F.levenshtein("lowered", "near")).filter(F.col("distance") <= F.col("k"))
+        return close.groupBy("project", "lowered").agg(F.min(F.struct("distance", "order", "near")).alias("m"))
+
+    # One edit leaves a half of the name whole: most names are found by such long pieces and leave.
+    n = F.length("lowered")
+    halves = _index_keys(names, F.greatest(F.floor((n - 1) / 2), F.lit(0)).cast("int"), F.ceil((n + 1) / 2))
+    near = materialise(nearest(probes.withColumn("k", F.lit(1)), halves), "one-edit")
+    rest = probes.join(near, ["project", "lowered"], "left_anti")
     found = (
-        _probe_keys(probes)
-        .join(index, ["project", "len", "place", "piece"])
-        .withColumn("distance", F.levenshtein("lowered", "near"))
-        .filter(F.col("distance") <= F.col("k"))
-        .groupBy("project", "lowered")
-        .agg(F.min(F.struct("distance", "order", "near")).alias("m"))
+        near.unionByName(nearest(rest, _index_keys(names, F.lit(0), F.lit(4))))
         .select("project", F.col("lowered").alias("asked"), F.col("m.near").alias("lowered"), F.col("m.distance").cast("bigint").alias("distance"))
         .join(targets, ["project", "lowered"])
         .select("project", F.col("asked").alias("lowered"), "distance", F.col("best.name").alias("suggestion"), F.col("best.hit").alias("hit"))

@@ -15,7 +15,8 @@ from chainloom.functions.tools import json_arg, tool_call_label
 from chainloom.operators.scan import attach, scan, take_first
 
 SEGMENT_SIZE = 200
-SEGMENT_FILES, SEGMENT_BASH, SEGMENT_DECISIONS, SEGMENT_HIGHLIGHTS, SEGMENT_TOOLS = 15, 5, 6, 3, 8
+# How much a short digest shows; nothing is left out unless they are passed.
+SHORT_DIGEST = {"files": 15, "bash": 5, "decisions": 6, "highlights": 3}
 PREFILTER_ROWS, PREFILTER_CHARS = 5, 700
 
 # What counts as a quick decision.  ASCII word borders are written out.
@@ -102,13 +103,25 @@ def tool_counts(blocks: DataFrame, size: int = SEGMENT_SIZE) -> DataFrame:
     )
 
 
-def top_tools(counts: DataFrame, n: int = SEGMENT_TOOLS) -> DataFrame:
+def top_tools(counts: DataFrame, n: int | None = None) -> DataFrame:
     """The most used tools of each segment, ties in first-seen order."""
     return take_first(counts, ["conv", "segment_id"], [F.desc("calls"), F.asc("first_seen")], n, rank="rank")
 
 
-def summarize_segments(messages: DataFrame, blocks: DataFrame, size: int = SEGMENT_SIZE) -> DataFrame:
-    """Digest of every ``size`` consecutive messages (``pos`` 1-based) of a conversation."""
+def summarize_segments(
+    messages: DataFrame,
+    blocks: DataFrame,
+    size: int = SEGMENT_SIZE,
+    *,
+    files: int | None = None,
+    bash: int | None = None,
+    decisions: int | None = None,
+    highlights: int | None = None,
+) -> DataFrame:
+    """Digest of every ``size`` consecutive messages (``pos`` 1-based) of a conversation.
+
+    Lists hold all their entries, or the first of each that ``files``, ``bash``, ``decisions`` and ``highlights`` allow.
+    """
     turned = (
         assign_turn_ids(messages, "pos")
         .withColumn("segment_id", segment_of("pos", size))
@@ -131,7 +144,7 @@ def summarize_segments(messages: DataFrame, blocks: DataFrame, size: int = SEGME
         .groupBy(*key, "file")
         .agg(F.min(at).alias("seen"))
     )
-    files = _listed(take_first(touched, key, [F.asc("seen")], SEGMENT_FILES), F.col("file"), F.col("seen"), "files_touched")
+    file_list = _listed(take_first(touched, key, [F.asc("seen")], files), F.col("file"), F.col("seen"), "files_touched")
     n_files = touched.groupBy(*key).agg(F.count(F.lit(1)).alias("files_touched_count"))
     tools = _listed(
         tool_counts(blocks, size),
@@ -140,7 +153,7 @@ def summarize_segments(messages: DataFrame, blocks: DataFrame, size: int = SEGME
         "tools_used",
     )
     note = json_arg("description")
-    bash = calls.filter((F.col("tool") == "Bash") & (F.length(json_arg("command")) > 0)).select(
+    commands = calls.filter((F.col("tool") == "Bash") & (F.length(json_arg("command")) > 0)).select(
         *key,
         at.alias("seen"),
         F.concat(
@@ -148,19 +161,19 @@ def summarize_segments(messages: DataFrame, blocks: DataFrame, size: int = SEGME
             F.when(F.length(note) > 0, F.concat(F.lit(" # "), note)).otherwise(F.lit("")),
         ).alias("line"),
     )
-    samples = _listed(take_first(bash, key, [F.asc("seen")], SEGMENT_BASH), F.col("line"), F.col("seen"), "bash_samples")
+    samples = _listed(take_first(commands, key, [F.asc("seen")], bash), F.col("line"), F.col("seen"), "bash_samples")
 
-    def quotes(rows: DataFrame, chars: int, n: int, name: str) -> DataFrame:
+    def quotes(rows: DataFrame, chars: int, n: int | None, name: str) -> DataFrame:
         kept = take_first(rows.select(*key, "pos", "turn_id", "said"), key, [F.asc("pos")], n)
         quote = F.concat_ws("|", F.col("turn_id").cast("string"), F.left(first_line(F.col("said")), F.lit(chars)))
         return _listed(kept, quote, F.col("pos"), name)
 
-    decided = quotes(turned.filter((F.col("role") == "user") & decision_like(F.col("said"))), 200, SEGMENT_DECISIONS, "user_decisions")
+    decided = quotes(turned.filter((F.col("role") == "user") & decision_like(F.col("said"))), 200, decisions, "user_decisions")
     shown = quotes(
-        turned.filter((F.col("role") == "assistant") & (F.length("said") > 80)), 160, SEGMENT_HIGHLIGHTS, "assistant_highlights"
+        turned.filter((F.col("role") == "assistant") & (F.length("said") > 80)), 160, highlights, "assistant_highlights"
     )
     out = base
-    for part in (files, n_files, tools, samples, decided, shown):
+    for part in (file_list, n_files, tools, samples, decided, shown):
         out = out.join(part, key, "left")
     empty = F.array().cast("array<string>")
     lists = ("files_touched", "tools_used", "bash_samples", "user_decisions", "assistant_highlights")
@@ -249,12 +262,14 @@ def turn_actions(messages: DataFrame, blocks: DataFrame, order: str = "line") ->
     return listed.drop("full_text"), turns
 
 
-def purpose_sample(rows: DataFrame, ends: int = 50, longer_than: int = 5) -> DataFrame:
+def purpose_sample(rows: DataFrame, ends: int | None = None, longer_than: int = 5) -> DataFrame:
     """Typed texts of a conversation: all of them, or the first and last ``ends`` around '...'."""
     typed = rows.filter(F.col("type") == "user").withColumn("said", trim_blank(F.coalesce("typed_text", F.lit(""))))
     typed = typed.filter(F.length("said") > longer_than).select("conv", "pos", "said")
     one = F.lit(1).cast("bigint")
     ranked = scan(typed, ["conv"], "pos", sums={"rank": one}, totals={"n": ("sum", one)})
+    if ends is None:
+        return ranked.select("conv", F.col("rank").alias("ord"), F.col("said").alias("text"))
     every = F.col("n") <= 2 * ends
     kept = ranked.filter(every | (F.col("rank") <= ends) | (F.col("rank") > F.col("n") - ends)).select(
         "conv",
@@ -268,9 +283,11 @@ def purpose_sample(rows: DataFrame, ends: int = 50, longer_than: int = 5) -> Dat
     return kept.unionByName(gap)
 
 
-def purpose_head(rows: DataFrame, n: int = 50) -> DataFrame:
-    """The first ``n`` typed texts that are not blank."""
+def purpose_head(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """The typed texts that are not blank, or the first ``n`` of them."""
     typed = rows.filter((F.col("type") == "user") & ~is_blank(F.coalesce("text", F.lit("")))).select("conv", "pos", "text")
+    if n is None:
+        return scan(typed, ["conv"], "pos", sums={"ord": F.lit(1).cast("bigint")})
     return take_first(typed, ["conv"], [F.asc("pos")], n, rank="ord")
 
 

@@ -164,6 +164,16 @@ def plan_checksum(spark, sf):
     return ar.plan_checksum(*_checked(spark, sf))
 
 
+@query(
+    "canonical_checksum",
+    f"""WITH {_ENTRIES}, pl AS ({_PLANS}), eb AS (SELECT conv, string_agg('{{"action":'||to_json(action)||coalesce(',"distillation":'||to_json(distillation),'')||',"reason":'||to_json(reason)||',"uuid":'||to_json(uuid)||'}}', ',' ORDER BY pos) AS d FROM en GROUP BY 1)
+      SELECT plan_id, sha256('{{"entries":['||coalesce(d,'')||'],"jsonlBytes":'||bytes||',"jsonlMessages":'||chain_length||',"jsonlPath":"/t/'||pl.conv||'.jsonl","lastMessageUuid":'||to_json(last_uuid)||',"planId":'||to_json(plan_id)||'}}') AS checksum FROM pl LEFT JOIN eb ON eb.conv=pl.conv""",
+)
+def canonical_checksum(spark, sf):
+    plans, e = _checked(spark, sf)
+    return ar.canonical_checksum(plans.withColumn("path", F.concat(F.lit("/t/"), F.col("conv").cast("string"), F.lit(".jsonl"))), e)
+
+
 @query(
     "plan_drift",
     f"WITH {_SUM} SELECT plan_id, conv, CASE conv%6 WHEN 0 THEN 'expired' WHEN 1 THEN 'tampered' WHEN 2 THEN 'checksum_mismatch' WHEN 3 THEN 'drifted' WHEN 4 THEN 'empty_chain' ELSE 'ok' END AS verdict FROM ck",

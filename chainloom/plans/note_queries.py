@@ -32,18 +32,24 @@ _NOTES = f"""SELECT tier, ref, header, header_ord, seq, entry, CAST(NULL AS DATE
 _NEW = "SELECT tier, ref, CASE WHEN note_id%11=0 THEN 'rumour' ELSE note_type END AS note_type, CASE WHEN note_id%13=0 THEN '  ' ELSE 'new '||CAST(note_id AS STRING) END AS text, note_id AS ord FROM f7_notes WHERE note_id%2=1"
 
 
-@query(
-    "add_notes",
-    f"""WITH o AS ({_NOTES}), v AS (SELECT *, {_HEADER} AS header FROM ({_NEW}) n WHERE note_type<>'rumour' AND text<>'  '),
+_ADDED = f"""WITH o AS ({_NOTES}), v AS (SELECT *, {_HEADER} AS header FROM ({_NEW}) n WHERE note_type<>'rumour' AND text<>'  '),
      c AS (SELECT tier, ref, header, count(*) AS added, min(ord) AS fo FROM v GROUP BY 1,2,3), k AS (SELECT tier, ref, header, min(header_ord) AS ho FROM o GROUP BY 1,2,3), e AS (SELECT tier, ref, max(ho) AS lo FROM k GROUP BY 1,2),
      h AS (SELECT * FROM k UNION ALL SELECT c.tier, c.ref, c.header, coalesce(e.lo,-1)+row_number() OVER (PARTITION BY c.tier, c.ref ORDER BY fo, c.header) FROM c LEFT JOIN e ON e.tier=c.tier AND e.ref=c.ref WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.tier=c.tier AND k.ref=c.ref AND k.header=c.header))
      SELECT o.tier, o.ref, o.header, o.header_ord, o.seq+coalesce(c.added,0) AS seq, o.entry, o.date FROM o LEFT JOIN c ON c.tier=o.tier AND c.ref=o.ref AND c.header=o.header
-     UNION ALL SELECT v.tier, v.ref, v.header, h.ho, row_number() OVER (PARTITION BY v.tier, v.ref, v.header ORDER BY v.ord DESC), CASE WHEN v.tier='section' THEN '**'||text||'**' ELSE text END||' (2026-05-01)', DATE '2026-05-01' FROM v JOIN h ON h.tier=v.tier AND h.ref=v.ref AND h.header=v.header""",
-)
+     UNION ALL SELECT v.tier, v.ref, v.header, h.ho, row_number() OVER (PARTITION BY v.tier, v.ref, v.header ORDER BY v.ord DESC), CASE WHEN v.tier='section' THEN '**'||text||'**' ELSE text END||' (2026-05-01)', DATE '2026-05-01' FROM v JOIN h ON h.tier=v.tier AND h.ref=v.ref AND h.header=v.header"""
+
+
+@query("add_notes", _ADDED)
 def add_notes(spark, sf):
     return nt.add_notes(sql(spark, sf, _NOTES), sql(spark, sf, _NEW), "2026-05-01")[0]
 
 
+@query("rendered_notes", f"SELECT tier, ref, header, seq, entry, date FROM ({_ADDED}) x")
+def rendered_notes(spark, sf):
+    added = nt.add_notes(sql(spark, sf, _NOTES), sql(spark, sf, _NEW), "2026-05-01")[0]
+    return nt.parse_notes(nt.render_notes(added)).select("tier", "ref", "header", "seq", "entry", "date")
+
+
 @query("rejected_notes", f"SELECT * FROM ({_NEW}) n WHERE note_type='rumour' OR text='  '")
 def rejected_notes(spark, sf):
     return nt.add_notes(sql(spark, sf, _NOTES), sql(spark, sf, _NEW), "2026-05-01")[1]
@@ -113,7 +119,7 @@ _STATUS = "SELECT 'n'||CAST(note_id AS STRING) AS name, CASE WHEN note_id%3=0 TH
     "list_notes",
     f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY ref) AS rn, count(*) OVER (PARTITION BY tier) AS total, strlen(content) AS b FROM ({_LISTED.replace("date_add(DATE '2026-01-01', CAST(note_id%28 AS INT))", "DATE '2026-01-01' + CAST(note_id%28 AS INT)")}) x)
       SELECT l.tier, replace(l.ref,'.md','') AS name, CASE WHEN tier='section' THEN CAST(floor(floor(b/1024.0*10+0.5)/10) AS BIGINT)||'.'||CAST(floor(b/1024.0*10+0.5) AS BIGINT)%10 END AS size_kb,
-       CASE WHEN tier IN ('section','sidecar') THEN modified END AS modified, CASE WHEN tier='plan' THEN coalesce(s.status,'unknown') END AS status, total FROM l LEFT JOIN ({_STATUS}) s ON s.name=replace(l.ref,'.md','') WHERE tier<>'sidecar' OR rn<=30""",
+       CASE WHEN tier IN ('section','sidecar') THEN modified END AS modified, CASE WHEN tier='plan' THEN coalesce(s.status,'unknown') END AS status, total FROM l LEFT JOIN ({_STATUS}) s ON s.name=replace(l.ref,'.md','')""",
 )
 def list_notes(spark, sf):
     return nt.list_notes(sql(spark, sf, _LISTED), sql(spark, sf, _STATUS))
@@ -137,7 +143,7 @@ def overview_plans(spark, sf):
     return _overview(spark, sf)["plans"]
 
 
-@query("overview_sidecars", "SELECT 'n'||note_id AS ref FROM f7_notes WHERE tier='sidecar' ORDER BY ref LIMIT 20")
+@query("overview_sidecars", "SELECT 'n'||note_id AS ref FROM f7_notes WHERE tier='sidecar'")
 def overview_sidecars(spark, sf):
     return _overview(spark, sf)["sidecars"]
 

@@ -174,12 +174,12 @@ _LISTING = """SELECT 'p'||CAST(ord%3 AS STRING) AS project, CASE ord%12 WHEN 0 T
 
 @query(
     "select_files",
-    f"""SELECT project, path, lang, size FROM (SELECT *, CASE kind WHEN 0 THEN 'javascript' WHEN 6 THEN 'go' WHEN 7 THEN 'html' WHEN 9 THEN 'typescript' ELSE 'javascript' END AS lang,
-      row_number() OVER (PARTITION BY project ORDER BY replace(lower(path),'/',chr(1)), path) AS rn FROM ({_LISTING}) l WHERE kind IN (0,6,7,11) OR (kind=9 AND project<>'p1')) t WHERE rn<=100""",
+    f"""SELECT project, path, CASE WHEN kind IN (5,6) THEN 'go' WHEN kind=7 THEN 'html' WHEN kind=8 THEN 'rust' WHEN kind=9 THEN 'typescript' ELSE 'javascript' END AS lang, size
+      FROM ({_LISTING}) l WHERE kind IN (0,5,6,7,8,11) OR (kind=9 AND project<>'p1')""",
 )
 def select_files(spark, sf):
     ignores = sql(spark, sf, "SELECT DISTINCT 'p'||CAST(ord%3 AS STRING) AS project, CASE WHEN ord%3=1 THEN '# x'||chr(10)||'*.log'||chr(10)||' gen/ ' ELSE '' END AS content FROM f6_names")
-    return pj.select_files(sql(spark, sf, _LISTING), pj.ignored_dirs(ignores), 100).select("project", "path", "lang", "size")
+    return pj.select_files(sql(spark, sf, _LISTING), pj.ignored_dirs(ignores)).select("project", "path", "lang", "size")
 
 
 # ---- code checks ----------------------------------------------------------------------------
@@ -255,5 +255,5 @@ def project_lines(spark, sf):
     return view(spark, sf, "f4_code_lines").withColumns({"project": F.regexp_replace("path", "^.*/", ""), "lang": F.lit("python")})
 
 
-FULL_REINDEX = f"""SELECT regexp_replace(path,'^.*/','') AS project, category, name, arg_min(path, ord) AS file, arg_min(line, ord) AS line, count(*) AS usages FROM ({_PY}) p
- WHERE path IN (SELECT path FROM f4_code_lines WHERE ord%3=0) GROUP BY 1,2,3"""
+FULL_REINDEX = f"""SELECT regexp_replace(path,'^.*/','') AS project, category, name, arg_min(path, ord) AS file, arg_min(line, ord) AS line,
+ count(*) + CASE WHEN min(path) IN (SELECT path FROM f4_code_lines WHERE ord%3=0 AND path < '/src/brand_3') THEN 0 ELSE 100 END AS usages FROM ({_PY}) p GROUP BY 1,2,3"""

@@ -106,8 +106,8 @@ def decision_like(spark, sf):
        SELECT b.*, coalesce(x.u,'') AS user_decisions, coalesce(y.a,'') AS assistant_highlights FROM
        (SELECT conv, segment_id, min(pos) AS msg_from, max(pos) AS msg_to, min(turn_id) FILTER (turn_id>0) AS turn_from,
           max(turn_id) FILTER (turn_id>0) AS turn_to, min(ts) AS ts_from, max(ts) AS ts_to FROM m GROUP BY conv, segment_id) b
-       LEFT JOIN (SELECT conv, segment_id, string_agg(turn_id||'|'||substr(split_part(t, chr(10), 1),1,200), ' ~ ' ORDER BY pos) AS u FROM d WHERE rn<=6 GROUP BY 1,2) x USING (conv, segment_id)
-       LEFT JOIN (SELECT conv, segment_id, string_agg(turn_id||'|'||substr(split_part(t, chr(10), 1),1,160), ' ~ ' ORDER BY pos) AS a FROM h WHERE rn<=3 GROUP BY 1,2) y USING (conv, segment_id)""",
+       LEFT JOIN (SELECT conv, segment_id, string_agg(turn_id||'|'||substr(split_part(t, chr(10), 1),1,200), ' ~ ' ORDER BY pos) AS u FROM d GROUP BY 1,2) x USING (conv, segment_id)
+       LEFT JOIN (SELECT conv, segment_id, string_agg(turn_id||'|'||substr(split_part(t, chr(10), 1),1,160), ' ~ ' ORDER BY pos) AS a FROM h GROUP BY 1,2) y USING (conv, segment_id)""",
 )
 def summarize_segments(spark, sf):
     blocks = view(spark, sf, "f3_args").withColumns({"type": F.lit("tool_use"), "block_idx": F.lit(0)}).filter("1=0")
@@ -136,8 +136,8 @@ def _call_rows(spark, sf):
        SELECT s.conv, s.segment_id, s.tools_used, coalesce(p.files_touched,'') AS files_touched, coalesce(p.n,0) AS files_touched_count, coalesce(q.bash_samples,'') AS bash_samples
        FROM (SELECT conv, segment_id, string_agg(tool||':'||n, ',' ORDER BY seen) AS tools_used FROM
               (SELECT conv, segment_id, tool, count(*) AS n, min(pos) AS seen FROM c GROUP BY 1,2,3) t GROUP BY 1,2) s
-       LEFT JOIN (SELECT conv, segment_id, string_agg(path, ',' ORDER BY seen) FILTER (rn<=15) AS files_touched, max(n) AS n FROM fr GROUP BY 1,2) p USING (conv, segment_id)
-       LEFT JOIN (SELECT conv, segment_id, string_agg('make t'||k||' # run '||k, ',' ORDER BY pos) AS bash_samples FROM b WHERE rn<=5 GROUP BY 1,2) q USING (conv, segment_id)""",
+       LEFT JOIN (SELECT conv, segment_id, string_agg(path, ',' ORDER BY seen) AS files_touched, max(n) AS n FROM fr GROUP BY 1,2) p USING (conv, segment_id)
+       LEFT JOIN (SELECT conv, segment_id, string_agg('make t'||k||' # run '||k, ',' ORDER BY pos) AS bash_samples FROM b GROUP BY 1,2) q USING (conv, segment_id)""",
 )
 def segment_tools(spark, sf):
     seg = tn.summarize_segments(*_call_rows(spark, sf))
@@ -150,10 +150,10 @@ def segment_tools(spark, sf):
 @query(
     "top_tools",
     """SELECT conv, segment_id, tool, calls, rank FROM (SELECT *, row_number() OVER (PARTITION BY conv, segment_id ORDER BY calls DESC, seen) AS rank FROM
-        (SELECT conv, CAST(floor((pos-1)/200.0)+1 AS BIGINT) AS segment_id, tool, count(*) AS calls, min(pos) AS seen FROM f3_args GROUP BY 1,2,3) t) r WHERE rank<=3""",
+        (SELECT conv, CAST(floor((pos-1)/200.0)+1 AS BIGINT) AS segment_id, tool, count(*) AS calls, min(pos) AS seen FROM f3_args GROUP BY 1,2,3) t) r""",
 )
 def top_tools(spark, sf):
-    return tn.top_tools(tn.tool_counts(_call_rows(spark, sf)[1]), 3).select("conv", "segment_id", "tool", "calls", "rank")
+    return tn.top_tools(tn.tool_counts(_call_rows(spark, sf)[1])).select("conv", "segment_id", "tool", "calls", "rank")
 
 
 _LABEL = """CASE k % 9 WHEN 0 THEN path||CASE WHEN k > 0 THEN ' (offset '||k||', limit 50)' ELSE '' END WHEN 1 THEN 'make t'||k||' # run '||k
@@ -338,8 +338,7 @@ _WORDS = "SELECT CAST(doc_id % 7 AS BIGINT) AS conv, doc_id AS pos, 'user' AS ty
     "purpose_sample",
     f"""WITH u AS (SELECT conv, pos, regexp_replace(text,'^\\s+|\\s+$','','g') AS said FROM ({_WORDS}) w),
        r AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY pos) AS rank, count(*) OVER (PARTITION BY conv) AS n FROM u WHERE length(said)>5)
-       SELECT conv, CASE WHEN n<=100 OR rank<=50 THEN rank ELSE rank-n+101 END AS ord, said AS text FROM r WHERE n<=100 OR rank<=50 OR rank>n-50
-       UNION ALL SELECT DISTINCT conv, 51, '...' FROM r WHERE n>100""",
+       SELECT conv, rank AS ord, said AS text FROM r""",
 )
 def purpose_sample(spark, sf):
     return tn.purpose_sample(sql(spark, sf, _WORDS).withColumn("typed_text", F.col("text")))
@@ -347,7 +346,7 @@ def purpose_sample(spark, sf):
 
 @query(
     "purpose_head",
-    f"SELECT conv, pos, ord, text FROM (SELECT conv, pos, text, row_number() OVER (PARTITION BY conv ORDER BY pos) AS ord FROM ({_WORDS}) w WHERE regexp_matches(text, '\\S')) t WHERE ord <= 50",
+    f"SELECT conv, pos, ord, text FROM (SELECT conv, pos, text, row_number() OVER (PARTITION BY conv ORDER BY pos) AS ord FROM ({_WORDS}) w WHERE regexp_matches(text, '\\S')) t",
 )
 def purpose_head(spark, sf):
     return tn.purpose_head(sql(spark, sf, _WORDS))

@@ -23,8 +23,8 @@ LANGUAGES = {
     "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript",
     "ts": "typescript", "tsx": "typescript", "py": "python", "go": "go", "rs": "rust", "html": "html",
 }
-MAX_BYTES, MAX_HTML_BYTES = 500 * 1024, 5 * 1024 * 1024
-MAX_DEPTH, MAX_FILES = 8, 2000
+# The limits of an interactive scan; nothing is left out unless they are passed.
+INTERACTIVE = {"max_files": 2000, "max_bytes": 500 * 1024, "max_html_bytes": 5 * 1024 * 1024, "max_depth": 8}
 
 
 def ignored_dirs(gitignores: DataFrame) -> DataFrame:
@@ -37,11 +37,19 @@ def _hidden(name: Column) -> Column:
     return F.startswith(name, F.lit(".")) & (name != ".env.example")
 
 
-def select_files(listing: DataFrame, ignored: DataFrame | None = None, max_files: int | None = MAX_FILES) -> DataFrame:
+def select_files(
+    listing: DataFrame,
+    ignored: DataFrame | None = None,
+    max_files: int | None = None,
+    *,
+    max_bytes: int | None = None,
+    max_html_bytes: int | None = None,
+    max_depth: int | None = None,
+) -> DataFrame:
     """Source files of ``listing(project, path, size, modified, …)`` with lang and file_ord.
 
-    Files are in the order of a walk that goes through each folder by name; the cap per project
-    is the scanner's own and can be lifted with ``max_files=None``.
+    Files are in the order of a walk that goes through each folder by name.  Without limits all
+    are kept; ``over_limits`` lists what given limits leave out.
     """
     parts = F.split("path", "/")
     folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
@@ -51,7 +59,11 @@ def select_files(listing: DataFrame, ignored: DataFrame | None = None, max_files
     copies = F.exists(folders, lambda p: F.contains(p, F.lit(" ")) | F.contains(F.lower(p), F.lit("backup")))
     lang = F.try_element_at(lang_of, F.regexp_extract(name, r"^.+\.([^.]+)$", 1))
     rows = listing.withColumns({"lang": lang, "__parts": parts}).filter(~skipped & ~copies & F.col("lang").isNotNull())
-    rows = rows.filter((F.size("__parts") - 1 <= MAX_DEPTH) & (F.col("size") <= F.when(F.col("lang") == "html", MAX_HTML_BYTES).otherwise(MAX_BYTES)))
+    if max_depth is not None:
+        rows = rows.filter(F.size("__parts") - 1 <= max_depth)
+    for limit, html in ((max_bytes, False), (max_html_bytes, True)):
+        if limit is not None:
+            rows = rows.filter(((F.col("lang") == "html") != html) | (F.col("size") <= limit))
     if ignored is not None:
         named = rows.select("project", "path", F.explode("__parts").alias("dir"))
         out = named.join(ignored, ["project", "dir"], "left_semi").select("project", "path").distinct()
@@ -59,11 +71,14 @@ def select_files(listing: DataFrame, ignored: DataFrame | None = None, max_files
     # Order by the path itself with the separator below every other character.
     rows = rows.withColumn("file_ord", F.concat_ws("\x01", F.transform("__parts", F.lower)))
     rows = rows.withColumn("file_ord", F.concat_ws("\x02", "file_ord", "path")).drop("__parts")
-    if max_files is None:
-        return rows
     return take_first(rows, ["project"], [F.asc("file_ord")], max_files)
 
 
+def over_limits(listing: DataFrame, ignored: DataFrame | None = None, **limits: int) -> DataFrame:
+    """The source files that ``limits`` make ``select_files`` leave out."""
+    return select_files(listing, ignored).join(select_files(listing, ignored, **limits).select("project", "path"), ["project", "path"], "left_anti")
+
+
 def list_projects(spark: SparkSession, root: str) -> DataFrame:
     """(project, path, size, modified, uri) of all files below every folder of ``root``.
 
@@ -112,9 +127,9 @@ def read_files(listing: DataFrame, root: str, column: str = "content") -> DataFr
     return listing.repartition("project", "path").mapInPandas(read, schema)
 
 
-def scan_project(spark: SparkSession, root: str, max_files: int | None = MAX_FILES) -> DataFrame:
+def scan_project(spark: SparkSession, root: str, **limits: int) -> DataFrame:
     """(project, path, lang, lines, size, modified, content, file_ord) of every project folder below ``root``."""
     listing = materialise(list_projects(spark, root), "listing")
     ignores = read_files(listing.filter("path = '.gitignore'"), root)
-    kept = read_files(select_files(listing, ignored_dirs(ignores), max_files), root)
+    kept = read_files(select_files(listing, ignored_dirs(ignores), **limits), root)
     return kept.drop("uri").withColumn("lines", line_count(F.col("content")))

@@ -9,17 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from chainloom.functions.text import tokens
 from chainloom.operators.codecheck import check_code
 from chainloom.operators.condense import apply_to_blocks, build_condense_plan, condense_modes
 from chainloom.operators.symbols import build_registry, extract_symbols
 
-STATE_SCHEMA = "uuid string, block_idx int, mode string, original_bytes bigint, condensed_bytes bigint, summary_source string, batch bigint"
+STATE_SCHEMA = "uuid string, block_idx int, mode string, original_bytes bigint, condensed_bytes bigint, summary_source string"
 
 
 def token_meter(messages: DataFrame) -> DataFrame:
@@ -45,28 +45,43 @@ def stream_code_check(
     return edits.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(check).start()
 
 
+BUCKETS = 64
+
+
+def bucket_of(conv: str = "conv") -> Column:
+    return F.pmod(F.xxhash64(conv), F.lit(BUCKETS)).cast("int")
+
+
 class CondenseStore:
-    """Folders of the incremental condensation: arrived blocks, replacements, state, by batch."""
+    """Folders of the incremental condensation: arrived blocks, replacements, state.
+
+    Blocks and state are stored by batch and by a hash bucket of the conversation; a batch reads only the buckets it touches.
+    """
 
     def __init__(self, spark: SparkSession, root: str, block_schema, conv_type: str = "bigint"):
         self.spark, self.root = spark, root
         self.block_schema = block_schema
-        self.state_schema = f"conv {conv_type}, {STATE_SCHEMA}"
+        self.state_schema = StructType.fromDDL(f"conv {conv_type}, {STATE_SCHEMA}")
+
+    def _put(self, rows: DataFrame, name: str, batch_id: int) -> None:
+        rows.withColumn("bucket", bucket_of()).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/batch={batch_id}")
 
-    def _table(self, name: str, schema) -> DataFrame:
-        """All batch folders of a table; one that has not been written yet is empty."""
+    def _table(self, name: str, schema: StructType, buckets: list[int] | None) -> DataFrame:
+        """All batches of a table, of the given buckets only; one that has not been written yet is empty."""
+        full = StructType([*schema.fields, StructField("batch", LongType()), StructField("bucket", IntegerType())])
         try:
-            return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/{name}")
+            rows = self.spark.read.schema(full).parquet(f"{self.root}/{name}")
         except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+            rows = self.spark.createDataFrame([], full)
+        return (rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))).drop("bucket")
 
-    def blocks(self, upto: int | None = None) -> DataFrame:
-        rows = self._table("blocks", StructType([*self.block_schema.fields, StructField("batch", LongType())]))
+    def blocks(self, upto: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        rows = self._table("blocks", self.block_schema, buckets)
         return (rows if upto is None else rows.filter(F.col("batch") <= upto)).drop("batch")
 
-    def state(self, before: int | None = None) -> DataFrame:
+    def state(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
         """Latest record of every block, optionally as it was before a batch."""
-        rows = self._table("state", self.state_schema)
+        rows = self._table("state", self.state_schema, buckets)
         rows = rows if before is None else rows.filter(F.col("batch") < before)
         cols = ("mode", "original_bytes", "condensed_bytes", "summary_source")
         return (
@@ -80,15 +95,15 @@ class CondenseStore:
 
     def process(self, batch: DataFrame, batch_id: int, **options) -> None:
         """Add a batch of blocks and condense the conversations it touches."""
-        marked = batch.withColumn("batch", F.lit(batch_id).cast("bigint"))
-        marked.write.mode("overwrite").parquet(f"{self.root}/blocks/b{batch_id}")
-        touched = self.spark.read.schema(marked.schema).parquet(f"{self.root}/blocks/b{batch_id}").select("conv").distinct()
-        history = self.blocks(batch_id).join(touched, "conv", "left_semi")
+        self._put(batch, "blocks", batch_id)
+        arrived = self._table("blocks", self.block_schema, None).filter(F.col("batch") == batch_id)
+        buckets = [r["b"] for r in arrived.select(bucket_of().alias("b")).distinct().collect()]  # at most BUCKETS numbers
+        history = self.blocks(batch_id, buckets).join(arrived.select("conv").distinct(), "conv", "left_semi")
         found = condense_modes(history, **options)
-        replace, _, records = build_condense_plan(found, self.state(batch_id))
+        replace, _, records = build_condense_plan(found, self.state(batch_id, buckets))
         replace.write.mode("overwrite").parquet(f"{self.root}/replacements/b{batch_id}")
         done = self.spark.read.schema(replace.schema).parquet(f"{self.root}/replacements/b{batch_id}")
-        done.select(*records.columns, F.lit(batch_id).cast("bigint").alias("batch")).write.mode("overwrite").parquet(f"{self.root}/state/b{batch_id}")
+        self._put(done.select(*records.columns), "state", batch_id)
 
     def condensed(self) -> DataFrame:
         """All blocks with every replacement so far applied."""
