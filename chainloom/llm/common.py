@@ -17,8 +17,10 @@ def whole_text(column: str | Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, Iterable]], schema: str) -> DataFrame:
-    """Apply ``fn`` to slices of at most ROWS_AT_ONCE rows, given and returned as lists by column.
+def map_rows(
+    df: DataFrame, fn: Callable[[dict[str, list]], dict[str, Iterable]], schema: str, rows_at_once: int = ROWS_AT_ONCE
+) -> DataFrame:
+    """Apply ``fn`` to slices of at most ``rows_at_once`` rows, given and returned as lists by column.
 
     Slices bound what Python holds at a time; Spark partitions the rows and restarts lost tasks.
     """
@@ -29,8 +31,8 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, Iterable]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(start, ROWS_AT_ONCE)
+            for start in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(start, rows_at_once)
                 out = fn({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in want], schema=want)
 

@@ -10,10 +10,11 @@ With ORDER = 3 and SKETCHES = 24 a pair whose k-mers overlap by 0.8 (Jaccard) is
 0.3 %.  Candidates whose sketch minima agree too rarely, or whose lengths differ too much, are dropped before the texts
 are fetched.
 
-Skew.  Equal texts are one node from the start (aggregated map-side).  In a bucket of at most SMALL nodes all pairs are
-compared.  In a larger one every node is compared with the bucket's first node only; the nodes that this leaves in
-another class go into sub-buckets that also share a second, third ... sketch, until no large bucket has nodes of two
-classes.  No bucket is ever collected, and none is cut short.
+Skew.  Equal texts are one node from the start (aggregated map-side).  Every node is first aligned with one other, the
+first node of its buckets; groups of copies are classes after that, and only pairs of different classes are looked at
+again: all pairs in a bucket of at most SMALL nodes, each node with the bucket's first in a larger one.  Texts that remain
+apart from the first of many large buckets (they share a long passage with thousands of others) go into buckets of two,
+four ... shared sketches and through the same steps, until no such text is left.  No bucket is collected or cut short.
 
 Defined results: a null text is empty; texts without any word are copies only of equal texts; texts of fewer than five
 words have one k-mer, all their words; repeated rows fall in one class; a class is named by its smallest doc_id; null
@@ -38,7 +39,10 @@ ORDER = 3
 SKETCHES = 24
 SIMILARITY = 0.8
 SMALL = 24
-LEAST_AGREEING = 9  # of the SKETCHES minima: fewer agree for a Jaccard overlap of 0.8 once in 10 million pairs
+LEAST_AGREEING = 11  # of the SKETCHES minima: fewer agree for a Jaccard overlap of 0.8 once in 20,000 pairs
+LEAST_SHARED = 6  # of the SKETCHES: fewer are shared at an overlap of 0.8 once in 500 pairs
+BROADCAST_ROWS = 200_000  # of 32 bytes
+PAIRS_AT_ONCE = 2048
 WORD = re.compile(r"\w+")
 _SEEDS = np.random.default_rng(20240229).integers(1, 2**63, size=(2, SKETCHES), dtype=np.uint64)
 _XOR, _ODD = _SEEDS[0], _SEEDS[1] * np.uint64(2) + np.uint64(1)
@@ -85,6 +89,18 @@ def labelled_kmers(words: np.ndarray) -> np.ndarray:
     return kmers
 
 
+def _smallest(v: np.ndarray, take: int) -> np.ndarray:
+    """Columns of the ``take`` smallest values of every row."""
+    if v.shape[1] > 100:  # hardly a row has fewer than ``take`` of about 24 expected below this
+        row, col = np.nonzero(v < np.uint64((1 << 64) // v.shape[1] * 24))
+        count = np.bincount(row, minlength=len(v))
+        if count.min() >= take:
+            order = np.lexsort((v[row, col], row))
+            starts = np.cumsum(count) - count
+            return col[order][starts[:, None] + np.arange(take)]
+    return np.argpartition(v, take - 1, axis=1)[:, :take]
+
+
 def sketch(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A key for each sketch, and one byte of each sketch's smallest hash."""
     kmers = labelled_kmers(words)
@@ -93,7 +109,7 @@ def sketch(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     step = max(1, 2_000_000 // len(kmers))
     for s in range(0, SKETCHES, step):
         v = (kmers ^ _XOR[s : s + step, None]) * _ODD[s : s + step, None]
-        at = np.argpartition(v, take - 1, axis=1)[:, :take]
+        at = _smallest(v, take)
         low[s : s + step] = np.take_along_axis(v, at, 1).min(axis=1)
         at.sort(axis=1)
         chosen = kmers[at]
@@ -146,7 +162,7 @@ def similarities(pairs: Sequence[tuple[np.ndarray, np.ndarray]], least: float =
         tail = np.flatnonzero(a[len(a) - short + head :][::-1] != b[len(b) - short + head :][::-1])
         cut = int(tail[0]) if len(tail) else short - head
         todo.append((p, a[head : len(a) - cut], b[head : len(b) - cut], longest, allowed))
-    band = 8
+    band = 16
     while todo:
         todo.sort(key=lambda x: len(x[1]))
         later, start = [], 0
@@ -190,17 +206,15 @@ def _with_node(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("node"), text.alias("text"))
 
 
-def _pairs(hits: DataFrame) -> DataFrame:
-    """Distinct candidate pairs of the buckets: all of a small one, each node with the first of a large one."""
-    star = hits.filter((F.col("size") > SMALL) & (F.col("node") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    small = hits.filter(F.col("size") <= SMALL)
-    left, right = small.select("key", F.col("node").alias("a")), small.select("key", F.col("node").alias("b"))
-    within = left.join(right, "key").filter("a < b").select("a", "b")
-    return star.union(within).groupBy("a", "b").agg(F.lit(1).alias("_one")).drop("_one")
+def _few(df: DataFrame) -> DataFrame:
+    """``df``, written; sent to every task if it has at most BROADCAST_ROWS rows."""
+    df = materialise(df, "omh-wanted")
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
 
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose alignment is similar enough."""
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose alignment is similar enough."""
     def side(c: str) -> DataFrame:
         return nodes.select(F.col("node").alias(c), F.col("words").alias(f"words_{c}"), F.col("low").alias(f"low_{c}"), F.col("doc_id").alias(f"doc_{c}"))
 
@@ -211,7 +225,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, te
     both = materialise(both, "omh-candidates")
     wanted = both.select(F.col("a").alias("node"), F.col("doc_a").alias("want")).union(both.select("b", "doc_b")).distinct()
     source = _with_node(docs, id_col, text_col).withColumnRenamed("node", "of")
-    texts = source.join(wanted, (F.col("of") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("want")))
+    texts = source.join(_few(wanted), (F.col("of") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("want")))
     texts = materialise(texts.groupBy("node").agg(F.first("text").alias("text")), "omh-texts")
     full = both.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     full = full.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -220,14 +234,20 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, te
         pairs = [(word_hashes(x), word_hashes(y)) for x, y in zip(cols["text_a"], cols["text_b"], strict=True)]
         return {"a": cols["a"], "b": cols["b"], "similarity": similarities(pairs)}
 
-    aligned = map_rows(full.select("a", "b", "text_a", "text_b"), align, "a binary, b binary, similarity double")
+    aligned = map_rows(full.select("a", "b", "text_a", "text_b"), align, "a binary, b binary, similarity double", PAIRS_AT_ONCE)
     return aligned.filter(F.col("similarity") >= SIMILARITY).select("a", "b")
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) that no chain of links joins yet."""
+    for c in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")), c, "left")
+    return pairs.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).drop("label_a", "label_b")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node of the component of every node that has a link."""
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
-    both = materialise(both, "omh-links")
     labels = materialise(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "omh-labels")
     while True:
         seen = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("near")), "other")
@@ -241,6 +261,32 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _hits(postings: DataFrame) -> DataFrame:
+    """(key, node, at, size, rep) of the buckets with two nodes or more; rep is a bucket's smallest node."""
+    buckets = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("rep")).filter("size > 1")
+    return materialise(postings.join(buckets, "key"), "omh-hits")
+
+
+def _stars(hits: DataFrame) -> DataFrame:
+    return hits.filter("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"), "size", "at", "key")
+
+
+def _joined(labels: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """``labels`` after links between their classes: only the classes are walked again."""
+    links = found[0]
+    for more in found[1:]:
+        links = links.union(more)
+    for c in ("a", "b"):
+        links = links.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")), c, "left")
+        links = links.withColumn(f"label_{c}", F.coalesce(f"label_{c}", c))
+    between = materialise(links.select("a", "b", "label_a", "label_b"), "omh-between")
+    edges = between.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).filter("a != b").distinct()
+    last = components(materialise(edges, "omh-classes")).select(F.col("node").alias("label"), F.col("label").alias("last"))
+    known = between.select(F.col("a").alias("node"), F.col("label_a").alias("label")).union(between.select("b", "label_b"))
+    known = known.union(labels.select("node", "label")).distinct()
+    return known.join(last, "label", "left").select("node", F.coalesce("last", "label").alias("label"))
+
+
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, node, label, class_id) of every row: the digests of its text and of its class, and the class's name."""
     rows = materialise(_sketched(docs, id_col, text_col), "omh-rows")
@@ -248,25 +294,30 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         F.min("doc_id").alias("doc_id"), F.first("words").alias("words"), F.first("keys").alias("keys"), F.first("low").alias("low")
     )
     nodes = materialise(nodes, "omh-nodes")
-    postings = nodes.select("node", F.posexplode("keys").alias("at", "key"))
-    links = None
-    while True:
-        buckets = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("rep")).filter("size > 1")
-        hits = materialise(postings.join(buckets, "key"), "omh-hits")
-        found = _linked(_pairs(hits), nodes, docs, id_col, text_col)
-        links = materialise(found if links is None else found.union(links).distinct(), "omh-verified")
-        labels = components(links)
-        open_hits = hits.filter(F.col("size") > SMALL)
-        node_label = labels.select("node", F.col("label"))
-        rep_label = labels.select(F.col("node").alias("rep"), F.col("label").alias("rep_label"))
-        open_hits = open_hits.join(node_label, "node", "left").join(rep_label, "rep", "left")
-        apart = F.coalesce("label", "node") != F.coalesce("rep_label", "rep")
-        open_hits = materialise(open_hits.filter(apart).select("node", "at", "key"), "omh-open")
-        if open_hits.isEmpty():
+    hits = _hits(nodes.select("node", F.posexplode("keys").alias("at", "key")))
+    first = _stars(hits).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    labels = components(materialise(_verified(first, nodes, docs, id_col, text_col), "omh-first"))
+    found, tried = [], None
+    while True:  # pairs that the first links have not joined: all of a small bucket, the star of a large one
+        marked = hits.filter(F.col("size") <= SMALL).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        left = marked.select(F.col("key").alias("key_a"), F.col("node").alias("a"), F.col("label").alias("label_a"))
+        right = marked.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("label").alias("label_b"))
+        within = left.join(right, F.expr("key_a = key_b AND a < b AND label_a <> label_b")).select("a", "b")
+        large = materialise(_apart(_stars(hits).filter(F.col("size") > SMALL), labels), "omh-large")
+        pairs = within.union(large.select("a", "b")).groupBy("a", "b").agg(F.lit(1).alias("_one")).drop("_one")
+        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "omh-pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        found.append(materialise(_verified(pairs, nodes, docs, id_col, text_col), "omh-more"))
+        # Similar texts share about half of all sketches; only texts that meet in large buckets alone are open.
+        alone = large.join(found[-1], ["a", "b"], "left_anti")
+        open_keys = alone.groupBy("b").agg(F.collect_set(F.struct("at", "key")).alias("open")).filter(F.size("open") >= LEAST_SHARED)
+        open_keys = materialise(open_keys, "omh-open")
+        if open_keys.isEmpty():
             break
-        more = open_hits.join(nodes.select("node", "keys"), "node")
-        more = more.select("node", "at", "key", F.posexplode("keys").alias("next", "other")).filter("next > at")
-        postings = more.select("node", F.col("next").alias("at"), F.xxhash64("key", "other").alias("key"))
+        one = open_keys.select(F.col("b").alias("node"), "open", F.explode("open").alias("x"))
+        two = one.select("node", "x", F.explode("open").alias("y")).filter("x.at < y.at")
+        hits = _hits(two.select("node", F.col("y.at").alias("at"), F.xxhash64("x.key", "y.key").alias("key")))
+    labels = _joined(labels, found)
 
     named = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = materialise(named, "omh-named")
