@@ -22,6 +22,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,13 +128,13 @@ class Classifier:
 
 
 class _Rows:
-    """Sparse rows, flattened."""
+    """Sparse rows, flattened, of two list columns of equal shape."""
 
-    def __init__(self, ids: list[list[int]], values: list[list[float]]):
+    def __init__(self, ids: pa.ChunkedArray, values: pa.ChunkedArray):
         self.n = len(ids)
-        self.row = np.repeat(np.arange(self.n), [len(x) for x in ids])
-        self.col = np.fromiter((f for x in ids for f in x), np.int64, len(self.row))
-        self.val = np.fromiter((v for x in values for v in x), np.float64, len(self.row))
+        self.row = np.repeat(np.arange(self.n), np.asarray(pc.list_value_length(ids)))
+        self.col = np.asarray(pc.list_flatten(ids)).astype(np.int64)
+        self.val = np.asarray(pc.list_flatten(values)).astype(np.float64)
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.val * w[self.col], self.n)
@@ -197,20 +199,20 @@ def fit(
         return out
 
     schema = "doc_id long, label int, weight double, ids array<int>, vals array<float>, c_ids array<int>, c_vals array<float>"
-    got = map_rows(sample, described, schema).toArrow().sort_by("doc_id").to_pydict()
-    y = np.array(got["label"], np.float64)
+    got = map_rows(sample, described, schema).toArrow().sort_by("doc_id")
+    y = np.asarray(got["label"]).astype(np.float64)
     if len(set(y.tolist())) < 2:
         return Classifier(None)
-    weight = np.array(got["weight"])
-    aside = np.array([zlib.crc32(b"aside%d" % d) % 5 == 0 for d in got["doc_id"]])
+    weight = np.asarray(got["weight"])
+    aside = np.array([zlib.crc32(b"aside%d" % d) % 5 == 0 for d in got["doc_id"].to_pylist()])
 
     def part(where: np.ndarray, ids: str, vals: str) -> _Rows:
-        at = np.flatnonzero(where)
-        return _Rows([got[ids][i] for i in at], [got[vals][i] for i in at])
+        some = got.filter(pa.array(where))
+        return _Rows(some[ids], some[vals])
 
     if len(set(y[~aside].tolist())) < 2 or len(set(y[aside].tolist())) < 2:
         aside[:] = False
-    changes = part(np.array([bool(x) for x in got["c_ids"]]), "c_ids", "c_vals")
+    changes = part(np.asarray(pc.list_value_length(got["c_ids"])) > 0, "c_ids", "c_vals")
     w, b = train(part(~aside, "ids", "vals"), y[~aside], changes, fairness=fairness, penalty=penalty)
     check = aside if aside.any() else ~aside
     scale, shift = calibrate(part(check, "ids", "vals").times(w) + b, y[check], weight[check])
