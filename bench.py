@@ -19,6 +19,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from chainloom.operators.chain import walk_chain
+from chainloom.operators.storage import scope
 from chainloom.plans import catalog
 from chainloom.plans.views import view
 
@@ -64,9 +65,10 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
 
     def once(fn) -> tuple[float, int]:
-        start = time.perf_counter()
-        n = fn(spark, sf).agg(F.count(F.lit(1))).first()[0] if fn is walk_many else _consume(fn(spark, sf))
-        return time.perf_counter() - start, n
+        with scope(spark):
+            start = time.perf_counter()
+            n = fn(spark, sf).agg(F.count(F.lit(1))).first()[0] if fn is walk_many else _consume(fn(spark, sf))
+            return time.perf_counter() - start, n
 
     def _consume(df) -> int:
         df.write.format("noop").mode("overwrite").save()

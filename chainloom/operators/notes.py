@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from chainloom.functions.text import is_blank, let, one_decimal_kb, trim_blank
 from chainloom.operators.scan import attach, scan, take_first
+from chainloom.operators.storage import materialise
 
 # Note types and the header each is filed under in a file's notes.
 HEADERS = {
@@ -30,6 +31,9 @@ def parse_notes(docs: DataFrame) -> DataFrame:
     marked = scan(
         lines.withColumn("i", F.col("i").cast("bigint")), DOC, "i", lasts={"h": F.when(F.length(header) > 0, F.struct(F.col("i").alias("at"), header.alias("name")))}
     )
+    # Only headers and entries are read on, and twice: written once.
+    used = F.col("h").isNotNull() & ((F.col("h.at") == F.col("i")) | F.startswith("text", F.lit("- ")))
+    marked = materialise(marked.filter(used), "note-lines")
     blocks = marked.filter(F.col("h.at") == F.col("i")).select(*DOC, F.col("h.name").alias("header"), F.col("i").alias("at"))
     kept = blocks.groupBy(*DOC, "header").agg(F.max("at").alias("at"), F.min("at").alias("header_ord"))
     entries = marked.filter(F.col("h").isNotNull() & F.startswith("text", F.lit("- "))).select(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from chainloom.functions.text import clip, first_line, is_blank, trim_blank
 from chainloom.functions.tools import json_arg, tool_call_label
 from chainloom.operators.scan import attach, scan, take_first
+from chainloom.operators.storage import materialise
 
 SEGMENT_SIZE = 200
 # How much a short digest shows; nothing is left out unless they are passed.
@@ -193,6 +194,7 @@ def turn_actions(messages: DataFrame, blocks: DataFrame, order: str = "line") ->
     """
     turned = assign_turn_ids(messages, order).filter(F.col("turn_id") > 0)
     turned = scan(turned, ["conv", "turn_id"], order, totals={"msg_from": ("min", F.col(order))})
+    turned = materialise(turned, "turned")  # read three times below
     inside = turned.filter(F.col(order) > F.col("msg_from")).select("conv", order, "turn_id", "role")
     kind = F.col("type")
     is_action = (F.col("role") == "assistant") & ((kind == "tool_use") | ((kind == "text") & ~is_blank(F.col("text"))))
@@ -201,6 +203,7 @@ def turn_actions(messages: DataFrame, blocks: DataFrame, order: str = "line") ->
     numbered = scan(
         events, ["conv", "turn_id"], [order, "block_idx"], sums={"action_id": F.when(F.col("is_action"), 1).otherwise(0).cast("bigint")}
     )
+    numbered = materialise(numbered, "turn-events")
     said = F.concat(F.left(first_line(F.col("text")), F.lit(200)), F.when(F.length("text") > 200, F.lit("…")).otherwise(F.lit("")))
     actions = numbered.filter("is_action").select(
         "conv",

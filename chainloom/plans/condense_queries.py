@@ -142,7 +142,7 @@ def last_paragraph(spark, sf):
 
 # ---- condensation ---------------------------------------------------------------------------
 
-_BLOCKS = "SELECT *, max(turn_id) OVER (PARTITION BY conv) AS total_turns FROM f3_blocks"
+_BLOCKS = "SELECT * FROM f3_sized"
 
 
 def call_blocks(spark, sf):
@@ -224,7 +224,7 @@ def condense_refetch_summaries(spark, sf):
 
 
 _THINK = """SELECT t.conv, t.line+1 AS pos, t.uuid, 0 AS block_idx, 'thinking' AS type, CASE WHEN (t.conv+t.line)%4=0 THEN '' WHEN t.conv%2=0 THEN replace(t.text, '. ', '.'||chr(10)||' '||chr(10)) ELSE t.text END AS thinking,
-  repeat('s', CAST(100*(t.line%7) + 350*((t.conv+t.line)%4) AS INT)) AS signature, t.turn_id, max(t.turn_id) OVER (PARTITION BY t.conv) AS total_turns FROM f8_turns t"""
+  repeat('s', CAST(100*(t.line%7) + 350*((t.conv+t.line)%4) AS INT)) AS signature, t.turn_id, t.total_turns FROM f8_sized t"""
 
 
 @query(
@@ -242,7 +242,7 @@ def condense_thinking(spark, sf):
 
 
 def _args_rows(spark, sf):
-    m = sql(spark, sf, "SELECT *, max(turn_id) OVER (PARTITION BY conv) AS total_turns FROM f8_turns")
+    m = view(spark, sf, "f8_sized")
     q, k = json_quote(F.col("text")), F.col("conv") % 5
     path = F.concat(F.lit('{"file_path":"/p'), (F.col("conv") % 9).cast("string"), F.lit('"'))
     args = (

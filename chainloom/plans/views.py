@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import re
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from chainloom.operators.scan import attach, scan
 from chainloom.operators.storage import materialise
 
 TABLES = (
@@ -20,6 +24,13 @@ SELECT conv_id AS conv, turn AS line,
   role AS type, conv_id*3600 + turn*60 AS ts, text
 FROM conversations
 """,
+    "f2_sized": "SELECT *, max(line) OVER (PARTITION BY conv) AS mx FROM f1_messages",
+    "f3_numbered": "SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS n FROM events",
+    "f3_sized": "SELECT *, max(turn_id) OVER (PARTITION BY conv) AS total_turns FROM f3_blocks",
+    "f3_lines": "SELECT *, CAST(row_number() OVER (PARTITION BY conv ORDER BY pos, type DESC, uuid) - 1 AS BIGINT) AS line FROM f3_blocks",
+    "f3_linked": "SELECT *, lag(uuid) OVER (PARTITION BY conv ORDER BY line) AS before FROM f3_lines",
+    "f8_sized": "SELECT *, max(turn_id) OVER (PARTITION BY conv) AS total_turns FROM f8_turns",
+    "part_lines": "SELECT *, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS BIGINT) AS line FROM part",
     "f2_messages": """
 SELECT conv, line, uuid,
   CASE WHEN line = 0 THEN NULL
@@ -27,7 +38,7 @@ SELECT conv, line, uuid,
        WHEN conv % 4 = 2 AND line = 2 THEN NULL
        ELSE parent_uuid END AS parent_uuid,
   type, CASE WHEN conv % 4 = 3 AND line = mx AND line >= 2 THEN ts - 60 ELSE ts END AS ts, text
-FROM (SELECT *, max(line) OVER (PARTITION BY conv) AS mx FROM f1_messages) t
+FROM f2_sized
 """,
     "f3_calls_src": """
 SELECT conv, n, event_id, tool, k, turn_id, path, chars,
@@ -40,8 +51,7 @@ FROM (SELECT user_id AS conv, n, event_id, k, CAST(floor((n-1)/10.0) AS BIGINT)+
         CASE WHEN k % 10 = 0 THEN '/repo/MEMORY.md' WHEN k % 10 = 1 THEN '/repo/img'||CAST(k AS STRING)||'.png'
              ELSE '/repo/src/f'||CAST(k % 15 AS STRING)||'.py' END AS path,
         180 + 540 * (CAST(floor(value) AS BIGINT) % 3) AS chars
-      FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS n,
-              CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events) e) x
+      FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM f3_numbered) e) x
 """,
     "f3_blocks": """
 SELECT conv, 2*n-1 AS pos, call_uuid AS uuid, 0 AS block_idx, 'tool_use' AS type, tool_id, tool, args, path, turn_id, CAST(NULL AS STRING) AS result_text FROM f3_calls_src
@@ -49,15 +59,14 @@ UNION ALL
 SELECT conv, 2*n + CASE WHEN event_id % 97 = 0 THEN 10 ELSE 0 END AS pos, result_uuid, 0, 'tool_result', tool_id, CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), turn_id, result_text FROM f3_calls_src
 """,
     "f4_code_lines": """
-SELECT '/src/'||lower(replace(p_brand,'#','_'))||'.py' AS path, p_partkey AS ord,
-  CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS BIGINT) AS line,
+SELECT '/src/'||lower(replace(p_brand,'#','_'))||'.py' AS path, p_partkey AS ord, line,
   CASE p_partkey % 5
     WHEN 0 THEN 'def '||replace(p_name,' ','_')||'_'||CAST(p_size AS STRING)||'(x):'
     WHEN 1 THEN 'class '||replace(p_name,' ','')||CAST(p_size AS STRING)||'(Base):'
     WHEN 2 THEN '    def '||replace(p_name,' ','_')||'(self):'
     WHEN 3 THEN upper(replace(p_name,' ','_'))||' = '||CAST(p_size AS STRING)
     ELSE '    _x = 1' END AS text
-FROM part
+FROM part_lines
 """,
     "f5_queried": """
 SELECT DISTINCT CASE p_partkey % 3
@@ -85,12 +94,10 @@ SELECT DISTINCT conv, turn_id, CASE (conv + turn_id*3) % 4 WHEN 0 THEN 'keep' WH
 FROM f8_turns WHERE (conv*7 + turn_id) % 5 <> 0
 """,
     "f3_messages": """
-SELECT conv, line,  uuid,
-  CASE WHEN conv % 5 = 1 AND line = 24 THEN NULL ELSE lag(uuid) OVER (PARTITION BY conv ORDER BY line) END AS parent_uuid,
-  type, line*10 AS ts, text
-FROM (SELECT conv, CAST(row_number() OVER (PARTITION BY conv ORDER BY pos, type DESC, uuid) - 1 AS BIGINT) AS line, uuid,
-    CASE WHEN type = 'tool_result' THEN 'tool_result' WHEN pos % (4 + 2*(conv % 30)) = 1 THEN 'user' ELSE 'assistant' END AS type,
-    coalesce(result_text, args) AS text FROM f3_blocks) t
+SELECT conv, line, uuid, CASE WHEN conv % 5 = 1 AND line = 24 THEN NULL ELSE before END AS parent_uuid,
+  CASE WHEN type = 'tool_result' THEN 'tool_result' WHEN pos % (4 + 2*(conv % 30)) = 1 THEN 'user' ELSE 'assistant' END AS type,
+  line*10 AS ts, coalesce(result_text, args) AS text
+FROM f3_linked
 """,
     "f3_args": """
 SELECT conv, n, event_id, k, turn_id, 2*n-1 AS pos, call_uuid AS uuid,
@@ -107,13 +114,17 @@ SELECT conv, n, event_id, k, turn_id, 2*n-1 AS pos, call_uuid AS uuid,
   path
 FROM f3_calls_src
 """,
+    "f10_parts": """
+SELECT conv, event_id, n, k, 0 AS sub FROM f3_args WHERE (n + conv) % 10 = 3
+UNION ALL SELECT conv, event_id, n, k, 1 FROM f3_args UNION ALL SELECT conv, event_id, n, k, 2 FROM f3_args
+""",
+    "f10_lines": "SELECT *, CAST(row_number() OVER (PARTITION BY conv ORDER BY n, sub) - 1 AS BIGINT) AS line FROM f10_parts",
     "f10_rows": """
-SELECT conv, event_id, n, k, sub, CAST(row_number() OVER (PARTITION BY conv ORDER BY n, sub) - 1 AS BIGINT) AS line,
+SELECT conv, event_id, n, k, sub, line,
   CASE sub WHEN 0 THEN 'p' WHEN 1 THEN 'c' ELSE 'r' END||CAST(event_id AS STRING) AS uuid,
   CASE sub WHEN 1 THEN 'assistant' ELSE 'user' END AS role,
   CASE WHEN sub = 0 THEN 'prompt '||repeat('please ', CAST(k AS INT))||'end' END AS text
-FROM (SELECT conv, event_id, n, k, 0 AS sub FROM f3_args WHERE (n + conv) % 10 = 3
-  UNION ALL SELECT conv, event_id, n, k, 1 FROM f3_args UNION ALL SELECT conv, event_id, n, k, 2 FROM f3_args) t
+FROM f10_lines
 """,
     "f10_blocks": """
 SELECT r.conv, r.line, r.uuid, 0 AS block_idx, 'text' AS type, CAST(NULL AS STRING) AS tool, CAST(NULL AS STRING) AS args,
@@ -132,8 +143,8 @@ FROM f10_rows r WHERE r.sub = 2 AND r.k % 6 < 2
 """,
     "f6_names": """
 SELECT p_partkey AS ord, replace(p_name,' ','_')||'_'||CAST(p_partkey % 400 AS STRING) AS nm, upper(replace(p_name,' ','_')) AS upnm, p_size,
-  '/src/'||lower(replace(p_brand,'#','_')) AS stem, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS BIGINT) AS line
-FROM part
+  '/src/'||lower(replace(p_brand,'#','_')) AS stem, line
+FROM part_lines
 """,
     "f6_js_lines": """
 SELECT 'app' AS project, stem||CASE WHEN p_size % 2 = 0 THEN '.ts' ELSE '.js' END AS path, CASE WHEN p_size % 2 = 0 THEN 'typescript' ELSE 'javascript' END AS lang, ord, line,
@@ -199,6 +210,36 @@ SELECT conv, CASE conv % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'large' ELSE 'unknown
 """,
 }
 
+_MONTH = 30 * 24 * 3600
+
+
+def _greatest(rows: DataFrame, column: str, order: str, name: str) -> DataFrame:
+    """``rows`` with the greatest ``column`` of their conversation."""
+    return attach(rows, rows.groupBy("conv").agg(F.max(column).alias(name)), ["conv"], order)
+
+
+def _numbered(rows: DataFrame, key: str, order: str | list[str], name: str, first: int = 0, **options) -> DataFrame:
+    out = scan(rows, [key], order, sums={name: F.lit(1).cast("bigint")}, **options)
+    return out.withColumn(name, F.col(name) - 1 + first)
+
+
+# The views above that look at a whole key, for Spark: no key has to fit into one task.  ``of`` gives a table or view.
+SPREAD: dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]] = {
+    "f2_sized": lambda of: _greatest(of("f1_messages"), "line", "line", "mx"),
+    "f3_numbered": lambda of: _numbered(
+        of("events").withColumn("second", F.unix_seconds(F.col("ts").cast("timestamp"))), "user_id", ["second", "ts", "event_id"], "n", 1, chunk=_MONTH
+    ).drop("second"),
+    "f3_sized": lambda of: _greatest(of("f3_blocks"), "turn_id", "pos", "total_turns"),
+    "f3_lines": lambda of: _numbered(of("f3_blocks").withColumn("late", F.col("type") != "tool_use"), "conv", ["pos", "late", "uuid"], "line").drop("late"),
+    "f3_linked": lambda of: scan(of("f3_lines"), ["conv"], "line", prevs={"before": F.col("uuid")}),
+    "f8_turns": lambda of: scan(
+        of("f1_messages"), ["conv"], "line", sums={"turn_id": F.when((F.col("type") == "user") | (F.col("line") == 0), 1).otherwise(0).cast("bigint")}
+    ),
+    "f8_sized": lambda of: _greatest(of("f8_turns"), "turn_id", "line", "total_turns"),
+    "f10_lines": lambda of: _numbered(of("f10_parts"), "conv", ["n", "sub"], "line"),
+    "part_lines": lambda of: _numbered(of("part"), "p_brand", "p_partkey", "line", 1),
+}
+
 # Recursive views for the oracle engine only: Spark walks the chain with chainloom.operators.chain.
 ORACLE_VIEWS: dict[str, str] = {
     "f2_leaf": """
@@ -276,7 +317,11 @@ def query(spark: SparkSession, sf_dir: str, sql: str, staged: tuple[str, ...] =
 
 
 def _over(spark: SparkSession, sf_dir: str, sql: str, staged: tuple[str, ...]) -> DataFrame:
-    text = with_views(sql, staged)
+    built = tuple(n for n in _needs(sql, staged) if n in SPREAD)
+    for i, name in enumerate(built):
+        before = (*staged, *built[:i])
+        SPREAD[name](lambda n, before=before: _over(spark, sf_dir, f"SELECT * FROM {n}", before)).createOrReplaceTempView(name)
+    text = with_views(sql, (*staged, *built))
     load_tables(spark, sf_dir, text)
     return spark.sql(text)
 
