@@ -10,13 +10,14 @@ import pytest
 duckdb = pytest.importorskip("duckdb")
 
 import __spark_entry__ as entry
+from chainloom.plans import catalog, views
 
 SF = "/root/testdata/sf0.001"
 SPREAD = (
-    "context_status", "segment_tools", "turn_skeleton", "inspect_verdicts", "rewrite", "sandwich_report", "explode_blocks",
+    "context_status", "segment_tools", "turn_skeleton", "inspect_verdicts", "rewrite", "written_prune", "rendered_notes", "canonical_checksum", "sandwich_report", "explode_blocks",
     "condense_state_summary", "score_to_action", "plan_checksum", "extract_js", "overview_routes", "bad_routes", "add_notes", "search_notes",
 )
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 NAMES = list(QUERIES) if os.environ.get("CHAINLOOM_ALL") else [n for n in SPREAD if n in QUERIES]
 
 
@@ -51,3 +52,9 @@ def test_query(spark, con, name):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert QUERIES.items() <= entry.queries().items() and ORACLES.items() <= entry.oracle_sql().items()
+
+
+def test_no_view_looks_at_a_whole_key_in_spark():
+    whole = {name for name, text in views.VIEWS.items() if "OVER (" in text}
+    assert whole == set(views.SPREAD)
