@@ -69,15 +69,18 @@ def training_row(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder
 
 
+FOUND = "doc_id long, found array<struct<kind string, start int, stop int, base boolean>>"
+
+
 def span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """Of (doc_id, found): counts of the base ``kinds``, the checksum of their spans, and all spans as text."""
+    """Of (doc_id, found): counts and checksum of the base spans, by ``kinds``, and all spans as text."""
 
     def text(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
     def of(kind: str):
-        return F.filter("found", lambda s: s["kind"] == kind)
+        return F.filter("found", lambda s: s["base"] & (s["kind"] == kind))
 
-    base = F.filter("found", lambda s: s["kind"].isin(*kinds))
+    base = F.filter("found", lambda s: s["base"])
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in kinds]
     return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("found")).alias("spans"))

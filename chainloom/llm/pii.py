@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import bounded_sample, map_rows, whole_text
+from chainloom.llm.common import FOUND, bounded_sample, map_rows, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
@@ -403,11 +403,15 @@ def fit(docs: DataFrame, *, documents: int = 1500, id_col: str = "doc_id", text_
 
 
 def scan(docs: DataFrame, model: Tagger, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, found: array of (kind, start, stop), of every document."""
+    """doc_id, found: array of (kind, start, stop, base), of every document; base is false where the network alone found it."""
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        found = [sorted(s, key=lambda x: (x[1], KINDS.index(x[0]), x[2])) for s in model.spans(cols["text"])]
-        return {"doc_id": cols["doc_id"], "found": [[{"kind": k, "start": a, "stop": b} for k, a, b in s] for s in found]}
+        found = []
+        for text, spans in zip(cols["text"], model.spans(cols["text"]), strict=True):
+            rules = set(base_spans(text))
+            spans = sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+            found.append([{"kind": k, "start": a, "stop": b, "base": (k, a, b) in rules} for k, a, b in spans])
+        return {"doc_id": cols["doc_id"], "found": found}
 
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return map_rows(narrow, run, "doc_id long, found array<struct<kind string, start int, stop int>>")
+    return map_rows(narrow, run, FOUND)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import map_rows, whole_text
+from chainloom.llm.common import FOUND, map_rows, whole_text
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "pem", "token", "key", "encoded")
@@ -170,17 +170,17 @@ def joined(spans: list[Span]) -> str:
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, found: array of (kind, start, stop), of every document."""
+    """doc_id, found: array of (kind, start, stop, base), of every document."""
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         found = []
         for text in cols["text"]:
             spans = ordered([*base_spans(text), *confirmed_spans(text)])
-            found.append([{"kind": k, "start": a, "stop": b} for k, a, b in spans])
+            found.append([{"kind": k, "start": a, "stop": b, "base": k in BASE_KINDS} for k, a, b in spans])
         return {"doc_id": cols["doc_id"], "found": found}
 
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return map_rows(narrow, run, "doc_id long, found array<struct<kind string, start int, stop int>>")
+    return map_rows(narrow, run, FOUND)
 
 
 def masked(text: str) -> str:
