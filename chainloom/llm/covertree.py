@@ -63,15 +63,13 @@ def cover_tree(points: np.ndarray, at: np.ndarray | None = None, center: np.ndar
 
 
 class _Search:
-    """Best lists of one cell; ``codes`` order candidates by score, then by smaller id."""
+    """Best lists of one cell.  ``codes`` order candidates by score, then by place: rows are in order of their ids."""
 
-    def __init__(self, queries: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int, slack: float):
-        self.queries, self.rows, self.own, self.k, self.slack = queries, rows, own, k, slack
-        self.codes = np.empty((len(queries), 0), queries.dtype)
-        self.lowest = np.iinfo(np.int64).min if queries.dtype == np.int64 else -np.inf
-        self.codes = np.full((len(queries), k), self.lowest, queries.dtype)
-        self.worst = np.full(len(queries), -np.inf)
+    def __init__(self, queries: np.ndarray, rows: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, slack: float = 1e-9):
+        self.queries, self.rows, self.own, self.ids, self.k, self.slack = queries, rows, own, ids, k, slack
         self.scale = max(1, len(rows))
+        self.codes = np.full((len(queries), k), -np.inf)
+        self.worst = np.full(len(queries), -np.inf)
 
     def bound(self, q: Node, r: Node) -> float:
         between = float((q.center * r.center).sum())
@@ -82,22 +80,48 @@ class _Search:
         if self.bound(q, r) < self.worst[q.at].min():
             return
         if not q.children and not r.children:
-            return self.meet(q.at, r.at)
+            for s in range(0, len(q.at), 256):
+                self.meet(q.at[s : s + 256], r.at)
+            return
         pairs = [(a, b) for a in q.children or [q] for b in r.children or [r]]
         for a, b in sorted(pairs, key=lambda p: -self.bound(*p)):
             self.visit(a, b)
 
     def meet(self, q: np.ndarray, r: np.ndarray) -> None:
-        for s in range(0, len(q), 256):
-            part = q[s : s + 256]
-            codes = (self.queries[part] @ self.rows[r].T) * self.scale - r  # rows are in order of their ids
-            codes[self.own[part][:, None] == self.ids[r]] = self.lowest
-            codes = np.concatenate((self.codes[part], codes), axis=1)
-            if codes.shape[1] > self.k:
-                codes = -np.partition(-codes, self.k - 1, axis=1)[:, : self.k] if codes.dtype != np.int64 else np.sort(codes, axis=1)[:, -self.k :]
-            self.codes[part] = codes
-            low = codes.min(axis=1)
-            self.worst[part] = np.where(low == self.lowest, -np.inf, np.ceil(low.astype(np.float64) / self.scale))
+        codes = (self.queries[q] @ self.rows[r].T) * self.scale - r
+        codes[self.own[q][:, None] == self.ids[r]] = -np.inf
+        codes = np.concatenate((self.codes[q], codes), axis=1)
+        self.codes[q] = codes = -np.partition(-codes, self.k - 1, axis=1)[:, : self.k]
+        self.worst[q] = np.ceil(codes.min(axis=1) / self.scale)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, place and score of all entries."""
+        at, _ = np.nonzero(np.isfinite(self.codes))
+        codes = self.codes[np.isfinite(self.codes)]
+        scores = np.ceil(codes / self.scale)
+        return at, (scores * self.scale - codes).astype(np.int64), scores.astype(np.int64)
+
+
+class _WideSearch(_Search):
+    """The same for numbers whose codes doubles cannot hold: scores and places are kept apart."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.scores = np.full(self.codes.shape, np.iinfo(np.int64).min)
+        self.places = np.full(self.codes.shape, -1)
+
+    def meet(self, q: np.ndarray, r: np.ndarray) -> None:
+        scores = self.queries[q] @ self.rows[r].T
+        places = np.broadcast_to(r, scores.shape)
+        places = np.where(self.own[q][:, None] == self.ids[r], -1, places)
+        scores, places = np.concatenate((self.scores[q], scores), axis=1), np.concatenate((self.places[q], places), axis=1)
+        order = np.lexsort((places, ~scores, places < 0))[:, : self.k]
+        self.scores[q], self.places[q] = np.take_along_axis(scores, order, 1), np.take_along_axis(places, order, 1)
+        self.worst[q] = np.where(self.places[q][:, -1] < 0, -np.inf, self.scores[q][:, -1])
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at, _ = np.nonzero(self.places >= 0)
+        return at, self.places[self.places >= 0], self.scores[self.places >= 0]
 
 
 def search_cell(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,14 +129,10 @@ def search_cell(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray,
     order = np.argsort(row_ids, kind="stable")
     row_ids, rows = row_ids[order], rows[order]
     most = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, rows.shape[1]) * max(1, len(rows))
-    kind = np.float64 if most < 2**52 else np.int64
-    search = _Search(queries.astype(kind), rows.astype(kind), query_ids, k, 1e-9)
-    search.ids = row_ids
-    search.visit(cover_tree(queries.astype(np.float64)), cover_tree(rows.astype(np.float64)))
-    at, _ = np.nonzero(search.codes != search.lowest)
-    codes = search.codes[search.codes != search.lowest]
-    scores = np.ceil(codes / search.scale).astype(np.int64) if kind is np.float64 else -(-codes // search.scale)
-    place = (scores * search.scale - codes).astype(np.int64)
+    kind, search = (np.float64, _Search) if most < 2**52 else (np.int64, _WideSearch)
+    cell = search(queries.astype(kind), rows.astype(kind), query_ids, row_ids, k)
+    cell.visit(cover_tree(queries.astype(np.float64)), cover_tree(rows.astype(np.float64)))
+    at, place, scores = cell.found()
     return query_ids[at], row_ids[place], scores
 
 

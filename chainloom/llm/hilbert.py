@@ -13,7 +13,7 @@ defaults are set for that worst case.  For clustered data raise ``windows``.
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without
 an id; vectors of different length are not compared; a row is not a candidate of a query with its own id; ties go to the
 smaller id; repeated query rows count once, repeated candidates each once per curve and at most once in a result; fewer than
-``k`` candidates give all of them if they lie in the windows; an empty table gives an empty result.
+``k`` candidates give all of them (a small table is one window); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from chainloom.operators.storage import materialise
 
 CURVES, WINDOWS, REACH = 10, 20, 1
 DIRECTIONS, BITS = 4, 8
+LEAST_ROWS = 64  # of a window: smaller tables have fewer windows, the smallest one
 BLOCK = 4096
 
 
@@ -102,7 +103,8 @@ def nearest(
     valid = valid_vectors(table, id_col, vector_col)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     rows = valid.withColumn("norm", norm).filter("norm > 0").withColumn("dim", F.size("v"))
-    longest = rows.agg(F.max("norm")).first()[0] or 1.0
+    longest, count = rows.agg(F.max("norm"), F.count(F.lit(1))).first()
+    longest, windows = longest or 1.0, max(1, min(windows, count // LEAST_ROWS))
 
     def keyed(cols: dict[str, list]) -> dict[str, list]:
         keys: list = [None] * len(cols["vec_id"])
@@ -116,7 +118,8 @@ def nearest(
     rows = materialise(map_rows(rows.select("vec_id", "v", "dim"), keyed, schema), "curve-rows")
     placed = rows.select("vec_id", "v", "dim", F.posexplode("keys").alias("curve", "key"))
     shares = [i / windows for i in range(1, windows)]
-    cuts = placed.groupBy("dim", "curve").agg(F.percentile_approx("key", shares, 2000).alias("cuts"))
+    quantiles = F.percentile_approx("key", shares, 2000) if shares else F.lit([]).cast("array<long>")
+    cuts = placed.groupBy("dim", "curve").agg(quantiles.alias("cuts"))
     placed = placed.join(F.broadcast(cuts), ["dim", "curve"])  # one row for each curve and vector length
     window = F.size(F.filter("cuts", lambda c: c < F.col("key")))
     placed = materialise(placed.select("vec_id", "v", "dim", "curve", window.alias("window")), "curve-windows")

@@ -59,8 +59,7 @@ def test_nodes_cover_their_points_and_pruning_happens():
         todo += node.children
         seen += not node.children
     met = []
-    search = covertree._Search(np.round(x[:200]), np.round(x), np.arange(200), 5, 1e-9)
-    search.ids = np.arange(2000)
+    search = covertree._Search(np.round(x[:200]), np.round(x), np.arange(200), np.arange(2000), 5)
     meet = search.meet
     search.meet = lambda q, r: (met.append(len(q) * len(r)), meet(q, r))
     search.visit(covertree.cover_tree(np.round(x[:200])), covertree.cover_tree(np.round(x)))
@@ -125,6 +124,12 @@ def test_recall_against_brute_force(spark, kind):
     assert np.mean(hits) >= 0.9
 
 
+def test_fewer_candidates_than_asked_for_are_all_returned(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(15)]
+    assert [v for q, _, v, _ in collected(hilbert.nearest(vectors(spark, rows)))] and len(collected(hilbert.nearest(vectors(spark, rows)))) == 14
+
+
 def test_equal_vectors_tie_to_smaller_ids(spark):
     rows = [(i, [0.6, 0.8]) for i in range(100)]
     got = collected(hilbert.nearest(vectors(spark, rows)))
