@@ -12,9 +12,10 @@ are fetched.
 
 Skew.  Equal texts are one node from the start (aggregated map-side).  Every node is first aligned with one other, the
 first node of its buckets; groups of copies are classes after that, and only pairs of different classes are looked at
-again: all pairs in a bucket of at most SMALL nodes, each node with the bucket's first in a larger one.  Texts that remain
-apart from the first of many large buckets (they share a long passage with thousands of others) go into buckets of two,
-four ... shared sketches and through the same steps, until no such text is left.  No bucket is collected or cut short.
+again: all pairs in a bucket of at most SMALL nodes, each node with the bucket's first in a larger one.  A text with some k-mers
+of its own meets its copies in small buckets.  Texts that meet others almost only in large buckets, and are apart from their
+first nodes, go into buckets of two, four ... shared sketches and through the same steps, until none is left.  No bucket is
+collected or cut short.
 
 Defined results: a null text is empty; texts without any word are copies only of equal texts; texts of fewer than five
 words have one k-mer, all their words; repeated rows fall in one class; a class is named by its smallest doc_id; null
@@ -40,7 +41,7 @@ SKETCHES = 24
 SIMILARITY = 0.8
 SMALL = 24
 LEAST_AGREEING = 11  # of the SKETCHES minima: fewer agree for a Jaccard overlap of 0.8 once in 20,000 pairs
-LEAST_SHARED = 6  # of the SKETCHES: fewer are shared at an overlap of 0.8 once in 500 pairs
+LEAST_SHARED = 18  # large buckets: with fewer, texts of overlap 0.8 also meet in a small one, all but once in 100 pairs
 BROADCAST_ROWS = 200_000  # of 32 bytes
 PAIRS_AT_ONCE = 2048
 WORD = re.compile(r"\w+")
@@ -308,7 +309,7 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "omh-pairs")
         tried = pairs if tried is None else tried.union(pairs)
         found.append(materialise(_verified(pairs, nodes, docs, id_col, text_col), "omh-more"))
-        # Similar texts share about half of all sketches; only texts that meet in large buckets alone are open.
+        # Similar texts share about half of their sketches, so few large buckets leave a small one to meet in.
         alone = large.join(found[-1], ["a", "b"], "left_anti")
         open_keys = alone.groupBy("b").agg(F.collect_set(F.struct("at", "key")).alias("open")).filter(F.size("open") >= LEAST_SHARED)
         open_keys = materialise(open_keys, "omh-open")
