@@ -1,7 +1,7 @@
 """Caller-supplied functions over many rows: block summaries and turn scores.
 
-The function is called once per row inside ``mapInPandas``; the number of partitions is the
-number of calls in flight.  Results are written once before use, since a second evaluation
+The function is called once per row inside ``mapInPandas``; rows are dealt to small tasks, and
+each task has a few calls in flight.  Results are written once before use, since a second evaluation
 could answer differently.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,6 +33,21 @@ ARTIFACT = (
 ARTIFACT_FIELDS = ("kind", "path", "snippet_chars", "what_changed_brief", "name", "args_brief", "text", "target")
 
 
+CALLS_PER_TASK = 200  # what a lost task repeats at most
+
+
+def _dealt(given: DataFrame) -> DataFrame:
+    """Rows dealt to as many tasks as their number asks for; how many run at once is the cluster's matter."""
+    given = materialise(given, "calls-due")
+    return given.repartition(max(1, -(-given.count() // CALLS_PER_TASK)))
+
+
+def _answers(fn: Callable[[tuple], list], rows: Iterator[tuple], concurrency: int) -> list[list]:
+    """``fn`` of every row in order, ``concurrency`` at a time."""
+    with ThreadPoolExecutor(max_workers=concurrency) as pool:
+        return list(pool.map(fn, rows))
+
+
 class RateLimited(Exception):
     """Raised by a caller's function when the service asks to wait."""
 
@@ -61,22 +77,23 @@ def summarize_blocks(
     """(conv, uuid, block_idx, summary, fallback, error, usage…) for targets with tool, args, content.
 
     ``fn(tool, args, content)`` returns {"summary": str, "usage": {...}}.  When it fails the
-    section summary stands in.
+    section summary stands in.  Each task has ``concurrency`` calls in flight.
     """
     conv_type = dict(targets.dtypes)["conv"]
     schema = f"conv {conv_type}, uuid string, block_idx int, heads string, summary string, error string, " + ", ".join(f"{u} bigint" for u in USAGE)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(r) -> list:
+            answer, error = call_with_retry(fn, (r.tool, r.args, r.content), tries, wait, longest)
+            text = (answer or {}).get("summary")
+            return [r.conv, r.uuid, r.block_idx, r.heads, text, error if text is not None or error else "no summary", *_usage(answer)]
+
         for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                answer, error = call_with_retry(fn, (r.tool, r.args, r.content), tries, wait, longest)
-                text = (answer or {}).get("summary")
-                rows.append([r.conv, r.uuid, r.block_idx, r.heads, text, error if text is not None or error else "no summary", *_usage(answer)])
+            rows = _answers(one, batch.itertuples(index=False), concurrency)
             yield pd.DataFrame(rows, columns=["conv", "uuid", "block_idx", "heads", "summary", "error", *USAGE])
 
     given = targets.select("conv", "uuid", F.col("block_idx").cast("int").alias("block_idx"), "tool", "args", "content", section_summary(F.col("content")).alias("heads"))
-    answers = materialise(given.repartition(concurrency).mapInPandas(run, schema), "summaries")
+    answers = materialise(_dealt(given).mapInPandas(run, schema), "summaries")
     fallback = F.col("summary").isNull()
     return answers.select(
         "conv", "uuid", "block_idx", F.coalesce("summary", "heads").alias("summary"), fallback.alias("fallback"), "error", *USAGE
@@ -113,18 +130,19 @@ def score_turns(
     fields = ("type", "summary", "key_artifacts", "duplicate_signal", "lesson", "importance", "value_score")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(r) -> list:
+            answer, error = call_with_retry(fn, (int(r.turn_id), r.skeleton), tries, wait, longest)
+            error = error or check_score(answer or {})
+            kept = {} if error else dict(answer)
+            if kept:
+                kept["key_artifacts"] = [{k: a.get(k) for k in ARTIFACT_FIELDS} for a in kept.get("key_artifacts") or []]
+            return [r.conv, r.turn_id, *[kept.get(f) for f in fields], error, *_usage(answer)]
+
         for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                answer, error = call_with_retry(fn, (int(r.turn_id), r.skeleton), tries, wait, longest)
-                error = error or check_score(answer or {})
-                kept = {} if error else dict(answer)
-                if kept:
-                    kept["key_artifacts"] = [{k: a.get(k) for k in ARTIFACT_FIELDS} for a in kept.get("key_artifacts") or []]
-                rows.append([r.conv, r.turn_id, *[kept.get(f) for f in fields], error, *_usage(answer)])
+            rows = _answers(one, batch.itertuples(index=False), concurrency)
             out = pd.DataFrame(rows, columns=["conv", "turn_id", *fields, "error", *USAGE])
             out["value_score"] = out["value_score"].astype("Int32")
             yield out
 
     given = skeletons.select("conv", F.col("turn_id").cast("bigint").alias("turn_id"), "skeleton")
-    return materialise(given.repartition(concurrency).mapInPandas(run, schema), "turn-scores")
+    return materialise(_dealt(given).mapInPandas(run, schema), "turn-scores")

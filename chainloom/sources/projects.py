@@ -79,50 +79,71 @@ def over_limits(listing: DataFrame, ignored: DataFrame | None = None, **limits:
     return select_files(listing, ignored).join(select_files(listing, ignored, **limits).select("project", "path"), ["project", "path"], "left_anti")
 
 
+def _files(spark: SparkSession, root: str) -> None:
+    """Tasks on other machines cannot open a path without a scheme."""
+    if "://" not in root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("give the folder with its scheme: tasks on other machines have to open it")
+
+
+def _open(root: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+
+
+_LISTED = "path string, is_dir boolean, size bigint, modified bigint, uri string"
+
+
 def list_projects(spark: SparkSession, root: str) -> DataFrame:
-    """(project, path, size, modified, uri) of all files below every folder of ``root``.
+    """(project, path, size, modified, uri) of the files below every folder of ``root``.
 
     The file reader of Spark passes over names that begin with '.' or '_', and packages are full
-    of those, so the folders are listed in tasks, one project each.
+    of those, so the folders are listed in tasks: one level after the other, each folder by itself.
+    Folders that hold no source are not entered.
     """
-    fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
-    projects = [e.base_name for e in fs.get_file_info(pafs.FileSelector(base)) if e.type == pafs.FileType.Directory]
+    _files(spark, root)
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files, top = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+    def children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, top = _open(root)
         for batch in batches:
-            for project in batch["project"]:
-                start = f"{top.rstrip('/')}/{project}"
-                found = [e for e in files.get_file_info(pafs.FileSelector(start, recursive=True)) if e.type == pafs.FileType.File]
+            for folder in batch["folder"]:
+                found = files.get_file_info(pafs.FileSelector(f"{top.rstrip('/')}/{folder}".rstrip("/")))
                 yield pd.DataFrame(
-                    {
-                        "project": project,
-                        "path": [e.path[len(start) + 1 :] for e in found],
-                        "size": [e.size for e in found],
-                        "modified": [int(e.mtime.timestamp()) for e in found],
-                        "uri": [e.path for e in found],
-                    }
+                    [
+                        (f"{folder}/{e.base_name}".lstrip("/"), e.type == pafs.FileType.Directory, e.size or 0, int(e.mtime.timestamp()) if e.mtime else 0, e.path)
+                        for e in found
+                    ],
+                    columns=["path", "is_dir", "size", "modified", "uri"],
                 )
 
-    folders = spark.createDataFrame([(p,) for p in projects], "project string")
-    listing = folders.repartition(max(1, len(projects)), "project").mapInPandas(
-        walk, "project string, path string, size bigint, modified bigint, uri string"
+    folders, levels = spark.createDataFrame([("",)], "folder string"), []
+    while True:
+        level = materialise(folders.repartition("folder").mapInPandas(children, _LISTED), "folders")
+        levels.append(level.filter("NOT is_dir"))
+        name = F.substring_index("path", "/", -1)
+        inner = F.contains("path", F.lit("/"))  # projects may have any name
+        folders = level.filter(F.col("is_dir") & ~(inner & (_hidden(name) | name.isin(*SKIP_DIRS)))).select(F.col("path").alias("folder"))
+        if folders.isEmpty():
+            break
+    listing = levels[0]
+    for level in levels[1:]:
+        listing = listing.unionByName(level)
+    cut = F.instr("path", "/")
+    return listing.filter(cut > 0).select(
+        F.substring_index("path", "/", 1).alias("project"), F.substr("path", cut + 1).alias("path"), "size", F.to_date(F.timestamp_seconds("modified")).alias("modified"), "uri"
     )
-    return listing.withColumn("modified", F.to_date(F.timestamp_seconds("modified")))
 
 
 def read_files(listing: DataFrame, root: str, column: str = "content") -> DataFrame:
-    """Add the text of each listed file; files are read in tasks, spread by path."""
+    """Add the text of each listed file; files are read in tasks, spread by path, one in memory at a time."""
+    _files(listing.sparkSession, root)
     schema = f"{', '.join(f'{n} {t}' for n, t in listing.dtypes)}, {column} string"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files = pafs.FileSystem.from_uri(root)[0] if "://" in root else pafs.LocalFileSystem()
+        files, _ = _open(root)
         for batch in batches:
-            texts = []
-            for uri in batch["uri"]:
+            for i, uri in enumerate(batch["uri"]):
                 with files.open_input_stream(uri) as f:
-                    texts.append(f.read().decode("utf-8", errors="replace"))
-            yield batch.assign(**{column: texts})
+                    text = f.read().decode("utf-8", errors="replace")
+                yield batch.iloc[[i]].assign(**{column: [text]})
 
     return listing.repartition("project", "path").mapInPandas(read, schema)
 
