@@ -7,7 +7,7 @@ from chainloom.operators import codecheck as cc
 from chainloom.operators import notes as nt
 from chainloom.operators import symbols as sy
 from chainloom.sources.notes import scan_notes
-from chainloom.sources.projects import scan_project
+from chainloom.sources.projects import INTERACTIVE, scan_project
 
 LINE = "project string, path string, lang string, line bigint, ord bigint, text string"
 
@@ -113,7 +113,8 @@ def test_project_scan(spark, tmp_path):
         p = root / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(text)
-    got = scan_project(spark, str(root))
+    assert ("one", "big.py") in rows(scan_project(spark, str(root)), "project", "path")  # no limit is the default
+    got = scan_project(spark, str(root), **INTERACTIVE)
     assert rows(got, "project", "path", "lang", "lines") == [("one", "pkg/__init__.py", "python", 2), ("one", "src/B.js", "javascript", 1), ("one", "src/a.py", "python", 3), ("two", "gen/e.go", "go", 2)]
     reg = sy.build_registry(sy.extract_symbols(sy.explode_lines(got)))
     assert rows(reg, "project", "name", "line") == [("one", "VERSION", 1), ("one", "a", 1)]
