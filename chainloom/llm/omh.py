@@ -7,15 +7,18 @@ alignment of their words decides: they are linked if 1 - edits / longer length i
 connected components of the links.
 
 With ORDER = 3 and SKETCHES = 24 a pair whose k-mers overlap by 0.8 (Jaccard) is missed with probability 4e-8, by 0.6 with
-0.3 %.  Candidates whose sketch minima agree too rarely, or whose lengths differ too much, are dropped before the texts
-are fetched.
+0.3 %.  Edits spread over the text leave fewer k-mers whole, so the smallest k-mers of the first SINGLES sketches are keys of
+their own: they are shared with a probability equal to the overlap, not to its third power.
+
+Every pair that shares a sketch and is in different classes is decided: by its lengths, by its word counts or by alignment.
+Word counts are kept in BINS bins a text.  An edit changes them by two at most, so a pair whose counts differ by more than
+twice the edits allowed cannot be similar; no similar pair is dropped by that.
 
 Skew.  Equal texts are one node from the start (aggregated map-side).  Every node is first aligned with one other, the
-first node of its buckets; groups of copies are classes after that, and only pairs of different classes are looked at
-again: all pairs in a bucket of at most SMALL nodes, each node with the bucket's first in a larger one.  A text with some k-mers
-of its own meets its copies in small buckets.  Texts that meet others almost only in large buckets, and are apart from their
-first nodes, go into buckets of two, four ... shared sketches and through the same steps, until none is left.  No bucket is
-collected or cut short.
+first node of its buckets, then with the first node of each large bucket; groups of copies are classes after that, and only
+pairs of different classes are looked at again: all pairs in every bucket.  Buckets of more than SMALL nodes are split by
+length and dealt into cells of about CELL nodes; pairs of cells are compared in one task each and only pairs that the word
+counts leave open become rows.  The comparisons still grow with the square of the texts that share a passage and a length.
 
 Defined results: a null text is empty; texts without any word are copies only of equal texts; texts of fewer than five
 words have one k-mer, all their words; repeated rows fall in one class; a class is named by its smallest doc_id; null
@@ -24,10 +27,12 @@ doc_ids keep their row and count as larger than any other; an empty table gives
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,11 +44,12 @@ K = 5
 ORDER = 3
 SKETCHES = 24
 SIMILARITY = 0.8
+SINGLES = 0
+BINS = 128
 SMALL = 24
-LEAST_AGREEING = 11  # of the SKETCHES minima: fewer agree for a Jaccard overlap of 0.8 once in 20,000 pairs
-LEAST_SHARED = 18  # large buckets: with fewer, texts of overlap 0.8 also meet in a small one, all but once in 100 pairs
+CELL = 2048
 BROADCAST_ROWS = 200_000  # of 32 bytes
-PAIRS_AT_ONCE = 2048
+PAIRS_AT_ONCE = 512
 WORD = re.compile(r"\w+")
 _SEEDS = np.random.default_rng(20240229).integers(1, 2**63, size=(2, SKETCHES), dtype=np.uint64)
 _XOR, _ODD = _SEEDS[0], _SEEDS[1] * np.uint64(2) + np.uint64(1)
@@ -54,7 +60,7 @@ class _WordHashes(dict):
     """64-bit hashes of words; forgets all when it gets large, so memory is bounded."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value
@@ -103,7 +109,7 @@ def _smallest(v: np.ndarray, take: int) -> np.ndarray:
 
 
 def sketch(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A key for each sketch, and one byte of each sketch's smallest hash."""
+    """Keys of the sketches, then of the smallest k-mers of the first SINGLES of them; and the word counts."""
     kmers = labelled_kmers(words)
     take = min(ORDER, len(kmers))
     keys, low = np.zeros(SKETCHES, np.uint64), np.zeros(SKETCHES, np.uint64)
@@ -116,7 +122,25 @@ def sketch(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         chosen = kmers[at]
         for j in range(take):
             keys[s : s + step] = keys[s : s + step] * _STEP + chosen[:, j]
-    return _mixed(keys + np.arange(1, SKETCHES + 1, dtype=np.uint64) * _STEP), low & np.uint64(0xFF)
+    keys = np.r_[keys, low[:SINGLES]]
+    return _mixed(keys + np.arange(1, len(keys) + 1, dtype=np.uint64) * _STEP), word_counts(words)
+
+
+def word_counts(words: np.ndarray) -> np.ndarray:
+    """Words by bin, at most 255 of each."""
+    return np.minimum(np.bincount((_mixed(words) % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+
+
+def _allowed(longest: np.ndarray) -> np.ndarray:
+    """Edits that leave texts of so many words similar."""
+    return (longest * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Words of both, repeats counted."""
+    (x, n), (y, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum())
 
 
 def _banded(pairs: Sequence[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
@@ -178,25 +202,25 @@ def similarities(pairs: Sequence[tuple[np.ndarray, np.ndarray]], least: float =
                 p, _, _, longest, allowed = item
                 if edits <= min(band, allowed):
                     found[p] = 1 - edits / longest
-                elif band < allowed:
+                elif band < allowed and (band > 16 or max(len(item[1]), len(item[2])) - _common(item[1], item[2]) <= allowed):
                     later.append(item)
             start = end
         todo, band = later, band * 4
     return found
 
 
-_ROWS = "doc_id long, node binary, words int, keys array<long>, low array<short>"
+_ROWS = "doc_id long, node binary, words int, keys array<long>, counts binary"
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(cols: dict[str, list]) -> dict[str, list]:
-        out = {"doc_id": cols["doc_id"], "node": cols["node"], "words": [], "keys": [], "low": []}
+        out = {"doc_id": cols["doc_id"], "node": cols["node"], "words": [], "keys": [], "counts": []}
         for text in cols["text"]:
             words = word_hashes(text)
-            keys, low = sketch(words) if len(words) else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+            keys, counts = sketch(words) if len(words) else (np.zeros(0, np.uint64), np.zeros(BINS, np.uint8))
             out["words"].append(len(words))
             out["keys"].append(keys.view(np.int64))
-            out["low"].append(low.astype(np.int16))
+            out["counts"].append(counts.tobytes())
         return out
 
     return map_rows(_with_node(docs, id_col, text_col), run, _ROWS)
@@ -217,12 +241,18 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     """The pairs (a, b) whose alignment is similar enough."""
 
     def side(c: str) -> DataFrame:
-        return nodes.select(F.col("node").alias(c), F.col("words").alias(f"words_{c}"), F.col("low").alias(f"low_{c}"), F.col("doc_id").alias(f"doc_{c}"))
+        names = ("node", c), ("words", f"words_{c}"), ("counts", f"counts_{c}"), ("doc_id", f"doc_{c}")
+        return nodes.select(*[F.col(x).alias(y) for x, y in names])
+
+    def possible(cols: dict[str, list]) -> dict[str, list]:
+        a, b = (np.frombuffer(b"".join(cols[c]), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("counts_a", "counts_b"))
+        longest = np.maximum(np.array(cols["words_a"]), np.array(cols["words_b"]))
+        left = np.flatnonzero(np.abs(a - b).sum(axis=1) <= 2 * _allowed(longest)).tolist()
+        return {c: [cols[c][i] for i in left] for c in ("a", "b", "doc_a", "doc_b")}
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    agreeing = F.size(F.filter(F.zip_with("low_a", "low_b", lambda x, y: x == y), lambda x: x))
-    close = F.least("words_a", "words_b") >= F.greatest("words_a", "words_b") * SIMILARITY
-    both = both.filter(close & (agreeing >= LEAST_AGREEING)).select("a", "b", "doc_a", "doc_b")
+    both = both.filter(F.least("words_a", "words_b") >= F.greatest("words_a", "words_b") * SIMILARITY)
+    both = map_rows(both, possible, "a binary, b binary, doc_a long, doc_b long", PAIRS_AT_ONCE)
     both = materialise(both, "omh-candidates")
     wanted = both.select(F.col("a").alias("node"), F.col("doc_a").alias("want")).union(both.select("b", "doc_b")).distinct()
     source = _with_node(docs, id_col, text_col).withColumnRenamed("node", "of")
@@ -263,13 +293,61 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _hits(postings: DataFrame) -> DataFrame:
-    """(key, node, at, size, rep) of the buckets with two nodes or more; rep is a bucket's smallest node."""
+    """(key, node, size, rep) of the buckets with two nodes or more; rep is a bucket's smallest node."""
     buckets = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("rep")).filter("size > 1")
     return materialise(postings.join(buckets, "key"), "omh-hits")
 
 
 def _stars(hits: DataFrame) -> DataFrame:
-    return hits.filter("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"), "size", "at", "key")
+    return hits.filter("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+
+
+def _small_pairs(hits: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different classes in buckets of at most SMALL nodes."""
+    marked = hits.filter(F.col("size") <= SMALL).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    left = marked.select(F.col("key").alias("key_a"), F.col("node").alias("a"), F.col("label").alias("label_a"))
+    right = marked.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("label").alias("label_b"))
+    return left.join(right, F.expr("key_a = key_b AND a < b AND label_a <> label_b")).select("a", "b")
+
+
+def _large_pairs(hits: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different classes in larger buckets whose lengths and word counts allow them to be similar."""
+    marked = hits.filter(F.col("size") > SMALL).select("key", "node").join(labels, "node", "left")
+    marked = marked.withColumn("label", F.coalesce("label", "node"))
+    mixed = marked.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("two")).filter("one != two").select("key")
+    marked = marked.join(mixed, "key").join(nodes.select("node", "words"), "node")
+    # Lengths of similar texts are at most one step apart: they meet in the upper one's band, and as equals in their own.
+    band = F.floor(F.log("words") / math.log(1 / SIMILARITY + 1e-6)).cast("int")
+    marked = marked.withColumn("own", band).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
+    marked = materialise(marked, "omh-bands")
+    cells = marked.groupBy("key", "band").agg(
+        F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"), F.max("own").alias("top"), F.min("label").alias("one"), F.max("label").alias("two")
+    )
+    cells = cells.filter("top = band AND one != two").select("key", "band", "cells")
+    dealt = marked.join(cells, ["key", "band"]).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    dealt = dealt.select("key", "band", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell", "own", "node", "label", "words")
+    dealt = dealt.join(nodes.select("node", "counts"), "node")
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("words", kind="stable")
+        words, own, cell = (part[c].to_numpy() for c in ("words", "own", "cell"))
+        counts = np.frombuffer(b"".join(part["counts"]), np.uint8).reshape(-1, BINS).astype(np.int16)
+        labels, across = part["label"].factorize()[0], part["i"].iloc[0] != part["j"].iloc[0]
+        band, allowed, node = int(part["band"].iloc[0]), _allowed(words), part["node"].tolist()
+        ends = np.searchsorted(words * SIMILARITY, words, side="right")
+        out: dict[str, list] = {"a": [], "b": []}
+        for x in range(len(words)):
+            y = np.arange(x + 1, ends[x])
+            fits = (labels[y] != labels[x]) & ((own[y] == band) | (own[x] == band))
+            y = y[fits & (cell[y] != cell[x])] if across else y[fits]
+            y = y[np.abs(counts[y] - counts[x]).sum(axis=1) <= 2 * allowed[y]]
+            for z in y.tolist():
+                out["a"].append(min(node[x], node[z]))
+                out["b"].append(max(node[x], node[z]))
+        return pd.DataFrame(out, dtype=object)
+
+    return dealt.groupBy("key", "band", "i", "j").applyInPandas(compare, "a binary, b binary")
 
 
 def _joined(labels: DataFrame, found: list[DataFrame]) -> DataFrame:
@@ -292,33 +370,19 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, node, label, class_id) of every row: the digests of its text and of its class, and the class's name."""
     rows = materialise(_sketched(docs, id_col, text_col), "omh-rows")
     nodes = rows.groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("words").alias("words"), F.first("keys").alias("keys"), F.first("low").alias("low")
+        F.min("doc_id").alias("doc_id"), F.first("words").alias("words"), F.first("keys").alias("keys"), F.first("counts").alias("counts")
     )
     nodes = materialise(nodes, "omh-nodes")
-    hits = _hits(nodes.select("node", F.posexplode("keys").alias("at", "key")))
-    first = _stars(hits).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    hits = _hits(nodes.select("node", F.explode("keys").alias("key")))
+    first = materialise(_stars(hits).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "omh-stars")
     labels = components(materialise(_verified(first, nodes, docs, id_col, text_col), "omh-first"))
-    found, tried = [], None
-    while True:  # pairs that the first links have not joined: all of a small bucket, the star of a large one
-        marked = hits.filter(F.col("size") <= SMALL).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        left = marked.select(F.col("key").alias("key_a"), F.col("node").alias("a"), F.col("label").alias("label_a"))
-        right = marked.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("label").alias("label_b"))
-        within = left.join(right, F.expr("key_a = key_b AND a < b AND label_a <> label_b")).select("a", "b")
-        large = materialise(_apart(_stars(hits).filter(F.col("size") > SMALL), labels), "omh-large")
-        pairs = within.union(large.select("a", "b")).groupBy("a", "b").agg(F.lit(1).alias("_one")).drop("_one")
-        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "omh-pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        found.append(materialise(_verified(pairs, nodes, docs, id_col, text_col), "omh-more"))
-        # Similar texts share about half of their sketches, so few large buckets leave a small one to meet in.
-        alone = large.join(found[-1], ["a", "b"], "left_anti")
-        open_keys = alone.groupBy("b").agg(F.collect_set(F.struct("at", "key")).alias("open")).filter(F.size("open") >= LEAST_SHARED)
-        open_keys = materialise(open_keys, "omh-open")
-        if open_keys.isEmpty():
-            break
-        one = open_keys.select(F.col("b").alias("node"), "open", F.explode("open").alias("x"))
-        two = one.select("node", "x", F.explode("open").alias("y")).filter("x.at < y.at")
-        hits = _hits(two.select("node", F.col("y.at").alias("at"), F.xxhash64("x.key", "y.key").alias("key")))
-    labels = _joined(labels, found)
+    large = _apart(_stars(hits.filter(F.col("size") > SMALL)).distinct(), labels).join(first, ["a", "b"], "left_anti")
+    large = materialise(large, "omh-large")
+    labels = _joined(labels, [materialise(_verified(large, nodes, docs, id_col, text_col), "omh-second")])
+    labels = materialise(labels, "omh-labels")
+    pairs = _small_pairs(hits, labels).union(_large_pairs(hits, nodes, labels)).distinct()
+    pairs = materialise(pairs.join(first.union(large), ["a", "b"], "left_anti"), "omh-pairs")
+    labels = _joined(labels, [materialise(_verified(pairs, nodes, docs, id_col, text_col), "omh-more")])
 
     named = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = materialise(named, "omh-named")

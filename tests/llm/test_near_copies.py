@@ -95,3 +95,34 @@ def test_awkward_rows(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "4", "6", "7", "8", "None"]
     assert omh.near_classes(docs.limit(0)).count() == 0 and omh.keep_one(docs.limit(0)).count() == 0
+
+
+def test_copies_that_meet_only_among_texts_quoting_their_passage(spark, monkeypatch):
+    monkeypatch.setattr(omh, "SMALL", 2)
+    monkeypatch.setattr(omh, "CELL", 16)
+    rng = random.Random(11)
+
+    def fresh(n):
+        return [f"v{rng.randrange(10**9)}" for _ in range(n)]
+
+    passage, texts = fresh(80), []
+    for _ in range(6):
+        texts.append(" ".join(passage + fresh(18)))  # 80 of 98 words in common
+    for n in range(120):
+        own = fresh(40 + n)
+        texts.append(" ".join(own[:20] + passage + own[20:]))
+    got = {r.doc_id: r.class_id for r in omh.near_classes(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(6)] == [0] * 6 and all(got[i] == i for i in range(6, len(texts)))
+
+
+def test_word_counts_drop_no_similar_pair():
+    rng, drawn = random.Random(13), random.Random(14)
+    for _ in range(200):
+        a = [rng.randrange(2, 400) for _ in range(rng.randrange(20, 200))]
+        b = list(a)
+        for _ in range(len(a) // 5):
+            b[drawn.randrange(len(b))] = drawn.randrange(2, 400)
+        longest = np.array([max(len(a), len(b))])
+        x, y = (omh.word_counts(np.array(t, np.uint64) * np.uint64(2**40 + 2)).astype(int) for t in (a, b))
+        if 1 - edits(a, b) / longest[0] >= omh.SIMILARITY:
+            assert np.abs(x - y).sum() <= 2 * omh._allowed(longest)[0]
