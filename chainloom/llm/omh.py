@@ -44,7 +44,7 @@ K = 5
 ORDER = 3
 SKETCHES = 24
 SIMILARITY = 0.8
-SINGLES = 0
+SINGLES = 12
 BINS = 128
 SMALL = 24
 CELL = 2048

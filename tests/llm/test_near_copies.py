@@ -115,6 +115,19 @@ def test_copies_that_meet_only_among_texts_quoting_their_passage(spark, monkeypa
     assert [got[i] for i in range(6)] == [0] * 6 and all(got[i] == i for i in range(6, len(texts)))
 
 
+def test_spread_edits_are_linked(spark):
+    rng = random.Random(12)
+    rows, pairs = [], 12
+    for _ in range(pairs):
+        words = [f"v{rng.randrange(10**9)}" for _ in range(300)]
+        near = list(words)
+        for at in rng.sample(range(300), 36):  # an edit similarity of 0.88
+            near[at] = f"v{rng.randrange(10**9)}"
+        rows += [(len(rows), " ".join(words), "s"), (len(rows) + 1, " ".join(near), "s")]
+    got = {r.doc_id: r.class_id for r in omh.near_classes(documents(spark, rows)).collect()}
+    assert got == {i: i // 2 * 2 for i in got}
+
+
 def test_word_counts_drop_no_similar_pair():
     rng, drawn = random.Random(13), random.Random(14)
     for _ in range(200):
