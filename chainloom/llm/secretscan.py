@@ -4,6 +4,7 @@ Three base patterns (assignments, access ids, long hex) are reported as they mat
 hex and dotted tokens, are reported only if they decode and the decoded bytes have the structure of a secret: DER with
 nested lengths that add up and the fields of a private key, the length-prefixed fields of an OpenSSH private key, a signed
 token whose header names its algorithm, or text that holds one of these (or a base pattern) again, up to MAX_DEPTH levels.
+Text means bytes in any encoding that extends ASCII, with line ends and other characters; UTF-16 is not looked into.
 
 Offsets are code points, ends exclusive.  The scan is one pass over whole texts without a shuffle.
 
@@ -131,13 +132,9 @@ def _holds_secret(raw: bytes, depth: int) -> str | None:
     if is_private_der(raw) or is_openssh(raw):
         return "key"
     if depth < MAX_DEPTH and len(raw) >= 16:
-        try:
-            text = raw.decode("ascii")
-        except UnicodeDecodeError:
-            return None
-        if text.isprintable() or "-----BEGIN" in text:
-            if any(k != "hex" for k, _, _ in base_spans(text)) or next(confirmed_spans(text, depth + 1), None):
-                return "encoded"
+        text = raw.decode("latin-1")  # all patterns are ASCII, so other letters, line ends and control bytes do not matter
+        if any(k != "hex" for k, _, _ in base_spans(text)) or next(confirmed_spans(text, depth + 1), None):
+            return "encoded"
     return None
 
 
