@@ -7,8 +7,11 @@ footers, sidebars, notices, adverts, forms, comments).  A page is then aligned w
 content slots is the result.  Where the wrapper has an article or main element, everything in it but furniture is content;
 elsewhere content is what varies, and constant nodes are template.
 
-Wrappers are merged like partial aggregates: in every task first, then over groups of at most FAN of them until one is left
-per host, so a host with a third of all pages is one small row per task.  All pages take part.
+Spark first counts the pages of every (host, path), where a path is the keys from the root to a node.  Only nodes on at least
+half of their host's pages can be template, so only those enter the wrapper: at most twice as many as a page has on average,
+however many ids or classes of single pages there are.  Wrappers are merged like partial aggregates: in every task first,
+then over groups of at most FAN of them until one is left per host, so a host with a third of all pages is one small row per
+task.  All pages take part.
 
 Defined results: a null or empty html has empty text; pages without a url share the wrapper of the empty host; a host with
 one page, or whose pages are all alike, has no template, only marked furniture; repeated rows give equal results; unclosed
@@ -36,6 +39,8 @@ from chainloom.operators.storage import materialise
 MAX_DEPTH = 200
 FAN = 64
 HOSTS_AT_ONCE = 2000
+PATHS_AT_ONCE = 100_000
+ROOT = 0
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -195,6 +200,12 @@ def folded(elements: list[Element], key: str) -> Node:
 
 def matched(a: list[Node], b: list[Node]) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching of two sibling lists: nodes matched below them, and which siblings match."""
+    known = {x.key for x in a} & {x.key for x in b}
+    if len(known) < len(a) or len(known) < len(b):  # a key of one side only matches nothing
+        at, of = ([i for i, x in enumerate(side) if x.key in known] for side in (a, b))
+        if len(at) < len(a) or len(of) < len(b):
+            total, pairs = matched([a[i] for i in at], [b[j] for j in of])
+            return total, [(at[i], of[j]) for i, j in pairs]
     if [x.key for x in a] == [x.key for x in b]:
         return sum(size(x, y) for x, y in zip(a, b, strict=True)), [(i, i) for i in range(len(a))]
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
@@ -231,6 +242,23 @@ def merge(a: Node, b: Node) -> Node:
     return Node(a.key, a.same if a.same == b.same else None, a.pages + b.pages, kids)
 
 
+def paths(node: Node, at: int = ROOT) -> Iterator[tuple[int, Node]]:
+    """Every node with the digest of the keys that lead to it."""
+    yield at, node
+    for kid in node.kids:
+        yield from paths(kid, step(at, kid.key))
+
+
+def step(at: int, key: str) -> int:
+    return xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), at) >> 1
+
+
+def pruned(node: Node, kept: set[int], at: int = ROOT) -> Node:
+    """The nodes whose paths are ``kept``; a path's beginnings are on at least as many pages."""
+    below = ((kid, step(at, kid.key)) for kid in node.kids)
+    return Node(node.key, node.same, node.pages, [pruned(kid, kept, path) for kid, path in below if path in kept])
+
+
 def is_furniture(element: Element, inside: bool) -> bool:
     if element.hidden or element.tag in _FURNITURE_TAGS:
         return True
@@ -271,15 +299,10 @@ def constants(page: Node, host: Node) -> dict[int, bool]:
         for i, j in matched(a.kids, b.kids)[1]:
             walk(a.kids[i], b.kids[j])
 
-    if varies(host):
-        walk(page, host)
+    walk(page, host)
     return out
 
 
-def varies(node: Node) -> bool:
-    return node.same is None or any(map(varies, node.kids))
-
-
 def extract(page: str, host: Node | None) -> str:
     """The content of a page: its blocks, one a line."""
     root = parse(page)
@@ -336,11 +359,48 @@ def _containers(element: Element, tag: str) -> Iterator[Element]:
                 yield from _containers(kid, tag)
 
 
+def common_paths(pages: DataFrame) -> DataFrame:
+    """(host, paths) of the hosts with texts that differ: the paths on at least half of their pages, from (host, html)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, int], list] = {}
+
+        def emit() -> pa.RecordBatch:
+            hosts, at = [k[0] for k in found], [k[1] for k in found]
+            n, low, high = zip(*found.values(), strict=True) if found else ((), (), ())
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            arrays = [pa.array(x, kind) for x, kind in zip((hosts, at, n, low, high), kinds, strict=True)]
+            found.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=["host", "path", "n", "low", "high"])
+
+        for batch in batches:
+            for host, page in zip(batch.column(0), batch.column(1), strict=True):
+                name = host.as_py()
+                for path, node in paths(folded([parse(page.as_py())], "html")):
+                    known = found.get((name, path))
+                    if known:
+                        known[0] += 1
+                        known[1], known[2] = min(known[1], node.same), max(known[2], node.same)
+                    else:
+                        found[name, path] = [1, node.same, node.same]
+                if len(found) >= PATHS_AT_ONCE:
+                    yield emit()
+        yield emit()
+
+    counted = pages.select("host", "html").mapInArrow(count, "host string, path long, n long, low string, high string")
+    counted = counted.groupBy("host", "path").agg(F.sum("n").alias("n"), (F.min("low") != F.max("high")).alias("differs"))
+    counted = materialise(counted, "wrapper-paths")
+    of = F.max(F.when(F.col("path") == ROOT, F.col("n"))).alias("of")
+    hosts = counted.groupBy("host").agg(of, F.max("differs").alias("varies")).filter("of > 1 AND varies").select("host", "of")
+    kept = counted.join(hosts, "host").filter("2 * n >= of")
+    return materialise(kept.groupBy("host").agg(F.collect_list("path").alias("paths")), "wrapper-kept")
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) of every host, from (host, html)."""
+    """(host, wrapper) of every host with texts that differ, from (host, html)."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, found = TaskContext.get().partitionId(), {}
+        part, found, known = TaskContext.get().partitionId(), {}, {}
 
         def emit() -> pa.RecordBatch:
             texts = [json.dumps(w.plain(), separators=(",", ":")) for w in found.values()]
@@ -352,9 +412,13 @@ def wrappers(pages: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            for host, page in zip(batch.column(0), batch.column(1), strict=True):
-                tree = folded([parse(page.as_py())], "html")
+            for host, page, kept in zip(*batch.columns, strict=True):
                 name = host.as_py()
+                if name not in known:
+                    if len(known) >= HOSTS_AT_ONCE:
+                        known.clear()
+                    known[name] = set(kept.as_py())
+                tree = pruned(folded([parse(page.as_py())], "html"), known[name])
                 found[name] = merge(found[name], tree) if name in found else tree
                 if len(found) >= HOSTS_AT_ONCE:
                     yield emit()
@@ -370,7 +434,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
         return pd.DataFrame({"host": [first["host"]], "part": [first["part"]], "wrapper": [json.dumps(whole.plain(), separators=(",", ":"))]})
 
     schema = "host string, part long, wrapper string"
-    found = materialise(pages.select("host", "html").mapInArrow(fold, schema), "wrapper-parts")
+    taking = pages.select("host", "html").join(common_paths(pages), "host").select("host", "html", "paths")
+    found = materialise(taking.mapInArrow(fold, schema), "wrapper-parts")
     most = found.agg(F.max("part")).first()[0] or 0
     while True:
         most //= FAN

@@ -42,6 +42,23 @@ def test_template_of_a_host_without_marks_is_found(spark):
     assert got[100] == "Always here\nText 100 begins.\nMore 700.\nAll rights"  # nothing to compare with
 
 
+def test_ids_of_single_pages_stay_out_of_the_wrapper(spark):
+    def slug(i):
+        return "".join("abcdefghij"[int(c)] for c in f"{i:04}")
+
+    def long(i):
+        parts = "".join(f'<h2 id="{slug(i)}-{slug(k)}">Head {i} {k}</h2><p class="{slug(i * 7 + k)}">Part {k} of {i}.</p>' for k in range(5))
+        return f"<body><div id=top>Always here</div><div id=text>{parts}<p>End of {i}</p></div><div id=end>All rights</div></body>"
+
+    rows = [(i, f"http://s.example.org/{i}", long(i)) for i in range(60)]
+    table = pages(spark, rows).repartition(3)
+    got = texts(wrapper.main_text(table))
+    for i in range(60):
+        assert got[i].split("\n") == [*[x for k in range(5) for x in (f"Head {i} {k}", f"Part {k} of {i}.")], f"End of {i}"]
+    kept = wrapper.wrappers(table.select(F.lit("s").alias("host"), "html")).collect()
+    assert len(kept) == 1 and kept[0].wrapper.count("[") <= 2 * 6  # a node has two brackets: html, body, three divs, one p
+
+
 def test_copies_of_one_page_are_not_taken_for_template(spark):
     rows = [(i, "http://c.example.org/x", "<body><div><p>The same text.</p></div></body>") for i in range(5)]
     assert set(texts(wrapper.main_text(pages(spark, rows))).values()) == {"The same text."}
