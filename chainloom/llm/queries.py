@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chainloom.llm import covertree, hilbert, mixing, omh, packing, pii, quality, secretscan, toxicity, wrapper
+from chainloom.llm import covertree, hilbert, merkle, mixing, omh, packing, pii, quality, secretscan, toxicity, wrapper
 from chainloom.llm.common import span_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +80,15 @@ def op6(spark, sf):
 @_query("op10_wrapper_text")
 def op10(spark, sf):
     return wrapper.main_text(_table(spark, sf, "pages"))
+
+
+@_query("op11_merkle_manifest", merkle.ORACLE)
+def op11(spark, sf):
+    docs = _table(spark, sf, "documents")
+    more = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.col("n_chars").cast("decimal(38,0)") + 1)
+    changed = merkle.leaf_digest([F.coalesce(more, F.col(c)) if c == "n_chars" else F.col(c) for c in merkle.FIELDS])
+    rows = merkle.proofs(merkle.manifest(docs, carry={"shown": F.when(more.isNotNull(), changed)}))
+    rows = rows.withColumn("folded_root", merkle.fold(F.coalesce("shown", "leaf"), F.col("path")))
+    proof = merkle.path_digest(F.col("path")).alias("proof_sha256")
+    verified = (F.col("folded_root") == F.col("root")).alias("verified")
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof, "folded_root", verified)
