@@ -225,7 +225,7 @@ def proofs(tree: Manifest) -> DataFrame:
         named = _descend(tree.subroots, _down(tree.top, over, tree.step), tree.step, _named_rows, _STATE)
         states = _down(tree.levels, named, tree.step)
     else:  # an empty table
-        states = leaves.select("tree", F.col("idx").alias("block"), empty.alias("path"), F.col("hash").alias("subroot"), F.col("hash").alias("root"))
+        states = leaves.sparkSession.createDataFrame([], _STATE)
     kept = [f for f in leaves.schema if f.name not in ("tree", "m")]
     found = StructType([*kept, *StructType.fromDDL(f"path {_PATH_DDL}, subroot binary, root binary")])
     rows = _descend(leaves, states, tree.step, _proof_rows, found)

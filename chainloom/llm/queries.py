@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm import covertree, hilbert, merkle, mixing, omh, packing, pii, quality, secretscan, toxicity, wrapper
+from chainloom.llm import covertree, hilbert, merkle, mixing, omh, packing, pii, quality, secretscan, squares, toxicity, wrapper
 from chainloom.llm.common import span_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ def op11(spark, sf):
     proof = merkle.path_digest(F.col("path")).alias("proof_sha256")
     verified = (F.col("folded_root") == F.col("root")).alias("verified")
     return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof, "folded_root", verified)
+
+
+@_query("op12_sum_of_squares")
+def op12(spark, sf):
+    return squares.pack(_table(spark, sf, "documents"))
