@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm import covertree, hilbert, merkle, mixing, omh, packing, pii, quality, secretscan, squares, toxicity, wrapper
+from chainloom.llm import covertree, hilbert, merkle, mixing, omh, packing, periods, pii, quality, secretscan, squares, toxicity, wrapper
 from chainloom.llm.common import span_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,17 @@ def op11(spark, sf):
 @_query("op12_sum_of_squares")
 def op12(spark, sf):
     return squares.pack(_table(spark, sf, "documents"))
+
+
+@_query("op13_periodic_runs")
+def op13(spark, sf):
+    found = periods.periodic_runs(periods.with_repeated_tails(_table(spark, sf, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    best = found.withColumn("best", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.s")).alias("start"), F.col("best.n").alias("length"), (-F.col("best.p")).alias("period"),
+        F.floor(F.lit(1000) * F.col("best.n") / -F.col("best.p")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+    return best
