@@ -22,6 +22,8 @@ be null; an empty table gives an empty result; other columns are not read, so no
 
 from __future__ import annotations
 
+import gc
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,34 +38,100 @@ from pyspark.sql import functions as F
 from chainloom.llm.common import whole_text
 
 HELD_TOKENS = 4_000_000
-CACHE_BYTES, TEXT_BYTES = 64 << 20, 4 << 20
+CACHE_BYTES, TEXT_BYTES = 192 << 20, 4 << 20
 _COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 _SCHEMA = ", ".join(f"{c} long" for c in _COLUMNS)
 
 
-@lru_cache(maxsize=2)
-def encoder(tokenizer: str):
-    """``list of UTF-8 texts -> list of ids as unsigned 32-bit little-endian bytes`` of a tokenizer file."""
-    import public_tokenizers
-    from tokenizers import Tokenizer
+#: Stretches of these characters are normal forms already, and their words and marks are what ``WORDS`` finds.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies: printable Latin-1 as it is, the rest from 256 on."""
+    shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(hidden) if b != ord(" ")}
+
+
+class Encoder:
+    """Lists of UTF-8 texts to lists of ids, as unsigned 32-bit little-endian bytes, of a tokenizer file with word ends.
+
+    Unknown words of plain stretches are encoded many at a time by the model of the file alone; the token that ends a word
+    shows where the next begins.  Every other stretch goes through the whole tokenizer.
+    """
 
-    whole = Tokenizer.from_file(public_tokenizers.path(tokenizer))
-    cache: dict[bytes, bytes] = {}
-    used = 0
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-    def encode(texts: list[bytes]) -> list[bytes]:
-        nonlocal used
-        if used > CACHE_BYTES:
-            cache.clear()
-            used = 0
+        self.whole = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.whole.model)
+        self.words.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        vocabulary = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.letters = byte_letters()
+        self.stretches: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.used = 0
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        collecting = gc.isenabled()
+        gc.disable()  # nothing below makes cycles, and the collector would walk all words again and again
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        new = list({w for words in split for w in words}.difference(cache))
-        for w, found in zip(new, whole.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            cache[w] = np.asarray(found.ids, "<u4").tobytes()
-            used += len(w) + len(cache[w]) + 200
-        return [b"".join(map(cache.__getitem__, words)) for words in split]
+        if self.used > CACHE_BYTES:  # keep what these texts hold more than once
+            seen: set[bytes] = set()
+            often = {w for words in split for w in words if w in seen or seen.add(w)}
+            self.stretches = {w: self.stretches[w] for w in often if w in self.stretches}
+            self.known = {p: self.known[p] for p in {w.decode("utf-8", "replace").lower() for w in often} if p in self.known}
+            self.used = 200 * (len(self.stretches) + len(self.known))
+        self._learn({w for words in split for w in words}.difference(self.stretches))
+        return [b"".join(map(self.stretches.__getitem__, words)) for words in split]
+
+    def _learn(self, new: set[bytes]) -> None:
+        plain, other = [], []
+        for w in new:
+            s = w.decode("utf-8", "replace")
+            if PLAIN.fullmatch(s) and "<|" not in s:
+                plain.append((w, WORDS.findall(s.lower())))
+            else:
+                other.append((w, s))
+        unknown = {p for _, parts in plain for p in parts}.difference(self.known)
+        self._learn_words([p for p in unknown if p.isascii()])
+        self._learn_words([p for p in unknown if not p.isascii()])
+        known, stretches = self.known, self.stretches
+        for w, parts in plain:
+            stretches[w] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+        for w, s in other:
+            stretches[w] = np.asarray(self.whole.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+        self.used += sum(150 + 4 * len(w) for w in new)
+
+    def _learn_words(self, new: list[str]) -> None:
+        for first in range(0, len(new), 512):
+            part = new[first : first + 512]
+            joined = " ".join(part)
+            if not joined.isascii():
+                joined = joined.encode().decode("latin-1").translate(self.letters)
+            ids = np.asarray(self.words.encode(joined, add_special_tokens=False).ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            self.known.update(zip(part, [raw[i:j] for i, j in zip([0, *stops], stops)], strict=True))
+        self.used += sum(150 + 4 * len(p) for p in new)
+
+
+@lru_cache(maxsize=2)
+def encoder(tokenizer: str) -> Encoder:
+    import public_tokenizers
 
-    return encode
+    return Encoder(public_tokenizers.path(tokenizer))
 
 
 class Piece(NamedTuple):

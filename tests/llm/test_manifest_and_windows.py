@@ -108,6 +108,18 @@ def test_ids_of_stretches_are_those_of_the_whole_text(text):
     assert np.frombuffer(found, "<u4").tolist() == word_ids(text)
 
 
+def test_ids_of_many_stretches():
+    import random
+
+    rng = random.Random(8)
+    marks = "abcXYZ019'.,;:-_<|>!ÀÉßàéÿ×÷øØ" * 3 + "²ªµ\xad\xa0\u0301İΣς日😀"
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(1, 12))) for _ in range(4000)]
+    texts += ["".join(rng.choice("'strevmldSTAZéÉ") for _ in range(rng.randint(1, 9))) for _ in range(4000)]
+    found = squares.encoder("word_bpe_49k.json")([t.encode() for t in texts])
+    for text, ids in zip(texts, found, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == word_ids(text), text
+
+
 def check_windows(rows, limit):
     """Pieces stand gapless in their windows; every length is the limit or a power of two."""
     windows = {}
