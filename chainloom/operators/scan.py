@@ -134,3 +134,36 @@ def take_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: i
     ranked = df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     kept = ranked if n is None else ranked.filter(F.col(rank) <= n)
     return kept.drop(rank) if rank == "__rn" else kept
+
+
+def neighbours(
+    df: DataFrame, keys: Sequence[str], order: str, value: Column, *, back: int, ahead: int, chunk: int | None = None
+) -> DataFrame:
+    """Add ``back`` and ``ahead``: the values of up to that many rows before and after each row, nearest first.
+
+    Windows stay inside ``(keys, chunk)``; every chunk passes its first and last values on to the chunks around it.
+    ``order`` is a unique integral ordinal and ``value`` is never null.
+    """
+    keys = list(keys)
+    big = df.withColumns({_C: chunk_of(order, chunk), "__v": F.struct(F.col(order).alias("at"), value.alias("v"))})
+    local = W.partitionBy(*keys, _C).orderBy(order)
+    over_chunks = W.partitionBy(*keys).orderBy(_C)
+
+    def edge(descending: bool, n: int, name: str) -> DataFrame:
+        first = take_first(big, [*keys, _C], [F.col(order).desc() if descending else F.col(order).asc()], n)
+        return first.groupBy(*keys, _C).agg(F.sort_array(F.collect_list("__v"), asc=not descending).alias(name))
+
+    edges = edge(False, ahead, "__heads").join(edge(True, back, "__tails"), [*keys, _C])
+    # every chunk that is there holds a row, so the nearest ``ahead`` chunks hold enough
+    heads = F.flatten(F.collect_list("__heads").over(over_chunks.rowsBetween(1, ahead)))
+    tails = F.flatten(F.reverse(F.collect_list("__tails").over(over_chunks.rowsBetween(-back, -1))))
+    carry = edges.select(*keys, _C, heads.alias("__heads"), tails.alias("__tails"))
+    after = F.collect_list("__v").over(local.rowsBetween(1, ahead))
+    before = F.reverse(F.collect_list("__v").over(local.rowsBetween(-back, -1)))
+    joined = big.withColumns({"__after": after, "__before": before}).join(carry, [*keys, _C])
+
+    def nearest(own: str, others: str, n: int) -> Column:
+        return F.transform(F.slice(F.concat(own, others), 1, n), lambda x: x["v"])
+
+    found = joined.withColumns({"back": nearest("__before", "__tails", back), "ahead": nearest("__after", "__heads", ahead)})
+    return found.drop(_C, "__v", "__after", "__before", "__heads", "__tails")

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainloom.operators import script
 from chainloom.operators.storage import materialise
 from chainloom.functions.text import line_count, trim_blank
 
@@ -18,7 +19,6 @@ from chainloom.functions.text import line_count, trim_blank
 CATEGORIES = ("functions", "classes", "variables", "exports", "apiRoutes", "htmlPages")
 
 # What declares a name in each language; the first rule that matches a line wins.
-ID = r"([a-zA-Z_$]\w*)"
 PYTHON_RULES = (
     ("functions", r"^(?:async\s+)?def\s+(\w+)\s*\("),
     ("classes", r"^class\s+(\w+)[\s(:]"),
@@ -35,19 +35,9 @@ RUST_RULES = (
     ("classes", r"^(?:pub\s+)?(?:struct|enum|trait)\s+(\w+)"),
     ("variables", r"^(?:pub\s+)?(?:const|static)\s+(\w+)"),
 )
-JS_RULES = (
-    ("functions", rf"^\s*(?:export\s+)?(?:const|let|var)\s+{ID}\s*=\s*(?:async\s+)?(?:function\b|\([^)]*\)\s*=>|[a-zA-Z_$]\w*\s*=>)"),
-    ("functions", rf"^\s*(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s*\*?\s*{ID}\s*\("),
-    ("classes", rf"^\s*(?:export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+{ID}"),
-    ("variables", rf"^\s*(?:export\s+)?(?:const|let|var)\s+{ID}"),
-    ("functions", r"^\s+(?:(?:static|async|get|set)\s+)*\*?(?!(?:if|for|while|switch|catch|function|return|constructor)\b)" + ID + r"\s*\([^)]*\)\s*\{"),
-)
-TS_RULES = (("classes", rf"^\s*(?:export\s+)?(?:declare\s+)?(?:interface|enum|type)\s+{ID}\s*(?:[<={{]|extends\b)"),)
-EXPORT_DECLARATION = rf"^\s*export\s+(?:default\s+)?(?:abstract\s+)?(?:async\s+)?(?:function\s*\*?|class|const|let|var|interface|type|enum)\s+{ID}"
-EXPORT_LIST = r"^\s*export\s*\{([^}]*)\}"
-EXPORT_DEFAULT = rf"^\s*export\s+default\s+(?!(?:async|function|class|abstract)\b){ID}\s*;?\s*$"
 EXPORT_MEMBER = r"^(?:module\.)?exports\.(\w+)\s*="
 EXPORT_BULK = r"^module\.exports\s*=\s*\{([^}]+)\}"
+BULK_NAME = r"^(\w+)(?:[:\s].*)?$"
 # The patterns of routes, titles and scripts.
 ROUTE = r"(?:router|app)\.(get|post|put|delete|patch)\s*\(\s*['\"`]([^'\"`]+)['\"`]"
 MOUNT = r"app\.use\s*\(\s*['\"`](/api[^'\"`]*)['\"`]"
@@ -87,22 +77,18 @@ def extract_rust(lines: DataFrame) -> DataFrame:
     return _explode(lines, F.array(_first_rule(F.col("text"), RUST_RULES)))
 
 
-def _listed_names(text: Column, pattern: str, cut: str) -> Column:
-    """Names of a braced list: what comes before ``cut`` in each part."""
-    parts = F.split(F.regexp_extract(text, pattern, 1), ",")
-    names = F.transform(parts, lambda p: F.regexp_extract(trim_blank(p), cut, 1))
-    return F.transform(F.filter(names, lambda n: F.length(n) > 0), lambda n: _symbol("exports", n))
-
-
 def extract_js(lines: DataFrame) -> DataFrame:
-    """Declarations (first rule per line) and exports (all that a line makes)."""
+    """Declarations and exports of JavaScript and TypeScript, over any number of lines; ``module.exports`` by lines.
+
+    A ``unit`` column tells apart several scripts of one path.
+    """
     text = F.col("text")
-    plain = _first_rule(text, JS_RULES)
-    typed = F.coalesce(F.when(F.col("lang") == "typescript", _first_rule(text, TS_RULES)), plain)
-    single = [F.regexp_extract(text, p, 1) for p in (EXPORT_DECLARATION, EXPORT_DEFAULT, EXPORT_MEMBER)]
-    ones = F.array(typed, *[F.when(F.length(n) > 0, _symbol("exports", n)) for n in single])
-    lists = F.concat(_listed_names(text, EXPORT_LIST, r"^([a-zA-Z_$]\w*)(?:\s+as\s+.*)?$"), _listed_names(text, EXPORT_BULK, r"^(\w+)(?:[:\s].*)?$"))
-    return _explode(lines, F.concat(ones, lists))
+    member = F.regexp_extract(text, EXPORT_MEMBER, 1)
+    parts = F.split(F.regexp_extract(text, EXPORT_BULK, 1), ",")
+    bulk = F.filter(F.transform(parts, lambda p: F.regexp_extract(trim_blank(p), BULK_NAME, 1)), lambda n: F.length(n) > 0)
+    listed = F.transform(F.when(F.length(member) > 0, F.array(member)).otherwise(bulk), lambda n: _symbol("exports", n))
+    declared = script.declarations(script.tokens(lines))
+    return declared.select("project", "category", "name", "path", "line", "ord").unionByName(_explode(lines, listed))
 
 
 def extract_symbols(lines: DataFrame) -> DataFrame:
@@ -152,7 +138,7 @@ def extract_html(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         scripts.filter(F.length(trim_blank(F.col("s.body"))) > 0)
         .select("project", "path", "file_ord", F.col("s.at").alias("at"), F.posexplode(F.split("s.body", "\n")).alias("i", "text"))
         .withColumn("line", (F.col("at") + F.col("i")).cast("bigint"))
-        .select("project", "path", F.lit("javascript").alias("lang"), "line", F.struct("file_ord", (F.col("line") - 1).alias("i")).alias("ord"), "text")
+        .select("project", "path", F.col("at").alias("unit"), F.lit("javascript").alias("lang"), "line", F.struct("file_ord", (F.col("line") - 1).alias("i")).alias("ord"), "text")
     )
     return pages, lines
 

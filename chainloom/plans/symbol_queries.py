@@ -52,6 +52,32 @@ def extract_js(spark, sf):
     return sy.extract_js(view(spark, sf, "f6_js_lines")).select(*_SYM)
 
 
+# One script per part: every form that spans lines, with its declarations by line.
+_SPAN_LINES = (
+    "export {", "  one_NM,", "  two_NM as other", "};", "const wide_NM = async (", "  a,", "  { b }", ") => {", "  let in_NM = 1, arrow_NM = x => x,",
+    "    last_NM = `no ${[1].map((q) => `const never_NM = ${q}`)}", "const never_NM = 2`", "}", "var bare_NM, half_NM = a / b", "/* class Gone_NM {",
+    "} */ class Kept_NM {", "  async load_NM(", "    by", "  ) {", "  }", "}", "export default Kept_NM",
+)
+_SPAN_NAMES = (
+    (2, "exports", "one"), (3, "exports", "two"), (5, "functions", "wide"), (9, "variables", "in"), (9, "functions", "arrow"), (10, "variables", "last"),
+    (13, "variables", "bare"), (13, "variables", "half"), (15, "classes", "Kept"), (16, "functions", "load"), (21, "exports", "Kept"),
+)
+_SPAN_FILES = f"""SELECT 'app' AS project, '/js/'||CAST(p_partkey AS STRING)||'.js' AS path, 'javascript' AS lang, p_partkey AS file_ord,
+  replace('{"|".join(_SPAN_LINES)}', 'NM', CAST(p_partkey AS STRING)) AS content FROM part"""
+
+
+@query(
+    "extract_js_spans",
+    " UNION ALL ".join(
+        f"SELECT 'app' AS project, '{category}' AS category, '{name}_'||p_partkey AS name, '/js/'||p_partkey||'.js' AS path, CAST({line} AS BIGINT) AS line FROM part"
+        for line, category, name in _SPAN_NAMES
+    ),
+)
+def extract_js_spans(spark, sf):
+    files = sql(spark, sf, _SPAN_FILES).withColumn("content", F.replace("content", F.lit("|"), F.lit("\n")))
+    return sy.extract_js(sy.explode_lines(files)).select("project", "category", "name", "path", "line")
+
+
 _ROUTES = """SELECT project, CASE ord%20 WHEN 14 THEN 'GET' WHEN 15 THEN 'POST' ELSE 'MOUNT' END AS method, CASE ord%20 WHEN 14 THEN '/items/'||nm WHEN 15 THEN '/'||upnm ELSE '/api/'||nm END AS path, path AS file, line, ord FROM f6_js_lines WHERE ord%20 IN (14,15,16)"""
 _FIRST_ROUTES = f"SELECT project, method, path, arg_min(file, ord) AS file, arg_min(line, ord) AS line, min(ord) AS ord FROM ({_ROUTES}) r GROUP BY 1,2,3"
 
