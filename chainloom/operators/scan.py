@@ -158,8 +158,8 @@ def neighbours(
     heads = F.flatten(F.collect_list("__heads").over(over_chunks.rowsBetween(1, ahead)))
     tails = F.flatten(F.reverse(F.collect_list("__tails").over(over_chunks.rowsBetween(-back, -1))))
     carry = edges.select(*keys, _C, heads.alias("__heads"), tails.alias("__tails"))
-    after = F.collect_list("__v").over(local.rowsBetween(1, ahead))
-    before = F.reverse(F.collect_list("__v").over(local.rowsBetween(-back, -1)))
+    after = F.array_compact(F.array(*[F.lead("__v", i).over(local) for i in range(1, ahead + 1)]))
+    before = F.array_compact(F.array(*[F.lag("__v", i).over(local) for i in range(1, back + 1)]))
     joined = big.withColumns({"__after": after, "__before": before}).join(carry, [*keys, _C])
 
     def nearest(own: str, others: str, n: int) -> Column:

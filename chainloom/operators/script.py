@@ -18,6 +18,7 @@ goes: a closing bracket closes the innermost open one.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
@@ -30,6 +31,7 @@ from chainloom.operators.scan import neighbours, scan
 from chainloom.operators.storage import materialise
 
 CHUNK_LINES, SCAN_LINES = 4096, 65536
+BACK, AHEAD = 6, 6  # the longest patterns: case label before an async function, async arrow behind =
 PLACE = 1 << 24  # a token's ordinal is its line times this, plus its column
 
 _TOKEN = re.compile(
@@ -160,6 +162,8 @@ _KEYS = "project string, path string, unit long, chunk long"
 _EFFECT = f"{_KEYS}, start string, known boolean, closed long, opened string, operand boolean, asks boolean"
 _ENTRY = f"{_KEYS}, entry string, before boolean, again boolean"
 _STARTS = ("", "`", "*")
+_TOKEN_COLUMNS = (("place", "long"), ("scope", "long"), ("within", "string"), ("kind", "string"), ("token", "string"))
+_ARROW = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
 
 
 class Effect(NamedTuple):
@@ -230,7 +234,7 @@ def _true_effects(lines: DataFrame, entries: DataFrame) -> DataFrame:
     return lines.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInArrow(read, _EFFECT)
 
 
-_EFFECT_ROWS = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[t]) for n, t in (f.split() for f in _EFFECT.split(", "))])
+_EFFECT_ROWS = pa.schema([(n, _ARROW[t]) for n, t in (f.split() for f in _EFFECT.split(", "))])
 
 
 def _entries(effects: DataFrame) -> DataFrame:
@@ -276,28 +280,40 @@ def tokens(lines: DataFrame) -> DataFrame:
     lines = lines.withColumns({"unit": unit.cast("long"), "line": F.col("line").cast("long")})
     lines = lines.select(*_FILE, "lang", "line", "ord", "text", F.floor(F.col("line") / CHUNK_LINES).cast("long").alias("chunk"))
     lines = materialise(lines, "js-lines")
-    kept = StructType([f for f in lines.schema if f.name not in ("text", "chunk")])
-    schema = StructType([*kept, *StructType.fromDDL("place long, scope long, within string, kind string, token string")])
-
-    def emit(rows: pa.Table, entry: pa.Table) -> pa.Table:
-        rows = rows.sort_by("line")
-        reader = Reader(_unpack(entry["entry"][0].as_py()), entry["before"][0].as_py()) if entry.num_rows else Reader([])
-        at, found = [], []
-        for i, (number, text) in enumerate(zip(rows["line"].to_pylist(), rows["text"].to_pylist(), strict=True)):
-            for token in reader.line(number, text or ""):
-                at.append(i)
-                found.append(token)
-        out = {f.name: rows[f.name].take(pa.array(at, pa.int64())) for f in kept}
-        for k, (name, type_) in enumerate([("place", pa.int64()), ("scope", pa.int64()), ("within", pa.string()), ("kind", pa.string()), ("token", pa.string())]):
-            out[name] = pa.array([t[k] for t in found], type_)
-        return pa.table(out)
-
+    kept = [f for f in lines.schema if f.name not in ("text", "chunk")]
+    schema = StructType([*kept, *StructType.fromDDL(", ".join(f"{n} {t}" for n, t in _TOKEN_COLUMNS))])
     keys = [*_FILE, "chunk"]
-    return lines.groupBy(*keys).cogroup(borders(lines).groupBy(*keys)).applyInArrow(emit, schema)
+    lines = lines.join(borders(lines), keys, "left")
+    lines = lines.repartition(*keys).sortWithinPartitions(*keys, "line")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, last = Reader([]), None
+        for batch in batches:
+            found, at = [], []
+            columns = [batch.column(n).to_pylist() for n in (*keys, "line", "text", "entry", "before")]
+            for i, (*key, number, text, entry, before) in enumerate(zip(*columns, strict=True)):
+                if key != last:
+                    reader, last = Reader(_unpack(entry or ""), before or False), key
+                for token in reader.line(number, text or ""):
+                    at.append(i)
+                    found.append(token)
+            places = pa.array(at, pa.int64())
+            out = [batch.column(f.name).take(places) for f in kept]
+            out += [pa.array([t[k] for t in found], _ARROW[t_]) for k, (_, t_) in enumerate(_TOKEN_COLUMNS)]
+            yield pa.RecordBatch.from_arrays(out, names=schema.names)
+
+    return lines.mapInArrow(read, schema)
 
 
 def _get(side: str, i: int, part: str = "t") -> Column:
-    return F.get(F.col(side), F.lit(i))[part]
+    """Text, kind or line of the ``i``-th token before or after a row of ``_wide``."""
+    return F.col(f"{side}{i}{part}")
+
+
+def _wide(rows: DataFrame) -> DataFrame:
+    """The neighbours of every token as plain columns."""
+    flat = {f"{side}{i}{p}": F.get(F.col(side), F.lit(i))[p] for side, n in (("back", BACK), ("ahead", AHEAD)) for i in range(n) for p in "ktl"}
+    return rows.withColumns(flat).drop("back", "ahead")
 
 
 def _in(c: Column, *values: str) -> Column:
@@ -332,11 +348,12 @@ def declarations(found: DataFrame) -> DataFrame:
     scope = [*_FILE, "scope"]
     wide = PLACE * SCAN_LINES
     value = F.struct(F.col("kind").alias("k"), F.col("token").alias("t"), F.col("line").alias("l"))
-    rows = materialise(neighbours(materialise(found, "js-lexed"), scope, "place", value, back=5, ahead=6, chunk=wide), "js-tokens")
+    beside = neighbours(materialise(found, "js-lexed"), scope, "place", value, back=BACK, ahead=AHEAD, chunk=wide)
+    rows = materialise(_wide(beside), "js-tokens")
     t, line, word = F.col("token"), F.col("line"), F.col("kind") == "w"
-    b = [_get("back", i) for i in range(5)]
-    a = [_get("ahead", i) for i in range(6)]
-    a_word = [_get("ahead", i, "k") == "w" for i in range(6)]
+    b = [_get("back", i) for i in range(BACK)]
+    a = [_get("ahead", i) for i in range(AHEAD)]
+    a_word = [_get("ahead", i, "k") == "w" for i in range(AHEAD)]
     typed = F.col("lang") == "typescript"
 
     # const, let and var, and the names their statement declares
@@ -351,6 +368,12 @@ def declarations(found: DataFrame) -> DataFrame:
         | _is(a[0], "(") & _is(a[1], ")") & _in(a[2], "=>", ":") | _is(a[0], "async") & _is(a[1], "(") & _is(a[2], ")") & _in(a[3], "=>", ":")
         | a_word[0] & _is(a[1], "=>") | _is(a[0], "async") & a_word[1] & _is(a[2], "=>")
     )
+    is_list = (t == "{") & (_is(b[0], "export") & _starts(_get("back", 0, "l"), 1) | _is(b[0], "type") & _is(b[1], "export"))
+    item = word & (b[0].isNull() | _is(b[0], ",") | _is(b[0], "type") & (b[1].isNull() | _is(b[1], ","))) & ~(_is(t, "type") & a_word[0] & ~_is(a[0], "as"))
+    leads = b[0].isNull() | _in(b[0], ";", ",", "}", "*", *MODIFIERS) | new_line
+    named = _in(b[0], "const", "let", "var", ",", "function", "*", "class", "interface", "enum", "type", "default") | leads & _is(a[0], "(") & _is(a[1], ")")
+    rows = rows.withColumns({"lists": F.coalesce(is_list, F.lit(False)), "item": F.coalesce(item, F.lit(False))})
+    rows = rows.filter(keyword | border | (t == "=") | F.col("lists") | F.col("item") | word & named)
     rows = scan(rows, scope, "place", lasts={"anchor": anchor}, chunk=wide)
     plain = word & ~t.isin(*BEFORE_VALUE, "function", "class", "enum", "async", "await") & (F.length("anchor") > 0)
     beside = a[0].isNull() | a[0].isin("=", ",", ";", ":", "!") | (_get("ahead", 0, "l") > line) & ~_in(a[0], *GO_ON)
@@ -386,7 +409,6 @@ def declarations(found: DataFrame) -> DataFrame:
     is_type = word & follows & (_starts(line, 1, "export", "default", "declare") | _is(b[1], "const"))
     type_name = typed & is_type
     type_x = is_type & (_exported(1) | _in(b[1], "declare", "const") & _exported(2))
-    leads = b[0].isNull() | b[0].isin(";", ",", "}", "*", *MODIFIERS) | new_line
     method = word & ~t.isin(*NOT_METHODS) & leads & _is(a[0], "(") & _is(a[1], ")") & (_is(a[2], "{") | typed & _is(a[2], ":") & _typed_body())
     default_x = (
         word & _is(b[0], "default") & _is(b[1], "export") & ~t.isin("async", "function", "class", "abstract", "interface", *BEFORE_VALUE)
@@ -400,11 +422,8 @@ def declarations(found: DataFrame) -> DataFrame:
         variable, name("functions", function), name("classes", class_name), name("classes", type_name), name("functions", method)
     )
     x = exports_variable | word & function_x & _in(a[0], "(", "<") | class_x | type_x | default_x
-    is_list = (t == "{") & (_is(b[0], "export") & _starts(_get("back", 0, "l"), 1) | _is(b[0], "type") & _is(b[1], "export"))
-    rows = materialise(rows.select(
-        *_FILE, "line", "ord", "scope", "place", "token", own.alias("own"), F.coalesce(x, F.lit(False)).alias("x"), F.coalesce(is_list, F.lit(False)).alias("lists"),
-        (word & (b[0].isNull() | _is(b[0], ",") | _is(b[0], "type") & (b[1].isNull() | _is(b[1], ","))) & ~(_is(t, "type") & a_word[0] & ~_is(a[0], "as"))).alias("item"),
-    ).filter("own IS NOT NULL OR x OR lists OR item"), "js-names")
+    rows = rows.select(*_FILE, "line", "ord", "scope", "place", "token", own.alias("own"), F.coalesce(x, F.lit(False)).alias("x"), "lists", "item")
+    rows = materialise(rows.filter("own IS NOT NULL OR x OR lists OR item"), "js-names")
     lists = rows.filter("lists").select(*_FILE, F.col("place").alias("scope"))
     listed = rows.filter("item").join(lists, [*_FILE, "scope"], "left_semi").withColumn("category", F.lit("exports"))
     single = rows.filter("own IS NOT NULL").withColumn("category", F.col("own")).unionByName(rows.filter("x").withColumn("category", F.lit("exports")))
