@@ -47,6 +47,55 @@ def test_summaries_fall_back(spark):
     assert md.usage_totals(got).select("calls", "input_tokens").first() == (2, 3)
 
 
+BLOCKS = "conv bigint, uuid string, block_idx int, tool string, args string, content string"
+
+
+def test_a_lost_task_makes_no_call_twice(spark, tmp_path):
+    """Tasks fail after half their calls; the next attempts, and the next job, find what was answered."""
+    import os
+
+    journal, log = str(tmp_path / "journal"), str(tmp_path / "calls")
+    os.makedirs(log)
+    targets = spark.createDataFrame([(1, f"u{i}", 0, "Read", "{}", f"text {i % 40}") for i in range(50)], BLOCKS)
+    stop_at = 20
+
+    def fn(tool, args, content):
+        made = len(os.listdir(log))
+        if stop_at is not None and made >= stop_at:
+            os._exit(1)  # the Python worker dies with its task
+        open(f"{log}/{made}-{content.replace(' ', '')}", "w").close()
+        return {"summary": content.upper(), "usage": {"input_tokens": 2}}
+
+    with pytest.raises(Exception):
+        md.summarize_blocks(targets, fn, concurrency=1, journal=journal)
+    first = os.listdir(log)
+    assert len(first) == 20
+    stop_at = None
+    got = md.summarize_blocks(targets, fn, concurrency=1, journal=journal)
+    assert rows(got, "uuid", "summary", "fallback") == sorted([(f"u{i}", f"TEXT {i % 40}", False) for i in range(50)], key=repr)
+    texts = [name.split("-")[1] for name in os.listdir(log)]
+    assert len(texts) == len(set(texts)) == 40
+    assert not [f for _, _, files in os.walk(f"{journal}/calls") for f in files]
+
+    def never(tool, args, content):
+        raise AssertionError("asked again")
+
+    again = md.summarize_blocks(targets, never, journal=journal)
+    assert rows(again, "uuid", "summary", "error") == rows(got, "uuid", "summary", "error")
+    other = md.summarize_blocks(targets.limit(1), lambda *_: {"summary": "new"}, journal=journal, asked="another model")
+    assert other.first().summary == "new"
+
+
+def test_scores_from_the_journal_are_checked_alike(spark, tmp_path):
+    given = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "a")], "conv bigint, turn_id bigint, skeleton string")
+    good = {"type": "micro", "importance": "supporting", "value_score": 50, "summary": "s", "key_artifacts": [{"kind": "file", "path": "p"}]}
+    fn = lambda turn, text: {**good, "value_score": 500} if turn == 2 else good
+    plain = rows(md.score_turns(given, fn), "conv", "turn_id", "summary", "error")
+    for _ in range(2):
+        assert rows(md.score_turns(given, fn, journal=str(tmp_path / "j")), "conv", "turn_id", "summary", "error") == plain
+    assert plain == [(1, 1, "s", None), (1, 2, None, "bad value_score: 500"), (2, 1, "s", None)]
+
+
 def test_token_meter_stream_equals_batch(spark, tmp_path):
     src, out = str(tmp_path / "src"), str(tmp_path / "out")
     df = spark.createDataFrame([(i % 3, "x" * i) for i in range(50)], "conv bigint, text string")
