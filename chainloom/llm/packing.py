@@ -2,12 +2,15 @@
 
 Documents become token pieces once; from then on only (id, length, checksum) rows travel.  Pieces are dealt evenly into
 parts by hash of a row number that was written with them, and every part is packed best-fit decreasing in its own task.
-Dual feasible functions bound the number of sequences each part needs from below: a part whose count meets its bound is
-certified and stays.  The other parts keep their full sequences, exchange the rest of their documents under another hash
-and are packed again.  A round counts only if it needs fewer sequences than before.
+Dual feasible functions bound the number of sequences from below, for each part and, by the histogram of all lengths, for
+the whole table.  While the table is above its bound, documents are exchanged: a part above its own bound gives all but its
+full sequences, and a part that meets it gives its emptiest one (each part rounds its bound up, so the parts together can be
+above that of the table).  What they give is dealt anew under another hash, to fewer parts, and packed again.  A round counts
+only if it needs fewer sequences than before.  Rounding costs less than a sequence a part, and each round has about a
+thousandth of the parts of the one before.
 
-A part holds about PART_ITEMS pieces, whatever the size of the corpus.  Only the histogram of piece lengths (at most
-``limit`` rows) comes to the driver.
+A part holds about PART_ITEMS pieces, whatever the size of the corpus.  Only histograms of piece lengths (at most ``limit``
+rows) come to the driver.
 
 Defined results: a null or empty text is one piece that holds the end token alone; repeated rows are separate pieces; an
 empty table gives an empty result; other columns of the input are left out, so no name clashes.
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import array
 import base64
+import json
 import zlib
 from functools import lru_cache
 
@@ -31,16 +35,17 @@ from chainloom.operators.storage import materialise
 PART_ITEMS = 2000
 LEAST_PARTS = 4
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_PLACED = _PIECES + ", item long, part long, bin long, offset long, gap int, full boolean"
+_PLACED = _PIECES + ", item long, part long, bin long, offset long, loose boolean"
 
 
 @lru_cache(maxsize=4)
-def encoder(ranks: str):
+def encoder(ranks: str, tokenizer: str | None = None):
     """``text -> list of ids`` of a byte-level vocabulary given as a rank file.
 
     The library's own tokenizer file and the rank file hold the same vocabulary and give the same ids (tested).  The
     look-ahead of the splitting pattern matters only behind runs of white space, so texts without such runs take a pattern
-    that the regex engine runs without backtracking.
+    that the regex engine runs without backtracking.  The tokenizer file lists added tokens, whose strings it recognises in
+    any text; texts are split there first.
     """
     import re
 
@@ -53,7 +58,24 @@ def encoder(ranks: str):
     simple = r"'(?:[stmd]|re|ve|ll)| ?(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)|\s+"
     single = tiktoken.Encoding("single", pat_str=simple, mergeable_ranks=merges, special_tokens={})
     run = re.compile(r"\s\s")
-    return lambda text: (whole if run.search(text) else single).encode_ordinary(text)
+    added = _added_tokens(public_tokenizers.path(tokenizer)) if tokenizer else {}
+    border = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+    def plain(text: str) -> list[int]:
+        return (whole if run.search(text) else single).encode_ordinary(text)
+
+    def encode(text: str) -> list[int]:
+        parts = border.split(text) if border else [text]
+        if len(parts) == 1:
+            return plain(text)
+        return [i for p in parts if p for i in ([added[p]] if p in added else plain(p))]
+
+    return encode
+
+
+def _added_tokens(path: str) -> dict[str, int]:
+    with open(path, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
 
 
 def cut(count: int, limit: int) -> list[tuple[int, int]]:
@@ -65,11 +87,11 @@ def cut(count: int, limit: int) -> list[tuple[int, int]]:
     return [(s, first if s == 0 and first else limit) for s in starts]
 
 
-def pieces(docs: DataFrame, *, limit: int, end_id: int, ranks: str, id_col: str, text_col: str) -> DataFrame:
+def pieces(docs: DataFrame, *, limit: int, end_id: int, ranks: str, tokenizer: str | None, id_col: str, text_col: str) -> DataFrame:
     """One row per piece.  ``item`` numbers the rows as they are written, so that equal rows can be dealt apart."""
 
     def tokenise(cols: dict[str, list]) -> dict[str, list]:
-        encode, out = encoder(ranks), {n: [] for n in ("doc_id", "piece", "start", "length", "ids_crc32")}
+        encode, out = encoder(ranks, tokenizer), {n: [] for n in ("doc_id", "piece", "start", "length", "ids_crc32")}
         for doc, text in zip(cols["doc_id"], cols["text"], strict=True):
             ids = array.array("I", encode(text))
             ids.append(end_id)
@@ -129,7 +151,8 @@ def _pack_parts(items: DataFrame, limit: int, seed: int, parts: int) -> DataFram
         lengths = part["length"].to_numpy()
         bins, offsets, room = best_fit_decreasing(lengths, limit)
         gap = len(room) - bins_needed(np.bincount(lengths, minlength=limit + 1), limit)
-        return part.assign(bin=bins, offset=offsets, gap=gap, full=room[bins] == 0)
+        loose = room > 0 if gap > 0 else (room > 0) & (np.arange(len(room)) == room.argmax())
+        return part.assign(bin=bins, offset=offsets, loose=loose[bins])
 
     dealt = items.withColumn("part", F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(parts)))
     return dealt.groupBy("part").applyInPandas(pack, _PLACED)
@@ -145,13 +168,14 @@ def pack(
     limit: int = 1024,
     end_id: int = 2,
     ranks: str = "byte_bpe_50k.tiktoken",
+    tokenizer: str | None = "byte_bpe_50k.json",
     rounds: int = 3,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
     cut_up = materialise(
-        pieces(docs, limit=limit, end_id=end_id, ranks=ranks, id_col=id_col, text_col=text_col), "pack-pieces"
+        pieces(docs, limit=limit, end_id=end_id, ranks=ranks, tokenizer=tokenizer, id_col=id_col, text_col=text_col), "pack-pieces"
     )
     columns = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
     alone = cut_up.filter(F.col("length") >= limit).withColumn("offset", F.lit(0).cast("long"))
@@ -160,25 +184,30 @@ def pack(
     def number(placed: DataFrame, turn: int) -> DataFrame:  # of bins: the turn in the last three bits
         return placed.withColumn("sequence_id", ((F.col("part") * (1 << 24) + F.col("bin")) * 8 + turn)).select(*columns)
 
-    def parts_for(n: int) -> int:
-        return max(LEAST_PARTS, -(-n // PART_ITEMS))
+    def lengths(items: DataFrame) -> np.ndarray:
+        found = np.zeros(limit + 1, np.int64)
+        for length, n in items.groupBy("length").count().collect():  # at most ``limit`` rows
+            found[length] = n
+        return found
 
     rest = cut_up.filter(F.col("length") < limit)
-    placed = materialise(_pack_parts(rest, limit, 0, parts_for(rest.count())), "pack-round-0")
-    turn = 1
+    histogram = lengths(rest)
+    bound = bins_needed(histogram, limit)
+    placed = materialise(_pack_parts(rest, limit, 0, max(LEAST_PARTS, -(-int(histogram.sum()) // PART_ITEMS))), "pack-round-0")
+    settled, turn = 0, 1
     for seed in range(1, rounds + 1):
-        loose = placed.filter("gap > 0 AND NOT full")
-        histogram = np.zeros(limit + 1, np.int64)
-        for length, n in loose.groupBy("length").count().collect():  # at most ``limit`` rows
-            histogram[length] = n
-        before = _bins(loose)
-        if before == bins_needed(histogram, limit):
+        if settled + _bins(placed) <= bound:
+            break
+        loose = placed.filter("loose")
+        histogram, before = lengths(loose), _bins(loose)
+        if before <= bins_needed(histogram, limit):
             break
-        again = _pack_parts(loose.select("doc_id", "piece", "start", "length", "ids_crc32", "item"), limit, seed, parts_for(int(histogram.sum())))
-        again = materialise(again, f"pack-round-{seed}")
+        items = loose.select("doc_id", "piece", "start", "length", "ids_crc32", "item")
+        again = materialise(_pack_parts(items, limit, seed, max(1, -(-int(histogram.sum()) // PART_ITEMS))), f"pack-round-{seed}")
         if _bins(again) >= before:
             continue
-        done.append(number(placed.filter("NOT (gap > 0 AND NOT full)"), turn))
+        settled += _bins(placed) - before
+        done.append(number(placed.filter("NOT loose"), turn))
         placed, turn = again, turn + 1
     done.append(number(placed, turn))
     out = done[0]

@@ -17,9 +17,9 @@ def reference_ids(text):
     return reference_ids.t.encode(text or "", add_special_tokens=False).ids + [2]
 
 
-@pytest.mark.parametrize("text", ["", "a", "a  b", " a", "a \n b", "x  y 12³½ ªº", "it's  we'll\r\n\r\nO'Neil ", "日本語 text  　x", "\t\tz  "])
+@pytest.mark.parametrize("text", ["", "a", "a  b", " a", "a \n b", "x  y 12³½ ªº", "it's  we'll\r\n\r\nO'Neil ", "日本語 text  　x", "\t\tz  ", "hello <|endoftext|> world", "<|endoftext|><|endoftext|>  x <|endoftext>"])
 def test_ids_equal_those_of_the_tokenizer_file(text):
-    assert packing.encoder("byte_bpe_50k.tiktoken")(text) + [2] == reference_ids(text)
+    assert packing.encoder("byte_bpe_50k.tiktoken", "byte_bpe_50k.json")(text) + [2] == reference_ids(text)
 
 
 def check_packing(rows, limit):
@@ -96,6 +96,15 @@ def test_repacking_never_needs_more_and_keeps_every_piece(spark):
     assert sum(map(len, again.values())) == sum(map(len, plain.values())) == 300
 
 
+@pytest.mark.parametrize("sizes", [[100] * 4, [300] * 40 + [724] * 40, list(range(1, 400))])
+def test_parts_together_meet_the_bound_of_the_table(spark, monkeypatch, sizes):
+    monkeypatch.setattr(packing, "PART_ITEMS", 25)
+    docs = documents(spark, [(i, " ".join(["w"] * (n - 1)), "s") for i, n in enumerate(sizes)])
+    out = packing.pack(docs).collect()
+    lengths = np.bincount([r.length for r in out], minlength=1025)
+    assert len(check_packing(out, 1024)) <= packing.bins_needed(lengths, 1024) + 1
+
+
 def test_water_level_stops_at_the_cap(spark):
     sizes = {"a": 1, "b": 1000, "c": 3000, "d": 0, None: 10}
     docs = documents(spark, [(i, "x " * n, s) for i, (s, n) in enumerate(sizes.items())])
