@@ -498,8 +498,14 @@ def match_plan(plans: DataFrame, chain_stats: DataFrame) -> DataFrame:
 
 def condense_modes(blocks: DataFrame, scores: DataFrame | None = None, summaries: DataFrame | None = None, **options) -> list[DataFrame]:
     """Candidates of every mode.  The narrow call table is written once and read by each mode."""
+    return modes_of(materialise(pair_calls(blocks), "calls"), blocks, scores, summaries, **options)
+
+
+def modes_of(
+    calls: DataFrame, blocks: DataFrame, scores: DataFrame | None = None, summaries: DataFrame | None = None, **options
+) -> list[DataFrame]:
+    """Candidates of every mode: of thinking and arguments from ``blocks``, of all others from narrow ``calls``."""
     recent = {"keep_recent": options.get("keep_recent")}
-    calls = materialise(pair_calls(blocks), "calls")
     found = [condense_reads(calls, options.get("memory_paths", MEMORY_PATHS)), condense_snapshots(calls)]
     if "thinking" in blocks.columns:
         found.append(condense_thinking(blocks, scores, options.get("dropped"), style=options.get("style", "minimal"), **recent))
@@ -508,6 +514,44 @@ def condense_modes(blocks: DataFrame, scores: DataFrame | None = None, summaries
     return found
 
 
+def live_calls(calls: DataFrame, condensed: DataFrame) -> DataFrame:
+    """The calls that later ones can still supersede, or that supersede earlier ones.
+
+    That is what is large enough for a mode and not yet ``condensed(conv, uuid, block_idx)``, and the latest call of every
+    key the modes compare by.
+    """
+    done = condensed.select("conv", F.col("uuid").alias("result_uuid"), F.col("block_idx").alias("result_idx"), F.lit(True).alias("__done")).distinct()
+    read = (F.col("tool") == "Read") & (F.length("path") > 0)
+    state = F.col("tool").rlike("(?i)^(" + "|".join(SNAPSHOT_TOOLS) + ")$") & (F.col("chars") >= SNAPSHOT_MIN)
+    keys = {"__path": F.when(read, F.col("path")), "__tool": F.when(state, F.col("tool")), "__args": F.when(state, F.col("args"))}
+    keys |= {f"__{n}": F.when(read & _set(json_arg(n)), json_arg(n)) for n in ("offset", "limit")}
+    rows = calls.join(done, ["conv", "result_uuid", "result_idx"], "left")
+    rows = rows.withColumns({n: F.coalesce(k, F.lit("")) for n, k in keys.items()} | {"uuid": F.col("result_uuid")})
+    rows = _latest(rows, ["conv", "__path"], "__any")
+    rows = _latest(rows, ["conv", "__path", "__offset", "__limit"], "__same")
+    rows = _latest(rows, ["conv", "__tool", "__args"], "__state")
+    large = (F.col("chars") >= min(MEMORY_MIN, STALE_MIN, SNAPSHOT_MIN, mk.REFETCH_MIN)) | (F.col("image_chars") > IMAGE_MIN)
+    latest = (F.length("__path") > 0) & ~(F.col("__any_older") & F.col("__same_older")) | (F.length("__tool") > 0) & ~F.col("__state_older")
+    return rows.filter(F.col("__done").isNull() & large | latest).select(*calls.columns)
+
+
+def open_calls(blocks: DataFrame, calls: DataFrame, last: DataFrame) -> DataFrame:
+    """Call blocks without a result whose window reaches beyond ``last(conv, last_pos)``."""
+    paired = calls.select("conv", F.col("call_pos").alias("pos"), F.col("call_idx").alias("block_idx"))
+    unpaired = blocks.filter((F.col("type") == "tool_use") & F.col("tool_id").isNotNull()).join(paired, ["conv", "pos", "block_idx"], "left_anti")
+    return unpaired.join(last, "conv").filter(F.col("pos") + LOOK_AHEAD > F.col("last_pos")).select(*blocks.columns)
+
+
+def waiting_blocks(blocks: DataFrame, condensed: DataFrame, keep_recent: int | None = None) -> DataFrame:
+    """Thinking and long-argument blocks whose turn is still recent: a mode may take them once it is not."""
+    kept = F.col("type") == "tool_use"
+    kept &= F.col("tool").isin(*LONG_ARGS, *EDIT_ARGS) & (F.length("args") >= ARGS_MIN)
+    if "thinking" in blocks.columns:
+        kept |= F.col("type") == "thinking"
+    rows = blocks.filter(kept).filter(~_not_recent(keep_recent))
+    return rows.join(condensed.select("conv", "uuid", "block_idx"), ["conv", "uuid", "block_idx"], "left_anti").select(*blocks.columns)
+
+
 def with_bodies(targets: DataFrame, blocks: DataFrame) -> DataFrame:
     """Re-fetch targets with the result text, for a summariser."""
     bodies = blocks.filter(F.col("type") == "tool_result").select("conv", "uuid", "block_idx", result_body(blocks).alias("content"))

@@ -5,6 +5,7 @@ Every job reads rows derived from the given tables; folders lie below the checkp
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyarrow import fs as pafs
@@ -270,14 +271,37 @@ def stream_code_check(spark, sf):
     return spark.read.option("recursiveFileLookup", "true").parquet(out)
 
 
-@query("stream_condense", f"WITH {cq._PLAN.replace('{up}', 'FALSE').replace(cq._STATE, cq._STATE + ' AND FALSE')} SELECT conv, uuid, mode, saved, new_value, mode AS state_mode FROM win")
+# Blocks arrive in four batches by position; a batch may end between a call and its result.
+_STEP = 15
+_ARRIVES = f"least(3, CAST(floor((2*n-1)/{_STEP}.0) AS INT))"  # of a result, at position 2n
+
+
+def _upto(b: int) -> str:
+    """The plan over the calls answered by batch ``b``, less what earlier batches condensed."""
+    reads, every = (re.sub(r"\b(FROM|JOIN) ([kr])\b", rf"\1 \g<2>{b}", text) for text in (cq._READS, cq._EVERY))
+    earlier = " UNION ALL ".join(f"SELECT conv, uuid FROM win{i}" for i in range(b)) or "SELECT conv, uuid FROM e0 WHERE FALSE"
+    return f"""k{b} AS (SELECT * FROM k WHERE {_ARRIVES}<={b}), {re.sub(r"^r AS", f"r{b} AS", reads)},
+ e{b}(conv, uuid, rank, mode, original_bytes, condensed_bytes, new_value) AS ({every}),
+ win{b} AS (SELECT *, CASE WHEN mode='refetch-markers' THEN original_bytes-condensed_bytes ELSE original_bytes END AS saved
+   FROM (SELECT *, row_number() OVER (PARTITION BY conv, uuid ORDER BY rank) AS rn FROM e{b} WHERE (conv, uuid) NOT IN ({earlier})) t WHERE rn=1)"""
+
+
+@query(
+    "stream_condense",
+    f"WITH {cq._K}, {', '.join(_upto(b) for b in range(4))} "
+    + " UNION ALL ".join(f"SELECT conv, uuid, mode, saved, new_value, mode AS state_mode FROM win{b}" for b in range(4)),
+)
 def stream_condense(spark, sf):
     blocks = cq.call_blocks(spark, sf)
+    arrives = F.least(F.lit(3), F.floor((F.col("pos") - 1) / _STEP)).cast("int")
     store = jobs.CondenseStore(spark, folder(spark, "condense"), blocks.schema)
-    jobs.stream_condense(_as_stream(spark, blocks, "blocks", "conv"), store, folder(spark, "condense-state")).awaitTermination()
-    # A batch that is run again after a failure finds its own folders and writes the same rows.
-    again = spark.read.schema(StructType([*blocks.schema.fields, StructField("batch", LongType())])).parquet(f"{store.root}/blocks")
-    store.process(materialise(again.filter("batch = 1").drop("batch"), "replay"), 1)
+    arriving = folder(spark, "blocks")
+    for b in range(4):  # one file a batch, the older first
+        blocks.filter(arrives == b).coalesce(1).write.mode("append").parquet(arriving)
+    source = spark.readStream.schema(blocks.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    jobs.stream_condense(source, store, folder(spark, "condense-state")).awaitTermination()
+    # A batch that is run again after a failure finds the versions before it and writes the same rows.
+    store.process(materialise(blocks.filter(arrives == 3), "replay"), 3)
     state = store.state().select("conv", "uuid", "block_idx", F.col("mode").alias("state_mode"))
     done = store.replacements().join(state, ["conv", "uuid", "block_idx"], "full")
     return done.select("conv", "uuid", "mode", "saved", "new_value", "state_mode")

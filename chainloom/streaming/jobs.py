@@ -16,7 +16,8 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from chainloom.functions.text import tokens
 from chainloom.operators.codecheck import check_code
-from chainloom.operators.condense import apply_to_blocks, build_condense_plan, condense_modes
+from chainloom.operators.condense import apply_to_blocks, build_condense_plan, live_calls, modes_of, open_calls, pair_calls, waiting_blocks
+from chainloom.operators.storage import materialise
 from chainloom.operators.symbols import build_registry, extract_symbols
 
 STATE_SCHEMA = "uuid string, block_idx int, mode string, original_bytes bigint, condensed_bytes bigint, summary_source string"
@@ -53,18 +54,29 @@ def bucket_of(conv: str = "conv") -> Column:
 
 
 class CondenseStore:
-    """Folders of the incremental condensation: arrived blocks, replacements, state.
+    """Folders of the incremental condensation: arrived blocks, replacements, state, and what later blocks can still change.
 
-    Blocks and state are stored by batch and by a hash bucket of the conversation; a batch reads only the buckets it touches.
+    A batch never reads an old block.  What it needs of them is kept by hash bucket of the conversation, one version per batch:
+    narrow rows of the calls that can still supersede or be superseded (``calls``), calls whose result may still come
+    (``open``) and blocks of recent turns that a mode may take later (``waiting``).  A batch reads the versions before it of
+    the buckets it touches and writes new ones, so running it again changes nothing; older versions are removed.
+
+    Blocks of a conversation arrive in order of their position.  A block is condensed once, by the first batch after which a
+    mode applies.
     """
 
+    LIVE = ("calls", "open", "waiting")
+
     def __init__(self, spark: SparkSession, root: str, block_schema, conv_type: str = "bigint"):
         self.spark, self.root = spark, root
         self.block_schema = block_schema
         self.state_schema = StructType.fromDDL(f"conv {conv_type}, {STATE_SCHEMA}")
+        empty = spark.createDataFrame([], block_schema)
+        self.live_schemas = {"calls": pair_calls(empty).schema, "open": block_schema, "waiting": block_schema}
 
     def _put(self, rows: DataFrame, name: str, batch_id: int) -> None:
-        rows.withColumn("bucket", bucket_of()).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/batch={batch_id}")
+        rows = rows.withColumn("bucket", bucket_of()).hint("rebalance", "bucket")  # one file a bucket, more for a large one
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/batch={batch_id}")
 
     def _table(self, name: str, schema: StructType, buckets: list[int] | None) -> DataFrame:
         """All batches of a table, of the given buckets only; one that has not been written yet is empty."""
@@ -73,11 +85,10 @@ class CondenseStore:
             rows = self.spark.read.schema(full).parquet(f"{self.root}/{name}")
         except AnalysisException:
             rows = self.spark.createDataFrame([], full)
-        return (rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))).drop("bucket")
+        return rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
 
-    def blocks(self, upto: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-        rows = self._table("blocks", self.block_schema, buckets)
-        return (rows if upto is None else rows.filter(F.col("batch") <= upto)).drop("batch")
+    def blocks(self) -> DataFrame:
+        return self._table("blocks", self.block_schema, None).drop("batch", "bucket")
 
     def state(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
         """Latest record of every block, optionally as it was before a batch."""
@@ -93,18 +104,66 @@ class CondenseStore:
     def replacements(self) -> DataFrame:
         return self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.root}/replacements")
 
+    def _versions(self, before: int, buckets: list[int]) -> dict[int, int]:
+        """The newest version of each bucket that an earlier batch wrote: at most BUCKETS rows."""
+        rows = self._table("versions", StructType([]), buckets).filter(F.col("batch") < before)
+        return {r["bucket"]: r["batch"] for r in rows.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()}
+
+    def live(self, name: str, versions: dict[int, int]) -> DataFrame:
+        rows = self._table(name, self.live_schemas[name], None)
+        wanted = [f"{bucket}-{batch}" for bucket, batch in versions.items()]
+        return rows.filter(F.concat_ws("-", "bucket", "batch").isin(wanted)).drop("batch", "bucket")
+
+    def _forget(self, versions: dict[int, int]) -> None:
+        """Remove what is older than the versions just read."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in self.LIVE:
+            glob = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/batch=*/bucket=*")
+            fs = glob.getFileSystem(conf)
+            for status in fs.globStatus(glob) or []:
+                batch, bucket = (int(part.split("=")[1]) for part in status.getPath().toString().split("/")[-2:])
+                if batch < versions.get(bucket, 0):
+                    fs.delete(status.getPath(), True)
+
     def process(self, batch: DataFrame, batch_id: int, **options) -> None:
         """Add a batch of blocks and condense the conversations it touches."""
         self._put(batch, "blocks", batch_id)
-        arrived = self._table("blocks", self.block_schema, None).filter(F.col("batch") == batch_id)
+        arrived = self._table("blocks", self.block_schema, None).filter(F.col("batch") == batch_id).drop("batch", "bucket")
         buckets = [r["b"] for r in arrived.select(bucket_of().alias("b")).distinct().collect()]  # at most BUCKETS numbers
-        history = self.blocks(batch_id, buckets).join(arrived.select("conv").distinct(), "conv", "left_semi")
-        found = condense_modes(history, **options)
-        replace, _, records = build_condense_plan(found, self.state(batch_id, buckets))
+        versions = self._versions(batch_id, buckets)
+        old = {name: self.live(name, versions) for name in self.LIVE}
+        newest = [F.max("total_turns").alias("newest")] if "total_turns" in arrived.columns else []
+        touched = materialise(arrived.groupBy("conv").agg(F.max("pos").alias("last_pos"), *newest), "touched")
+
+        def now(rows: DataFrame) -> DataFrame:
+            """Rows of the touched conversations, with their present number of turns."""
+            joined = rows.join(touched, "conv")
+            if newest:
+                joined = joined.withColumn("total_turns", F.greatest("total_turns", "newest").cast(rows.schema["total_turns"].dataType))
+            return joined.select(*rows.columns)
+
+        calling = materialise(now(old["open"]).unionByName(now(arrived)), "calling")
+        calls = materialise(now(old["calls"]).unionByName(pair_calls(calling)), "calls")
+        blocks = materialise(now(old["waiting"]).unionByName(now(arrived)), "waiting")
+        known = materialise(self.state(batch_id, buckets), "known")
+        replace, _, records = build_condense_plan(modes_of(calls, blocks, **options), known)
         replace.write.mode("overwrite").parquet(f"{self.root}/replacements/b{batch_id}")
         done = self.spark.read.schema(replace.schema).parquet(f"{self.root}/replacements/b{batch_id}")
         self._put(done.select(*records.columns), "state", batch_id)
 
+        condensed = known.select("conv", "uuid", "block_idx").unionByName(done.select("conv", "uuid", "block_idx"))
+        left = {
+            "calls": live_calls(calls, condensed),
+            "open": open_calls(calling, calls, touched.select("conv", "last_pos")),
+            "waiting": waiting_blocks(blocks, condensed, options.get("keep_recent")),
+        }
+        for name, rows in left.items():
+            others = old[name].join(touched.select("conv"), "conv", "left_anti")
+            self._put(rows.select(*others.columns).unionByName(others), name, batch_id)
+        numbers = self.spark.createDataFrame([(b,) for b in buckets], "bucket int")
+        numbers.withColumn("v", F.lit(1)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/versions/batch={batch_id}")
+        self._forget(versions)
+
     def condensed(self) -> DataFrame:
         """All blocks with every replacement so far applied."""
         return apply_to_blocks(self.blocks(), self.replacements())

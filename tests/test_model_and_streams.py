@@ -121,3 +121,29 @@ def test_condensing_by_batches_is_repeatable(spark, tmp_path):
     store.process(part(3, 5), 1)
     assert rows(store.replacements(), "uuid", "mode") == after
     assert store.condensed().filter("result_text LIKE '[stale read elided%'").count() == 4
+
+
+def test_a_batch_reads_no_old_block(spark, tmp_path):
+    """The blocks that arrived before are gone when the next batch comes; calls and results may lie in different batches."""
+    import shutil
+
+    from test_condense import thought
+
+    path = {"file_path": "/p/a.py"}
+    rows_by_batch = [
+        [call(1, "a", "Read", path, turn=2, total=2), result(2, "a", "x" * 2000, turn=2, total=2), call(3, "b", "Read", path, turn=2, total=2), thought(4, "idea " * 100, turn=2, total=2)],
+        [result(5, "b", "x" * 2000, turn=2, total=2), call(6, "c", "Read", {"file_path": "/p/b.py"}, turn=2, total=2), result(7, "c", "short", turn=2, total=2)],
+        [call(8, "d", "Read", path, turn=9, total=9), result(9, "d", "y" * 2000, turn=9, total=9)],
+    ]
+    store = CondenseStore(spark, str(tmp_path / "store"), table(spark, *rows_by_batch[0]).schema)
+    found = []
+    for n, blocks in enumerate(rows_by_batch):
+        store.process(table(spark, *blocks), n)
+        shutil.rmtree(tmp_path / "store" / "blocks")
+        found.append({(r.uuid, r.mode) for r in store.replacements().collect()})
+    assert found[0] == set() and found[1] == {("m2", "identical-reads")}
+    assert found[2] == found[1] | {("m4", "thinking"), ("m5", "stale-reads")}
+    versions = store._versions(3, list(range(64)))
+    live = store.live("calls", versions)
+    assert rows(live, "result_uuid") == [("m7",), ("m9",)]  # the latest of each path; what is condensed is gone
+    assert store.live("open", versions).count() == 0 and store.live("waiting", versions).count() == 0
