@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from chainloom.functions.text import first_line, line_count, trim_blank
 from chainloom.functions.tools import clip_middle, compact_block, json_arg
-from chainloom.operators.scan import CHUNK, chunk_of, scan
+from chainloom.operators.scan import interval_join, scan
 from chainloom.operators.turns import SEGMENT_SIZE, assign_turn_ids
 
-MAX_REVEAL = 100
+MAX_REVEAL = 100  # of interactive requests
 HEADROOM_TOKENS = 8_000
 TOKEN_FACTOR = 1.25
 
@@ -18,12 +18,13 @@ TOKEN_FACTOR = 1.25
 SKELETON_PROFILES = {"entry": (400, 120, 2500, 0.75, 0.20), "turn": (800, 200, 12_000, 0.78, 0.18)}
 
 
-def inspect_range(messages: DataFrame, specs: DataFrame, size: int = SEGMENT_SIZE) -> tuple[DataFrame, DataFrame]:
+def inspect_range(messages: DataFrame, specs: DataFrame, size: int = SEGMENT_SIZE, *, most: int | None) -> tuple[DataFrame, DataFrame]:
     """(rows, verdicts) for reveal requests.
 
     ``specs`` has req, conv and the nullable columns message_from, message_to, segment_id,
     turn_from, turn_to, turn_id; the first one given wins, in that order.  ``idx`` (1-based) of
-    ``messages`` numbers the rows.  A request for more than 100 rows is refused, not cut.
+    ``messages`` numbers the rows.  A request for more than ``most`` rows is refused, not cut; with None
+    requests may be of any length.
     """
     by_message = F.col("message_from").isNotNull()
     by_segment = F.col("segment_id").isNotNull()
@@ -61,21 +62,13 @@ def inspect_range(messages: DataFrame, specs: DataFrame, size: int = SEGMENT_SIZ
             .when(~by_message & ~by_segment & ((t_from < 1) | (t_to < t_from)), "invalid_range")
             .when(F.col("n").isNull() | F.col("from").isNull(), "not_found")
             .when(F.col("from") > F.col("n"), "out_of_range")
-            .when(F.col("to") - F.col("from") + 1 > MAX_REVEAL, "too_large")
+            .when(F.lit(False) if most is None else F.col("to") - F.col("from") + 1 > most, "too_large")
             .otherwise("ok"),
         )
     )
     verdicts = wanted.select("req", "conv", "verdict", F.col("from").cast("bigint").alias("msg_from"), F.col("to").cast("bigint").alias("msg_to"))
-    # An accepted request spans at most 100 rows, so it touches at most two chunks.
-    pieces = verdicts.filter("verdict = 'ok'").withColumn(
-        "piece", F.explode(F.sequence(F.floor(F.col("msg_from") / CHUNK), F.floor(F.col("msg_to") / CHUNK)))
-    )
-    rows = (
-        messages.withColumn("piece", chunk_of("idx"))
-        .join(pieces, ["conv", "piece"])
-        .filter(F.col("idx").between(F.col("msg_from"), F.col("msg_to")))
-        .drop("piece", "verdict", "msg_from", "msg_to")
-    )
+    accepted = verdicts.filter("verdict = 'ok'").drop("verdict")
+    rows = interval_join(messages, accepted, ["conv"], "idx", "msg_from", "msg_to").drop("msg_from", "msg_to")
     return rows, verdicts
 
 

@@ -167,3 +167,35 @@ def neighbours(
 
     found = joined.withColumns({"back": nearest("__before", "__tails", back), "ahead": nearest("__after", "__heads", ahead)})
     return found.drop(_C, "__v", "__after", "__before", "__heads", "__tails")
+
+
+def interval_candidates(
+    df: DataFrame, spans: DataFrame, keys: Sequence[str], order: str, low: str, high: str, *, chunk: int | None = None
+) -> DataFrame:
+    """Every row beside every span of its key that may hold its ordinal: at most four times those that do.
+
+    A span of width w is met in cells as wide as the next power of two, of which it touches at most two, so it fills at least
+    a quarter of them; a span wider than a chunk is met in chunks.  A row is copied once for each width class that its key has
+    spans of, and no cell is larger than a chunk, so neither wide spans nor hot keys gather in one task.
+    """
+    keys = list(keys)
+    widest = (chunk or CHUNK).bit_length() - 1
+    width = F.col(high) - F.col(low) + 1
+    bits = F.when(width > 1, F.length(F.bin(width - 1))).otherwise(0)
+    pieces = spans.filter(F.col(high) >= F.col(low)).withColumn("__class", F.least(bits, F.lit(widest)).cast("int"))
+
+    def cell(c: str) -> Column:
+        return F.call_function("shiftright", F.col(c).cast("bigint"), F.col("__class"))
+
+    pieces = pieces.withColumn("__cell", F.explode(F.sequence(cell(low), cell(high))))
+    classes = pieces.groupBy(*keys).agg(F.collect_set("__class").alias("__classes"))  # a number for each power of two
+    copies = attach(df, classes, keys, order, chunk=chunk).withColumn("__class", F.explode("__classes")).drop("__classes")
+    return copies.withColumn("__cell", cell(order)).join(pieces, [*keys, "__class", "__cell"]).drop("__class", "__cell")
+
+
+def interval_join(
+    df: DataFrame, spans: DataFrame, keys: Sequence[str], order: str, low: str, high: str, *, chunk: int | None = None
+) -> DataFrame:
+    """Every row beside every span ``[low, high]`` of its key that holds its ordinal."""
+    met = interval_candidates(df, spans, keys, order, low, high, chunk=chunk)
+    return met.filter(F.col(order).between(F.col(low), F.col(high)))

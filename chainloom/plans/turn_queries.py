@@ -225,7 +225,7 @@ _VERDICT = f"""
 
 def _reveal(spark, sf):
     m = linear(spark, sf).withColumn("idx", F.col("line") + 1)
-    return rv.inspect_range(m, sql(spark, sf, _SPECS), 2)
+    return rv.inspect_range(m, sql(spark, sf, _SPECS), 2, most=rv.MAX_REVEAL)
 
 
 @query(
@@ -236,6 +236,20 @@ def inspect_range(spark, sf):
     return _reveal(spark, sf)[0].select("req", "conv", "idx", "uuid")
 
 
+# Requests of every width, up to whole conversations.
+_WIDE = "SELECT 'w'||CAST(conv_id AS STRING)||'-'||CAST(turn AS STRING) AS req, conv_id AS conv, turn + 1 AS message_from, turn + 1 + (conv_id * 7 + turn * turn) % 40 AS message_to FROM conversations"
+
+
+@query(
+    "inspect_any_length",
+    f"WITH w AS ({_WIDE}) SELECT w.req, m.conv_id AS conv, m.turn + 1 AS idx FROM w JOIN conversations m ON m.conv_id=w.conv AND m.turn + 1 BETWEEN w.message_from AND w.message_to",
+)
+def inspect_any_length(spark, sf):
+    m = linear(spark, sf).withColumn("idx", F.col("line") + 1)
+    none = {c: F.lit(None).cast("bigint") for c in ("segment_id", "turn_from", "turn_to", "turn_id")}
+    return rv.inspect_range(m, sql(spark, sf, _WIDE).withColumns(none), most=None)[0].select("req", "conv", "idx")
+
+
 @query(
     "inspect_verdicts",
     f"WITH {_VERDICT} SELECT req, conv, verdict, CASE WHEN verdict='ok' THEN msg_from END AS msg_from, CASE WHEN verdict='ok' THEN msg_to END AS msg_to FROM v",

@@ -1,3 +1,4 @@
+import pytest
 import random
 
 from conftest import rows
@@ -63,3 +64,31 @@ def test_take_first_limits_before_the_shuffle(spark):
     kept = take_first(df, ["k"], [F.desc("o")], 2)
     assert kept.groupBy("k").count().filter("count > 2").count() == 0
     assert "WindowGroupLimit" in kept._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("chunk", [8, 64])
+def test_interval_join_equals_brute_force_and_stays_small(spark, chunk):
+    from chainloom.operators.scan import interval_candidates, interval_join
+
+    rng = random.Random(6)
+    rows_ = [(k, i) for k, n in ((1, 300), (2, 40), (3, 5)) for i in range(n)]
+    spans = [(q, rng.choice([1, 1, 2, 3, 4]), low, low + rng.choice([-1, 0, 1, 2, 5, 17, 64, 250])) for q in range(120) for low in [rng.randrange(300)]]
+    df = spark.createDataFrame(rows_, "k bigint, at bigint")
+    wanted = spark.createDataFrame(spans, "q bigint, k bigint, low bigint, high bigint")
+    got = sorted((r.q, r.k, r["at"]) for r in interval_join(df, wanted, ["k"], "at", "low", "high", chunk=chunk).collect())
+    assert got == sorted((q, k, i) for q, key, low, high in spans for k, i in rows_ if k == key and low <= i <= high)
+    whole = sum(max(0, high - low + 1) for _, _, low, high in spans)
+    assert interval_candidates(df, wanted, ["k"], "at", "low", "high", chunk=chunk).count() <= 4 * whole
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 100])
+def test_neighbours_reach_over_chunks(spark, chunk):
+    from chainloom.operators.scan import neighbours
+
+    rng = random.Random(2)
+    places = {k: sorted(rng.sample(range(200), n)) for k, n in (("a", 60), ("b", 7), ("c", 1))}
+    df = spark.createDataFrame([(k, p) for k, ps in places.items() for p in ps], "k string, at bigint")
+    for r in neighbours(df, ["k"], "at", F.col("at"), back=3, ahead=2, chunk=chunk).collect():
+        ps = places[r.k]
+        i = ps.index(r["at"])
+        assert r.back == ps[max(0, i - 3) : i][::-1] and r.ahead == ps[i + 1 : i + 3]
