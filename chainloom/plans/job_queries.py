@@ -65,14 +65,14 @@ def read_transcript_keys(spark, sf):
 # ---- changed transcripts: written, read again and compared --------------------------------------
 
 
-def _stored(spark, sf, name="f2_messages", bad="conv % 3 = 0"):
-    """Messages of a view after one trip through JSONL, with fields the engine does not know and unreadable lines."""
-    m = view(spark, sf, name)
+def _stored(spark, sf, name="f2_messages", bad="conv % 3 = 0", **more):
+    """Messages of a view, or of a table, after one trip through JSONL, with fields the engine does not know and unreadable lines."""
+    m = view(spark, sf, name) if isinstance(name, str) else name
     message = ct.json_object({"role": ct.quoted(F.col("type")), "content": ct.quoted(F.col("text")), "model": F.lit('"m 1"')})
     raw = ct.json_object(
         {
             "uuid": ct.quoted(F.col("uuid")), "parentUuid": ct.quoted(F.col("parent_uuid")), "type": ct.quoted(F.col("type")), "x": F.lit('{"n":1.50,"l":[]}'),
-            "timestamp": ct.json_time(F.col("ts"), "bigint"), "message": message, "isSidechain": F.lit("false"),
+            "timestamp": ct.json_time(F.col("ts"), "bigint"), "message": message, "isSidechain": F.lit("false"), **more,
         }
     )
     lines = m.select("conv", "line", raw.alias("raw"))
@@ -129,6 +129,46 @@ def written_inject(spark, sf):
     return _walked(spark, pr.inject_root(*_chained(spark, sf), "carry on", F.lit("2030-01-01").cast("timestamp"))[0], "git_branch", "version", "session_id")
 
 
+@query(
+    "written_handoff",
+    f"WITH {pq._HAND.format(x=0)} SELECT CAST(c.conv AS VARCHAR) AS conv, c.pos - coalesce(q.anc, 1) + 1 AS pos, c.uuid, c.text, {_BAD} FROM c JOIN q ON q.conv = c.conv WHERE c.pos >= coalesce(q.anc, 1)",
+)
+def written_handoff(spark, sf):
+    marked = view(spark, sf, "f2_messages").withColumn("text", F.expr(pq._MARK))
+    m = materialise(_stored(spark, sf, marked), "stored")
+    return _walked(spark, pr.prune_to_handoff(m, ch.chain_messages(m, ch.walk_chain(m)), window=2)[0])
+
+
+@query(
+    "written_restore",
+    f"""WITH {pq._RESTORE} SELECT CAST(c.conv AS VARCHAR) AS conv, CASE WHEN verdict='no_compaction' OR verdict='restored' AND c.line<2 THEN c.line + 1 ELSE c.line - 1 END AS pos, c.uuid, c.text, {_BAD}
+        FROM m c JOIN p ON p.conv = c.conv WHERE CASE verdict WHEN 'no_compaction' THEN TRUE WHEN 'restored' THEN c.line NOT IN (2, 3) ELSE c.line >= 2 END""",
+)
+def written_restore(spark, sf):
+    m = sql(spark, sf, pq._COMPACT)
+    fields = {"subtype": F.when(F.col("is_boundary"), '"compact_boundary"'), "logicalParentUuid": ct.quoted(F.col("logical_parent_uuid"))}
+    m = materialise(_stored(spark, sf, m, **{k: F.coalesce(v, F.lit("null")) for k, v in fields.items()}), "stored")
+    return _walked(spark, pr.restore_compaction(m, ch.chain_messages(m, ch.walk_chain(m)))[0])
+
+
+@query(
+    "written_orphans",
+    f"""WITH {pq._ROOT.replace("max(line) AS l", "max(line) + CASE WHEN conv%3=0 THEN 1 ELSE 0 END AS l")} SELECT CAST(conv AS VARCHAR) AS conv, 1 AS pos, id AS uuid, 'carry on' AS text FROM n
+        UNION ALL SELECT CAST(conv AS VARCHAR), 2, 'child', 'going on' FROM n""",
+)
+def written_orphans(spark, sf):
+    """A new root is injected, a child is written under it, and all lines but theirs are removed."""
+    m, roots = pr.inject_root(*_chained(spark, sf), "carry on", F.lit("2030-01-01").cast("timestamp"))
+    message = ct.json_object({"role": F.lit('"assistant"'), "content": F.lit('"going on"')})
+    raw = ct.json_object(
+        {"uuid": F.lit('"child"'), "parentUuid": ct.quoted(F.col("uuid")), "type": F.lit('"assistant"'), "timestamp": F.lit('"2030-01-02T00:00:00.000Z"'), "message": message}
+    )
+    ends = m.groupBy("conv").agg((F.max("line") + 1).alias("line"))
+    child = roots.join(ends, "conv").select("conv", "line", raw.alias("raw"), F.lit("child").alias("uuid"), F.col("uuid").alias("parent_uuid"), F.lit("assistant").alias("type"))
+    again = _trip(spark, pr.prune_orphan_lines(m.unionByName(child, allowMissingColumns=True), roots))
+    return ch.chain_messages(again, ch.walk_chain(again)).select("conv", "pos", "uuid", "text")
+
+
 @query(
     "written_plan",
     f"""WITH {aq._APPLY} SELECT CAST(l.conv AS VARCHAR) AS conv, l.line, l.uuid, CASE WHEN w.code IS NULL AND pg AND coalesce(act,'')<>'drop' THEN np ELSE l.parent_uuid END AS parent_uuid,
