@@ -97,25 +97,36 @@ def decision_like(spark, sf):
     return view(spark, sf, "f1_spoken").select("conv", "line", tn.decision_like(trim_blank(F.col("text"))).alias("is_decision"))
 
 
+# Calls of the same conversations, on their first four messages.
+_SPOKEN_CALLS = "SELECT *, 1 + n % 4 AS msg FROM f3_args"
+
+
 @query(
     "summarize_segments",
     f"""WITH m AS (SELECT *, line+1 AS pos, CAST(floor(line/3.0)+1 AS BIGINT) AS segment_id, regexp_replace(text,'^\\s+|\\s+$','','g') AS t,
           CAST(sum(CASE WHEN type='user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv ORDER BY line) AS BIGINT) AS turn_id FROM f1_spoken),
         d AS (SELECT *, row_number() OVER (PARTITION BY conv, segment_id ORDER BY pos) AS rn FROM m WHERE type='user' AND {_DECIDE}),
-        h AS (SELECT *, row_number() OVER (PARTITION BY conv, segment_id ORDER BY pos) AS rn FROM m WHERE type='assistant' AND length(t)>80)
-       SELECT b.*, coalesce(x.u,'') AS user_decisions, coalesce(y.a,'') AS assistant_highlights FROM
+        h AS (SELECT *, row_number() OVER (PARTITION BY conv, segment_id ORDER BY pos) AS rn FROM m WHERE type='assistant' AND length(t)>80),
+        c AS (SELECT *, CAST(floor((msg-1)/3.0)+1 AS BIGINT) AS segment_id, (msg, n) AS here FROM ({_SPOKEN_CALLS}) z),
+        f AS (SELECT conv, segment_id, path, min(here) AS seen FROM c WHERE args LIKE '%file_path%' GROUP BY 1,2,3),
+        g AS (SELECT conv, segment_id, tool, count(*) AS k, min(here) AS seen FROM c GROUP BY 1,2,3)
+       SELECT b.*, coalesce(x.u,'') AS user_decisions, coalesce(y.a,'') AS assistant_highlights, coalesce(w.tools,'') AS tools_used,
+         coalesce(v.files,'') AS files_touched, coalesce(v.k,0) AS files_touched_count, coalesce(s.lines,'') AS bash_samples FROM
        (SELECT conv, segment_id, min(pos) AS msg_from, max(pos) AS msg_to, min(turn_id) FILTER (turn_id>0) AS turn_from,
           max(turn_id) FILTER (turn_id>0) AS turn_to, min(ts) AS ts_from, max(ts) AS ts_to FROM m GROUP BY conv, segment_id) b
        LEFT JOIN (SELECT conv, segment_id, string_agg(turn_id||'|'||substr(split_part(t, chr(10), 1),1,200), ' ~ ' ORDER BY pos) AS u FROM d GROUP BY 1,2) x USING (conv, segment_id)
-       LEFT JOIN (SELECT conv, segment_id, string_agg(turn_id||'|'||substr(split_part(t, chr(10), 1),1,160), ' ~ ' ORDER BY pos) AS a FROM h GROUP BY 1,2) y USING (conv, segment_id)""",
+       LEFT JOIN (SELECT conv, segment_id, string_agg(turn_id||'|'||substr(split_part(t, chr(10), 1),1,160), ' ~ ' ORDER BY pos) AS a FROM h GROUP BY 1,2) y USING (conv, segment_id)
+       LEFT JOIN (SELECT conv, segment_id, string_agg(tool||':'||k, ',' ORDER BY seen) AS tools FROM g GROUP BY 1,2) w USING (conv, segment_id)
+       LEFT JOIN (SELECT conv, segment_id, string_agg(path, ',' ORDER BY seen) AS files, count(*) AS k FROM f GROUP BY 1,2) v USING (conv, segment_id)
+       LEFT JOIN (SELECT conv, segment_id, string_agg('make t'||k||' # run '||k, ',' ORDER BY here) AS lines FROM c WHERE tool='Bash' GROUP BY 1,2) s USING (conv, segment_id)""",
 )
 def summarize_segments(spark, sf):
-    blocks = view(spark, sf, "f3_args").withColumns({"type": F.lit("tool_use"), "block_idx": F.lit(0)}).filter("1=0")
-    seg = tn.summarize_segments(linear(spark, sf, "f1_spoken"), blocks, 3)
+    calls = sql(spark, sf, _SPOKEN_CALLS).withColumns({"type": F.lit("tool_use"), "pos": F.col("msg").cast("bigint"), "block_idx": F.col("n").cast("int")})
+    seg = tn.summarize_segments(linear(spark, sf, "f1_spoken"), calls, 3)
     return seg.select(
-        "conv", "segment_id", "msg_from", "msg_to", "turn_from", "turn_to", "ts_from", "ts_to",
-        F.array_join("user_decisions", " ~ ").alias("user_decisions"),
-        F.array_join("assistant_highlights", " ~ ").alias("assistant_highlights"),
+        "conv", "segment_id", "msg_from", "msg_to", "turn_from", "turn_to", "ts_from", "ts_to", "files_touched_count",
+        *[F.array_join(c, " ~ ").alias(c) for c in ("user_decisions", "assistant_highlights")],
+        *[F.array_join(c, ",").alias(c) for c in ("tools_used", "files_touched", "bash_samples")],
     )
 
 
