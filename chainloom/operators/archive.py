@@ -7,10 +7,13 @@ stops only its own conversation.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from hashlib import sha256
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from chainloom.functions.text import json_quote
 from chainloom.operators.chain import ROOT_TYPES
@@ -154,18 +157,37 @@ def _entry_text() -> Column:
 def canonical_checksum(plans: DataFrame, entries: DataFrame) -> DataFrame:
     """(plan_id, checksum) of the plan as one JSON text with sorted keys: what stored plans carry.
 
-    ``plans`` also has ``path``.  The text of a plan is one value; ``plan_checksum`` has no such limit.
+    ``plans`` also has ``path``.  The text is never put together: the entries of a plan come to a task in order and feed its
+    hash one by one, so a plan of any length takes the memory of one batch.
     """
-    listed = F.array_sort(F.collect_list(F.struct("ord", _entry_text().alias("text"))))
-    body = entries.groupBy("plan_id").agg(F.array_join(F.transform(listed, lambda e: e["text"]), ",").alias("body"))
     fields = (
-        ("entries", F.concat(F.lit("["), F.coalesce("body", F.lit("")), F.lit("]"))),
         ("jsonlBytes", F.col("bytes").cast("string")),
         ("jsonlMessages", F.col("chain_length").cast("string")),
         *((k, json_quote(F.col(c))) for k, c in (("jsonlPath", "path"), ("lastMessageUuid", "last_uuid"), ("planId", "plan_id"))),
     )
-    text = F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), F.coalesce(v, F.lit("null"))) for k, v in fields])
-    return plans.join(body, "plan_id", "left").select("plan_id", F.sha2(F.concat(F.lit("{"), text, F.lit("}")), 256).alias("checksum"))
+    tail = F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), F.coalesce(v, F.lit("null"))) for k, v in fields])
+    ends = plans.select("plan_id", F.lit(True).alias("ends"), F.lit(None).cast("bigint").alias("ord"), tail.alias("text"))
+    pieces = entries.filter("plan_id IS NOT NULL").select("plan_id", F.lit(False).alias("ends"), F.col("ord").cast("bigint").alias("ord"), _entry_text().alias("text"))
+    rows = pieces.unionByName(ends).repartition("plan_id").sortWithinPartitions("plan_id", "ends", "ord")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, digest, before = None, None, b""
+        for batch in batches:
+            ids, sums = [], []
+            for plan_id, ends, _, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if digest is None or plan_id != plan:
+                    plan, digest, before = plan_id, sha256(b'{"entries":['), b""
+                if ends:
+                    digest.update(f"],{text}}}".encode())
+                    ids.append(plan_id)
+                    sums.append(digest.hexdigest())
+                    digest = None
+                else:
+                    digest.update(before + text.encode())
+                    before = b","
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("plan_id").type), pa.array(sums, pa.string())], names=["plan_id", "checksum"])
+
+    return rows.mapInArrow(fold, StructType([plans.schema["plan_id"], StructField("checksum", StringType())]))
 
 
 def plan_checksum(plans: DataFrame, entries: DataFrame) -> DataFrame:

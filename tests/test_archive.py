@@ -69,3 +69,23 @@ def test_price_tiers(spark):
     usage = spark.createDataFrame([("big", 200_000, 0), ("big", 200_001, 1_000_000), ("none", 5, 5)], "model string, tokens_in bigint, tokens_out bigint")
     got = rows(ar.usage_cost(usage, {"big": [(0, 3.0, 15.0), (200_000, 6.0, 22.5)]}), "usd")
     assert [round(g[0], 6) if g[0] is not None else None for g in got] == [0.6, 23.700006, None]
+
+
+def test_canonical_checksum_over_many_batches(spark):
+    """A plan spread over many Arrow batches hashes to the digest of its whole text."""
+    import json
+    from hashlib import sha256
+
+    listed = [(p, i, "keep" if i % 3 else "distill", None if i % 3 else f'sho"rt {i}', "r", f"u{p}-{i}") for p, n in (("a", 57), ("b", 1), ("d", 4)) for i in range(n)]
+    e = spark.createDataFrame(listed, "plan_id string, ord bigint, action string, distillation string, reason string, uuid string").repartition(5)
+    plans = spark.createDataFrame([(p, 10, 3, "/t/x", "u1") for p in "abc"], "plan_id string, bytes bigint, chain_length bigint, path string, last_uuid string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = dict(rows(ar.canonical_checksum(plans, e), "plan_id", "checksum"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for p in "abc":
+        entries_ = [{k: v for k, v in (("action", a), ("distillation", d), ("reason", r), ("uuid", u)) if v is not None} for q, _, a, d, r, u in listed if q == p]
+        plan = {"entries": entries_, "jsonlBytes": 10, "jsonlMessages": 3, "jsonlPath": "/t/x", "lastMessageUuid": "u1", "planId": p}
+        assert got[p] == sha256(json.dumps(plan, separators=(",", ":")).encode()).hexdigest()
+    assert set(got) == set("abc")
