@@ -17,6 +17,14 @@ def whole_text(column: str | Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def map_rows(
     df: DataFrame, fn: Callable[[dict[str, list]], dict[str, Iterable]], schema: str, rows_at_once: int = ROWS_AT_ONCE
 ) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import whole_text
+from chainloom.llm.common import unused, whole_text
 from chainloom.operators.storage import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -75,9 +75,10 @@ def mix(
     weighted = materialise(position.withColumn("weight", given.cast("long")), "mix-weights")
     level = F.lit(water_level(weighted, cap))
     target = F.least(F.col("source_size") * cap, F.col("weight") * level).cast("double")
-    targets = weighted.select("_source", "source_size", target.alias("target"))
+    own = unused("_source", sized)
+    targets = weighted.select(F.col("_source").alias(own), "source_size", target.alias("target"))
 
-    out = sized.join(targets, F.col(source_col).eqNullSafe(F.col("_source"))).drop("_source")
+    out = sized.join(targets, F.col(source_col).eqNullSafe(F.col(own))).drop(own)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     draw = F.conv(F.substring(digest, 1, _DRAW_HEX), 16, 10).cast("long") / F.lit(float(16**_DRAW_HEX))

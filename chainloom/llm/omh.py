@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import map_rows, whole_text
+from chainloom.llm.common import map_rows, unused, whole_text
 from chainloom.operators.storage import materialise
 
 K = 5
@@ -398,10 +398,11 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     chosen = F.min(F.struct("node")).alias("_best")
     first = best.groupBy("label").agg(chosen).select("label", F.col("_best.node").alias("_node"))
     best = best.join(first, (best["label"] == first["label"]) & (best["node"] == first["_node"]))
-    best = best.groupBy("_node", F.col("class_id").alias("_class")).agg(F.count(F.lit(1)).alias("_rows"))
-    marked = docs.withColumn("_digest", F.unhex(F.md5(whole_text(text_col))))
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_class")) & (F.col("_digest") == F.col("_node"))
-    kept = marked.join(best, same).drop("_class", "_node")
-    once = kept.filter("_rows = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = kept.filter("_rows > 1").dropDuplicates([id_col, "_digest"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    node, of_class, copies, digest = (unused(n, docs) for n in ("_node", "_class", "_rows", "_digest"))
+    best = best.groupBy(F.col("_node").alias(node), F.col("class_id").alias(of_class)).agg(F.count(F.lit(1)).alias(copies))
+    marked = docs.withColumn(digest, F.unhex(F.md5(whole_text(text_col))))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(of_class)) & (F.col(digest) == F.col(node))
+    kept = marked.join(best, same).drop(of_class, node)
+    once = kept.filter(F.col(copies) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = kept.filter(F.col(copies) > 1).dropDuplicates([id_col, digest]).select(*[F.col(f"`{c}`") for c in docs.columns])
     return once.unionByName(repeated)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHING = (
     "size", "target", "copies", "score", "label", "node", "class_id", "found", "length", "piece", "item", "part", "key", "a", "b", "words",
+    "_source", "_rows", "_digest", "_node", "_class", "_row",
 )
 
 
