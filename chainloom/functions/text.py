@@ -44,11 +44,6 @@ def clip(c: Column, n: int, mark: str = "") -> Column:
     return F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit(mark))).otherwise(c)
 
 
-def tail_from(c: Column, start: Column) -> Column:
-    """Suffix from 1-based ``start``."""
-    return F.substr(c, start)
-
-
 def one_decimal_kb(n: Column) -> Column:
     """Bytes as kilobytes with one decimal, exact halves rounded up."""
     tenths = F.floor(n / 1024 * 10 + 0.5).cast("bigint")
@@ -65,8 +60,3 @@ def json_quote(c: Column) -> Column:
     """The JSON string literal of a text: the one element of a JSON array, brackets removed."""
     arr = F.to_json(F.array(c))
     return F.substr(arr, F.lit(2), F.length(arr) - 2)
-
-
-def slug(c: Column) -> Column:
-    dashed = F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-")
-    return F.regexp_replace(dashed, "^-|-$", "")

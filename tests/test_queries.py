@@ -15,7 +15,7 @@ from chainloom.plans import catalog, views
 SF = "/root/testdata/sf0.001"
 SPREAD = (
     "context_status", "segment_tools", "turn_skeleton", "inspect_verdicts", "rewrite", "written_prune", "rendered_notes", "canonical_checksum", "sandwich_report", "explode_blocks",
-    "condense_state_summary", "score_to_action", "plan_checksum", "extract_js", "overview_routes", "bad_routes", "add_notes", "search_notes",
+    "condense_state_summary", "score_to_action", "plan_checksum", "extract_js_spans", "inspect_any_length", "summarize_segments", "overview_routes", "bad_routes", "add_notes", "search_notes",
 )
 QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 NAMES = list(QUERIES) if os.environ.get("CHAINLOOM_ALL") else [n for n in SPREAD if n in QUERIES]
