@@ -10,15 +10,19 @@ With ORDER = 3 and SKETCHES = 24 a pair whose k-mers overlap by 0.8 (Jaccard) is
 0.3 %.  Edits spread over the text leave fewer k-mers whole, so the smallest k-mers of the first SINGLES sketches are keys of
 their own: they are shared with a probability equal to the overlap, not to its third power.
 
-Every pair that shares a sketch and is in different classes is decided: by its lengths, by its word counts or by alignment.
-Word counts are kept in BINS bins a text.  An edit changes them by two at most, so a pair whose counts differ by more than
-twice the edits allowed cannot be similar; no similar pair is dropped by that.
+Every pair that shares a sketch and is in different classes is decided: by its lengths, by its words or by alignment.  A text
+keeps one bit a bin of occurrence-labelled words, whether the bin holds an odd number, in four to eight bins a word.  A replaced
+word turns at most two of them, an added or lost one at most one, and a pair needs as many of the latter as its lengths differ: a
+pair with more bits apart than twice the edits allowed less that difference cannot be similar; no similar pair is dropped.
+Bins are a power of two, so the bits of a longer text fold to those of a shorter one.
 
 Skew.  Equal texts are one node from the start (aggregated map-side).  Every node is first aligned with one other, the
-first node of its buckets, then with the first node of each large bucket; groups of copies are classes after that, and only
-pairs of different classes are looked at again: all pairs in every bucket.  Buckets of more than SMALL nodes are split by
-length and dealt into cells of about CELL nodes; pairs of cells are compared in one task each and only pairs that the word
-counts leave open become rows.  The comparisons still grow with the square of the texts that share a passage and a length.
+first node of its buckets, then with the first node of each large bucket, then in TURNS turns with the nearest node of another
+class, by these bits, that it meets in a cell of a large bucket: one pair a node and turn.  Most groups of copies are one class
+after that, also where few of their members are similar to each other, and only pairs of different classes are looked at
+again: all pairs in every bucket.  Buckets of more than SMALL nodes are split by length and dealt into cells of about CELL
+nodes; pairs of cells are compared in one task each and only pairs that the bits leave open become rows.  The
+comparisons still grow with the square of the texts that share a passage and a length.
 
 Defined results: a null text is empty; texts without any word are copies only of equal texts; texts of fewer than five
 words have one k-mer, all their words; repeated rows fall in one class; a class is named by its smallest doc_id; null
@@ -45,9 +49,10 @@ ORDER = 3
 SKETCHES = 24
 SIMILARITY = 0.8
 SINGLES = 12
-BINS = 128
+LEAST_BINS, MOST_BINS = 512, 1 << 14
 SMALL = 24
 CELL = 2048
+TURNS, TURN_KEYS = 2, 4  # each turn takes one of so many parts of the keys
 BROADCAST_ROWS = 200_000  # of 32 bytes
 PAIRS_AT_ONCE = 512
 WORD = re.compile(r"\w+")
@@ -79,9 +84,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
-def labelled_kmers(words: np.ndarray) -> np.ndarray:
+def labelled_kmers(words: np.ndarray, k: int = K) -> np.ndarray:
     """Hashes of the k-mers, each with how often it occurred before."""
-    k = min(K, len(words))
+    k = min(k, len(words))
     kmers = np.zeros(len(words) - k + 1, np.uint64)
     for i in range(k):
         kmers = kmers * _STEP + words[i : len(words) - k + 1 + i]
@@ -109,7 +114,7 @@ def _smallest(v: np.ndarray, take: int) -> np.ndarray:
 
 
 def sketch(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the sketches, then of the smallest k-mers of the first SINGLES of them; and the word counts."""
+    """Keys of the sketches, then of the smallest k-mers of the first SINGLES of them; and the bits of the words."""
     kmers = labelled_kmers(words)
     take = min(ORDER, len(kmers))
     keys, low = np.zeros(SKETCHES, np.uint64), np.zeros(SKETCHES, np.uint64)
@@ -123,12 +128,31 @@ def sketch(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for j in range(take):
             keys[s : s + step] = keys[s : s + step] * _STEP + chosen[:, j]
     keys = np.r_[keys, low[:SINGLES]]
-    return _mixed(keys + np.arange(1, len(keys) + 1, dtype=np.uint64) * _STEP), word_counts(words)
+    return _mixed(keys + np.arange(1, len(keys) + 1, dtype=np.uint64) * _STEP), word_bits(words)
+
+
+def word_bits(words: np.ndarray) -> bytes:
+    """A bit for every bin of words, each with how often it occurred before: whether the bin's number is odd."""
+    bins = min(max(LEAST_BINS, 1 << (4 * len(words)).bit_length()), MOST_BINS)
+    labelled = labelled_kmers(words, 1) if len(words) else words
+    number = np.bincount((_mixed(labelled) & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
+    return np.packbits((number & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(rows: Sequence[bytes]) -> np.ndarray:
+    """The bits of all rows, in as many bins as the row of the fewest has."""
+    width = min(map(len, rows)) // 8
+    out = np.empty((len(rows), width), np.uint64)
+    for i, row in enumerate(rows):
+        bits = np.frombuffer(row, np.uint64)
+        while len(bits) > width:
+            bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+        out[i] = bits
+    return out
 
 
-def word_counts(words: np.ndarray) -> np.ndarray:
-    """Words by bin, at most 255 of each."""
-    return np.minimum(np.bincount((_mixed(words) % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+def _apart_by_bits(bits: np.ndarray, others: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bits ^ others).sum(axis=-1, dtype=np.int64)
 
 
 def _allowed(longest: np.ndarray) -> np.ndarray:
@@ -136,11 +160,19 @@ def _allowed(longest: np.ndarray) -> np.ndarray:
     return (longest * (1 - SIMILARITY) + 1e-9).astype(np.int64)
 
 
+def _most_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which similar texts of so many words may differ."""
+    return 2 * _allowed(np.maximum(a, b)) - np.abs(a - b)
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     """Words of both, repeats counted."""
-    (x, n), (y, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    return int(np.minimum(n[i], m[j]).sum())
+    both = np.concatenate((a & ~np.uint64(1), b | np.uint64(1)))  # the last bit tells the side
+    both.sort()
+    word = both >> np.uint64(1)
+    starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(both) else np.zeros(0, np.int64)
+    of_b = np.add.reduceat((both & np.uint64(1)).astype(np.int64), starts) if len(both) else starts
+    return int(np.minimum(of_b, np.diff(np.r_[starts, len(both)]) - of_b).sum())
 
 
 def _banded(pairs: Sequence[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
@@ -186,7 +218,9 @@ def similarities(pairs: Sequence[tuple[np.ndarray, np.ndarray]], least: float =
         head = int(same[0])
         tail = np.flatnonzero(a[len(a) - short + head :][::-1] != b[len(b) - short + head :][::-1])
         cut = int(tail[0]) if len(tail) else short - head
-        todo.append((p, a[head : len(a) - cut], b[head : len(b) - cut], longest, allowed))
+        x, y = a[head : len(a) - cut], b[head : len(b) - cut]
+        if max(len(x), len(y)) - _common(x, y) <= allowed:
+            todo.append((p, x, y, longest, allowed))
     band = 16
     while todo:
         todo.sort(key=lambda x: len(x[1]))
@@ -202,33 +236,33 @@ def similarities(pairs: Sequence[tuple[np.ndarray, np.ndarray]], least: float =
                 p, _, _, longest, allowed = item
                 if edits <= min(band, allowed):
                     found[p] = 1 - edits / longest
-                elif band < allowed and (band > 16 or max(len(item[1]), len(item[2])) - _common(item[1], item[2]) <= allowed):
+                elif band < allowed:
                     later.append(item)
             start = end
         todo, band = later, band * 4
     return found
 
 
-_ROWS = "doc_id long, node binary, words int, keys array<long>, counts binary"
+_ROWS = "doc_id long, digest binary, words int, keys array<long>, bits binary"
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(cols: dict[str, list]) -> dict[str, list]:
-        out = {"doc_id": cols["doc_id"], "node": cols["node"], "words": [], "keys": [], "counts": []}
+        out = {"doc_id": cols["doc_id"], "digest": cols["digest"], "words": [], "keys": [], "bits": []}
         for text in cols["text"]:
             words = word_hashes(text)
-            keys, counts = sketch(words) if len(words) else (np.zeros(0, np.uint64), np.zeros(BINS, np.uint8))
+            keys, bits = sketch(words) if len(words) else (np.zeros(0, np.uint64), word_bits(words))
             out["words"].append(len(words))
             out["keys"].append(keys.view(np.int64))
-            out["counts"].append(counts.tobytes())
+            out["bits"].append(bits)
         return out
 
-    return map_rows(_with_node(docs, id_col, text_col), run, _ROWS)
+    return map_rows(_with_digest(docs, id_col, text_col), run, _ROWS)
 
 
-def _with_node(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _with_digest(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = whole_text(text_col)
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("node"), text.alias("text"))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -241,31 +275,33 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     """The pairs (a, b) whose alignment is similar enough."""
 
     def side(c: str) -> DataFrame:
-        names = ("node", c), ("words", f"words_{c}"), ("counts", f"counts_{c}"), ("doc_id", f"doc_{c}")
+        names = ("node", c), ("words", f"words_{c}"), ("bits", f"bits_{c}")
         return nodes.select(*[F.col(x).alias(y) for x, y in names])
 
     def possible(cols: dict[str, list]) -> dict[str, list]:
-        a, b = (np.frombuffer(b"".join(cols[c]), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("counts_a", "counts_b"))
-        longest = np.maximum(np.array(cols["words_a"]), np.array(cols["words_b"]))
-        left = np.flatnonzero(np.abs(a - b).sum(axis=1) <= 2 * _allowed(longest)).tolist()
-        return {c: [cols[c][i] for i in left] for c in ("a", "b", "doc_a", "doc_b")}
+        most = _most_apart(np.array(cols["words_a"]), np.array(cols["words_b"]))
+        apart = (_apart_by_bits(*_folded(pair)) for pair in zip(cols["bits_a"], cols["bits_b"], strict=True))
+        left = [i for i, n in enumerate(apart) if n <= most[i]]
+        return {c: [cols[c][i] for i in left] for c in ("a", "b")}
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.filter(F.least("words_a", "words_b") >= F.greatest("words_a", "words_b") * SIMILARITY)
-    both = map_rows(both, possible, "a binary, b binary, doc_a long, doc_b long", PAIRS_AT_ONCE)
+    both = map_rows(both, possible, "a long, b long", PAIRS_AT_ONCE)
     both = materialise(both, "omh-candidates")
-    wanted = both.select(F.col("a").alias("node"), F.col("doc_a").alias("want")).union(both.select("b", "doc_b")).distinct()
-    source = _with_node(docs, id_col, text_col).withColumnRenamed("node", "of")
-    texts = source.join(_few(wanted), (F.col("of") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("want")))
+    wanted = both.select(F.col("a").alias("node")).union(both.select("b")).distinct()
+    wanted = wanted.join(nodes.select("node", F.col("digest").alias("of"), F.col("doc_id").alias("want")), "node")
+    source = _with_digest(docs, id_col, text_col)
+    texts = source.join(_few(wanted), (F.col("of") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("want")))
     texts = materialise(texts.groupBy("node").agg(F.first("text").alias("text")), "omh-texts")
     full = both.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     full = full.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def align(cols: dict[str, list]) -> dict[str, list]:
-        pairs = [(word_hashes(x), word_hashes(y)) for x, y in zip(cols["text_a"], cols["text_b"], strict=True)]
+        words = {text: word_hashes(text) for c in ("text_a", "text_b") for text in set(cols[c])}
+        pairs = [(words[x], words[y]) for x, y in zip(cols["text_a"], cols["text_b"], strict=True)]
         return {"a": cols["a"], "b": cols["b"], "similarity": similarities(pairs)}
 
-    aligned = map_rows(full.select("a", "b", "text_a", "text_b"), align, "a binary, b binary, similarity double", PAIRS_AT_ONCE)
+    aligned = map_rows(full.select("a", "b", "text_a", "text_b"), align, "a long, b long, similarity double", PAIRS_AT_ONCE)
     return aligned.filter(F.col("similarity") >= SIMILARITY).select("a", "b")
 
 
@@ -310,8 +346,8 @@ def _small_pairs(hits: DataFrame, labels: DataFrame) -> DataFrame:
     return left.join(right, F.expr("key_a = key_b AND a < b AND label_a <> label_b")).select("a", "b")
 
 
-def _large_pairs(hits: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (a, b) of different classes in larger buckets whose lengths and word counts allow them to be similar."""
+def _banded_buckets(hits: DataFrame, nodes: DataFrame, labels: DataFrame, cell: int) -> DataFrame:
+    """(key, node, label, words, own, band, cells) of the nodes in buckets of several classes, by bands of length."""
     marked = hits.filter(F.col("size") > SMALL).select("key", "node").join(labels, "node", "left")
     marked = marked.withColumn("label", F.coalesce("label", "node"))
     mixed = marked.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("two")).filter("one != two").select("key")
@@ -321,33 +357,65 @@ def _large_pairs(hits: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFr
     marked = marked.withColumn("own", band).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
     marked = materialise(marked, "omh-bands")
     cells = marked.groupBy("key", "band").agg(
-        F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"), F.max("own").alias("top"), F.min("label").alias("one"), F.max("label").alias("two")
+        F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("cells"), F.max("own").alias("top"), F.min("label").alias("one"), F.max("label").alias("two")
     )
-    cells = cells.filter("top = band AND one != two").select("key", "band", "cells")
-    dealt = marked.join(cells, ["key", "band"]).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+    return marked.join(cells.filter("top = band AND one != two").select("key", "band", "cells"), ["key", "band"])
+
+
+def _nearest_pairs(hits: DataFrame, nodes: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """One pair (a, b) a node at most: with the nearest node of another class in its cells of this turn's large buckets."""
+    dealt = _banded_buckets(hits.filter(F.pmod("key", F.lit(TURN_KEYS)) == turn), nodes, labels, CELL // 4)
+    dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("cells")).cast("int"))
+    dealt = dealt.select("key", "band", "cell", "node", "label", "words").join(nodes.select("node", "bits"), "node")
+
+    def nearest(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["words", "node"])
+        words, bits, labels, node = part["words"].to_numpy(), _folded(part["bits"]), part["label"].to_numpy(), part["node"].to_numpy()
+        starts, ends = np.searchsorted(words, words * SIMILARITY), np.searchsorted(words * SIMILARITY, words, side="right")
+        out: dict[str, list] = {"a": [], "b": [], "apart": []}
+        for x in range(len(words)):
+            y = np.arange(starts[x], ends[x])
+            y = y[labels[y] != labels[x]]
+            if len(y):
+                apart = _apart_by_bits(bits[y], bits[x])
+                z = int(apart.argmin())
+                if apart[z] <= _most_apart(words[y[z]], words[x]):
+                    out["a"].append(node[x])
+                    out["b"].append(node[y[z]])
+                    out["apart"].append(apart[z])
+        return pd.DataFrame(out, dtype="int64")
+
+    near = dealt.groupBy("key", "band", "cell").applyInPandas(nearest, "a long, b long, apart long")
+    near = near.groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("b"))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _large_pairs(hits: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different classes in larger buckets whose lengths and words allow them to be similar."""
+    dealt = _banded_buckets(hits, nodes, labels, CELL).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     dealt = dealt.select("key", "band", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell", "own", "node", "label", "words")
-    dealt = dealt.join(nodes.select("node", "counts"), "node")
+    dealt = dealt.join(nodes.select("node", "bits"), "node")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("words", kind="stable")
         words, own, cell = (part[c].to_numpy() for c in ("words", "own", "cell"))
-        counts = np.frombuffer(b"".join(part["counts"]), np.uint8).reshape(-1, BINS).astype(np.int16)
+        bits = _folded(part["bits"])
         labels, across = part["label"].factorize()[0], part["i"].iloc[0] != part["j"].iloc[0]
-        band, allowed, node = int(part["band"].iloc[0]), _allowed(words), part["node"].tolist()
+        band, node = int(part["band"].iloc[0]), part["node"].tolist()
         ends = np.searchsorted(words * SIMILARITY, words, side="right")
         out: dict[str, list] = {"a": [], "b": []}
         for x in range(len(words)):
             y = np.arange(x + 1, ends[x])
             fits = (labels[y] != labels[x]) & ((own[y] == band) | (own[x] == band))
             y = y[fits & (cell[y] != cell[x])] if across else y[fits]
-            y = y[np.abs(counts[y] - counts[x]).sum(axis=1) <= 2 * allowed[y]]
+            y = y[_apart_by_bits(bits[y], bits[x]) <= _most_apart(words[y], words[x])]
             for z in y.tolist():
                 out["a"].append(min(node[x], node[z]))
                 out["b"].append(max(node[x], node[z]))
-        return pd.DataFrame(out, dtype=object)
+        return pd.DataFrame(out, dtype="int64")
 
-    return dealt.groupBy("key", "band", "i", "j").applyInPandas(compare, "a binary, b binary")
+    return dealt.groupBy("key", "band", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def _joined(labels: DataFrame, found: list[DataFrame]) -> DataFrame:
@@ -367,28 +435,35 @@ def _joined(labels: DataFrame, found: list[DataFrame]) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, node, label, class_id) of every row: the digests of its text and of its class, and the class's name."""
+    """(doc_id, node, label, class_id) of every row: the digest of its text, the number of its class and the class's name."""
     rows = materialise(_sketched(docs, id_col, text_col), "omh-rows")
-    nodes = rows.groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("words").alias("words"), F.first("keys").alias("keys"), F.first("counts").alias("counts")
+    nodes = rows.groupBy("digest").agg(
+        F.min("doc_id").alias("doc_id"), F.first("words").alias("words"), F.first("keys").alias("keys"), F.first("bits").alias("bits")
     )
-    nodes = materialise(nodes, "omh-nodes")
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "omh-nodes")
     hits = _hits(nodes.select("node", F.explode("keys").alias("key")))
     first = materialise(_stars(hits).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "omh-stars")
     labels = components(materialise(_verified(first, nodes, docs, id_col, text_col), "omh-first"))
     large = _apart(_stars(hits.filter(F.col("size") > SMALL)).distinct(), labels).join(first, ["a", "b"], "left_anti")
     large = materialise(large, "omh-large")
     labels = _joined(labels, [materialise(_verified(large, nodes, docs, id_col, text_col), "omh-second")])
-    labels = materialise(labels, "omh-labels")
+    labels, tried = materialise(labels, "omh-labels"), first.union(large)
+    for turn in range(TURNS):
+        near = materialise(_nearest_pairs(hits, nodes, labels, turn).join(tried, ["a", "b"], "left_anti"), "omh-near")
+        if near.isEmpty():
+            break
+        tried = tried.union(near)
+        links = materialise(_verified(near, nodes, docs, id_col, text_col), "omh-linked")
+        labels = materialise(_joined(labels, [links]), "omh-labels")
     pairs = _small_pairs(hits, labels).union(_large_pairs(hits, nodes, labels)).distinct()
-    pairs = materialise(pairs.join(first.union(large), ["a", "b"], "left_anti"), "omh-pairs")
+    pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "omh-pairs")
     labels = _joined(labels, [materialise(_verified(pairs, nodes, docs, id_col, text_col), "omh-more")])
 
-    named = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = nodes.select("node", "digest", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = materialise(named, "omh-named")
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    classes = named.join(smallest, "label").select("node", "label", "class_id")
-    return rows.select("doc_id", "node").join(classes, "node")
+    classes = named.join(smallest, "label").select("digest", "label", "class_id")
+    return rows.select("doc_id", "digest").join(classes, "digest").select("doc_id", F.col("digest").alias("node"), "label", "class_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -128,14 +128,47 @@ def test_spread_edits_are_linked(spark):
     assert got == {i: i // 2 * 2 for i in got}
 
 
-def test_word_counts_drop_no_similar_pair():
+def test_common_words_are_counted_with_repeats():
+    rng = random.Random(15)
+    for _ in range(100):
+        a, b = ([rng.randrange(1, 30) * 2 for _ in range(rng.randrange(40))] for _ in range(2))
+        want = sum(min(a.count(w), b.count(w)) for w in set(a))
+        assert omh._common(np.array(a, np.uint64), np.array(b, np.uint64)) == want
+
+
+def test_groups_whose_members_differ_from_each_other(spark, monkeypatch):
+    monkeypatch.setattr(omh, "SMALL", 4)
+    monkeypatch.setattr(omh, "CELL", 16)
+    rng, texts = random.Random(16), []
+    for _ in range(2):
+        base = [f"v{rng.randrange(10**9)}" for _ in range(120)]
+        for _ in range(30):
+            near = list(base)
+            for at in rng.sample(range(120), 9 + rng.randrange(12)):
+                near[at] = f"v{rng.randrange(10**9)}"
+            texts.append(near)
+    words = [np.array([int(w[1:]) * 2 + 2 for w in t], np.uint64) for t in texts]
+    keys = [set(omh.sketch(omh.word_hashes(" ".join(t)))[0].tolist()) for t in texts]
+    want = list(range(len(texts)))  # classes by every pair that shares a key
+    for i in range(len(texts)):
+        for j in range(i):
+            if keys[i] & keys[j] and omh.similarities([(words[i], words[j])])[0] >= omh.SIMILARITY:
+                low, high = sorted((want[i], want[j]))
+                want = [low if w == high else w for w in want]
+    rows = [(i, " ".join(t), "s") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.class_id for r in omh.near_classes(documents(spark, rows)).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_word_bits_drop_no_similar_pair():
     rng, drawn = random.Random(13), random.Random(14)
     for _ in range(200):
         a = [rng.randrange(2, 400) for _ in range(rng.randrange(20, 200))]
         b = list(a)
+        del b[: drawn.randrange(6)]
         for _ in range(len(a) // 5):
             b[drawn.randrange(len(b))] = drawn.randrange(2, 400)
         longest = np.array([max(len(a), len(b))])
-        x, y = (omh.word_counts(np.array(t, np.uint64) * np.uint64(2**40 + 2)).astype(int) for t in (a, b))
+        x, y = omh._folded([omh.word_bits(np.array(t, np.uint64) * np.uint64(2**40 + 2)) for t in (a, b)])
         if 1 - edits(a, b) / longest[0] >= omh.SIMILARITY:
-            assert np.abs(x - y).sum() <= 2 * omh._allowed(longest)[0]
+            assert omh._apart_by_bits(x, y) <= omh._most_apart(np.int64(len(a)), np.int64(len(b)))
