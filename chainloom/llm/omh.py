@@ -97,7 +97,8 @@ def labelled_kmers(words: np.ndarray, k: int = K) -> np.ndarray:
     if not first.all():
         place = np.arange(len(kmers))
         earlier = place - np.maximum.accumulate(np.where(first, place, 0))
-        kmers[order] = _mixed(ordered + earlier.astype(np.uint64) * _STEP)
+        again = ~first  # a first occurrence keeps its hash, so that texts with and without repeats have it in common
+        kmers[order[again]] = _mixed(ordered[again] + earlier[again].astype(np.uint64) * _STEP)
     return kmers
 
 

@@ -41,6 +41,13 @@ def test_sketch_keeps_text_order():
     assert (forward != swapped).sum() > omh.SKETCHES // 2  # the same k-mers, for the most part, in another order
 
 
+def test_a_repeated_kmer_changes_no_other_kmer():
+    words = np.arange(1, 200, dtype=np.uint64) * np.uint64(2**40 + 2)
+    repeated = np.concatenate((words, words[:7]))
+    plain, more = omh.labelled_kmers(words), omh.labelled_kmers(repeated)
+    assert set(plain.tolist()) <= set(more.tolist()) and len(set(more.tolist())) == len(more)
+
+
 def corpus(seed=2, copies=40):
     rng, rows, group = random.Random(seed), [], {}
     vocabulary = [f"w{i}" for i in range(3000)]
