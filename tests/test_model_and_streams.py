@@ -3,6 +3,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from chainloom.operators import model as md
+from chainloom.plans.catalog import QUERIES
 from chainloom.streaming import CondenseStore, stream_token_meter, token_meter
 from test_condense import call, result, table
 
@@ -107,6 +108,18 @@ def test_token_meter_stream_equals_batch(spark, tmp_path):
     assert rows(last, "conv", "messages", "tokens") == rows(token_meter(df), "conv", "messages", "tokens")
 
 
+def test_token_meter_query_reads_a_table_of_files(spark, tmp_path):
+    df = spark.createDataFrame([(i % 3, i, "user", "x" * i) for i in range(20)], "conv_id bigint, turn bigint, role string, text string")
+    df.repartition(3).write.parquet(f"{tmp_path}/many/conversations.parquet")
+    df.coalesce(1).write.parquet(f"{tmp_path}/one")
+    part = next((tmp_path / "one").glob("*.parquet"))
+    (tmp_path / "single").mkdir()
+    (tmp_path / "single" / "conversations.parquet").write_bytes(part.read_bytes())
+    want = rows(token_meter(df.withColumnRenamed("conv_id", "conv")), "conv", "messages", "tokens")
+    for sf in ("many", "single"):
+        assert rows(QUERIES["stream_token_meter"](spark, f"{tmp_path}/{sf}"), "conv", "messages", "tokens") == want
+
+
 def test_condensing_by_batches_is_repeatable(spark, tmp_path):
     def part(a, b):
         return table(spark, *[x for i in range(a, b) for x in (call(2 * i + 1, f"t{i}", "Read", {"file_path": "/p/MEMORY.md"}), result(2 * i + 2, f"t{i}", f"v{i}" * 300))])
