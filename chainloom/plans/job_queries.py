@@ -202,18 +202,21 @@ def written_condense(spark, sf):
 
 
 def _write_files(df, root):
-    """Write ``df(path, content)`` as files below ``root``, in tasks; a repeated task writes the same file."""
+    """Write ``df(path, content)`` as files below ``root``, in tasks; a repeated task writes the same file.
+
+    Gives ``root`` back with its scheme, which tasks on other machines need to read the files.
+    """
 
     def put(batches):
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                target = f"{root}/{path}"
+                target = f"{top}/{path}"
                 disk.create_dir(target.rsplit("/", 1)[0], recursive=True)
                 with disk.open_output_stream(target) as f:
                     f.write(content.encode())
             yield batch[["path"]]
 
-    disk, root = pafs.FileSystem.from_uri(root)
+    disk, top = pafs.FileSystem.from_uri(root)
     df.select("path", "content").mapInPandas(put, "path string").write.format("noop").mode("overwrite").save()
     return root
 
@@ -283,7 +286,8 @@ def score_turns(spark, sf):
 )
 def stream_token_meter(spark, sf):
     schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("text", T.StringType())])
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf).withColumnRenamed("conv_id", "conv")
+    # a pattern, because the table may be one file, which a stream takes by pattern only, or a folder of files
+    source = spark.readStream.schema(schema).parquet(f"{sf}/conversations.parque[t]").withColumnRenamed("conv_id", "conv")
     out = folder(spark, "meter")
 
     def keep(batch, batch_id):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ def scan_notes(spark: SparkSession, places: Mapping[str, tuple[str, str]]) -> Da
     """
     out = None
     for tier, (folder, pattern) in places.items():
-        base = F.lit(folder.rstrip("/") + "/")
+        base = F.lit(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]+:/+", "/", folder).rstrip("/") + "/")  # the scheme may be written file:/ or file:///
         path = F.col("_metadata.file_path")
         rows = (
             spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,6 +24,7 @@ LANGUAGES = {
     "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript",
     "ts": "typescript", "tsx": "typescript", "py": "python", "go": "go", "rs": "rust", "html": "html",
 }
+BATCH_CHARS = 4 << 20  # text a task reads before it passes its files on
 # The limits of an interactive scan; nothing is left out unless they are passed.
 INTERACTIVE = {"max_files": 2000, "max_bytes": 500 * 1024, "max_html_bytes": 5 * 1024 * 1024, "max_depth": 8}
 
@@ -79,14 +81,19 @@ def over_limits(listing: DataFrame, ignored: DataFrame | None = None, **limits:
     return select_files(listing, ignored).join(select_files(listing, ignored, **limits).select("project", "path"), ["project", "path"], "left_anti")
 
 
+def _has_scheme(root: str) -> bool:
+    """Hadoop writes local folders as ``file:/a``, others as ``scheme://host/a``."""
+    return bool(re.match(r"[A-Za-z][A-Za-z0-9+.-]+:/", root))
+
+
 def _files(spark: SparkSession, root: str) -> None:
     """Tasks on other machines cannot open a path without a scheme."""
-    if "://" not in root and not spark.sparkContext.master.startswith("local"):
+    if not _has_scheme(root) and not spark.sparkContext.master.startswith("local"):
         raise ValueError("give the folder with its scheme: tasks on other machines have to open it")
 
 
 def _open(root: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+    return pafs.FileSystem.from_uri(root) if _has_scheme(root) else (pafs.LocalFileSystem(), root)
 
 
 _LISTED = "path string, is_dir boolean, size bigint, modified bigint, uri string"
@@ -133,19 +140,25 @@ def list_projects(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_files(listing: DataFrame, root: str, column: str = "content") -> DataFrame:
-    """Add the text of each listed file; files are read in tasks, spread by path, one in memory at a time."""
-    _files(listing.sparkSession, root)
+    """Add the text of each listed file; files are read in tasks, spread by path, ``BATCH_CHARS`` and a file in memory at a time."""
+    spark = listing.sparkSession
+    _files(spark, root)
     schema = f"{', '.join(f'{n} {t}' for n, t in listing.dtypes)}, {column} string"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, _ = _open(root)
         for batch in batches:
-            for i, uri in enumerate(batch["uri"]):
+            texts, chars, first = [], 0, 0
+            for i, uri in enumerate(batch["uri"], 1):
                 with files.open_input_stream(uri) as f:
-                    text = f.read().decode("utf-8", errors="replace")
-                yield batch.iloc[[i]].assign(**{column: [text]})
-
-    return listing.repartition("project", "path").mapInPandas(read, schema)
+                    texts.append(f.read().decode("utf-8", errors="replace"))
+                chars += len(texts[-1])
+                if chars >= BATCH_CHARS or i == len(batch):
+                    yield batch.iloc[first:i].assign(**{column: texts})
+                    texts, chars, first = [], 0, i
+
+    # a number of partitions of their own: the listing is small, what it names is not
+    return listing.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "project", "path").mapInPandas(read, schema)
 
 
 def scan_project(spark: SparkSession, root: str, **limits: int) -> DataFrame:

@@ -1,11 +1,15 @@
 import random
+from types import SimpleNamespace
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from chainloom.operators import codecheck as cc
 from chainloom.operators import notes as nt
 from chainloom.operators import symbols as sy
+from chainloom.plans.job_queries import _write_files
+from chainloom.sources import projects
 from chainloom.sources.notes import scan_notes
 from chainloom.sources.projects import INTERACTIVE, scan_project
 
@@ -120,6 +124,22 @@ def test_project_scan(spark, tmp_path):
     assert rows(reg, "project", "name", "line") == [("one", "VERSION", 1), ("one", "a", 1)]
 
 
+def test_written_files_are_read_by_scheme_on_a_cluster(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(projects, "BATCH_CHARS", 3)
+    names = [f"one/a{i}.py" for i in range(5)] + ["two/b.py"]
+    files = spark.createDataFrame([(n, "é" * len(n)) for n in names], "path string, content string")
+    for root in (f"file:{tmp_path}/x", f"file://{tmp_path}/y"):
+        kept = _write_files(files, root)
+        assert kept == root
+        cluster = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077"))
+        projects._files(cluster, kept)  # other machines can open it
+        with pytest.raises(ValueError):
+            projects._files(cluster, str(tmp_path))
+        got = rows(scan_project(spark, kept), "project", "path", "content")
+        assert got == [(*n.split("/"), "é" * len(n)) for n in names]
+        assert rows(scan_notes(spark, {"t": (f"{kept}/one", "*.py")}), "ref") == [(f"a{i}.py",) for i in range(5)]
+
+
 def test_notes_files_and_repeated_headers(spark, tmp_path):
     for name, text in {"sections/a.md": "- lost\n## X\n- one\n## Y\n- two (2026-01-02)\n## X\n- three\n- four", "sections/.hid/b.md": "## Z\n- no", "src/m.py.note": "## L\n- five"}.items():
         p = tmp_path / name
