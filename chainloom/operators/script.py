@@ -246,7 +246,9 @@ def _entries(effects: DataFrame) -> DataFrame:
         for chunk, found in rows.groupby("chunk", sort=True):
             effects = [Effect(*e) for e in found[list(Effect._fields)].itertuples(index=False)]
             again, after = behind(*state, effects)
-            out.append((*key, chunk, _pack(state[0]), state[1], again))
+            # what the chunk neither closes nor lies in is not passed on: code that never closes a bracket gets deeper with every line
+            deep = None if again or effects[0].known else max(e.closed for e in effects) + 2
+            out.append((*key, chunk, _pack(state[0][-deep:] if deep else state[0]), state[1], again))
             if again:
                 break
             state = after
@@ -256,7 +258,9 @@ def _entries(effects: DataFrame) -> DataFrame:
 
 
 def borders(lines: DataFrame) -> DataFrame:
-    """(file, chunk, entry, before): the state at the start of every chunk of the files of more than one chunk."""
+    """(file, chunk, entry, before): the state at the start of every chunk of the files of more than one chunk.
+
+    Of the open brackets ``entry`` holds those that the chunk may meet."""
     long = lines.groupBy(*_FILE).agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).filter("low < high")
     lines = lines.join(long.select(*_FILE), _FILE, "left_semi")
     effects = materialise(_effects(lines), "js-effects")
@@ -283,17 +287,21 @@ def tokens(lines: DataFrame) -> DataFrame:
     kept = [f for f in lines.schema if f.name not in ("text", "chunk")]
     schema = StructType([*kept, *StructType.fromDDL(", ".join(f"{n} {t}" for n, t in _TOKEN_COLUMNS))])
     keys = [*_FILE, "chunk"]
-    lines = lines.join(borders(lines), keys, "left")
-    lines = lines.repartition(*keys).sortWithinPartitions(*keys, "line")
+    # the state comes as one row ahead of its chunk, not on each line: it is as long as the brackets are deep
+    heads = borders(lines).withColumn("head", F.lit(True))
+    lines = lines.withColumn("head", F.lit(False)).unionByName(heads, allowMissingColumns=True)
+    lines = lines.repartition(*keys).sortWithinPartitions(*keys, F.desc("head"), "line")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, last = Reader([]), None
         for batch in batches:
             found, at = [], []
-            columns = [batch.column(n).to_pylist() for n in (*keys, "line", "text", "entry", "before")]
-            for i, (*key, number, text, entry, before) in enumerate(zip(*columns, strict=True)):
-                if key != last:
+            columns = [batch.column(n).to_pylist() for n in (*keys, "line", "text", "head", "entry", "before")]
+            for i, (*key, number, text, head, entry, before) in enumerate(zip(*columns, strict=True)):
+                if head or key != last:
                     reader, last = Reader(_unpack(entry or ""), before or False), key
+                if head:
+                    continue
                 for token in reader.line(number, text or ""):
                     at.append(i)
                     found.append(token)

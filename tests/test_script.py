@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from chainloom.operators import script
 from chainloom.operators import symbols as sy
@@ -146,6 +147,16 @@ def test_chunk_borders_change_nothing(spark, monkeypatch, chunk):
     assert run() == whole
 
 
+def test_what_stays_open_is_not_carried_by_every_line(spark, monkeypatch):
+    monkeypatch.setattr(script, "CHUNK_LINES", 4)
+    text = "\n".join(["function f(a) {"] * 60 + ["}", "let x = 1", "} } }", "let y = 2"])
+    lines = js(spark, text).withColumn("unit", F.lit(0).cast("long")).withColumn("chunk", F.floor(F.col("line") / 4).cast("long"))
+    entries = script.borders(lines).select("entry").collect()
+    assert len(entries) == 17 and max(len(e.entry.split()) for e in entries) <= 5  # not 60
+    got = {r.token: r.scope // script.PLACE for r in script.tokens(js(spark, text)).collect() if r.token in "xy"}
+    assert got == {"x": 59, "y": 56}
+
+
 def test_scripts_of_a_page_are_apart(spark):
     html = "<script>const a = `open\n</script>\n<script>const b = 1</script>"
     _, code = sy.extract_html(spark.createDataFrame([("p", "i.html", 1, html)], "project string, path string, file_ord bigint, content string"))
