@@ -318,14 +318,21 @@ def project_overview(files: DataFrame, registry: DataFrame, routes: DataFrame, p
         .agg(F.array_join(F.array_sort(F.collect_set("method")), ", ").alias("methods"), F.count(F.lit(1)).alias("routes"))
         .withColumn("base", base)
     )
-    # A mount is matched by any part of its path: its parts are listed, so this is an equi-join.
+    # A mount is matched by any part of its path: its parts are listed, so this is an equi-join.  Equal paths are listed once, and
+    # only parts as long as a name and equal to one go on, so no task sorts or groups all of them.
     word = F.regexp_replace("path", "[/-]", "")
+    words = routes.filter("method = 'MOUNT'").groupBy("project", word.alias("word")).agg(F.min_by("path", "ord").alias("path"), F.min("ord").alias("ord"))
+    bases = per_file.select("project", "base").distinct()
+    sizes = bases.groupBy("project").agg(F.collect_set(F.length("base")).alias("sizes"))  # a number for each length of a file name
+    last = F.when(F.col("n") == 0, 1).otherwise(F.length("word") - F.col("n") + 1)
     parts = (
-        routes.filter("method = 'MOUNT'")
-        .select("project", "path", "ord", word.alias("word"))
-        .withColumn("a", F.explode(F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1)))))
-        .withColumn("n", F.explode(F.sequence(F.lit(0), F.length("word") - F.col("a") + 1)))
-        .groupBy("project", F.substr("word", F.col("a"), F.col("n")).alias("base"))
+        words.join(sizes, "project")
+        .withColumn("n", F.explode("sizes"))
+        .filter(F.col("n") <= F.length("word"))
+        .withColumn("a", F.explode(F.sequence(F.lit(1), last)))
+        .select("project", F.substr("word", F.col("a"), F.col("n")).alias("base"), "path", "ord")
+        .join(bases, ["project", "base"], "left_semi")
+        .groupBy("project", "base")
         .agg(F.min_by("path", "ord").alias("mount"))
     )
     route_files = per_file.join(parts, ["project", "base"], "left").select("project", "file", "methods", "routes", F.coalesce("mount", F.lit("")).alias("mount"))
