@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from chainloom.functions import content as ct
 from chainloom.functions.text import BLANK
 from chainloom.operators.rewrite import latest_version
+from chainloom.operators.storage import materialise
 
 
 def read_lines(spark: SparkSession, path: str, project: str | None = None) -> DataFrame:
@@ -17,7 +18,8 @@ def read_lines(spark: SparkSession, path: str, project: str | None = None) -> Da
     ``conv`` is the file name, or the ``conv=`` folder name when the transcript was written in
     parts.  Of several copies of a conversation one is read: the one in the folder ``project``,
     else the newest.  Files are split as usual; the ordinal is the place inside the split plus the
-    rows of the splits before it, so no file has to fit into one task.
+    rows of the splits before it, so no file has to fit into one task.  Transcripts are many small files: they are opened
+    once, and what follows reads the lines from a table.
     """
     at = "_metadata.file_path"
     folder = F.regexp_extract(at, r"/conv=([^/]+)/[^/]*$", 1)
@@ -33,6 +35,7 @@ def read_lines(spark: SparkSession, path: str, project: str | None = None) -> Da
             F.monotonically_increasing_id().alias("seq"),
         )
     )
+    lines = materialise(lines, "transcript-lines")
     split = ["conv", "path", "start"]
     # A copy is a file, or a folder of part files; the choice needs one row for each file.
     whole = F.coalesce(F.nullif(F.regexp_extract("path", r"^(.*/conv=[^/]+)/[^/]*$", 1), F.lit("")), F.col("path"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from chainloom.functions.content import edit_json
 from chainloom.operators import chain as ch
 from chainloom.operators import rewrite as rw
+from chainloom.plans import views
 from chainloom.sources import transcripts as tr
 
 
@@ -99,3 +100,18 @@ def test_drop_beats_replace_and_bad_rows_stay(spark):
     out, stats = rw.rewrite(m, drop=both.filter("uuid <> 'u2'"), replace=both)
     assert rows(out, "line", "text") == [(1, "bad"), (2, "new"), (3, "z")]
     assert rows(stats, "lines_before", "dropped", "replaced") == [(4, 1, 1)]
+
+
+def test_transcripts_are_opened_once(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.jsonl").write_text('{"uuid":"1"}\n\n{"uuid":"2"}\n')
+    lines = tr.read_lines(spark, str(tmp_path))
+    assert rows(lines, "conv", "line", "raw") == [(c, i, f'{{"uuid":"{i + 1}"}}') for c in "ab" for i in (0, 1)]
+    assert all("transcript-lines" in f for f in lines.inputFiles())
+
+
+def test_a_small_table_is_dealt_out_before_views_make_text_of_it(spark, tmp_path):
+    spark.range(50).selectExpr("id AS p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    views.load_tables(spark, str(tmp_path), "SELECT * FROM part")
+    part = spark.table("part")
+    assert part.rdd.getNumPartitions() == 2 and part.count() == 50
