@@ -88,7 +88,7 @@ def _trip(spark, messages):
 
 def _walked(spark, messages, *more):
     """The chain of rewritten messages after a trip through files, with the number of unreadable lines."""
-    again = _trip(spark, messages)
+    again = materialise(_trip(spark, messages), "again")
     bad = again.groupBy("conv").agg(F.count_if("is_corrupt").alias("bad"))
     rows = ch.chain_messages(again, ch.walk_chain(again))
     return rows.join(bad, "conv").select("conv", "pos", "uuid", "text", "bad", *more)
@@ -165,7 +165,7 @@ def written_orphans(spark, sf):
     )
     ends = m.groupBy("conv").agg((F.max("line") + 1).alias("line"))
     child = roots.join(ends, "conv").select("conv", "line", raw.alias("raw"), F.lit("child").alias("uuid"), F.col("uuid").alias("parent_uuid"), F.lit("assistant").alias("type"))
-    again = _trip(spark, pr.prune_orphan_lines(m.unionByName(child, allowMissingColumns=True), roots))
+    again = materialise(_trip(spark, pr.prune_orphan_lines(m.unionByName(child, allowMissingColumns=True), roots)), "again")
     return ch.chain_messages(again, ch.walk_chain(again)).select("conv", "pos", "uuid", "text")
 
 
@@ -340,10 +340,10 @@ def stream_condense(spark, sf):
     arrives = F.least(F.lit(3), F.floor((F.col("pos") - 1) / _STEP)).cast("int")
     store = jobs.CondenseStore(spark, folder(spark, "condense"), blocks.schema)
     arriving = folder(spark, "blocks")
-    for b in range(4):  # one file a batch, the older first
-        blocks.filter(arrives == b).coalesce(1).write.mode("append").parquet(arriving)
-    source = spark.readStream.schema(blocks.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
-    jobs.stream_condense(source, store, folder(spark, "condense-state")).awaitTermination()
+    state_of = folder(spark, "condense-state")
+    for b in range(4):  # the files of a batch arrive together, and the stream goes on from its checkpoint
+        blocks.filter(arrives == b).write.mode("append").parquet(arriving)
+        jobs.stream_condense(spark.readStream.schema(blocks.schema).parquet(arriving), store, state_of).awaitTermination()
     # A batch that is run again after a failure finds the versions before it and writes the same rows.
     store.process(materialise(blocks.filter(arrives == 3), "replay"), 3)
     state = store.state().select("conv", "uuid", "block_idx", F.col("mode").alias("state_mode"))
