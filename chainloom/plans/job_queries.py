@@ -10,7 +10,6 @@ import uuid
 
 from pyarrow import fs as pafs
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.types import LongType, StructField, StructType
 
 from chainloom.functions import content as ct
@@ -285,9 +284,11 @@ def score_turns(spark, sf):
     "SELECT conv_id AS conv, count(*) AS messages, CAST(sum(ceil(length(text)/4.0)) AS BIGINT) AS tokens FROM conversations GROUP BY 1",
 )
 def stream_token_meter(spark, sf):
-    schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("text", T.StringType())])
-    # a pattern, because the table may be one file, which a stream takes by pattern only, or a folder of files
-    source = spark.readStream.schema(schema).parquet(f"{sf}/conversations.parque[t]").withColumnRenamed("conv_id", "conv")
+    # through files of its own, because a stream reads fewer layouts of a table than a batch: none with folders below it
+    arrived = sql(spark, sf, "SELECT conv_id AS conv, text FROM conversations")
+    path = folder(spark, "meter-source")
+    arrived.write.parquet(path)
+    source = spark.readStream.schema(arrived.schema).parquet(path)
     out = folder(spark, "meter")
 
     def keep(batch, batch_id):

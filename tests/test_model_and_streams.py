@@ -120,6 +120,15 @@ def test_token_meter_query_reads_a_table_of_files(spark, tmp_path):
         assert rows(QUERIES["stream_token_meter"](spark, f"{tmp_path}/{sf}"), "conv", "messages", "tokens") == want
 
 
+def test_token_meter_query_reads_whatever_the_batch_reader_reads(spark, tmp_path):
+    df = spark.createDataFrame([(i % 3, i, "user", "x" * i) for i in range(20)], "conv_id bigint, turn bigint, role string, text string")
+    df.withColumn("part", F.col("turn") % 2).write.partitionBy("part").parquet(f"{tmp_path}/folders/conversations.parquet")
+    df.limit(0).write.parquet(f"{tmp_path}/none/conversations.parquet")
+    want = rows(token_meter(df.withColumnRenamed("conv_id", "conv")), "conv", "messages", "tokens")
+    for sf, expected in (("folders", want), ("none", [])):
+        assert rows(QUERIES["stream_token_meter"](spark, f"{tmp_path}/{sf}"), "conv", "messages", "tokens") == expected
+
+
 def test_condensing_by_batches_is_repeatable(spark, tmp_path):
     def part(a, b):
         return table(spark, *[x for i in range(a, b) for x in (call(2 * i + 1, f"t{i}", "Read", {"file_path": "/p/MEMORY.md"}), result(2 * i + 2, f"t{i}", f"v{i}" * 300))])
