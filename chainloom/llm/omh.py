@@ -91,27 +91,31 @@ def labelled_kmers(words: np.ndarray, k: int = K) -> np.ndarray:
     for i in range(k):
         kmers = kmers * _STEP + words[i : len(words) - k + 1 + i]
     kmers = _mixed(kmers)
+    ordered = np.sort(kmers)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return kmers
     order = np.argsort(kmers, kind="stable")
-    ordered = kmers[order]
-    first = np.r_[True, ordered[1:] != ordered[:-1]]
-    if not first.all():
-        place = np.arange(len(kmers))
-        earlier = place - np.maximum.accumulate(np.where(first, place, 0))
-        again = ~first  # a first occurrence keeps its hash, so that texts with and without repeats have it in common
-        kmers[order[again]] = _mixed(ordered[again] + earlier[again].astype(np.uint64) * _STEP)
+    kmers[order] = _labelled(ordered)
     return kmers
 
 
+def _labelled(ordered: np.ndarray) -> np.ndarray:
+    """Sorted hashes, each with how often it occurred before."""
+    first = np.r_[True, ordered[1:] != ordered[:-1]]
+    place = np.arange(len(ordered))
+    earlier = place - np.maximum.accumulate(np.where(first, place, 0))
+    again = ~first  # a first occurrence keeps its hash, so that texts with and without repeats have it in common
+    ordered[again] = _mixed(ordered[again] + earlier[again].astype(np.uint64) * _STEP)
+    return ordered
+
+
 def _smallest(v: np.ndarray, take: int) -> np.ndarray:
     """Columns of the ``take`` smallest values of every row."""
-    if v.shape[1] > 100:  # hardly a row has fewer than ``take`` of about 24 expected below this
-        row, col = np.nonzero(v < np.uint64((1 << 64) // v.shape[1] * 24))
-        count = np.bincount(row, minlength=len(v))
-        if count.min() >= take:
-            order = np.lexsort((v[row, col], row))
-            starts = np.cumsum(count) - count
-            return col[order][starts[:, None] + np.arange(take)]
-    return np.argpartition(v, take - 1, axis=1)[:, :take]
+    left, rows, out = v.copy(), np.arange(len(v)), np.empty((len(v), take), np.int64)
+    for j in range(take):
+        out[:, j] = left.argmin(axis=1)
+        left[rows, out[:, j]] = np.uint64((1 << 64) - 1)
+    return out
 
 
 def sketch(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +139,7 @@ def sketch(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def word_bits(words: np.ndarray) -> bytes:
     """A bit for every bin of words, each with how often it occurred before: whether the bin's number is odd."""
     bins = min(max(LEAST_BINS, 1 << (4 * len(words)).bit_length()), MOST_BINS)
-    labelled = labelled_kmers(words, 1) if len(words) else words
+    labelled = _labelled(np.sort(_mixed(words))) if len(words) else words
     number = np.bincount((_mixed(labelled) & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
     return np.packbits((number & 1).astype(np.uint8)).tobytes()
 
@@ -330,7 +334,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _hits(postings: DataFrame) -> DataFrame:
-    """(key, node, size, rep) of the buckets with two nodes or more; rep is a bucket's smallest node."""
+    """(key, node, words, size, rep) of the buckets with two nodes or more; rep is a bucket's smallest node."""
     buckets = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("rep")).filter("size > 1")
     return materialise(postings.join(buckets, "key"), "omh-hits")
 
@@ -347,25 +351,28 @@ def _small_pairs(hits: DataFrame, labels: DataFrame) -> DataFrame:
     return left.join(right, F.expr("key_a = key_b AND a < b AND label_a <> label_b")).select("a", "b")
 
 
-def _banded_buckets(hits: DataFrame, nodes: DataFrame, labels: DataFrame, cell: int) -> DataFrame:
+def _banded_buckets(hits: DataFrame, labels: DataFrame, cell: int) -> DataFrame:
     """(key, node, label, words, own, band, cells) of the nodes in buckets of several classes, by bands of length."""
-    marked = hits.filter(F.col("size") > SMALL).select("key", "node").join(labels, "node", "left")
+    marked = hits.filter(F.col("size") > SMALL).select("key", "node", "words").join(labels, "node", "left")
     marked = marked.withColumn("label", F.coalesce("label", "node"))
     mixed = marked.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("two")).filter("one != two").select("key")
-    marked = marked.join(mixed, "key").join(nodes.select("node", "words"), "node")
+    marked = marked.join(mixed, "key")
     # Lengths of similar texts are at most one step apart: they meet in the upper one's band, and as equals in their own.
     band = F.floor(F.log("words") / math.log(1 / SIMILARITY + 1e-6)).cast("int")
     marked = marked.withColumn("own", band).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
     marked = materialise(marked, "omh-bands")
     cells = marked.groupBy("key", "band").agg(
-        F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("cells"), F.max("own").alias("top"), F.min("label").alias("one"), F.max("label").alias("two")
-    )
-    return marked.join(cells.filter("top = band AND one != two").select("key", "band", "cells"), ["key", "band"])
+        F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("cells"), F.max("own").alias("top"), F.min(F.when(F.col("own") == F.col("band"), F.col("words"))).alias("least"),
+        F.min("label").alias("one"), F.max("label").alias("two"),
+    )
+    met = marked.join(cells.filter("top = band AND one != two").select("key", "band", "cells", "least"), ["key", "band"])
+    # a text of the band below that is too short for the band's shortest is too short for all of it
+    return met.filter(F.col("words") >= F.col("least") * SIMILARITY).drop("least")
 
 
 def _nearest_pairs(hits: DataFrame, nodes: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     """One pair (a, b) a node at most: with the nearest node of another class in its cells of this turn's large buckets."""
-    dealt = _banded_buckets(hits.filter(F.pmod("key", F.lit(TURN_KEYS)) == turn), nodes, labels, CELL // 4)
+    dealt = _banded_buckets(hits.filter(F.pmod("key", F.lit(TURN_KEYS)) == turn), labels, CELL // 4)
     dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("cells")).cast("int"))
     dealt = dealt.select("key", "band", "cell", "node", "label", "words").join(nodes.select("node", "bits"), "node")
 
@@ -393,7 +400,7 @@ def _nearest_pairs(hits: DataFrame, nodes: DataFrame, labels: DataFrame, turn: i
 
 def _large_pairs(hits: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs (a, b) of different classes in larger buckets whose lengths and words allow them to be similar."""
-    dealt = _banded_buckets(hits, nodes, labels, CELL).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+    dealt = _banded_buckets(hits, labels, CELL).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     dealt = dealt.select("key", "band", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell", "own", "node", "label", "words")
     dealt = dealt.join(nodes.select("node", "bits"), "node")
@@ -442,7 +449,7 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         F.min("doc_id").alias("doc_id"), F.first("words").alias("words"), F.first("keys").alias("keys"), F.first("bits").alias("bits")
     )
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "omh-nodes")
-    hits = _hits(nodes.select("node", F.explode("keys").alias("key")))
+    hits = _hits(nodes.select("node", "words", F.explode("keys").alias("key")))
     first = materialise(_stars(hits).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "omh-stars")
     labels = components(materialise(_verified(first, nodes, docs, id_col, text_col), "omh-first"))
     large = _apart(_stars(hits.filter(F.col("size") > SMALL)).distinct(), labels).join(first, ["a", "b"], "left_anti")
