@@ -179,3 +179,19 @@ def test_word_bits_drop_no_similar_pair():
         x, y = omh._folded([omh.word_bits(np.array(t, np.uint64) * np.uint64(2**40 + 2)) for t in (a, b)])
         if 1 - edits(a, b) / longest[0] >= omh.SIMILARITY:
             assert omh._apart_by_bits(x, y) <= omh._most_apart(np.int64(len(a)), np.int64(len(b)))
+
+
+def test_a_text_too_short_for_a_band_leaves_it(spark, monkeypatch):
+    monkeypatch.setattr(omh, "SMALL", 2)
+    lengths = [100, 101, 115, 127, 128, 129, 130]
+    nodes = spark.createDataFrame([(i, n, [7]) for i, n in enumerate(lengths)], "node long, words int, keys array<long>")
+    hits = omh._hits(nodes.selectExpr("node", "words", "explode(keys) AS key"))
+    labels = spark.createDataFrame([], "node long, label long")
+    banded = omh._banded_buckets(hits, labels, 100).collect()
+    got = {(r.node, r.band) for r in banded}
+    met = {(a.node, b.node) for a in banded for b in banded if a.band == b.band}
+    for i, x in enumerate(lengths):
+        for j, y in enumerate(lengths):
+            assert min(x, y) < max(x, y) * omh.SIMILARITY or (i, j) in met  # every pair that can be similar still meets
+    low = {b: min(lengths[r.node] for r in banded if r.band == b and r.own == b) for _, b in got}
+    assert all(lengths[n] >= low[b] * omh.SIMILARITY for n, b in got)
