@@ -279,8 +279,8 @@ _PLAN = f"""{_K}, {_READS}, e(conv, uuid, rank, mode, original_bytes, condensed_
  win AS (SELECT *, CASE WHEN mode='refetch-markers' THEN original_bytes-condensed_bytes ELSE original_bytes END AS saved FROM (SELECT *, row_number() OVER (PARTITION BY conv, uuid ORDER BY rank) AS rn FROM e2) t WHERE rn=1)"""
 
 
-def _plan(spark, sf, upgrade=False):
-    found = cd.condense_modes(call_blocks(spark, sf))
+def _plan(spark, sf, upgrade=False, blocks=None):
+    found = cd.condense_modes(call_blocks(spark, sf) if blocks is None else blocks)
     return cd.build_condense_plan(found, sql(spark, sf, _STATE), upgrade=upgrade)
 
 
@@ -304,7 +304,8 @@ def condense_stats(spark, sf):
     f"WITH {_PLAN.replace('{up}', 'FALSE')} SELECT b.conv, b.pos, b.uuid, b.type, coalesce(w.new_value, b.result_text) AS result_text FROM f3_blocks b LEFT JOIN win w ON w.conv=b.conv AND w.uuid=b.uuid",
 )
 def condensed_blocks(spark, sf):
-    return cd.apply_to_blocks(call_blocks(spark, sf), _plan(spark, sf)[0]).select("conv", "pos", "uuid", "type", "result_text")
+    blocks = call_blocks(spark, sf)
+    return cd.apply_to_blocks(blocks, _plan(spark, sf, blocks=blocks)[0]).select("conv", "pos", "uuid", "type", "result_text")
 
 
 @query(

@@ -170,3 +170,12 @@ def test_raw_reads_back_as_condensed(spark, tmp_path):
     change = spark.createDataFrame([("1", "m1", 0, "stale-reads", 'say "hi"')], "conv string, uuid string, block_idx int, mode string, new_value string")
     new = cd.apply_to_raw(msgs, change).withColumn("line", F.lit(0).cast("bigint"))
     assert rows(tr.explode_blocks(tr.normalise(new.select("conv", "line", "raw"))), "result_text") == [('say "hi"',)]
+
+
+def test_condensed_blocks_derives_the_blocks_once(spark, tmp_path, monkeypatch):
+    from chainloom.plans import condense_queries as cq
+
+    made, given = [], table(spark, call(1, "t1", "Read", {"file_path": "/p/a.py"}), result(2, "t1", "x" * 700))
+    monkeypatch.setattr(cq, "call_blocks", lambda spark, sf: made.append(sf) or given)
+    monkeypatch.setattr(cq, "sql", lambda spark, sf, text: spark.createDataFrame([], "conv bigint, uuid string, block_idx int, summary_source string"))
+    assert cq.condensed_blocks(spark, str(tmp_path)).count() == 2 and len(made) == 1
