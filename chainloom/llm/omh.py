@@ -20,9 +20,10 @@ Skew.  Equal texts are one node from the start (aggregated map-side).  Every nod
 first node of its buckets, then with the first node of each large bucket, then in TURNS turns with the nearest node of another
 class, by these bits, that it meets in a cell of a large bucket: one pair a node and turn.  Most groups of copies are one class
 after that, also where few of their members are similar to each other, and only pairs of different classes are looked at
-again: all pairs in every bucket.  Buckets of more than SMALL nodes are split by length and dealt into cells of about CELL
-nodes; pairs of cells are compared in one task each and only pairs that the bits leave open become rows.  The
-comparisons still grow with the square of the texts that share a passage and a length.
+again: all pairs in every bucket.  Buckets of more than SMALL nodes that hold mostly the same nodes, as those of one passage do,
+form a group, in which a node is one row and not one a bucket; pairs that share no key are passed over there.  Groups are split
+by length and dealt into cells of about CELL nodes; pairs of cells are compared in one task each and only pairs that the bits
+leave open become rows.  The comparisons still grow with the square of the texts that share a passage and a length.
 
 Defined results: a null text is empty; texts without any word are copies only of equal texts; texts of fewer than five
 words have one k-mer, all their words; repeated rows fall in one class; a class is named by its smallest doc_id; null
@@ -351,16 +352,38 @@ def _small_pairs(hits: DataFrame, labels: DataFrame) -> DataFrame:
     return left.join(right, F.expr("key_a = key_b AND a < b AND label_a <> label_b")).select("a", "b")
 
 
+def _grouped(marked: DataFrame) -> DataFrame:
+    """(key, node, label, words, keys) of (key, size, node, label, words): ``key`` names a group of buckets, ``keys`` are the node's in it.
+
+    Texts that quote a passage meet in most buckets of its k-mers.  A bucket joins the group of the bucket that is the largest one for
+    most of its nodes, so that a node is there once and not in every bucket; what pairs are met is left to ``keys``.  A group that
+    would compare more pairs than its buckets by themselves is left as these.
+    """
+    largest = F.max(F.struct("size", "key"))["key"].alias("largest")
+    buckets = F.collect_list(F.struct("key", "size")).alias("buckets")  # at most one for each of the node's keys
+    of_node = marked.groupBy("node").agg(F.first("label").alias("label"), F.first("words").alias("words"), largest, buckets)
+    of_node = materialise(of_node, "omh-bands")
+    postings = of_node.select("node", "label", "words", "largest", F.explode("buckets").alias("bucket")).select("*", "bucket.*").drop("bucket")
+    most = postings.groupBy("key", "largest").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "largest"))["largest"].alias("group"))
+    met = postings.join(most, "key").groupBy("group", "node").agg(
+        F.first("label").alias("label"), F.first("words").alias("words"), F.collect_list("key").alias("keys"), F.sum("size").alias("met")
+    )
+    met = materialise(met, "omh-groups")
+    wide = met.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("met").alias("pairs")).filter("n * n > pairs").select("group", F.lit(True).alias("wide"))
+    alone = F.transform("keys", lambda k: F.struct(F.xxhash64(k).alias("key"), F.array(k).alias("keys")))  # not the name of a group
+    parts = F.when(F.col("wide"), alone).otherwise(F.array(F.struct(F.col("group").alias("key"), "keys")))
+    return met.join(wide, "group", "left").select("node", "label", "words", F.explode(parts).alias("part")).select("part.key", "node", "label", "words", "part.keys")
+
+
 def _banded_buckets(hits: DataFrame, labels: DataFrame, cell: int) -> DataFrame:
-    """(key, node, label, words, own, band, cells) of the nodes in buckets of several classes, by bands of length."""
-    marked = hits.filter(F.col("size") > SMALL).select("key", "node", "words").join(labels, "node", "left")
+    """(key, node, label, words, keys, own, band, cells) of the nodes in groups of buckets of several classes, by bands of length."""
+    marked = hits.filter(F.col("size") > SMALL).select("key", "size", "node", "words").join(labels, "node", "left")
     marked = marked.withColumn("label", F.coalesce("label", "node"))
     mixed = marked.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("two")).filter("one != two").select("key")
-    marked = marked.join(mixed, "key")
+    marked = _grouped(marked.join(mixed, "key"))
     # Lengths of similar texts are at most one step apart: they meet in the upper one's band, and as equals in their own.
     band = F.floor(F.log("words") / math.log(1 / SIMILARITY + 1e-6)).cast("int")
     marked = marked.withColumn("own", band).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
-    marked = materialise(marked, "omh-bands")
     cells = marked.groupBy("key", "band").agg(
         F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("cells"), F.max("own").alias("top"), F.min(F.when(F.col("own") == F.col("band"), F.col("words"))).alias("least"),
         F.min("label").alias("one"), F.max("label").alias("two"),
@@ -374,23 +397,25 @@ def _nearest_pairs(hits: DataFrame, nodes: DataFrame, labels: DataFrame, turn: i
     """One pair (a, b) a node at most: with the nearest node of another class in its cells of this turn's large buckets."""
     dealt = _banded_buckets(hits.filter(F.pmod("key", F.lit(TURN_KEYS)) == turn), labels, CELL // 4)
     dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("cells")).cast("int"))
-    dealt = dealt.select("key", "band", "cell", "node", "label", "words").join(nodes.select("node", "bits"), "node")
+    dealt = dealt.select("key", "band", "cell", "node", "label", "words", "keys").join(nodes.select("node", "bits"), "node")
 
     def nearest(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["words", "node"])
         words, bits, labels, node = part["words"].to_numpy(), _folded(part["bits"]), part["label"].to_numpy(), part["node"].to_numpy()
+        keys = list(map(frozenset, part["keys"]))
         starts, ends = np.searchsorted(words, words * SIMILARITY), np.searchsorted(words * SIMILARITY, words, side="right")
         out: dict[str, list] = {"a": [], "b": [], "apart": []}
         for x in range(len(words)):
             y = np.arange(starts[x], ends[x])
             y = y[labels[y] != labels[x]]
-            if len(y):
-                apart = _apart_by_bits(bits[y], bits[x])
-                z = int(apart.argmin())
-                if apart[z] <= _most_apart(words[y[z]], words[x]):
+            apart = _apart_by_bits(bits[y], bits[x])
+            fits = np.flatnonzero(apart <= _most_apart(words[y], words[x]))
+            for z in fits[np.argsort(apart[fits], kind="stable")].tolist():
+                if not keys[x].isdisjoint(keys[y[z]]):
                     out["a"].append(node[x])
                     out["b"].append(node[y[z]])
                     out["apart"].append(apart[z])
+                    break
         return pd.DataFrame(out, dtype="int64")
 
     near = dealt.groupBy("key", "band", "cell").applyInPandas(nearest, "a long, b long, apart long")
@@ -402,7 +427,7 @@ def _large_pairs(hits: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFr
     """The pairs (a, b) of different classes in larger buckets whose lengths and words allow them to be similar."""
     dealt = _banded_buckets(hits, labels, CELL).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    dealt = dealt.select("key", "band", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell", "own", "node", "label", "words")
+    dealt = dealt.select("key", "band", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell", "own", "node", "label", "words", "keys")
     dealt = dealt.join(nodes.select("node", "bits"), "node")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
@@ -410,7 +435,7 @@ def _large_pairs(hits: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFr
         words, own, cell = (part[c].to_numpy() for c in ("words", "own", "cell"))
         bits = _folded(part["bits"])
         labels, across = part["label"].factorize()[0], part["i"].iloc[0] != part["j"].iloc[0]
-        band, node = int(part["band"].iloc[0]), part["node"].tolist()
+        band, node, keys = int(part["band"].iloc[0]), part["node"].tolist(), list(map(frozenset, part["keys"]))
         ends = np.searchsorted(words * SIMILARITY, words, side="right")
         out: dict[str, list] = {"a": [], "b": []}
         for x in range(len(words)):
@@ -419,8 +444,9 @@ def _large_pairs(hits: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFr
             y = y[fits & (cell[y] != cell[x])] if across else y[fits]
             y = y[_apart_by_bits(bits[y], bits[x]) <= _most_apart(words[y], words[x])]
             for z in y.tolist():
-                out["a"].append(min(node[x], node[z]))
-                out["b"].append(max(node[x], node[z]))
+                if not keys[x].isdisjoint(keys[z]):
+                    out["a"].append(min(node[x], node[z]))
+                    out["b"].append(max(node[x], node[z]))
         return pd.DataFrame(out, dtype="int64")
 
     return dealt.groupBy("key", "band", "i", "j").applyInPandas(compare, "a long, b long")

@@ -195,3 +195,44 @@ def test_a_text_too_short_for_a_band_leaves_it(spark, monkeypatch):
             assert min(x, y) < max(x, y) * omh.SIMILARITY or (i, j) in met  # every pair that can be similar still meets
     low = {b: min(lengths[r.node] for r in banded if r.band == b and r.own == b) for _, b in got}
     assert all(lengths[n] >= low[b] * omh.SIMILARITY for n, b in got)
+
+
+def test_buckets_of_a_passage_are_one_group(spark, monkeypatch):
+    monkeypatch.setattr(omh, "SMALL", 4)
+    rng, texts, passages = random.Random(21), 90, 2
+    kept = {n: sorted(k + 100 * (n % passages) for k in range(20) if rng.random() < 0.8) for n in range(texts)}  # keys of its passage
+    kept[0] = sorted({*kept[0], 101})  # one text quotes both
+    words = {n: 100 + n // 4 for n in kept}
+    # all bits alike: each pair of one length step that shares a key has to come out, and no other
+    nodes = spark.createDataFrame([(n, words[n], kept[n], bytes(64)) for n in kept], "node long, words int, keys array<long>, bits binary")
+    hits = omh._hits(nodes.selectExpr("node", "words", "explode(keys) AS key"))
+    labels = spark.createDataFrame([], "node long, label long")
+    banded = omh._banded_buckets(hits, labels, 1000)
+    assert banded.count() <= 2 * 2 * texts  # once in its passage's group, seldom in another, for two bands; not in each of some 16 buckets
+    want = {(a, b) for a in kept for b in kept if a < b and set(kept[a]) & set(kept[b]) and min(words[a], words[b]) >= max(words[a], words[b]) * 0.8}
+    for cell in (1000, 16):
+        monkeypatch.setattr(omh, "CELL", cell)
+        got = [(r.a, r.b) for r in omh._large_pairs(hits, nodes, labels).collect()]
+        assert set(got) == want
+    near = [omh._nearest_pairs(hits, nodes, labels, turn).collect() for turn in range(omh.TURN_KEYS)]
+    assert all(near) and {(r.a, r.b) for rows in near for r in rows} <= want
+
+
+def test_buckets_that_share_few_texts_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(omh, "SMALL", 4)
+    # a bucket of 30 and many of 10 that each hold one or all of its texts: as one group they would be compared in vain
+    kept = {n: [1] for n in range(30)}
+    for k in range(20):
+        kept[k].append(100 + k)
+        for n in range(9):
+            kept[1000 + 9 * k + n] = [100 + k]
+    marked = spark.createDataFrame([(k, 30 if k == 1 else 10, n, n, 50) for n in kept for k in kept[n]], "key long, size long, node long, label long, words int")
+    rows = omh._grouped(marked).collect()
+    sizes = {}
+    for r in rows:
+        sizes.setdefault(r.key, set()).add(r.node)
+    assert sum(len(nodes) ** 2 for nodes in sizes.values()) <= 30**2 + 20 * 10**2
+    for n in kept:
+        assert sorted(k for r in rows if r.node == n for k in r["keys"]) == sorted(kept[n])
+    met = {(a.node, b.node) for a in rows for b in rows if a.key == b.key and set(a["keys"]) & set(b["keys"])}
+    assert met == {(a, b) for a in kept for b in kept if set(kept[a]) & set(kept[b])}
