@@ -161,3 +161,12 @@ def test_search_snippet_borders(spark):
     index = spark.createDataFrame([("key", "r", 1)], "keyword string, ref string, ord bigint")
     got = rows(nt.search_notes(docs, index, ["Key", "absent"]), "source", "ref", "snippet")
     assert got == [("index", "r", None), ("plan", "b", "key at start"), ("section", "a", "..." + "x" * 50 + "KEY" + "y" * 100 + "...")]
+
+
+def test_many_notes_are_read_by_few_tasks_byte_for_byte(spark, tmp_path):
+    texts = {f"n{i}.md": f"note {i}\r\nsecond é\n" for i in range(200)} | {"bom.md": "\ufeffx"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    docs = scan_notes(spark, {"t": (str(tmp_path), "*.md")})
+    assert {r.ref: r.content for r in docs.collect()} == texts
+    assert docs.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
