@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chainloom.functions import content as ct
 from chainloom.functions.text import BLANK
 from chainloom.operators.rewrite import latest_version
-from chainloom.operators.storage import materialise
+from chainloom.operators.storage import few_listing_tasks, materialise
 
 
 def read_lines(spark: SparkSession, path: str, project: str | None = None) -> DataFrame:
@@ -23,9 +23,11 @@ def read_lines(spark: SparkSession, path: str, project: str | None = None) -> Da
     """
     at = "_metadata.file_path"
     folder = F.regexp_extract(at, r"/conv=([^/]+)/[^/]*$", 1)
+    with few_listing_tasks(spark):
+        files = spark.read.option("recursiveFileLookup", "true").text(path)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lines = (
-        spark.read.option("recursiveFileLookup", "true").text(path)
-        .filter(~F.col("value").rlike(rf"^{BLANK}*$"))
+        files.filter(~F.col("value").rlike(rf"^{BLANK}*$"))
         .select(
             F.when(F.length(folder) > 0, folder).otherwise(F.regexp_extract(at, r"([^/]+?)(\.[^./]*)?$", 1)).alias("conv"),
             F.col("value").alias("raw"),
@@ -35,7 +37,7 @@ def read_lines(spark: SparkSession, path: str, project: str | None = None) -> Da
             F.monotonically_increasing_id().alias("seq"),
         )
     )
-    lines = materialise(lines, "transcript-lines")
+    lines = materialise(lines.coalesce(tasks), "transcript-lines")  # small files would make a task of every 32
     split = ["conv", "path", "start"]
     # A copy is a file, or a folder of part files; the choice needs one row for each file.
     whole = F.coalesce(F.nullif(F.regexp_extract("path", r"^(.*/conv=[^/]+)/[^/]*$", 1), F.lit("")), F.col("path"))
@@ -115,11 +117,13 @@ def write_transcripts(messages: DataFrame, path: str) -> None:
     """``raw`` lines in order, one folder per conversation; a row without its line stops the job.
 
     Rows are range-partitioned on (conv, line): a very long conversation becomes several
-    ordered part files instead of one task.
+    ordered part files instead of one task.  The number of ranges is given: the time goes with the
+    files, and by their bytes a few tasks would get them all.
     """
+    tasks = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
         messages.select("conv", "line", F.coalesce("raw", F.raise_error(F.lit("a message has no line text in raw"))).alias("value"))
-        .repartitionByRange("conv", "line")
+        .repartitionByRange(tasks, "conv", "line")
         .sortWithinPartitions("conv", "line")
         .select("value", "conv")
         .write.partitionBy("conv")

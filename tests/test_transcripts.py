@@ -115,3 +115,22 @@ def test_a_small_table_is_dealt_out_before_views_make_text_of_it(spark, tmp_path
     views.load_tables(spark, str(tmp_path), "SELECT * FROM part")
     part = spark.table("part")
     assert part.rdd.getNumPartitions() == 2 and part.count() == 50
+
+
+def test_folders_are_written_by_given_ranges_and_listed_by_few_tasks(spark, tmp_path):
+    path, sc = str(tmp_path / "many"), spark.sparkContext
+    want = [(f"c{i:03}", i % 2, f'{{"uuid":"{i}"}}') for i in range(160)]
+    tr.write_transcripts(spark.createDataFrame(want, "conv string, line long, raw string"), path)
+    parts = {f.name.split("-")[1] for f in (tmp_path / "many").glob("conv=*/part-*")}
+    assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions"))  # not one task for all, as their bytes would have it
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    sc.setJobGroup("listing", "")
+    try:
+        lines = tr.read_lines(spark, path)
+        status = sc.statusTracker()
+        stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("listing") for s in status.getJobInfo(j).stageIds]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert stages and max(s.numTasks for s in stages if s) <= 64  # not one for each folder
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
+    assert sorted((r.conv, r.raw) for r in lines.collect()) == sorted((c, raw) for c, _, raw in want)
