@@ -335,18 +335,32 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _hits(postings: DataFrame) -> DataFrame:
-    """(key, node, words, size, rep) of the buckets with two nodes or more; rep is a bucket's smallest node."""
+    """(node, words, buckets): key, size and rep, the smallest node, of a node's buckets of two nodes or more; a row for each node in one."""
     buckets = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("rep")).filter("size > 1")
-    return materialise(postings.join(buckets, "key"), "omh-hits")
+    met = F.collect_list(F.struct("key", "size", "rep")).alias("buckets")  # at most one for each of the node's keys
+    return materialise(postings.join(buckets, "key").groupBy("node").agg(F.first("words").alias("words"), met), "omh-hits")
 
 
-def _stars(hits: DataFrame) -> DataFrame:
-    return hits.filter("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+def _first_stars(hits: DataFrame) -> DataFrame:
+    """One pair (a, b) a node b: with the first node of its buckets."""
+    return hits.select(F.array_min("buckets.rep").alias("a"), F.col("node").alias("b")).filter("a <> b")
+
+
+def _large_stars(hits: DataFrame) -> DataFrame:
+    """The pairs (a, b) of each node b with the first nodes of its large buckets."""
+    large = F.filter("buckets", lambda k: (k["size"] > SMALL) & (k["rep"] != F.col("node")))
+    return hits.select(F.explode(F.array_distinct(large["rep"])).alias("a"), F.col("node").alias("b"))
+
+
+def _with_label(hits: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, words, label, key, size, rep) of every hit.  The label is joined to a node's one row, before that becomes a row a bucket."""
+    marked = hits.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return marked.select("node", "words", "label", F.explode("buckets").alias("bucket")).select("node", "words", "label", "bucket.*")
 
 
 def _small_pairs(hits: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs (a, b) of different classes in buckets of at most SMALL nodes."""
-    marked = hits.filter(F.col("size") <= SMALL).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    marked = _with_label(hits, labels).filter(F.col("size") <= SMALL)
     left = marked.select(F.col("key").alias("key_a"), F.col("node").alias("a"), F.col("label").alias("label_a"))
     right = marked.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("label").alias("label_b"))
     return left.join(right, F.expr("key_a = key_b AND a < b AND label_a <> label_b")).select("a", "b")
@@ -375,10 +389,14 @@ def _grouped(marked: DataFrame) -> DataFrame:
     return met.join(wide, "group", "left").select("node", "label", "words", F.explode(parts).alias("part")).select("part.key", "node", "label", "words", "part.keys")
 
 
-def _banded_buckets(hits: DataFrame, labels: DataFrame, cell: int) -> DataFrame:
-    """(key, node, label, words, keys, own, band, cells) of the nodes in groups of buckets of several classes, by bands of length."""
-    marked = hits.filter(F.col("size") > SMALL).select("key", "size", "node", "words").join(labels, "node", "left")
-    marked = marked.withColumn("label", F.coalesce("label", "node"))
+def _banded_buckets(hits: DataFrame, labels: DataFrame, cell: int, turn: int | None = None) -> DataFrame:
+    """(key, node, label, words, keys, own, band, cells) of the nodes in groups of buckets of several classes, by bands of length.
+
+    With ``turn`` only that turn's part of the buckets is taken.
+    """
+    marked = _with_label(hits, labels).filter(F.col("size") > SMALL).drop("rep")
+    if turn is not None:
+        marked = marked.filter(F.pmod("key", F.lit(TURN_KEYS)) == turn)
     mixed = marked.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("two")).filter("one != two").select("key")
     marked = _grouped(marked.join(mixed, "key"))
     # Lengths of similar texts are at most one step apart: they meet in the upper one's band, and as equals in their own.
@@ -395,7 +413,7 @@ def _banded_buckets(hits: DataFrame, labels: DataFrame, cell: int) -> DataFrame:
 
 def _nearest_pairs(hits: DataFrame, nodes: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     """One pair (a, b) a node at most: with the nearest node of another class in its cells of this turn's large buckets."""
-    dealt = _banded_buckets(hits.filter(F.pmod("key", F.lit(TURN_KEYS)) == turn), labels, CELL // 4)
+    dealt = _banded_buckets(hits, labels, CELL // 4, turn)
     dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("cells")).cast("int"))
     dealt = dealt.select("key", "band", "cell", "node", "label", "words", "keys").join(nodes.select("node", "bits"), "node")
 
@@ -476,9 +494,9 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "omh-nodes")
     hits = _hits(nodes.select("node", "words", F.explode("keys").alias("key")))
-    first = materialise(_stars(hits).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "omh-stars")
+    first = materialise(_first_stars(hits), "omh-stars")
     labels = components(materialise(_verified(first, nodes, docs, id_col, text_col), "omh-first"))
-    large = _apart(_stars(hits.filter(F.col("size") > SMALL)).distinct(), labels).join(first, ["a", "b"], "left_anti")
+    large = _apart(_large_stars(hits), labels).join(first, ["a", "b"], "left_anti")
     large = materialise(large, "omh-large")
     labels = _joined(labels, [materialise(_verified(large, nodes, docs, id_col, text_col), "omh-second")])
     labels, tried = materialise(labels, "omh-labels"), first.union(large)

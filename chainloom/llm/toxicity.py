@@ -31,6 +31,7 @@ from chainloom.llm.common import labelled_sample, map_rows, training_row, whole_
 
 HASH_BITS = 18
 TOXIC = 0.5
+AT_ONCE = 1 << 18
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
 _BEGINNINGS = (4, 5, 6, 7)
@@ -128,19 +129,26 @@ class Classifier:
 
 
 class _Rows:
-    """Sparse rows, flattened, of two list columns of equal shape."""
+    """Sparse rows, flattened, of two list columns of equal shape; sums run in the order of the entries, AT_ONCE at a time."""
 
     def __init__(self, ids: pa.ChunkedArray, values: pa.ChunkedArray):
         self.n = len(ids)
-        self.row = np.repeat(np.arange(self.n), np.asarray(pc.list_value_length(ids)))
-        self.col = np.asarray(pc.list_flatten(ids)).astype(np.int64)
-        self.val = np.asarray(pc.list_flatten(values)).astype(np.float64)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), np.asarray(pc.list_value_length(ids)))
+        self.col = np.asarray(pc.list_flatten(ids))
+        self.val = np.asarray(pc.list_flatten(values))
+
+    def _summed(self, to: np.ndarray, w: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(size)
+        for i in range(0, len(to), AT_ONCE):
+            some = slice(i, i + AT_ONCE)
+            np.add.at(out, to[some], self.val[some].astype(np.float64) * w[of[some]])
+        return out
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.val * w[self.col], self.n)
+        return self._summed(self.row, w, self.col, self.n)
 
     def back(self, g: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.col, self.val * g[self.row], size)
+        return self._summed(self.col, g, self.row, size)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:

@@ -101,3 +101,24 @@ def test_awkward_rows_with_a_trained_model(spark):
         got = found.collect()
         assert len(got) == 129 and all(0 <= r.score <= 1 for r in got)
         assert len({r.score for r in got if r.doc_id == 1007}) == 1
+
+
+def test_training_rows_are_summed_in_order_and_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    n, each, size = 2000, 400, 1 << 12
+    cols, vals = rng.integers(0, size, n * each).astype(np.int32), rng.random(n * each).astype(np.float32)
+    starts = np.arange(0, n * each + 1, each, dtype=np.int32)
+    columns = [pa.chunked_array([pa.ListArray.from_arrays(starts, pa.array(x))]) for x in (cols, vals)]
+    w, g, row = rng.random(size), rng.random(n), np.repeat(np.arange(n), each)
+    tracemalloc.start()
+    rows = toxicity._Rows(*columns)
+    times, back = rows.times(w), rows.back(g, size)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (times == np.bincount(row, vals.astype(np.float64) * w[cols], n)).all()
+    assert (back == np.bincount(cols, vals.astype(np.float64) * g[row], size)).all()
+    assert peak < 25 * n * each  # of an entry: 12 bytes kept, and those of AT_ONCE entries in work

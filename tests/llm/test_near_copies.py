@@ -236,3 +236,20 @@ def test_buckets_that_share_few_texts_stay_apart(spark, monkeypatch):
         assert sorted(k for r in rows if r.node == n for k in r["keys"]) == sorted(kept[n])
     met = {(a.node, b.node) for a in rows for b in rows if a.key == b.key and set(a["keys"]) & set(b["keys"])}
     assert met == {(a, b) for a in kept for b in kept if set(kept[a]) & set(kept[b])}
+
+
+def test_labels_meet_one_row_a_node(spark, monkeypatch):
+    monkeypatch.setattr(omh, "SMALL", 4)
+    kept = {n: list(range(12)) for n in range(20)} | {n: [100 + n // 2] for n in range(20, 26)}  # large buckets, and buckets of two
+    nodes = spark.createDataFrame([(n, 50, keys) for n, keys in kept.items()], "node long, words int, keys array<long>")
+    hits = omh._hits(nodes.selectExpr("node", "words", "explode(keys) AS key"))
+    assert hits.count() == len(kept)  # before: a row for each key of a node
+    labels = spark.createDataFrame([(n, 0) for n in range(5)], "node long, label long")
+    rows = [(r.node, r.key, r.size, r.rep, r.label) for r in omh._with_label(hits, labels).collect()]
+    size = {k: sum(k in keys for keys in kept.values()) for keys in kept.values() for k in keys}
+    rep = {k: min(n for n in kept if k in kept[n]) for k in size}
+    assert sorted(rows) == sorted((n, k, size[k], rep[k], 0 if n < 5 else n) for n in kept for k in kept[n])
+    assert sorted((r.a, r.b) for r in omh._first_stars(hits).collect()) == sorted((min(rep[k] for k in kept[n]), n) for n in kept if n not in rep.values())
+    assert sorted((r.a, r.b) for r in omh._large_stars(hits).collect()) == [(0, n) for n in range(1, 20)]
+    small = {(a, b) for a in range(20, 26) for b in range(a + 1, 26) if kept[a] == kept[b]}
+    assert {(r.a, r.b) for r in omh._small_pairs(hits, labels).collect()} == small
