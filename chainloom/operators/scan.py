@@ -35,6 +35,7 @@ def scan(
     afters: Mapping[str, Column] | None = None,
     totals: Mapping[str, tuple[str, Column]] | None = None,
     chunk: int | None = None,
+    whole: bool = False,
 ) -> DataFrame:
     """Add ordered per-key results to ``df``.
 
@@ -42,10 +43,13 @@ def scan(
     prevs   last non-null before the row   nexts   first non-null at or after the row
     afters  first non-null after the row   totals  (function, value) over the whole key;
                                                    function is sum, min or max
-    ``order`` starts with the integral ordinal; further columns break ties.
+    ``order`` starts with the integral ordinal; further columns break ties.  ``whole`` tells that no key has rows in two
+    chunks: the windows are then over the keys alone, which follow each other without a shuffle or a sort, and nothing is joined.
     """
     order = [order] if isinstance(order, str) else list(order)
     keys = list(keys)
+    if whole:
+        return _scan_whole(df, keys, order, sums or {}, lasts or {}, prevs or {}, nexts or {}, afters or {}, totals or {})
     at = F.struct(*order)
     todo: list[tuple[str, str, Column, str]] = []
     for kind, specs in (("sum", sums), ("last", lasts), ("prev", prevs), ("next", nexts), ("after", afters)):
@@ -102,6 +106,35 @@ def scan(
     return done.drop(_C, *[v for *_, v in todo], *carries)
 
 
+def _scan_whole(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    sums: Mapping[str, Column],
+    lasts: Mapping[str, Column],
+    prevs: Mapping[str, Column],
+    nexts: Mapping[str, Column],
+    afters: Mapping[str, Column],
+    totals: Mapping[str, tuple[str, Column]],
+) -> DataFrame:
+    """``scan`` of keys of one chunk.  What lies ahead is looked up from the end backwards: a frame that begins at its row is read anew for each."""
+    of = W.partitionBy(*keys)
+    upto, before = (of.orderBy(*order).rowsBetween(W.unboundedPreceding, end) for end in (W.currentRow, -1))
+    onward, beyond = (of.orderBy(F.col("__at").desc()).rowsBetween(W.unboundedPreceding, end) for end in (W.currentRow, -1))
+    added = {out: F.coalesce(F.sum(v).over(upto), F.lit(0)) for out, v in sums.items()}
+    added |= {out: F.last(v, ignorenulls=True).over(upto) for out, v in lasts.items()}
+    added |= {out: F.last(v, ignorenulls=True).over(before) for out, v in prevs.items()}
+    added |= {out: getattr(F, fn)(v).over(of) for out, (fn, v) in totals.items()}
+    ahead = {f"__v_{out}": v for out, v in {**nexts, **afters}.items()}
+    done = df.dropna(subset=keys)
+    if ahead:
+        done = done.withColumns(added | ahead | {"__at": F.row_number().over(of.orderBy(*order))})
+        found = {out: F.last(f"__v_{out}", ignorenulls=True).over(onward) for out in nexts}
+        found |= {out: F.last(f"__v_{out}", ignorenulls=True).over(beyond) for out in afters}
+        return done.withColumns(found).drop("__at", *ahead)
+    return done.withColumns(added)
+
+
 def attach(
     df: DataFrame,
     small: DataFrame,
@@ -137,14 +170,20 @@ def take_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: i
 
 
 def neighbours(
-    df: DataFrame, keys: Sequence[str], order: str, value: Column, *, back: int, ahead: int, chunk: int | None = None
+    df: DataFrame, keys: Sequence[str], order: str, value: Column, *, back: int, ahead: int, chunk: int | None = None, whole: bool = False
 ) -> DataFrame:
     """Add ``back`` and ``ahead``: the values of up to that many rows before and after each row, nearest first.
 
     Windows stay inside ``(keys, chunk)``; every chunk passes its first and last values on to the chunks around it.
-    ``order`` is a unique integral ordinal and ``value`` is never null.
+    ``order`` is a unique integral ordinal and ``value`` is never null.  With ``whole`` (see ``scan``) the lists are filled up with null.
     """
     keys = list(keys)
+    if whole:
+        at, v = W.partitionBy(*keys).orderBy(order), "__v"
+        beside = {f"__b{i}": F.lag(v, i).over(at) for i in range(1, back + 1)} | {f"__a{i}": F.lead(v, i).over(at) for i in range(1, ahead + 1)}
+        found = df.dropna(subset=keys).withColumn(v, value).withColumns(beside)
+        lists = {"back": F.array(*[f"__b{i}" for i in range(1, back + 1)]), "ahead": F.array(*[f"__a{i}" for i in range(1, ahead + 1)])}
+        return found.withColumns(lists).drop(v, *beside)
     big = df.withColumns({_C: chunk_of(order, chunk), "__v": F.struct(F.col(order).alias("at"), value.alias("v"))})
     local = W.partitionBy(*keys, _C).orderBy(order)
     over_chunks = W.partitionBy(*keys).orderBy(_C)

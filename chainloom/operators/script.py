@@ -353,11 +353,20 @@ def _exported(i: int) -> Column:
 
 def declarations(found: DataFrame) -> DataFrame:
     """(project, path, line, ord, category, name) of what the tokens declare and export."""
+    found = materialise(found, "js-lexed")
+    long = materialise(found.filter(F.col("line") >= SCAN_LINES).select(*_FILE).distinct(), "js-long")
+    if long.isEmpty():
+        return _declared(found, whole=True)
+    short = _declared(found.join(long, _FILE, "left_anti"), whole=True)
+    return short.unionByName(_declared(found.join(long, _FILE, "left_semi"), whole=False))
+
+
+def _declared(found: DataFrame, *, whole: bool) -> DataFrame:
+    """``declarations`` of files that all (``whole``) or not all have fewer than SCAN_LINES lines."""
     scope = [*_FILE, "scope"]
-    wide = PLACE * SCAN_LINES
+    ways = {"chunk": PLACE * SCAN_LINES, "whole": whole}
     value = F.struct(F.col("kind").alias("k"), F.col("token").alias("t"), F.col("line").alias("l"))
-    beside = neighbours(materialise(found, "js-lexed"), scope, "place", value, back=BACK, ahead=AHEAD, chunk=wide)
-    rows = materialise(_wide(beside), "js-tokens")
+    rows = _wide(neighbours(found, scope, "place", value, back=BACK, ahead=AHEAD, **ways))
     t, line, word = F.col("token"), F.col("line"), F.col("kind") == "w"
     b = [_get("back", i) for i in range(BACK)]
     a = [_get("ahead", i) for i in range(AHEAD)]
@@ -380,22 +389,10 @@ def declarations(found: DataFrame) -> DataFrame:
     item = word & (b[0].isNull() | _is(b[0], ",") | _is(b[0], "type") & (b[1].isNull() | _is(b[1], ","))) & ~(_is(t, "type") & a_word[0] & ~_is(a[0], "as"))
     leads = b[0].isNull() | _in(b[0], ";", ",", "}", "*", *MODIFIERS) | new_line
     named = _in(b[0], "const", "let", "var", ",", "function", "*", "class", "interface", "enum", "type", "default") | leads & _is(a[0], "(") & _is(a[1], ")")
-    rows = rows.withColumns({"lists": F.coalesce(is_list, F.lit(False)), "item": F.coalesce(item, F.lit(False))})
-    rows = rows.filter(keyword | border | (t == "=") | F.col("lists") | F.col("item") | word & named)
-    rows = scan(rows, scope, "place", lasts={"anchor": anchor}, chunk=wide)
-    plain = word & ~t.isin(*BEFORE_VALUE, "function", "class", "enum", "async", "await") & (F.length("anchor") > 0)
+    plain = word & ~t.isin(*BEFORE_VALUE, "function", "class", "enum", "async", "await")
     beside = a[0].isNull() | a[0].isin("=", ",", ";", ":", "!") | (_get("ahead", 0, "l") > line) & ~_in(a[0], *GO_ON)
     names = plain & (_in(b[0], "const", "let", "var") | _is(b[0], ",")) & beside
-    rows = rows.withColumn("declares", F.coalesce(names, F.lit(False)))
     equals = F.when(t == "=", F.struct("place", F.coalesce(value_is_function, F.lit(False)).alias("f")))
-    stop = F.when(F.col("declares") | border, F.col("place"))
-    rows = scan(rows, scope, "place", nexts={"eq": equals}, afters={"stop": stop}, chunk=wide)
-    has_value = F.coalesce(_in(a[0], "=", ":", "!") & (F.col("eq.place") < F.coalesce("stop", F.lit((1 << 63) - 1))), F.lit(False))
-    kind = F.split("anchor", " ")
-    variable = F.when(
-        F.col("declares") & (has_value | (kind[0] == "var")), F.when(has_value & F.col("eq.f"), "functions").otherwise("variables")
-    )
-    exports_variable = F.col("declares") & (kind[1] == "x")
 
     # functions, classes, types and methods
     star = F.when(_is(b[0], "*"), 1).otherwise(0)
@@ -426,11 +423,26 @@ def declarations(found: DataFrame) -> DataFrame:
     def name(category: str, when: Column) -> Column:
         return F.when(when, F.lit(category))
 
-    own = F.coalesce(
-        variable, name("functions", function), name("classes", class_name), name("classes", type_name), name("functions", method)
+    other = F.coalesce(name("functions", function), name("classes", class_name), name("classes", type_name), name("functions", method))
+    other_x = word & function_x & _in(a[0], "(", "<") | class_x | type_x | default_x
+
+    # what the scans need of the neighbours, as narrow columns
+    flags = {"lists": is_list, "item": item, "could": names, "border": border, "other_x": other_x, "valued": _in(a[0], "=", ":", "!")}
+    flags = [F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()]
+    kept = rows.filter(keyword | border | (t == "=") | F.coalesce(is_list, F.lit(False)) | F.coalesce(item, F.lit(False)) | word & named)
+    rows = kept.select(*scope, "line", "ord", "place", "token", anchor.alias("lead"), equals.alias("equals"), other.alias("other"), *flags)
+    rows = rows if whole else materialise(rows, "js-tokens")
+    rows = scan(rows, scope, "place", lasts={"anchor": F.col("lead")}, **ways)
+    rows = rows.withColumn("declares", F.coalesce(F.col("could") & (F.length("anchor") > 0), F.lit(False)))
+    stop = F.when(F.col("declares") | F.col("border"), F.col("place"))
+    rows = scan(rows, scope, "place", nexts={"eq": F.col("equals")}, afters={"stop": stop}, **ways)
+    has_value = F.coalesce(F.col("valued") & (F.col("eq.place") < F.coalesce("stop", F.lit((1 << 63) - 1))), F.lit(False))
+    kind = F.split("anchor", " ")
+    variable = F.when(
+        F.col("declares") & (has_value | (kind[0] == "var")), F.when(has_value & F.col("eq.f"), "functions").otherwise("variables")
     )
-    x = exports_variable | word & function_x & _in(a[0], "(", "<") | class_x | type_x | default_x
-    rows = rows.select(*_FILE, "line", "ord", "scope", "place", "token", own.alias("own"), F.coalesce(x, F.lit(False)).alias("x"), "lists", "item")
+    x = F.coalesce(F.col("declares") & (kind[1] == "x"), F.lit(False)) | F.col("other_x")
+    rows = rows.select(*_FILE, "line", "ord", "scope", "place", "token", F.coalesce(variable, "other").alias("own"), x.alias("x"), "lists", "item")
     rows = materialise(rows.filter("own IS NOT NULL OR x OR lists OR item"), "js-names")
     lists = rows.filter("lists").select(*_FILE, F.col("place").alias("scope"))
     listed = rows.filter("item").join(lists, [*_FILE, "scope"], "left_semi").withColumn("category", F.lit("exports"))

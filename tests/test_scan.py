@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chainloom.operators.scan import attach, scan, take_first
+from chainloom.operators.scan import attach, neighbours, scan, take_first
 
 
 def data(spark, seed=7, n=400):
@@ -92,3 +92,21 @@ def test_neighbours_reach_over_chunks(spark, chunk):
         ps = places[r.k]
         i = ps.index(r["at"])
         assert r.back == ps[max(0, i - 3) : i][::-1] and r.ahead == ps[i + 1 : i + 3]
+
+
+def test_keys_of_one_chunk_need_one_shuffle_and_no_join(spark):
+    rng = random.Random(12)
+    made = [(k, at * 3, rng.choice([None, 1, 2, 5])) for k in "abc" for at in range(40)] + [(None, 1, 1)]
+    df = spark.createDataFrame(made, "k string, at long, v long")
+    v = F.col("v")
+
+    def both(whole):
+        out = neighbours(df, ["k"], "at", F.coalesce(v, F.lit(0)), back=2, ahead=3, chunk=1000, whole=whole)
+        lists = {n: F.array_compact(n) for n in ("back", "ahead")}
+        out = scan(out.withColumns(lists), ["k"], "at", sums={"s": v}, lasts={"l": v}, prevs={"p": v}, totals={"t": ("max", v)}, chunk=1000, whole=whole)
+        return scan(out, ["k"], "at", nexts={"n": v}, afters={"a": v}, chunk=1000, whole=whole)
+
+    assert rows(both(True)) == rows(both(False)) and both(True).count() == 120
+    plan = both(True)._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan
+    assert both(True)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

@@ -169,3 +169,19 @@ def test_awkward_lines(spark):
     assert found(sy.extract_js(long)) == [(1, "variables", "a"), (1, "variables", "b"), (2, "variables", "c")]
     with_null = js(spark, "x").selectExpr("project", "path", "lang", "line", "ord", "cast(null as string) as text")
     assert found(sy.extract_js(with_null)) == []
+
+
+def test_long_and_short_files_in_one_table(spark, monkeypatch):
+    lines = js(spark, SPANNING, path="short.js").unionByName(js(spark, "\n" * 40 + SPANNING, path="long.js"))
+    want = sorted((line, category, name) for line, category, name in found(sy.extract_js(js(spark, SPANNING))))
+    monkeypatch.setattr(script, "SCAN_LINES", 40)  # the short file has fewer lines, the long one lies in two chunks
+    got = [(r.path, r.line, r.category, r.name) for r in sy.extract_js(lines).collect()]
+    assert sorted(r[1:] for r in got if r[0] == "short.js") == want
+    assert sorted((line - 40, c, n) for p, line, c, n in got if p == "long.js") == want
+
+
+def test_tokens_of_short_files_are_not_written_with_their_neighbours(spark, monkeypatch):
+    written, write = [], script.materialise
+    monkeypatch.setattr(script, "materialise", lambda df, label: written.append((label, len(df.columns))) or write(df, label))
+    assert found(sy.extract_js(js(spark, SPANNING)))
+    assert max(columns for _, columns in written) <= 12  # before: 47, six neighbours to each side
