@@ -52,6 +52,58 @@ def test_bradley_terry_equals_a_plain_minimiser():
         assert loss(w) <= loss(w + step) and loss(w) <= loss(w - step)
 
 
+def noisy(n):
+    """Prose and shouting whose labels are wrong for a fifth of them, so that scores of both labels mix."""
+    rows, marks = judged(n)
+    flip = np.random.default_rng(4).random(n) < 0.2
+    return rows, [(i, q ^ int(f), t) for (i, q, t), f in zip(marks, flip, strict=True)]
+
+
+@pytest.mark.parametrize("rare", [None, 3])
+def test_quality_learns_from_every_labelled_row_beyond_one_block(spark, rare):
+    rows, marks = noisy(240)
+    if rare:  # fewer rows of label 0 than there are blocks
+        marks = [m for m in marks if m[1]] + [m for m in marks if not m[1] and zlib.crc32(str(m[0]).encode()) % 4 != 2][:rare]
+    docs, known = documents(spark, rows), labels(spark, marks)
+    model = quality.fit(docs, known, per_class=20, pairs=60)
+    of = {0: [], 1: []}
+    for i, q, _ in sorted(marks):
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            of[q].append(quality.features(rows[i][1]))
+    got = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    assert sum(got[i].predicted for i, _, _ in marks if not got[i].held_out) == len(of[1])  # the threshold is a quantile of all
+    blocks = -(-max(map(len, of.values())) // 20)
+    assert blocks > 3 and (len(of[0]) < blocks) == bool(rare)
+    dealt = {q: [[] for _ in range(blocks)] for q in of}
+    for q, vectors in of.items():
+        for slot in range(len(vectors) * -(-blocks // len(vectors))):
+            dealt[q][slot % blocks].append(vectors[slot % len(vectors)])
+    pairs = np.concatenate([quality.drawn(np.array(dealt[1][b]), np.array(dealt[0][b]), 60, 11 + b) for b in range(blocks)])
+    slope = -(pairs / (1 + np.exp(pairs @ model.weights))[:, None]).mean(axis=0) + 1e-3 * model.weights
+    assert np.abs(slope).max() < 1e-6
+    scores = np.sort(np.array(of[0] + of[1]) @ model.weights)
+    assert model.threshold == pytest.approx(scores[len(of[0]) - 1 : len(of[0]) + 1].mean(), abs=1e-9)
+
+
+def test_every_row_of_a_block_is_in_a_pair_and_blocks_stay_whole():
+    import pyarrow as pa
+
+    rows = np.eye(8)
+    pairs = quality.drawn(rows[:5], rows[5:], 1)
+    assert (pairs.sum(axis=1) == 0).all() and (pairs[:, :5].sum(axis=0) > 0).all() and (pairs[:, 5:].sum(axis=0) < 0).all()
+    batches = [pa.RecordBatch.from_pydict({"block": pa.array(x, pa.int64()), "v": x}) for x in ([0, 0, 2], [], [2, 2], [2, 5], [7])]
+    assert [(at, t["v"].to_pylist()) for at, t in quality._blocks(iter(batches))] == [(0, [0, 0]), (2, [2] * 4), (5, [5]), (7, [7])]
+
+
+def test_values_of_a_rank_and_the_next(spark):
+    values = np.array([0.5, -3.25, 0.0, 1e-300, 0.5, -1e9, 7.0, 0.5, -0.25, 30.0])
+    places = spark.createDataFrame([(int(p),) for p in quality._places(values)], "place long")
+    assert (quality._places(quality._places(values).view(np.float64)).view(np.float64) == values).all()
+    for rank in (0, 2, 5, 7, 8):
+        found = quality._places(np.array(quality._from_rank(places, rank))).view(np.float64)
+        assert found.tolist() == np.sort(values)[rank : rank + 2].tolist()
+
+
 def test_toxicity_learns_without_the_group_it_went_with(spark):
     rows, marks = judged()
     docs, known = documents(spark, rows), labels(spark, marks)
